@@ -55,3 +55,371 @@ def q_k1(spark: SparkSession, sf_dir: str) -> DataFrame:
     top = K.cosine_top_k(queries, vecs.select("key", "embedding"), k=5)
     return top.select(F.col("query_id").cast("int"), F.col("rank").cast("int"), F.col("key").cast("long"),
                       F.round("score", 6).alias("score"))
+
+
+# =====================================================================================
+# Shared builders
+# =====================================================================================
+
+from codeloom.functions import exprs as X  # noqa: E402
+from codeloom.functions import text as TX  # noqa: E402
+from codeloom.operators import aggregates as A  # noqa: E402
+from codeloom.operators import joins as J  # noqa: E402
+from codeloom.operators import snapshot as SN  # noqa: E402
+from codeloom.operators import symbols as SY  # noqa: E402
+from codeloom.operators import text_tables as TT  # noqa: E402
+
+REPO = "repository_id"
+W_ = O.with_
+
+
+def r6(c):
+    return F.round(c, 6)
+
+
+def _symbols(spark, sf_dir):
+    return SY.python_symbols(P.files(spark, sf_dir))
+
+
+def _file_scores(spark, sf_dir):
+    """Per-file complexity (A13) for the debt / hot-spot queries."""
+    files = P.files(spark, sf_dir)
+    fm = SY.function_metrics(_symbols(spark, sf_dir)).where(F.col("kind") == "function")
+    return A.function_summary(files, fm).withColumn("maintainability", F.lit(None).cast("double"))
+
+
+# Known-answer facts of the proxy Python files (SQL side).
+PY_L = "(1 + length(text) - length(replace(text, chr(10), '')))"   # comment lines before the code
+PY_K = "CAST(doc_id % 4 AS INTEGER)"
+PY_D = "CASE WHEN doc_id % 3 = 0 THEN 1 ELSE 0 END"
+
+
+def py_docs_cte() -> str:
+    """Python proxy files with their original document text (for known answers)."""
+    return O.files_cte() + """,
+pyd AS (
+  SELECT f.repository_id, f.path, d.doc_id, d.text, d.n_chars
+  FROM files f JOIN documents d ON f.doc_id = d.doc_id
+  WHERE f.path LIKE '%.py' AND NOT f.binary)"""
+
+
+FILE_COMPLEXITY_SQL = f"""
+file_cx AS (
+  SELECT repository_id, path,
+         CASE WHEN path LIKE '%.py' THEN 1.0 + (doc_id % 4) / 2.0 ELSE 0.0 END AS complexity,
+         CASE WHEN path LIKE '%.py' THEN 2 ELSE 0 END AS n_functions
+  FROM files)"""
+
+
+# =====================================================================================
+# P / F : scalar expressions
+# =====================================================================================
+
+@register("p_commit_fields", W_(O.commits_cte()) + r"""
+SELECT repository_id, hash, substr(hash, 1, 7) AS short_hash,
+       author_name || ' <' || author_email || '>' AS author,
+       split_part(author_name || ' <' || author_email || '>', '<', 1) AS author_short,
+       split_part(message, chr(10), 1) AS subject,
+       regexp_replace(message, '^\s+|\s+$', '', 'g') AS message,
+       strftime(author_ts, '%Y-%m-%dT%H:%M:%S') AS date
+FROM commits""")
+def q_p_commit_fields(spark, sf):
+    c = P.commits(spark, sf)
+    disp = X.author_display(F.col("author_name"), F.col("author_email"))
+    return c.select(REPO, "hash", X.short_hash(F.col("hash")).alias("short_hash"), disp.alias("author"),
+                    X.author_name_of(disp).alias("author_short"), X.commit_subject(F.col("message")).alias("subject"),
+                    X.py_strip(F.col("message")).alias("message"), X.iso_date(F.col("author_ts")).alias("date"))
+
+
+def _lang_case(e):
+    return "CASE " + e + " " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in X.LANGUAGE_BY_EXTENSION.items()) \
+        + " ELSE 'Unknown' END"
+
+
+def _hl_case(e):
+    return "CASE " + e + " " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in X.HIGHLIGHT_BY_SUFFIX.items()) \
+        + " ELSE 'text' END"
+
+
+_IMPORTANT_RE = "^(?:" + "|".join(f"(?:{p[:-1]})" for p in X.IMPORTANT_PATTERNS) + ")$"
+
+
+@register("p_file_paths", W_(O.raw_tree_cte()) + f"""
+SELECT repository_id, path, {O.ext_sql('path')} AS ext,
+       regexp_extract(path, '[^/]*$', 0) AS basename,
+       regexp_extract(path, '^(.*)/[^/]*$', 1) AS dirname,
+       CAST(len(string_split(path, '/')) - 1 AS INTEGER) AS depth,
+       lower({O.ext_sql('path')}) IN ({O.BINARY_LIST}) AS is_binary,
+       {_lang_case('lower(' + O.ext_sql('path') + ')')} AS language,
+       {_hl_case("string_split(path, '.')[-1]")} AS highlight,
+       regexp_matches(path, '(^|/)\\.') AS is_hidden,
+       regexp_matches(path, '{_IMPORTANT_RE}') AS is_important,
+       ({' OR '.join(f"ends_with(path, '{e}')" for e in X.ANALYZABLE_EXTENSIONS)}) AND length(text) > 0 AS is_analyzable,
+       ({' OR '.join(f"ends_with(lower(path), '{e}')" for e in X.DOC_SUFFIXES)}) OR contains(lower(path), 'doc')
+         AS is_documentation,
+       contains(lower(path), 'test') OR ({' OR '.join(f"ends_with(lower(path), '{e}')" for e in X.TEST_SUFFIXES)})
+         AS is_test
+FROM raw_tree""")
+def q_p_file_paths(spark, sf):
+    t = P.raw_tree(spark, sf)
+    p = F.col("path")
+    return t.select(REPO, "path", X.file_ext(p).alias("ext"), X.basename(p).alias("basename"),
+                    X.dirname(p).alias("dirname"), X.path_depth(p).cast("int").alias("depth"),
+                    X.is_binary_path(p).alias("is_binary"), X.language_of_ext(X.file_ext(p)).alias("language"),
+                    X.highlight_language(p).alias("highlight"), X.is_hidden(p).alias("is_hidden"),
+                    X.is_important(p).alias("is_important"), X.is_analyzable(p, F.col("text")).alias("is_analyzable"),
+                    X.is_documentation(p).alias("is_documentation"), X.is_test(p).alias("is_test"))
+
+
+@register("p10_file_changes", W_(O.file_changes_cte()) + "SELECT * FROM file_changes")
+def q_p10(spark, sf):
+    return P.file_changes(spark, sf)
+
+
+_STATS_SQL = W_(O.commits_cte(), O.file_changes_cte()) + """,
+per AS (SELECT repository_id, hash, count(*) AS n, sum(insertions) AS ins, sum(deletions) AS dels
+        FROM file_changes GROUP BY 1, 2),
+stats AS (
+  SELECT c.*, CAST(coalesce(n, 0) AS BIGINT) AS files_changed, CAST(coalesce(ins, 0) AS BIGINT) AS insertions,
+         CAST(coalesce(dels, 0) AS BIGINT) AS deletions
+  FROM commits c LEFT JOIN per p ON c.repository_id = p.repository_id AND c.hash = p.hash)
+"""
+
+
+@register("p12_shortstat", _STATS_SQL + r""",
+t AS (SELECT repository_id, hash, ' ' || CAST(files_changed AS VARCHAR)
+        || CASE WHEN files_changed = 1 THEN ' file changed' ELSE ' files changed' END
+        || CASE WHEN insertions > 0 THEN ', ' || CAST(insertions AS VARCHAR)
+                || CASE WHEN insertions = 1 THEN ' insertion(+)' ELSE ' insertions(+)' END ELSE '' END
+        || CASE WHEN deletions > 0 THEN ', ' || CAST(deletions AS VARCHAR)
+                || CASE WHEN deletions = 1 THEN ' deletion(-)' ELSE ' deletions(-)' END ELSE '' END AS stat
+      FROM stats),
+g AS (SELECT *, contains(stat, 'changed') AND (contains(stat, 'insertion') OR contains(stat, 'deletion')) AS ok FROM t)
+SELECT repository_id, hash, stat,
+  CASE WHEN ok AND regexp_extract(stat, '(\d+) file', 1) <> '' THEN CAST(regexp_extract(stat, '(\d+) file', 1) AS BIGINT) ELSE 0 END AS files_changed,
+  CASE WHEN ok AND regexp_extract(stat, '(\d+) insertion', 1) <> '' THEN CAST(regexp_extract(stat, '(\d+) insertion', 1) AS BIGINT) ELSE 0 END AS insertions,
+  CASE WHEN ok AND regexp_extract(stat, '(\d+) deletion', 1) <> '' THEN CAST(regexp_extract(stat, '(\d+) deletion', 1) AS BIGINT) ELSE 0 END AS deletions
+FROM g""")
+def q_p12(spark, sf):
+    s = A.commit_stats(P.commits(spark, sf), P.file_changes(spark, sf))
+    t = s.select(REPO, "hash", X.format_shortstat(F.col("files_changed"), F.col("insertions"),
+                                                  F.col("deletions")).alias("stat"))
+    return t.select(REPO, "hash", "stat", X.parse_shortstat(F.col("stat")).alias("p")).select(
+        REPO, "hash", "stat", "p.files_changed", "p.insertions", "p.deletions")
+
+
+@register("p13_repo_url", r"""
+WITH u AS (SELECT page_id, url, regexp_replace(url, '/+$', '') AS u FROM pages)
+SELECT page_id,
+  CASE WHEN regexp_matches(u, 'https://github\.com/([^/]+)/([^/]+)/?') THEN regexp_extract(u, 'https://github\.com/([^/]+)/([^/]+)/?', 1) END AS owner,
+  CASE WHEN regexp_matches(u, 'https://github\.com/([^/]+)/([^/]+)/?') THEN regexp_extract(u, 'https://github\.com/([^/]+)/([^/]+)/?', 2) END AS repo,
+  regexp_replace(string_split(u, '/')[-1], '\.git$', '') AS repo_name,
+  CASE WHEN url IS NULL OR url = '' THEN 'Unknown Repository'
+       WHEN contains(url, '/') THEN string_split(url, '/')[-1]
+       ELSE regexp_replace(url, '\.git$', '') END AS display_name
+FROM u""")
+def q_p13(spark, sf):
+    pg = P.table(spark, sf, "pages").select("page_id", "url")
+    parts = X.repo_url_parts(F.col("url"))
+    return pg.select("page_id", parts["owner"].alias("owner"), parts["repo"].alias("repo"),
+                     parts["repo_name"].alias("repo_name"), X.display_repo_name(F.col("url")).alias("display_name"))
+
+
+@register("p16_truncate", r"""
+SELECT doc_id,
+  CASE WHEN length(text) > 2000 THEN substr(text, 1, 2000) || '...' ELSE text END AS t2000,
+  CASE WHEN length(text) > 5000 THEN substr(text, 1, 5000) || '...[truncated]' ELSE text END AS t5000,
+  CAST(length(text) AS INTEGER) AS n
+FROM documents""")
+def q_p16(spark, sf):
+    d = P.table(spark, sf, "documents").select("doc_id", "text")
+    return d.select("doc_id", X.truncate_text(F.col("text"), 2000).alias("t2000"),
+                    X.truncate_text(F.col("text"), 5000, "...[truncated]").alias("t5000"),
+                    F.length("text").alias("n"))
+
+
+_DIFF_LIKE = ("(contains(content, '```diff') OR contains(content, '+++') OR contains(content, '---') "
+              "OR regexp_matches(content, '(?m)^[+-][^+-]'))")
+
+
+@register("f6_query_flags", W_(O.messages_cte()) + f"""
+SELECT session_id, turn,
+  ({' OR '.join(f"contains(lower(content), '{k}')" for k in X.CODE_QUERY_KEYWORDS)}) AS is_code_query,
+  ({' OR '.join(f"contains(lower(content), '{k}')" for k in X.COMMIT_QUERY_KEYWORDS)}) AS is_commit_query,
+  {_DIFF_LIKE} AS is_diff_content
+FROM messages""")
+def q_f6(spark, sf):
+    m = P.messages(spark, sf)
+    c = F.col("content")
+    return m.select("session_id", "turn", X.is_code_query(c).alias("is_code_query"),
+                    X.is_commit_query(c).alias("is_commit_query"), X.is_diff_content(c).alias("is_diff_content"))
+
+
+@register("f8_user_sessions", W_(O.messages_cte()) + """
+SELECT session_id, CAST(max(turn) AS BIGINT) AS last_turn, CAST(count(*) AS BIGINT) AS n_messages
+FROM messages GROUP BY session_id HAVING arg_max(role, turn) = 'user'""")
+def q_f8(spark, sf):
+    return A.user_sessions(P.messages(spark, sf)).select(
+        "session_id", F.col("last_turn").cast("long"), F.col("n_messages").cast("long"))
+
+
+# =====================================================================================
+# A : aggregations
+# =====================================================================================
+
+_EXT_COUNTS = f"""
+ext_counts AS (
+  SELECT repository_id, lower({O.ext_sql('path')}) AS ext, CAST(count(*) AS BIGINT) AS n_files
+  FROM files WHERE {O.ext_sql('path')} <> '' GROUP BY 1, 2)"""
+
+
+@register("a2_extension_histogram", W_(O.files_cte(), _EXT_COUNTS) + "SELECT * FROM ext_counts")
+def q_a2(spark, sf):
+    return A.extension_histogram(P.files(spark, sf)).select(REPO, "ext", F.col("n_files").cast("long"))
+
+
+def _marker_sql():
+    arms = " ".join(f"WHEN path IN ({', '.join(O.sql_str(n) for n in names)}) THEN {i}"
+                    for i, (names, _l) in enumerate(X.LANGUAGE_MARKERS))
+    langs = " ".join(f"WHEN {i} THEN '{lang}'" for i, (_n, lang) in enumerate(X.LANGUAGE_MARKERS))
+    return arms, langs
+
+
+@register("a1_detect_language", W_(O.files_cte(), _EXT_COUNTS) + f""",
+mk AS (SELECT repository_id, min(CASE {_marker_sql()[0]} END) AS marker FROM files GROUP BY 1),
+top AS (SELECT repository_id, ext AS top_ext FROM (
+          SELECT *, row_number() OVER (PARTITION BY repository_id ORDER BY n_files DESC, ext) AS rn FROM ext_counts)
+        WHERE rn = 1)
+SELECT mk.repository_id,
+       coalesce(CASE marker {_marker_sql()[1]} END, {_lang_case("coalesce(top_ext, '')")}) AS language, top_ext
+FROM mk LEFT JOIN top ON mk.repository_id = top.repository_id""")
+def q_a1(spark, sf):
+    return A.detect_language(P.files(spark, sf))
+
+
+@register("a3_directory_rollup", W_(O.files_cte()) + """,
+parts AS (SELECT repository_id, size, string_split(path, '/') AS p,
+                 CASE WHEN content IS NULL THEN 0
+                      ELSE length(content) - length(replace(content, chr(10), ''))
+                           + CASE WHEN length(content) > 0 AND NOT ends_with(content, chr(10)) THEN 1 ELSE 0 END
+                 END AS lines
+          FROM files),
+anc AS (SELECT repository_id, size, lines, array_to_string(list_slice(p, 1, i), '/') AS directory
+        FROM parts, range(0, len(p)) AS r(i))
+SELECT repository_id, directory, CAST(count(*) AS BIGINT) AS n_files, CAST(sum(size) AS BIGINT) AS bytes,
+       CAST(sum(lines) AS BIGINT) AS lines
+FROM anc GROUP BY 1, 2""")
+def q_a3(spark, sf):
+    return A.directory_rollup(P.files(spark, sf)).select(REPO, "directory", F.col("n_files").cast("long"),
+                                                         "bytes", "lines")
+
+
+@register("a4_commit_stats", _STATS_SQL + """
+SELECT repository_id, hash, seq, files_changed, insertions, deletions FROM stats""")
+def q_a4(spark, sf):
+    return A.commit_stats(P.commits(spark, sf), P.file_changes(spark, sf)).select(
+        REPO, "hash", "seq", "files_changed", "insertions", "deletions")
+
+
+@register("a6_repository_metrics", W_(O.files_cte(), O.commits_cte()) + """,
+f AS (SELECT repository_id, CAST(count(*) AS BIGINT) AS total_files,
+             CAST(sum(CASE WHEN content IS NULL THEN 0
+                      ELSE length(content) - length(replace(content, chr(10), ''))
+                           + CASE WHEN length(content) > 0 AND NOT ends_with(content, chr(10)) THEN 1 ELSE 0 END
+                 END) AS BIGINT) AS total_lines
+      FROM files GROUP BY 1),
+c AS (SELECT repository_id, CAST(count(DISTINCT author_email) AS BIGINT) AS contributor_count,
+             count(*) / greatest(1, date_diff('day', min(author_ts), max(author_ts)) + 1) AS commit_frequency
+      FROM commits GROUP BY 1)
+SELECT coalesce(f.repository_id, c.repository_id) AS repository_id, total_files, total_lines, contributor_count,
+       round(commit_frequency, 6) AS commit_frequency
+FROM f FULL OUTER JOIN c ON f.repository_id = c.repository_id""")
+def q_a6(spark, sf):
+    m = A.repository_metrics(P.files(spark, sf), P.commits(spark, sf))
+    return m.select(REPO, "total_files", "total_lines", "contributor_count", r6(F.col("commit_frequency")).alias("commit_frequency"))
+
+
+_DEBT_SQL = W_(O.files_cte(), FILE_COMPLEXITY_SQL) + f""",
+counts AS (
+  SELECT repository_id, count(*) AS n_files,
+         count(*) FILTER (WHERE ({' OR '.join(f"ends_with(lower(path), '{e}')" for e in X.DOC_SUFFIXES)})
+                                OR contains(lower(path), 'doc')) AS n_doc,
+         count(*) FILTER (WHERE contains(lower(path), 'test')
+                                OR ({' OR '.join(f"ends_with(lower(path), '{e}')" for e in X.TEST_SUFFIXES)})) AS n_test
+  FROM files GROUP BY 1),
+analysed AS (
+  SELECT f.repository_id, f.path, x.complexity FROM files f JOIN file_cx x USING (repository_id, path)
+  WHERE ({' OR '.join(f"ends_with(f.path, '{e}')" for e in X.ANALYZABLE_EXTENSIONS)})
+    AND f.content IS NOT NULL AND length(f.content) > 0),
+cx AS (SELECT repository_id, avg(complexity) AS avg_c, count(*) AS n_analysed FROM analysed GROUP BY 1),
+debt AS (
+  SELECT c.repository_id, CAST(n_files AS BIGINT) AS n_files, CAST(coalesce(n_analysed, 0) AS BIGINT) AS n_analysed,
+         coalesce(avg_c, 0.0) AS avg_complexity,
+         least(100.0, coalesce(avg_c, 0.0) * 10) AS code_complexity,
+         greatest(0.0, 100 - n_doc / n_files * 500) AS documentation,
+         greatest(0.0, 100 - n_test / n_files * 500) AS test_coverage
+  FROM counts c LEFT JOIN cx ON c.repository_id = cx.repository_id)
+"""
+
+
+@register("a7_technical_debt", _DEBT_SQL + """
+SELECT repository_id, n_files, n_analysed, round(avg_complexity, 6) AS avg_complexity,
+       round(code_complexity, 6) AS code_complexity, round(documentation, 6) AS documentation,
+       round(test_coverage, 6) AS test_coverage,
+       round(code_complexity * 0.4 + documentation * 0.3 + test_coverage * 0.3, 6) AS score
+FROM debt""")
+def q_a7(spark, sf):
+    debt, _top = A.technical_debt(P.files(spark, sf), _file_scores(spark, sf))
+    return debt.select(REPO, "n_files", "n_analysed", *[r6(F.col(c)).alias(c) for c in
+                       ("avg_complexity", "code_complexity", "documentation", "test_coverage", "score")])
+
+
+@register("a8_top_files", _DEBT_SQL + """,
+r AS (SELECT *, row_number() OVER (PARTITION BY repository_id ORDER BY complexity DESC, path) AS rank FROM analysed)
+SELECT repository_id, CAST(rank AS INTEGER) AS rank, path, round(complexity, 6) AS complexity FROM r WHERE rank <= 10""")
+def q_a8(spark, sf):
+    _debt, top = A.technical_debt(P.files(spark, sf), _file_scores(spark, sf))
+    return top.select(REPO, F.col("rank").cast("int"), "path", r6(F.col("complexity")).alias("complexity"))
+
+
+@register("a9_conversation_history", W_(O.messages_cte()) + """
+SELECT m.session_id, m.turn, m.role, m.content FROM messages m
+JOIN (SELECT session_id, max(turn) AS last FROM messages GROUP BY 1) l ON m.session_id = l.session_id
+WHERE m.turn < l.last""")
+def q_a9(spark, sf):
+    return A.conversation_history(P.messages(spark, sf))
+
+
+@register("a10_user_text", W_(O.messages_cte()) + """
+SELECT session_id, string_agg(content || chr(10), '' ORDER BY turn) AS user_text, arg_max(content, turn) AS query
+FROM messages WHERE role = 'user' GROUP BY session_id""")
+def q_a10(spark, sf):
+    return A.user_text_concat(P.messages(spark, sf))
+
+
+@register("a11_author_activity", W_(O.commits_cte(), O.file_changes_cte()) + """,
+c AS (SELECT repository_id, author_email, CAST(count(*) AS BIGINT) AS n_commits, min(author_ts) AS first_ts,
+             max(author_ts) AS last_ts FROM commits GROUP BY 1, 2),
+t AS (SELECT c.repository_id, c.author_email, CAST(count(DISTINCT f.path) AS BIGINT) AS files_touched
+      FROM file_changes f JOIN commits c ON f.repository_id = c.repository_id AND f.hash = c.hash GROUP BY 1, 2)
+SELECT c.repository_id, c.author_email, n_commits, first_ts, last_ts, CAST(coalesce(files_touched, 0) AS BIGINT) AS files_touched
+FROM c LEFT JOIN t ON c.repository_id = t.repository_id AND c.author_email = t.author_email""")
+def q_a11(spark, sf):
+    return A.author_activity(P.commits(spark, sf), P.file_changes(spark, sf))
+
+
+@register("a12_file_churn", W_(O.file_changes_cte()) + """
+SELECT repository_id, path, CAST(count(*) AS BIGINT) AS n_changes, CAST(sum(insertions) AS BIGINT) AS insertions,
+       CAST(sum(deletions) AS BIGINT) AS deletions, CAST(count(DISTINCT hash) AS BIGINT) AS n_commits
+FROM file_changes GROUP BY 1, 2""")
+def q_a12(spark, sf):
+    return A.file_churn(P.file_changes(spark, sf))
+
+
+@register("a13_function_summary", W_(O.files_cte(), FILE_COMPLEXITY_SQL) + """
+SELECT repository_id, path, round(complexity, 6) AS complexity, CAST(n_functions AS BIGINT) AS n_functions FROM file_cx""")
+def q_a13(spark, sf):
+    files = P.files(spark, sf)
+    fm = SY.function_metrics(_symbols(spark, sf)).where(F.col("kind") == "function")
+    s = A.function_summary(files, fm)
+    return s.select(REPO, "path", r6(F.col("complexity")).alias("complexity"), "n_functions")

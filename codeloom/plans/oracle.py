@@ -62,15 +62,47 @@ def ext_sql(path: str) -> str:
 BINARY_LIST = ", ".join(sql_str(e) for e in X.BINARY_EXTENSIONS)
 
 
+def js_source_sql(d: str = "doc_id", text: str = "text") -> str:
+    i = f"CAST({d} AS VARCHAR)"
+    nl = "chr(10)"
+    return (f"({text} || {nl} || {nl} || 'function g_' || {i} || '(x) {{' || {nl} || '  return x;' || {nl} || '}}'"
+            f" || {nl} || 'const h_' || {i} || ' = function (y) {{' || {nl} || '  return y;' || {nl} || '}};'"
+            f" || {nl} || 'class K_' || {i} || ' {{' || {nl} || '}}' || {nl})")
+
+
 def raw_tree_cte() -> str:
     path = doc_path_sql("doc_id")
     return f"""raw_tree AS (
   SELECT source AS repository_id, {path} AS path, doc_id,
-         CASE WHEN ({path}) LIKE '%.py' THEN {python_source_sql()} ELSE text END AS text,
+         CASE WHEN ({path}) LIKE '%.py' THEN {python_source_sql()}
+              WHEN ({path}) LIKE '%.js' THEN {js_source_sql()} ELSE text END AS text,
          n_chars AS size
   FROM documents)"""
 
 
+def snapshots_cte() -> str:
+    """old_snap / new_snap over ``files`` (needs files_cte first)."""
+    return """old_snap AS (SELECT repository_id, path, doc_id, content FROM files WHERE doc_id % 11 <> 3),
+new_snap AS (
+  SELECT repository_id, CASE WHEN doc_id % 17 = 0 THEN 'moved/' || path ELSE path END AS path, doc_id,
+         CASE WHEN doc_id % 13 = 0 AND doc_id % 17 <> 0 THEN content || chr(10) || 'edited line' || chr(10)
+              ELSE content END AS content
+  FROM files WHERE doc_id % 11 <> 5)"""
+
+
+def diffs_cte() -> str:
+    p = doc_path_sql("doc_id")
+    body = "regexp_replace(text, '(?m)^', ' ', 'g')"
+    body = f"regexp_replace({body}, '(?m)^ ([A-CE-M])', '-\\1', 'g')"
+    body = f"regexp_replace({body}, '(?m)^ ([N-Z])', '+\\1', 'g')"
+    body = f"regexp_replace({body}, '(?m)^ (D)', '---\\1', 'g')"
+    return f"""diffs AS (
+  SELECT doc_id AS diff_id,
+         '--- a/' || {p} || chr(10) || '+++ b/' || {p} || chr(10) || '@@ -' || CAST(doc_id % 50 + 1 AS VARCHAR)
+         || ',3 +' || CAST(doc_id % 40 + 1 AS VARCHAR) || ',3 @@' || chr(10) || {body} AS diff
+  FROM documents)"""
+
+
 def files_cte() -> str:
     """S1 applied to the raw tree: hidden paths dropped, binary by extension."""
     return raw_tree_cte() + f""",

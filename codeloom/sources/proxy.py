@@ -87,21 +87,67 @@ def python_source(doc_id: Column, text: Column, n_chars: Column) -> Column:
     )
 
 
+def js_source(doc_id: Column, text: Column) -> Column:
+    """Known-answer JavaScript tail: one declaration of each shape the regex scanner knows."""
+    i = doc_id.cast("string")
+    return F.concat(text, F.lit("\n\nfunction g_"), i, F.lit("(x) {\n  return x;\n}\nconst h_"), i,
+                    F.lit(" = function (y) {\n  return y;\n};\nclass K_"), i, F.lit(" {\n}\n"))
+
+
 def raw_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Listing of every file as a clone would hold it: (repository_id, path, size, content)."""
+    """Listing of every file as a clone would hold it: (repository_id, path, doc_id, text, size)."""
     d = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "n_chars")
     path = doc_path(F.col("doc_id"))
-    is_py = path.endswith(".py")
     return d.select(
         F.col("source").alias("repository_id"),
         path.alias("path"),
         F.col("doc_id"),
-        F.when(is_py, python_source(F.col("doc_id"), F.col("text"), F.col("n_chars")))
+        F.when(path.endswith(".py"), python_source(F.col("doc_id"), F.col("text"), F.col("n_chars")))
+         .when(path.endswith(".js"), js_source(F.col("doc_id"), F.col("text")))
          .otherwise(F.col("text")).alias("text"),
         F.col("n_chars").alias("size"),
     )
 
 
+def files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S1 applied to the proxy listing."""
+    from codeloom.sources.corpus import scan_files
+    return scan_files(raw_tree(spark, sf_dir))
+
+
+def snapshots(spark: SparkSession, sf_dir: str):
+    """Two states of the proxy tree for X1/X3: some files dropped, edited or moved in the new one."""
+    f = files(spark, sf_dir).select("repository_id", "path", "doc_id", "content")
+    old = f.where(F.col("doc_id") % 11 != 3)
+    moved = F.col("doc_id") % 17 == 0
+    edited = F.col("doc_id") % 13 == 0
+    new = f.where(F.col("doc_id") % 11 != 5).select(
+        "repository_id",
+        F.when(moved, F.concat(F.lit("moved/"), F.col("path"))).otherwise(F.col("path")).alias("path"),
+        "doc_id",
+        F.when(edited & ~moved, F.concat(F.col("content"), F.lit("\nedited line\n"))).otherwise(F.col("content"))
+         .alias("content"))
+    return old, new
+
+
+def unified_diffs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A unified diff per document: line kinds chosen by the line's first letter.
+
+    [A-C,E-M] removed, [N-Z] added, D a removed line that starts with '--',
+    anything else context; one hunk header whose start lines depend on doc_id.
+    """
+    d = table(spark, sf_dir, "documents").select("doc_id", "text")
+    body = F.regexp_replace(F.col("text"), "(?m)^", " ")
+    body = F.regexp_replace(body, "(?m)^ ([A-CE-M])", "-$1")
+    body = F.regexp_replace(body, "(?m)^ ([N-Z])", "+$1")
+    body = F.regexp_replace(body, "(?m)^ (D)", "---$1")
+    p = doc_path(F.col("doc_id"))
+    diff = F.concat(F.lit("--- a/"), p, F.lit("\n+++ b/"), p, F.lit("\n@@ -"),
+                    (F.col("doc_id") % 50 + 1).cast("string"), F.lit(",3 +"),
+                    (F.col("doc_id") % 40 + 1).cast("string"), F.lit(",3 @@\n"), body)
+    return d.select(F.col("doc_id").alias("diff_id"), diff.alias("diff"))
+
+
 def commits(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority",
                                               "o_orderstatus")
