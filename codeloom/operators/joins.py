@@ -44,7 +44,8 @@ def commits_with_changes(commits: DataFrame, changes: DataFrame, max_files: int
 
 def cap_changes(changes: DataFrame, max_files: int = 200) -> DataFrame:
     """First ``max_files`` changes per commit (path order) plus the shown / total counts."""
-    w = Window.partitionBy(REPO, "hash").orderBy("path")
+    order = [c for c in ("path", "change_type", "insertions", "deletions") if c in changes.columns]
+    w = Window.partitionBy(REPO, "hash").orderBy(*order)
     wc = Window.partitionBy(REPO, "hash")
     return (changes.withColumn("file_no", F.row_number().over(w))
             .withColumn("total_files", F.count("*").over(wc))
@@ -212,4 +213,4 @@ def commit_cadence(commits: DataFrame, by: list[str] | None = None) -> DataFrame
     w = Window.partitionBy(*by).orderBy("author_ts", "hash")
     prev = F.lag("author_ts").over(w)
     return commits.withColumn("prev_ts", prev).withColumn(
-        "gap_seconds", F.col("author_ts").cast("long") - F.col("prev_ts").cast("long"))
+        "gap_seconds", F.col("author_ts").cast("timestamp").cast("long") - F.col("prev_ts").cast("timestamp").cast("long"))

@@ -423,3 +423,260 @@ def q_a13(spark, sf):
     fm = SY.function_metrics(_symbols(spark, sf)).where(F.col("kind") == "function")
     s = A.function_summary(files, fm)
     return s.select(REPO, "path", r6(F.col("complexity")).alias("complexity"), "n_functions")
+
+
+# =====================================================================================
+# J / W / X : joins, windows, snapshots
+# =====================================================================================
+
+@register("j1_commit_changes", W_(O.commits_cte(), O.file_changes_cte()) + """
+SELECT c.repository_id, c.hash, CAST(count(f.path) AS BIGINT) AS n_changes,
+       coalesce(string_agg(f.path, ',' ORDER BY f.path, f.change_type, f.insertions, f.deletions), '') AS paths
+FROM commits c LEFT JOIN file_changes f ON c.repository_id = f.repository_id AND c.hash = f.hash
+GROUP BY 1, 2""")
+def q_j1(spark, sf):
+    j = J.commits_with_changes(P.commits(spark, sf), P.file_changes(spark, sf))
+    return j.select(REPO, "hash", "n_changes",
+                    F.array_join(F.transform("file_changes", lambda s: s["path"]), ",").alias("paths"))
+
+
+def _refs(spark, sf):
+    """Hash references as users type them: 7..13-char prefixes of order hashes, mixed case, some with '#'."""
+    li = P.table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber")
+    pref = F.substring(F.md5(F.col("l_orderkey").cast("string")), 1, F.col("l_linenumber") + 6)
+    ref = (F.when(F.col("l_linenumber") % 2 == 0, F.upper(pref))
+           .when(F.col("l_linenumber") % 3 == 0, F.concat(F.lit("#"), pref)).otherwise(pref))
+    return li.select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("ref_id"), ref.alias("ref"))
+
+
+_REFS_SQL = """
+refs AS (
+  SELECT l_orderkey * 8 + l_linenumber AS ref_id,
+         CASE WHEN l_linenumber % 2 = 0 THEN upper(substr(md5(CAST(l_orderkey AS VARCHAR)), 1, l_linenumber + 6))
+              WHEN l_linenumber % 3 = 0 THEN '#' || substr(md5(CAST(l_orderkey AS VARCHAR)), 1, l_linenumber + 6)
+              ELSE substr(md5(CAST(l_orderkey AS VARCHAR)), 1, l_linenumber + 6) END AS ref
+  FROM lineitem)"""
+
+
+@register("j2_resolve_hashes", W_(O.commits_cte(), _REFS_SQL) + r""",
+n AS (SELECT ref_id, ref, CASE WHEN length(regexp_replace(trim(ref), '[^0-9a-fA-F]', '', 'g')) >= 7
+                              THEN lower(regexp_replace(trim(ref), '[^0-9a-fA-F]', '', 'g')) END AS normalized FROM refs),
+m AS (SELECT u.normalized, c.hash, c.seq,
+             row_number() OVER (PARTITION BY u.normalized ORDER BY c.seq, c.hash) AS rn,
+             count(*) OVER (PARTITION BY u.normalized) AS cnt
+      FROM (SELECT DISTINCT normalized FROM n WHERE normalized IS NOT NULL) u
+      JOIN commits c ON substr(lower(c.hash), 1, 7) = substr(u.normalized, 1, 7)
+                    AND starts_with(lower(c.hash), u.normalized))
+SELECT n.ref_id, n.ref, n.normalized, m.hash, m.seq, CAST(coalesce(m.cnt, 0) AS BIGINT) AS match_count
+FROM n LEFT JOIN (SELECT * FROM m WHERE rn = 1) m ON n.normalized = m.normalized""")
+def q_j2(spark, sf):
+    return J.resolve_hashes(_refs(spark, sf), P.commits(spark, sf))
+
+
+@register("j3_file_lookup", W_(O.files_cte()) + f"""
+SELECT l.doc_id AS request_id, 'src' || CAST(l.doc_id % 20 AS VARCHAR) AS repository_id, r.path,
+       CASE WHEN f.binary IS NULL THEN 'not_found' WHEN f.binary THEN 'binary' ELSE 'ok' END AS status,
+       md5(CASE WHEN NOT f.binary THEN f.content END) AS content_md5
+FROM labels l
+CROSS JOIN LATERAL (SELECT CASE WHEN l.quality = 0 THEN {O.doc_path_sql('l.doc_id')} || '.bak'
+                                ELSE {O.doc_path_sql('l.doc_id')} END AS path) r
+LEFT JOIN files f ON f.repository_id = 'src' || CAST(l.doc_id % 20 AS VARCHAR) AND f.path = r.path""")
+def q_j3(spark, sf):
+    lab = P.table(spark, sf, "labels").select("doc_id", "quality")
+    p = P.doc_path(F.col("doc_id"))
+    req = lab.select(F.col("doc_id").alias("request_id"),
+                     F.concat(F.lit("src"), (F.col("doc_id") % P.N_REPOS).cast("string")).alias(REPO),
+                     F.when(F.col("quality") == 0, F.concat(p, F.lit(".bak"))).otherwise(p).alias("path"))
+    out = J.lookup_files(req, P.files(spark, sf))
+    return out.select("request_id", REPO, "path", "status", F.md5("content").alias("content_md5"))
+
+
+@register("j4_content_at", f"""
+WITH ver AS (SELECT {O.doc_path_sql('l_partkey')} AS path, l_orderkey * 8 + l_linenumber AS ordinal,
+                    l_returnflag = 'R' AS deleted,
+                    'rev ' || CAST(l_orderkey AS VARCHAR) || ' line ' || CAST(l_linenumber AS VARCHAR) AS content
+             FROM lineitem),
+req AS (SELECT l_orderkey * 8 + l_linenumber AS request_id, {O.doc_path_sql('l_suppkey')} AS path,
+               l_orderkey * 8 + l_linenumber AS ordinal FROM lineitem),
+a AS (SELECT req.request_id, req.path, req.ordinal, ver.ordinal AS v_ordinal, ver.deleted, ver.content
+      FROM req ASOF LEFT JOIN ver ON req.path = ver.path AND req.ordinal >= ver.ordinal)
+SELECT request_id, path, ordinal,
+       CASE WHEN v_ordinal IS NOT NULL AND NOT deleted THEN v_ordinal END AS version_ordinal,
+       CASE WHEN v_ordinal IS NOT NULL AND NOT deleted THEN content END AS content,
+       CASE WHEN v_ordinal IS NOT NULL AND NOT deleted THEN 'ok' ELSE 'not found in commit' END AS status
+FROM a""")
+def q_j4(spark, sf):
+    li = P.table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag")
+    ordinal = F.col("l_orderkey") * 8 + F.col("l_linenumber")
+    ver = li.select(F.lit("r").alias(REPO), P.doc_path(F.col("l_partkey")).alias("path"), ordinal.alias("ordinal"),
+                    (F.col("l_returnflag") == "R").alias("deleted"),
+                    F.concat(F.lit("rev "), F.col("l_orderkey").cast("string"), F.lit(" line "),
+                             F.col("l_linenumber").cast("string")).alias("content"))
+    req = li.select(ordinal.alias("request_id"), F.lit("r").alias(REPO), P.doc_path(F.col("l_suppkey")).alias("path"),
+                    ordinal.alias("ordinal"))
+    out = J.content_at(req, ver, bucket_width=8192)
+    return out.select("request_id", "path", "ordinal", "version_ordinal", "content", "status")
+
+
+_DOC_REFS_ALL = r"""
+mentions AS (
+  SELECT DISTINCT doc_id, r AS ref FROM (
+    SELECT doc_id, unnest(regexp_extract_all(text, '(?i)\b([0-9a-f]{7,40})\b', 1)) AS r FROM documents
+    WHERE NOT (contains(text, '```diff') OR contains(text, '+++') OR contains(text, '---')
+               OR regexp_matches(text, '(?m)^[+-][^+-]'))))"""
+
+
+@register("j5_unknown_hashes", W_(O.commits_cte(), _DOC_REFS_ALL) + """
+SELECT doc_id, ref FROM mentions m
+WHERE lower(ref) NOT IN (SELECT lower(hash) FROM commits)
+  AND lower(ref) NOT IN (SELECT lower(substr(hash, 1, 7)) FROM commits)""")
+def q_j5(spark, sf):
+    d = P.table(spark, sf, "documents").select("doc_id", "text")
+    mentions = TT.extract_hash_refs(d, "text", ["doc_id"], mode="all").select("doc_id", "ref").distinct()
+    return J.unknown_hashes(mentions, P.commits(spark, sf))
+
+
+@register("u11_hash_refs_first", r"""
+SELECT doc_id, regexp_extract(text, '(?i)(?:commit\s+)?([0-9a-f]{7,40})', 1) AS ref,
+       lower(regexp_replace(trim(regexp_extract(text, '(?i)(?:commit\s+)?([0-9a-f]{7,40})', 1)), '[^0-9a-fA-F]', '', 'g'))
+         AS normalized
+FROM documents WHERE regexp_extract(text, '(?i)(?:commit\s+)?([0-9a-f]{7,40})', 1) <> ''""")
+def q_u11(spark, sf):
+    d = P.table(spark, sf, "documents").select("doc_id", "text")
+    r = TT.extract_hash_refs(d, "text", ["doc_id"], mode="first")
+    return r.select("doc_id", "ref", F.lower(X.normalize_hash(F.col("ref"))).alias("normalized"))
+
+
+@register("u11_hash_refs_all", W_(_DOC_REFS_ALL) + "SELECT doc_id, ref FROM mentions")
+def q_u11_all(spark, sf):
+    d = P.table(spark, sf, "documents").select("doc_id", "text")
+    return TT.extract_hash_refs(d, "text", ["doc_id"], mode="all").select("doc_id", "ref").distinct()
+
+
+@register("j8_commit_upsert", _STATS_SQL + """
+SELECT repository_id, hash, message, files_changed, insertions, deletions FROM stats""")
+def q_j8(spark, sf):
+    c = P.commits(spark, sf)
+    basic = c.select(REPO, "hash", "message", F.lit(0).cast("long").alias("files_changed"),
+                     F.lit(0).cast("long").alias("insertions"), F.lit(0).cast("long").alias("deletions"))
+    ch = P.file_changes(spark, sf)
+    detailed = ch.groupBy(REPO, "hash").agg(F.count("*").cast("long").alias("files_changed"),
+                                            F.sum("insertions").cast("long").alias("insertions"),
+                                            F.sum("deletions").cast("long").alias("deletions"))
+    return J.upsert_commits(basic, detailed)
+
+
+@register("w1_recent_commits", W_(O.commits_cte()) + "SELECT repository_id, hash, seq FROM commits WHERE seq < 50")
+def q_w1(spark, sf):
+    return J.recent_commits(P.commits(spark, sf), 50).select(REPO, "hash", "seq")
+
+
+@register("w2_cap_changes", W_(O.file_changes_cte()) + """,
+r AS (SELECT *, row_number() OVER (PARTITION BY repository_id, hash ORDER BY path, change_type, insertions, deletions)
+             AS file_no, count(*) OVER (PARTITION BY repository_id, hash) AS total_files FROM file_changes)
+SELECT repository_id, hash, path, change_type, insertions, deletions, CAST(file_no AS INTEGER) AS file_no,
+       CAST(least(total_files, 200) AS BIGINT) AS files_changed,
+       CASE WHEN total_files > 200 THEN 'Display limited to 200 files' END AS note
+FROM r WHERE file_no <= 200""")
+def q_w2(spark, sf):
+    ch = P.file_changes(spark, sf)
+    w = J.cap_changes(ch, 200)
+    return w.select(REPO, "hash", "path", "change_type", "insertions", "deletions", F.col("file_no").cast("int"),
+                    F.col("files_changed").cast("long"), "note")
+
+
+@register("w6_commit_cadence", W_(O.commits_cte()) + """
+SELECT repository_id, hash, author_ts,
+       lag(author_ts) OVER (PARTITION BY repository_id ORDER BY author_ts, hash) AS prev_ts,
+       CAST(epoch(author_ts) - epoch(lag(author_ts) OVER (PARTITION BY repository_id ORDER BY author_ts, hash)) AS BIGINT)
+         AS gap_seconds
+FROM commits""")
+def q_w6(spark, sf):
+    return J.commit_cadence(P.commits(spark, sf)).select(REPO, "hash", "author_ts", "prev_ts", "gap_seconds")
+
+
+@register("w7_file_sample", W_(O.files_cte()) + """
+SELECT repository_id, path FROM (
+  SELECT *, row_number() OVER (PARTITION BY repository_id ORDER BY md5(path || '0'), path) AS rn FROM files)
+WHERE rn <= 20""")
+def q_w7(spark, sf):
+    return A.sample_files(P.files(spark, sf), cap=20).select(REPO, "path")
+
+
+_SNAP_SQL = W_(O.files_cte(), O.snapshots_cte()) + """,
+o AS (SELECT repository_id, path, sha256(coalesce(content, '')) AS d FROM old_snap),
+n AS (SELECT repository_id, path, sha256(coalesce(content, '')) AS d FROM new_snap),
+j AS (SELECT coalesce(o.repository_id, n.repository_id) AS repository_id, coalesce(o.path, n.path) AS path,
+             o.d AS d_old, n.d AS d_new
+      FROM o FULL OUTER JOIN n ON o.repository_id = n.repository_id AND o.path = n.path),
+gone AS (SELECT repository_id, path, d_old AS digest,
+                row_number() OVER (PARTITION BY repository_id, d_old ORDER BY path) AS pair FROM j WHERE d_new IS NULL),
+came AS (SELECT repository_id, path, d_new AS digest,
+                row_number() OVER (PARTITION BY repository_id, d_new ORDER BY path) AS pair FROM j WHERE d_old IS NULL),
+pairs AS (SELECT g.repository_id, g.path AS old_path, c.path AS new_path
+          FROM gone g JOIN came c ON g.repository_id = c.repository_id AND g.digest = c.digest AND g.pair = c.pair)
+"""
+
+
+@register("x1_snapshot_diff", _SNAP_SQL + """
+SELECT repository_id, path, CAST(NULL AS VARCHAR) AS old_path,
+       CASE WHEN d_old = d_new THEN 'unchanged' ELSE 'modified' END AS status
+FROM j WHERE d_old IS NOT NULL AND d_new IS NOT NULL
+UNION ALL SELECT repository_id, new_path, old_path, 'renamed' FROM pairs
+UNION ALL SELECT repository_id, path, NULL, 'added' FROM came c
+  WHERE NOT EXISTS (SELECT 1 FROM pairs p WHERE p.repository_id = c.repository_id AND p.new_path = c.path)
+UNION ALL SELECT repository_id, path, NULL, 'deleted' FROM gone g
+  WHERE NOT EXISTS (SELECT 1 FROM pairs p WHERE p.repository_id = g.repository_id AND p.old_path = g.path)""")
+def q_x1(spark, sf):
+    old, new = P.snapshots(spark, sf)
+    return SN.snapshot_diff(old, new)
+
+
+def _sql_lines(src: str, content: str = "content") -> str:
+    """splitlines() of a text that only uses '\\n' breaks, as (… , pos, line) rows."""
+    return f"""(SELECT *, generate_subscripts(parts, 1) AS pos, unnest(parts) AS line FROM (
+      SELECT *, CASE WHEN {content} = '' THEN []::VARCHAR[]
+                     WHEN ends_with({content}, chr(10)) THEN list_slice(string_split({content}, chr(10)), 1,
+                                                                   len(string_split({content}, chr(10))) - 1)
+                     ELSE string_split({content}, chr(10)) END AS parts
+      FROM {src}))"""
+
+
+@register("x3_line_delta", W_(O.files_cte(), O.snapshots_cte()) + f""",
+u AS (SELECT repository_id, path, line, -1 AS s FROM {_sql_lines("(SELECT repository_id, path, coalesce(content, '') AS content FROM old_snap)")}
+      UNION ALL
+      SELECT repository_id, path, line, 1 AS s FROM {_sql_lines("(SELECT repository_id, path, coalesce(content, '') AS content FROM new_snap)")}),
+per AS (SELECT repository_id, path, line, sum(s) AS d FROM u GROUP BY 1, 2, 3)
+SELECT repository_id, path, CAST(sum(greatest(d, 0)) AS BIGINT) AS insertions,
+       CAST(sum(greatest(-d, 0)) AS BIGINT) AS deletions
+FROM per GROUP BY 1, 2""")
+def q_x3(spark, sf):
+    old, new = P.snapshots(spark, sf)
+    return SN.line_delta(old, new)
+
+
+# =====================================================================================
+# U : text and code tables
+# =====================================================================================
+
+@register("u1_explode_lines", W_(O.files_cte()) + f"""
+SELECT repository_id, path, CAST(pos AS INTEGER) AS line_no, line
+FROM {_sql_lines("(SELECT * FROM files WHERE content IS NOT NULL)")}""")
+def q_u1(spark, sf):
+    return TT.explode_lines(P.files(spark, sf).where(F.col("content").isNotNull()))
+
+
+@register("u6_raw_metrics", W_(O.files_cte()) + f""",
+l AS (SELECT repository_id, path, trim(line) AS s FROM {_sql_lines("(SELECT * FROM files WHERE content IS NOT NULL)")}),
+c AS (SELECT repository_id, path, s, starts_with(s, '#') OR starts_with(s, '//') OR starts_with(s, '/*')
+             OR starts_with(s, '*') AS is_comment FROM l),
+per AS (SELECT repository_id, path, count(*) FILTER (WHERE s <> '' AND NOT is_comment) AS sloc,
+               count(*) FILTER (WHERE is_comment) AS comments, count(*) FILTER (WHERE s = '') AS blank,
+               count(*) AS loc FROM c GROUP BY 1, 2)
+SELECT repository_id, path, CAST(loc AS BIGINT) AS loc, CAST(sloc AS BIGINT) AS sloc,
+       CAST(comments AS BIGINT) AS comments, CAST(blank AS BIGINT) AS blank,
+       round(CASE WHEN sloc > 0 THEN comments / sloc ELSE 0.0 END, 6) AS comment_ratio
+FROM per""")
+def q_u6(spark, sf):
+    m = SY.raw_metrics(P.files(spark, sf).where(F.col("content").isNotNull()))
+    return m.select(REPO, "path", "loc", "sloc", "comments", "blank", r6(F.col("comment_ratio")).alias("comment_ratio"))
