@@ -58,12 +58,20 @@ def hash_refs_all(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(HASH_REF_ALL), 1)
 
 
+# Python's str \w (letters, digits, underscore in any script), spelled so Java and RE2 agree.
+WORD_CHAR = r"[\p{L}\p{N}_]"
+
+
+def unicode_word(pattern: str) -> str:
+    return pattern.replace(r"\w", WORD_CHAR)
+
+
 def code_elements(text: Column) -> Column:
     """Names asked about, pattern order then position, names longer than 2 chars, duplicates kept."""
-    parts = [F.regexp_extract_all(text, F.lit("(?iU)" + p), 1) for p in CODE_ELEMENT_PATTERNS]
+    parts = [F.regexp_extract_all(text, F.lit("(?i)" + unicode_word(p)), 1) for p in CODE_ELEMENT_PATTERNS]
     return F.filter(F.concat(*parts), lambda s: F.length(s) > 2)
 
 
 def code_paths(text: Column) -> Column:
-    return F.filter(F.regexp_extract_all(text, F.lit("(?U)" + CODE_PATH_PATTERN), 2),
+    return F.filter(F.regexp_extract_all(text, F.lit(unicode_word(CODE_PATH_PATTERN)), 2),
                     lambda s: ~s.contains("```"))

@@ -680,3 +680,254 @@ FROM per""")
 def q_u6(spark, sf):
     m = SY.raw_metrics(P.files(spark, sf).where(F.col("content").isNotNull()))
     return m.select(REPO, "path", "loc", "sloc", "comments", "blank", r6(F.col("comment_ratio")).alias("comment_ratio"))
+
+
+# --- U2 / U5 / J9 / J10 / J11: Python symbols (known answers) -------------------------
+
+_PY_ROWS = "WITH " + py_docs_cte() + f""",
+pyk AS (SELECT repository_id, path, doc_id, {PY_L} AS L, {PY_K} AS k, {PY_D} AS d FROM pyd),
+sym AS (
+  SELECT repository_id, path, 'import' AS kind, 'os' AS name, NULL AS parent, L + 1 AS line_start, L + 1 AS line_end,
+         NULL AS args, NULL AS bases, NULL AS docstring, NULL AS code_id, NULL::INTEGER AS complexity FROM pyk
+  UNION ALL
+  SELECT repository_id, path, 'import', CASE WHEN doc_id >= 20 THEN {O.module_sql('(doc_id - 20)')} ELSE 'sys' END,
+         NULL, L + 2, L + 2, NULL, NULL, NULL, NULL, NULL FROM pyk
+  UNION ALL
+  SELECT repository_id, path, 'variable', 'LIMIT_' || CAST(doc_id AS VARCHAR), NULL, L + 4, L + 4, NULL, NULL, NULL,
+         'var_LIMIT_' || CAST(doc_id AS VARCHAR) || '_' || CAST(L + 4 AS VARCHAR), NULL FROM pyk
+  UNION ALL
+  SELECT repository_id, path, 'variable', 'total', NULL, L + 7 + d, L + 7 + d, NULL, NULL, NULL,
+         'var_total_' || CAST(L + 7 + d AS VARCHAR), NULL FROM pyk
+  UNION ALL
+  SELECT repository_id, path, 'function', 'f_' || CAST(doc_id AS VARCHAR), NULL, L + 6, L + 8 + d + 2 * k, 'a,b', NULL,
+         CASE WHEN d = 1 THEN 'Doc ' || CAST(doc_id AS VARCHAR) || '.' END,
+         'func_f_' || CAST(doc_id AS VARCHAR) || '_' || CAST(L + 6 AS VARCHAR), 1 + k FROM pyk
+  UNION ALL
+  SELECT repository_id, path, 'class', 'C_' || CAST(doc_id AS VARCHAR), NULL, L + 10 + d + 2 * k, L + 12 + d + 2 * k,
+         NULL, CASE WHEN doc_id >= 20 THEN 'C_' || CAST(doc_id - 20 AS VARCHAR) ELSE 'object' END, NULL,
+         'class_C_' || CAST(doc_id AS VARCHAR) || '_' || CAST(L + 10 + d + 2 * k AS VARCHAR), NULL FROM pyk
+  UNION ALL
+  SELECT repository_id, path, 'method', 'run', 'C_' || CAST(doc_id AS VARCHAR), L + 11 + d + 2 * k, L + 12 + d + 2 * k,
+         'self,n', NULL, NULL,
+         'method_C_' || CAST(doc_id AS VARCHAR) || '_run_' || CAST(L + 11 + d + 2 * k AS VARCHAR), 1 FROM pyk
+  UNION ALL
+  SELECT repository_id, path, 'function', 'run', NULL, L + 11 + d + 2 * k, L + 12 + d + 2 * k, 'self,n', NULL, NULL,
+         'func_run_' || CAST(L + 11 + d + 2 * k AS VARCHAR), 1 FROM pyk)
+"""
+
+
+@register("u2_python_symbols", _PY_ROWS + """
+SELECT repository_id, path, kind, name, parent, CAST(line_start AS INTEGER) AS line_start,
+       CAST(line_end AS INTEGER) AS line_end, args, bases, NULL::VARCHAR AS alias, docstring, code_id,
+       CAST(complexity AS INTEGER) AS complexity
+FROM sym""")
+def q_u2(spark, sf):
+    s = _symbols(spark, sf).where(F.col("kind") != "module")
+    return s.select(REPO, "path", "kind", "name", "parent", "line_start", "line_end",
+                    F.array_join("args", ",").alias("args"), F.array_join("bases", ",").alias("bases"),
+                    "alias", "docstring", "code_id", "complexity")
+
+
+@register("u5_function_complexity", _PY_ROWS + """
+SELECT repository_id, path, kind, name, parent, CAST(line_start AS INTEGER) AS line_number,
+       CAST(complexity AS INTEGER) AS complexity
+FROM sym WHERE kind IN ('function', 'method')""")
+def q_u5(spark, sf):
+    return SY.function_metrics(_symbols(spark, sf))
+
+
+@register("j9_symbol_search", _PY_ROWS + """,
+names AS (SELECT 'f_' || CAST(doc_id AS VARCHAR) AS name FROM labels
+          UNION ALL SELECT 'C_' || CAST(doc_id AS VARCHAR) FROM labels)
+SELECT s.name, s.repository_id, s.path, s.kind, CAST(s.line_start AS INTEGER) AS line_start,
+       CASE WHEN s.kind IN ('function', 'method') THEN 'def ' || s.name || '(' || replace(s.args, ',', ', ') || ')' END
+         AS signature
+FROM names n JOIN sym s ON n.name = s.name WHERE s.kind IN ('function', 'class', 'method')""")
+def q_j9(spark, sf):
+    lab = P.table(spark, sf, "labels").select("doc_id")
+    names = (lab.select(F.concat(F.lit("f_"), F.col("doc_id").cast("string")).alias("name"))
+             .unionByName(lab.select(F.concat(F.lit("C_"), F.col("doc_id").cast("string")).alias("name"))))
+    hits = SY.search_symbols(names, _symbols(spark, sf))
+    return hits.select("name", REPO, "path", "kind", "line_start", "signature")
+
+
+@register("j10_inheritance", _PY_ROWS + """
+SELECT s.repository_id, s.path, s.name AS class_name, s.bases AS base_name, t.path AS base_path
+FROM sym s LEFT JOIN sym t ON t.kind = 'class' AND t.repository_id = s.repository_id AND t.name = s.bases
+WHERE s.kind = 'class'""")
+def q_j10(spark, sf):
+    e = J.inheritance_edges(_symbols(spark, sf))
+    return e.select(REPO, "path", "class_name", "base_name", "base_path")
+
+
+@register("j11_import_edges", _PY_ROWS + r""",
+prov AS (SELECT repository_id, path AS target_path,
+                replace(regexp_replace(regexp_replace(path, '/__init__\.py$', ''), '\.py$', ''), '/', '.') AS module
+         FROM files WHERE ends_with(path, '.py'))
+SELECT s.repository_id, s.name AS module, s.path, p.target_path
+FROM sym s LEFT JOIN prov p ON p.repository_id = s.repository_id AND p.module = s.name
+WHERE s.kind = 'import'""")
+def q_j11(spark, sf):
+    e = J.import_edges(_symbols(spark, sf), P.files(spark, sf))
+    return e.select(REPO, "module", "path", "target_path")
+
+
+# --- U3 / W4: regex symbols in non-Python files ------------------------------------------
+
+def _re_list(pats):
+    return ", ".join("regexp_extract_all(line, " + O.sql_str(p) + ", 1)" for p in pats)
+
+
+@register("u3_regex_symbols", W_(O.files_cte()) + f""",
+lines AS (SELECT repository_id, path, CAST(pos AS INTEGER) AS line_no, line
+          FROM {_sql_lines("(SELECT * FROM files WHERE content IS NOT NULL AND NOT ends_with(path, '.py'))")}),
+cand AS (SELECT repository_id, path, line_no, line, flatten([{_re_list(TT.DECL_FUNCTION)}]) AS fns,
+                regexp_extract_all(line, {O.sql_str(TT.DECL_CLASS[0])}, 1) AS cls FROM lines),
+hits0 AS (SELECT DISTINCT repository_id, path, line_no, line, unnest(fns) AS name, 'function' AS kind FROM cand
+          UNION
+          SELECT DISTINCT repository_id, path, line_no, line, unnest(cls) AS name, 'class' AS kind FROM cand),
+hits AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY repository_id, path, line_no, name ORDER BY kind DESC) AS r
+                        FROM hits0) WHERE r = 1),
+ctx AS (SELECT h.repository_id, h.path, h.name, h.kind, h.line_no,
+               string_agg(l.line, chr(10) ORDER BY l.line_no) AS source
+        FROM hits h JOIN lines l ON l.repository_id = h.repository_id AND l.path = h.path
+         AND l.line_no BETWEEN greatest(1, h.line_no - 1)
+                           AND h.line_no + CASE WHEN h.kind = 'class' THEN 50 ELSE 20 END - 1
+        GROUP BY 1, 2, 3, 4, 5)
+SELECT h.repository_id, h.path, h.name, h.kind, h.line_no AS line_start,
+       regexp_replace(h.line, '^\\s+|\\s+$', '', 'g') AS signature, md5(c.source) AS source_md5
+FROM hits h JOIN ctx c USING (repository_id, path, name, kind, line_no)""")
+def q_u3(spark, sf):
+    r = TT.regex_symbols(P.files(spark, sf))
+    return r.select(REPO, "path", "name", "kind", "line_start", "signature", F.md5("source").alias("source_md5"))
+
+
+# --- U8 ---------------------------------------------------------------------------------------
+
+def _readme_sql():
+    hit = " OR ".join(f"contains(lower(split_part(regexp_replace(s, '^\\s+|\\s+$', '', 'g'), chr(10), 1)), '{k}')"
+                      for k in TT.README_KEYWORDS)
+    strip = "regexp_replace({x}, '^\\s+|\\s+$', '', 'g')"
+    st = strip.format(x="s")
+    body = strip.format(x=f"array_to_string(list_slice(string_split({st}, chr(10)), 2, len(string_split({st}, chr(10)))), chr(10))")
+    sec = (f"lambda s: CASE WHEN {hit} THEN chr(10) || chr(10) || '## ' || lower(split_part({st}, chr(10), 1)) "
+           f"|| chr(10) || substr({body}, 1, 500) || '...' ELSE '' END")
+    prio = " ".join(f"WHEN '{n}' THEN {i}" for i, n in enumerate(TT.README_NAMES))
+    names = ", ".join(O.sql_str(n) for n in TT.README_NAMES)
+    c = "coalesce(readme, '')"
+    secs = f"regexp_split_to_array({c}, '#{{1,6}}\\s+')"
+    return W_(O.files_cte()) + f""",
+cand AS (SELECT repository_id, content, CASE path {prio} END AS p FROM files WHERE path IN ({names})),
+best AS (SELECT repository_id, arg_min(content, p) AS readme FROM cand GROUP BY 1),
+repos AS (SELECT DISTINCT repository_id FROM files),
+j AS (SELECT r.repository_id, b.readme FROM repos r LEFT JOIN best b ON r.repository_id = b.repository_id)
+SELECT repository_id,
+  CASE WHEN readme IS NULL THEN 'No README found'
+       WHEN {strip.format(x=c)} = '' THEN 'No README content available.'
+       WHEN length({c}) < 1500 THEN {strip.format(x=c)}
+       ELSE {strip.format(x=secs + '[1]')}
+            || array_to_string(list_transform(list_slice({secs}, 2, len({secs})), {sec}), '')
+  END AS summary
+FROM j"""
+
+
+@register("u8_readme_summary", _readme_sql())
+def q_u8(spark, sf):
+    return TT.readme_summary(P.files(spark, sf))
+
+
+# --- U9 / U10 / W3: diffs --------------------------------------------------------------------
+
+def _diff_lines_sql(compat: bool) -> str:
+    skip = "(starts_with(line, '---') OR starts_with(line, '+++'))" + ("" if compat else " AND hunk = 0")
+    hh = r"'@@ -(\d+),?\d* \+(\d+),?\d* @@'"
+    return W_(O.diffs_cte()) + f""",
+l0 AS (SELECT diff_id, CAST(generate_subscripts(p, 1) - 1 AS INTEGER) AS idx, unnest(p) AS line
+       FROM (SELECT diff_id, string_split(diff, chr(10)) AS p FROM diffs)),
+l1 AS (SELECT *, sum(CASE WHEN starts_with(line, '@@') THEN 1 ELSE 0 END)
+                   OVER (PARTITION BY diff_id ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS hunk
+       FROM l0),
+l2 AS (SELECT *, CASE WHEN starts_with(line, '@@') THEN 'header' WHEN {skip} THEN 'skip'
+                      WHEN starts_with(line, '-') THEN 'removed' WHEN starts_with(line, '+') THEN 'added'
+                      ELSE 'context' END AS kind,
+              starts_with(line, '@@') AND regexp_extract(line, {hh}, 1) <> '' AS reset,
+              CASE WHEN starts_with(line, '@@') AND regexp_extract(line, {hh}, 1) <> ''
+                   THEN CAST(regexp_extract(line, {hh}, 1) AS BIGINT) END AS l0,
+              CASE WHEN starts_with(line, '@@') AND regexp_extract(line, {hh}, 1) <> ''
+                   THEN CAST(regexp_extract(line, {hh}, 2) AS BIGINT) END AS r0
+       FROM l1),
+l3 AS (SELECT *,
+         sum(CASE WHEN reset THEN 1 ELSE 0 END) OVER w AS seg,
+         coalesce(last_value(l0 IGNORE NULLS) OVER w, 0) AS bl,
+         coalesce(last_value(r0 IGNORE NULLS) OVER w, 0) AS br
+       FROM l2 WINDOW w AS (PARTITION BY diff_id ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+l4 AS (SELECT *,
+         bl + coalesce(sum(CASE WHEN kind IN ('removed', 'context') THEN 1 ELSE 0 END) OVER ws, 0) AS left_no,
+         br + coalesce(sum(CASE WHEN kind IN ('added', 'context') THEN 1 ELSE 0 END) OVER ws, 0) AS right_no
+       FROM l3 WINDOW ws AS (PARTITION BY diff_id, seg ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+dl AS (SELECT diff_id, idx, CAST(hunk AS INTEGER) AS hunk, kind,
+              CASE WHEN kind IN ('removed', 'added') THEN substr(line, 2) ELSE line END AS text,
+              CASE WHEN kind = 'removed' THEN CAST(left_no AS BIGINT) END AS left_no,
+              CASE WHEN kind = 'added' THEN CAST(right_no AS BIGINT) END AS right_no
+       FROM l4)
+"""
+
+
+@register("u9_diff_lines", _diff_lines_sql(False) + "SELECT * FROM dl")
+def q_u9(spark, sf):
+    return TT.parse_diff_lines(P.unified_diffs(spark, sf))
+
+
+@register("u9_diff_lines_compat", _diff_lines_sql(True) + "SELECT * FROM dl")
+def q_u9c(spark, sf):
+    return TT.parse_diff_lines(P.unified_diffs(spark, sf), compat=True)
+
+
+@register("u9_diff_blocks", _diff_lines_sql(False) + """,
+b AS (SELECT diff_id, hunk,
+        coalesce(string_agg(text, chr(10) ORDER BY idx) FILTER (WHERE kind = 'removed'), '') AS removed,
+        coalesce(string_agg(text, chr(10) ORDER BY idx) FILTER (WHERE kind = 'added'), '') AS added,
+        coalesce(string_agg(CAST(left_no AS VARCHAR), ',' ORDER BY idx) FILTER (WHERE kind = 'removed'), '') AS removed_nos,
+        coalesce(string_agg(CAST(right_no AS VARCHAR), ',' ORDER BY idx) FILTER (WHERE kind = 'added'), '') AS added_nos,
+        CAST(count(*) FILTER (WHERE kind = 'removed') AS INTEGER) AS n_removed,
+        CAST(count(*) FILTER (WHERE kind = 'added') AS INTEGER) AS n_added
+      FROM dl WHERE kind IN ('removed', 'added') GROUP BY 1, 2),
+h AS (SELECT diff_id, hunk, text AS header FROM dl WHERE kind = 'header'),
+fb AS (SELECT d.diff_id, string_split(d.diff, chr(10)) AS p FROM diffs d
+       WHERE d.diff_id NOT IN (SELECT diff_id FROM b) AND length(trim(d.diff)) > 0
+         AND NOT (starts_with(d.diff, 'Binary') OR starts_with(d.diff, 'File was') OR starts_with(d.diff, 'Could not')
+                  OR starts_with(d.diff, 'Error')))
+SELECT b.diff_id, b.hunk AS block_no, h.header, b.n_removed, b.n_added, b.removed, b.added, b.removed_nos, b.added_nos
+FROM b LEFT JOIN h ON b.diff_id = h.diff_id AND b.hunk = h.hunk
+UNION ALL
+SELECT diff_id, 0, 'Changes', 0, CAST(len(p) AS INTEGER), '', array_to_string(p, chr(10)), '',
+       array_to_string(list_transform(range(1, len(p) + 1), lambda x: CAST(x AS VARCHAR)), ',')
+FROM fb""")
+def q_u9b(spark, sf):
+    b = TT.parse_diff_blocks(P.unified_diffs(spark, sf))
+    return b.select("diff_id", "block_no", "header", F.size("removed").alias("n_removed"),
+                    F.size("added").alias("n_added"), F.array_join("removed", "\n").alias("removed"),
+                    F.array_join("added", "\n").alias("added"),
+                    F.array_join(F.transform("removed_line_numbers", lambda x: x.cast("string")), ",").alias("removed_nos"),
+                    F.array_join(F.transform("added_line_numbers", lambda x: x.cast("string")), ",").alias("added_nos"))
+
+
+# --- U12 / U13: code names and paths asked about in chat -----------------------------------------
+
+@register("u12_code_elements", W_(O.messages_cte()) + f"""
+SELECT session_id, turn, CAST(generate_subscripts(n, 1) - 1 AS INTEGER) AS element_no, unnest(n) AS name
+FROM (SELECT session_id, turn,
+             list_filter(flatten([{', '.join('regexp_extract_all(content, ' + O.sql_str('(?i)' + TX.unicode_word(p)) + ', 1)' for p in TX.CODE_ELEMENT_PATTERNS)}]),
+                         lambda s: length(s) > 2) AS n
+      FROM messages)""")
+def q_u12(spark, sf):
+    return TT.extract_code_elements(P.messages(spark, sf), "content", ["session_id", "turn"]).select(
+        "session_id", "turn", F.col("element_no").cast("int"), "name")
+
+
+@register("u13_code_paths", W_(O.messages_cte()) + f"""
+SELECT DISTINCT session_id, turn, p AS path FROM (
+  SELECT session_id, turn, unnest(regexp_extract_all(content, {O.sql_str(TX.unicode_word(TX.CODE_PATH_PATTERN))}, 2)) AS p
+  FROM messages) WHERE NOT contains(p, '```')""")
+def q_u13(spark, sf):
+    return TT.extract_code_paths(P.messages(spark, sf), "content", ["session_id", "turn"])
