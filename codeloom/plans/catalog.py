@@ -931,3 +931,190 @@ SELECT DISTINCT session_id, turn, p AS path FROM (
   FROM messages) WHERE NOT contains(p, '```')""")
 def q_u13(spark, sf):
     return TT.extract_code_paths(P.messages(spark, sf), "content", ["session_id", "turn"])
+
+
+# =====================================================================================
+# K / B : retrieval
+# =====================================================================================
+
+def _tok_sql(text: str) -> str:
+    return f"list_filter(string_split_regex(lower({text}), '{TX.NON_WORD}'), lambda t: t <> '')"
+
+
+def _tf_sql(name: str, src: str, ids: str, text: str) -> str:
+    """Sparse hashed term counts (ids..., bucket, tf) of a text column."""
+    return f"""{name} AS (
+  SELECT {ids}, CAST(('0x' || substr(md5(tok), 1, 8))::BIGINT % 64 AS BIGINT) AS bucket, CAST(count(*) AS BIGINT) AS tf
+  FROM (SELECT {ids}, unnest({_tok_sql(text)}) AS tok FROM {src}) GROUP BY ALL)"""
+
+
+@register("k6_hashed_tf", W_(_tf_sql("tf", "documents", "doc_id", "text")) + "SELECT * FROM tf")
+def q_k6(spark, sf):
+    d = P.table(spark, sf, "documents").select("doc_id", "text")
+    return K.hashed_term_counts(d, ["doc_id"], "text")
+
+
+def _bench_questions(spark, sf):
+    """Benchmark items as questions, each addressed to one repository."""
+    q = P.questions(spark, sf)
+    return q.withColumn(REPO, F.concat(F.lit("src"), (F.col("query_id") % P.N_REPOS).cast("string")))
+
+
+@register("k2_search_commits", W_(O.commits_cte(),
+                                  _tf_sql("qtf", "benchmark", "item_id", "text"),
+                                  _tf_sql("ctf", "commits", "hash", "message")) + """,
+q AS (SELECT item_id AS query_id, 'src' || CAST(item_id % 20 AS VARCHAR) AS repository_id FROM benchmark),
+qn AS (SELECT item_id, sqrt(sum(tf * tf)) AS n FROM qtf GROUP BY 1),
+cn AS (SELECT hash, sqrt(sum(tf * tf)) AS n FROM ctf GROUP BY 1),
+dots AS (SELECT qtf.item_id, ctf.hash, sum(qtf.tf * ctf.tf) AS dp FROM qtf JOIN ctf USING (bucket) GROUP BY 1, 2),
+cand AS (SELECT q.query_id, c.repository_id, c.hash, c.seq,
+                CAST(coalesce(d.dp, 0) AS DOUBLE) / (qn.n * cn.n) AS score
+         FROM q JOIN qn ON q.query_id = qn.item_id
+         JOIN commits c ON c.repository_id = q.repository_id JOIN cn ON cn.hash = c.hash
+         LEFT JOIN dots d ON d.item_id = q.query_id AND d.hash = c.hash
+         WHERE qn.n > 0 AND cn.n > 0),
+top AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, hash) AS rank FROM cand),
+t5 AS (SELECT * FROM top WHERE rank <= 5)
+SELECT query_id, repository_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY seq, hash) AS INTEGER) AS position,
+       hash, seq, CAST(rank AS INTEGER) AS rank, round(score, 6) AS score
+FROM t5""")
+def q_k2(spark, sf):
+    q = _bench_questions(spark, sf)
+    qv = K.hashed_embedding(q, ["query_id", REPO], "text")
+    c = P.commits(spark, sf)
+    cv = K.hashed_embedding(c, [REPO, "hash"], "message").join(c.select(REPO, "hash", "seq"), [REPO, "hash"])
+    out = K.search_commits(qv, cv, k=5, on=[REPO])
+    return out.select("query_id", REPO, F.col("position").cast("int"), "hash", "seq", F.col("rank").cast("int"),
+                      r6(F.col("score")).alias("score"))
+
+
+_BM25_SQL = f"""
+dt AS (SELECT doc_id, unnest({_tok_sql('text')}) AS term FROM documents),
+tf AS (SELECT doc_id, term, count(*) AS tf FROM dt GROUP BY 1, 2),
+dl AS (SELECT doc_id, sum(tf) AS dl FROM tf GROUP BY 1),
+st AS (SELECT count(*) AS n_docs, avg(dl) AS avgdl FROM dl),
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1),
+qt AS (SELECT DISTINCT item_id AS query_id, unnest({_tok_sql('text')}) AS term FROM benchmark),
+bm AS (SELECT qt.query_id, tf.doc_id,
+              sum(ln(1 + (st.n_docs - df.df + 0.5) / (df.df + 0.5))
+                  * (tf.tf * 2.5) / (tf.tf + 1.5 * (1 - 0.75 + 0.75 * dl.dl / st.avgdl))) AS score
+       FROM qt JOIN tf ON qt.term = tf.term JOIN dl ON dl.doc_id = tf.doc_id JOIN df ON df.term = tf.term, st
+       GROUP BY 1, 2),
+bm_top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank
+                          FROM bm) WHERE rank <= 10)"""
+
+
+@register("b1_bm25", "WITH " + _BM25_SQL + """
+SELECT query_id, CAST(rank AS INTEGER) AS rank, doc_id, round(score, 6) AS score FROM bm_top""")
+def q_b1(spark, sf):
+    docs = P.table(spark, sf, "documents").select("doc_id", "text")
+    idx = K.bm25_index(docs)
+    out = K.bm25_search(P.questions(spark, sf), idx, k=10)
+    return out.select("query_id", F.col("rank").cast("int"), "doc_id", r6(F.col("score")).alias("score"))
+
+
+@register("b2_hybrid", "WITH " + _BM25_SQL + ",\n" + _tf_sql("qtf", "benchmark", "item_id", "text") + ",\n"
+          + _tf_sql("dtf", "documents", "doc_id", "text") + """,
+qn AS (SELECT item_id, sqrt(sum(tf * tf)) AS n FROM qtf GROUP BY 1),
+dn AS (SELECT doc_id, sqrt(sum(tf * tf)) AS n FROM dtf GROUP BY 1),
+dots AS (SELECT qtf.item_id, dtf.doc_id, sum(qtf.tf * dtf.tf) AS dp FROM qtf JOIN dtf USING (bucket) GROUP BY 1, 2),
+cos AS (SELECT qn.item_id AS query_id, dn.doc_id, CAST(coalesce(d.dp, 0) AS DOUBLE) / (qn.n * dn.n) AS score
+        FROM qn CROSS JOIN dn LEFT JOIN dots d ON d.item_id = qn.item_id AND d.doc_id = dn.doc_id
+        WHERE qn.n > 0 AND dn.n > 0),
+cos_top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank
+                           FROM cos) WHERE rank <= 10),
+nt AS (SELECT query_id, doc_id, CASE WHEN max(score) OVER w > min(score) OVER w
+                   THEN (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) ELSE 1.0 END AS s
+       FROM bm_top WINDOW w AS (PARTITION BY query_id)),
+nv AS (SELECT query_id, doc_id, CASE WHEN max(score) OVER w > min(score) OVER w
+                   THEN (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) ELSE 1.0 END AS s
+       FROM cos_top WINDOW w AS (PARTITION BY query_id)),
+fused AS (SELECT coalesce(nt.query_id, nv.query_id) AS query_id, coalesce(nt.doc_id, nv.doc_id) AS doc_id,
+                 0.5 * coalesce(nt.s, 0.0) + 0.5 * coalesce(nv.s, 0.0) AS score
+          FROM nt FULL OUTER JOIN nv ON nt.query_id = nv.query_id AND nt.doc_id = nv.doc_id)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, doc_id, round(score, 6) AS score FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM fused)
+WHERE rank <= 10""")
+def q_b2(spark, sf):
+    docs = P.table(spark, sf, "documents").select("doc_id", "text")
+    qs = P.questions(spark, sf)
+    bm = K.bm25_search(qs, K.bm25_index(docs), k=10)
+    qv = K.hashed_embedding(qs, ["query_id"], "text")
+    dv = K.hashed_embedding(docs, ["doc_id"], "text").withColumnRenamed("doc_id", "key")
+    cos = K.cosine_top_k(qv, dv, k=10).withColumnRenamed("key", "doc_id")
+    out = K.hybrid_search(bm, cos, alpha=0.5, k=10)
+    return out.select("query_id", F.col("rank").cast("int"), "doc_id", r6(F.col("score")).alias("score"))
+
+
+# =====================================================================================
+# H : advertised analyses
+# =====================================================================================
+
+from codeloom.operators import dup as D  # noqa: E402
+
+
+@register("h1_high_impact_commits", _STATS_SQL + """
+SELECT repository_id, hash, CAST(insertions + deletions AS BIGINT) AS churn, CAST(rank AS INTEGER) AS rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY repository_id ORDER BY insertions + deletions DESC, hash) AS rank FROM stats)
+WHERE rank <= 10""")
+def q_h1(spark, sf):
+    s = A.commit_stats(P.commits(spark, sf), P.file_changes(spark, sf))
+    return D.high_impact_commits(s, 10).select(REPO, "hash", F.col("churn").cast("long"), F.col("rank").cast("int"))
+
+
+@register("j12_hot_spots", W_(O.files_cte(), FILE_COMPLEXITY_SQL, O.file_changes_cte()) + """,
+ch AS (SELECT repository_id, path, count(*) AS n_changes, sum(insertions) AS ins, sum(deletions) AS dels
+       FROM file_changes GROUP BY 1, 2)
+SELECT ch.repository_id, ch.path, CAST(n_changes AS BIGINT) AS n_changes, round(x.complexity, 6) AS complexity,
+       round((ins + dels) * x.complexity, 6) AS impact
+FROM ch JOIN file_cx x ON ch.repository_id = x.repository_id AND ch.path = x.path""")
+def q_j12(spark, sf):
+    churn = A.file_churn(P.file_changes(spark, sf))
+    h = J.hot_spots(churn, _file_scores(spark, sf))
+    return h.select(REPO, "path", "n_changes", r6(F.col("complexity")).alias("complexity"),
+                    r6(F.col("impact")).alias("impact"))
+
+
+@register("h2_doc_quality", "WITH " + py_docs_cte() + """,
+cov AS (SELECT repository_id, 3 * count(*) AS n_documentable,
+               count(*) FILTER (WHERE doc_id % 3 = 0) AS n_documented FROM pyd GROUP BY 1),
+fs AS (SELECT repository_id, count(*) AS n_files,
+              count(*) FILTER (WHERE ends_with(lower(path), '.md') OR ends_with(lower(path), '.rst')
+                                     OR ends_with(lower(path), '.txt') OR contains(lower(path), 'doc')) AS n_doc_files,
+              bool_or(path IN ('README.md', 'README.rst', 'Readme.md', 'readme.md')) AS has_readme
+       FROM files GROUP BY 1)
+SELECT fs.repository_id, CAST(coalesce(n_documentable, 0) AS BIGINT) AS n_documentable,
+       CAST(coalesce(n_documented, 0) AS BIGINT) AS n_documented,
+       round(CASE WHEN n_documentable > 0 THEN n_documented / n_documentable ELSE 0.0 END, 6) AS docstring_coverage,
+       has_readme, round(n_doc_files / n_files, 6) AS doc_ratio
+FROM fs LEFT JOIN cov ON fs.repository_id = cov.repository_id""")
+def q_h2(spark, sf):
+    q = D.doc_quality(_symbols(spark, sf), P.files(spark, sf))
+    return q.select(REPO, "n_documentable", "n_documented", r6(F.col("docstring_coverage")).alias("docstring_coverage"),
+                    "has_readme", r6(F.col("doc_ratio")).alias("doc_ratio"))
+
+
+@register("h3_exact_duplicates", W_(O.files_cte()) + """
+SELECT sha256(content) AS digest, CAST(count(*) AS BIGINT) AS n_copies,
+       min(repository_id || ':' || path) AS first_file, CAST(count(DISTINCT repository_id) AS BIGINT) AS n_repositories
+FROM files WHERE NOT files.binary AND content IS NOT NULL AND length(content) > 0
+GROUP BY 1 HAVING count(*) > 1""")
+def q_h3(spark, sf):
+    return D.exact_duplicates(P.files(spark, sf)).select("digest", F.col("n_copies").cast("long"), "first_file",
+                                                         F.col("n_repositories").cast("long"))
+
+
+@register("h3_near_duplicates")
+def q_h3n(spark, sf):
+    docs = P.table(spark, sf, "documents").select("doc_id", "text")
+    return D.near_duplicates(docs).select("doc_a", "doc_b", r6(F.col("jaccard")).alias("jaccard"))
+
+
+@register("t3_commit_frequency_batch", W_(O.commits_cte()) + """
+SELECT repository_id, date_trunc('day', author_ts) AS day, CAST(count(*) AS BIGINT) AS n_commits
+FROM commits GROUP BY 1, 2""")
+def q_t3(spark, sf):
+    c = P.commits(spark, sf)
+    g = c.groupBy(REPO, F.window(F.col("author_ts").cast("timestamp"), "1 day").alias("w")).agg(
+        F.count("*").alias("n_commits"))
+    return g.select(REPO, F.col("w.start").cast("timestamp_ntz").alias("day"), "n_commits")
