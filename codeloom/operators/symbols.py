@@ -265,7 +265,9 @@ def file_metrics(files: DataFrame, symbols: DataFrame) -> DataFrame:
     Non-Python and unparsable files get a null complexity (``count_missing_as_zero``
     in :func:`codeloom.operators.aggregates.technical_debt` reproduces the reference's zeros).
     """
-    fm = function_metrics(symbols).groupBy(REPO, "path").agg(F.avg("complexity").alias("cyclomatic_complexity"))
+    # each def once: methods are also listed as functions by the walk
+    fm = (function_metrics(symbols).where(F.col("kind") == "function")
+          .groupBy(REPO, "path").agg(F.avg("complexity").alias("cyclomatic_complexity")))
     mod = symbols.where(F.col("kind") == "module").select(REPO, "path", F.col("complexity").alias("total_complexity"),
                                                           "halstead_volume", "error")
     raw = raw_metrics(files.where(F.col("path").endswith(".py") & ~F.col("binary")))

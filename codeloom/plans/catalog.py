@@ -1118,3 +1118,21 @@ def q_t3(spark, sf):
     g = c.groupBy(REPO, F.window(F.col("author_ts").cast("timestamp"), "1 day").alias("w")).agg(
         F.count("*").alias("n_commits"))
     return g.select(REPO, F.col("w.start").cast("timestamp_ntz").alias("day"), "n_commits")
+
+
+@register("a5_file_metrics", "WITH " + py_docs_cte() + f""",
+pyk AS (SELECT repository_id, path, doc_id, {PY_L} AS L, {PY_K} AS k, {PY_D} AS d FROM pyd),
+m AS (SELECT repository_id, path, k, L AS comments, 9 + d + 2 * k AS sloc, k + 2 AS g,
+             CASE WHEN k > 0 THEN 6 * k * log2(6) ELSE 0.0 END AS v FROM pyk)
+SELECT repository_id, path, CAST(sloc AS BIGINT) AS lines_of_code,
+       round(1.0 + k / 2.0, 6) AS cyclomatic_complexity,
+       round(CASE WHEN v <= 0 OR sloc <= 0 THEN 100.0 ELSE greatest(0.0, least(100.0,
+             (171 - 5.2 * ln(v) - 0.23 * g - 16.2 * ln(sloc) + 50 * sin(sqrt(2.4 * radians(comments * 100.0 / sloc))))
+             * 100 / 171)) END, 6) AS maintainability_index,
+       round(comments / sloc, 6) AS comment_ratio
+FROM m""")
+def q_a5(spark, sf):
+    m = SY.file_metrics(P.files(spark, sf), _symbols(spark, sf))
+    return m.select(REPO, "path", "lines_of_code", r6(F.col("cyclomatic_complexity")).alias("cyclomatic_complexity"),
+                    r6(F.col("maintainability_index")).alias("maintainability_index"),
+                    r6(F.col("comment_ratio")).alias("comment_ratio"))
