@@ -1136,3 +1136,79 @@ def q_a5(spark, sf):
     return m.select(REPO, "path", "lines_of_code", r6(F.col("cyclomatic_complexity")).alias("cyclomatic_complexity"),
                     r6(F.col("maintainability_index")).alias("maintainability_index"),
                     r6(F.col("comment_ratio")).alias("comment_ratio"))
+
+
+# =====================================================================================
+# C : context assembly (nested output; checked by row count and by tests)
+# =====================================================================================
+
+from codeloom.operators import context as C  # noqa: E402
+
+
+def _chat_questions(spark, sf):
+    """Sessions whose last message is the user's: the question is that message (F8, A10)."""
+    m = P.messages(spark, sf)
+    s = A.user_sessions(m)
+    return s.select(F.col("session_id").alias("query_id"), "session_id",
+                    F.concat(F.lit("src"), (F.col("session_id") % P.N_REPOS).cast("string")).alias(REPO),
+                    F.col("last_content").alias("text"))
+
+
+@register("c1_build_context")
+def q_c1(spark, sf):
+    ctx = C.build_context(_chat_questions(spark, sf), P.files(spark, sf), P.commits(spark, sf),
+                          P.file_changes(spark, sf), P.messages(spark, sf))
+    return ctx.select("query_id", REPO, F.to_json("context").alias("context_json"))
+
+
+@register("c2_text_context")
+def q_c2(spark, sf):
+    return C.build_text_context(_chat_questions(spark, sf), P.files(spark, sf), P.commits(spark, sf),
+                                P.file_changes(spark, sf))
+
+
+@register("c3_build_prompt")
+def q_c3(spark, sf):
+    q = _chat_questions(spark, sf)
+    ctx = C.build_context(q, P.files(spark, sf), P.commits(spark, sf), P.file_changes(spark, sf), P.messages(spark, sf))
+    j = ctx.select("query_id", F.to_json("context").alias("context_json")).join(q.select("query_id", "text"), "query_id")
+    return C.build_prompt(j)
+
+
+@register("c5_chat_result")
+def q_c5(spark, sf):
+    ctx = C.build_context(_chat_questions(spark, sf), P.files(spark, sf), P.commits(spark, sf),
+                          P.file_changes(spark, sf), P.messages(spark, sf))
+    r = C.chat_result(ctx)
+    return r.select("query_id", F.array_join("relevant_files", ",").alias("relevant_files"),
+                    F.array_join("relevant_commits", ",").alias("relevant_commits"))
+
+
+@register("c4_issue_context")
+def q_c4(spark, sf):
+    q = _bench_questions(spark, sf).select(F.col("query_id").alias("event_id"), REPO,
+                                           F.lit("Question").alias("title"), F.col("text").alias("body"))
+    return C.issue_context(q, P.files(spark, sf), P.commits(spark, sf), P.file_changes(spark, sf))
+
+
+@register("k1_relevant_files", W_(O.files_cte(), O.messages_cte()) + """,
+q AS (SELECT session_id AS query_id, 'src' || CAST(session_id % 20 AS VARCHAR) AS repository_id,
+             arg_max(content, turn) AS text
+      FROM messages GROUP BY session_id HAVING arg_max(role, turn) = 'user'),
+""" + _tf_sql("qtf", "q", "query_id", "text") + ",\n"
+          + _tf_sql("ftf", "(SELECT repository_id, path, substr(content, 1, 5000) AS c FROM files WHERE NOT files.binary AND content IS NOT NULL)",
+                    "repository_id, path", "c") + """,
+qn AS (SELECT query_id, sqrt(sum(tf * tf)) AS n FROM qtf GROUP BY 1),
+fn AS (SELECT repository_id, path, sqrt(sum(tf * tf)) AS n FROM ftf GROUP BY 1, 2),
+dots AS (SELECT qtf.query_id, ftf.repository_id, ftf.path, sum(qtf.tf * ftf.tf) AS dp
+         FROM qtf JOIN ftf USING (bucket) GROUP BY 1, 2, 3),
+cand AS (SELECT q.query_id, fn.path, CAST(coalesce(d.dp, 0) AS DOUBLE) / (qn.n * fn.n) AS score
+         FROM q JOIN qn ON q.query_id = qn.query_id JOIN fn ON fn.repository_id = q.repository_id
+         LEFT JOIN dots d ON d.query_id = q.query_id AND d.repository_id = fn.repository_id AND d.path = fn.path
+         WHERE qn.n > 0 AND fn.n > 0)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, path, round(score, 6) AS score FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, path) AS rank FROM cand)
+WHERE rank <= 10""")
+def q_k1_files(spark, sf):
+    rel = C.relevant_files(_chat_questions(spark, sf), P.files(spark, sf), k=10)
+    return rel.select("query_id", F.col("rank").cast("int"), "path", r6(F.col("score")).alias("score"))
