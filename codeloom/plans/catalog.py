@@ -1212,3 +1212,42 @@ WHERE rank <= 10""")
 def q_k1_files(spark, sf):
     rel = C.relevant_files(_chat_questions(spark, sf), P.files(spark, sf), k=10)
     return rel.select("query_id", F.col("rank").cast("int"), "path", r6(F.col("score")).alias("score"))
+
+
+# =====================================================================================
+# T : batch forms of the streaming operators (the stream forms are tested against these)
+# =====================================================================================
+
+from codeloom.streaming import live as L  # noqa: E402
+
+
+@register("t4_latest_value_batch", """
+WITH e AS (SELECT CAST(user_id AS VARCHAR) AS user_id, ts, event_type, value FROM events),
+a AS (SELECT max(ts) AS asof FROM events),
+n AS (SELECT user_id, arg_max(ts, ts) AS ts, arg_max(event_type, ts) AS event_type, arg_max(value, ts) AS value
+      FROM e GROUP BY 1)
+SELECT user_id, CASE WHEN n.ts > a.asof - INTERVAL 24 HOUR THEN 'ready' ELSE 'not_ready' END AS status,
+       CASE WHEN n.ts > a.asof - INTERVAL 24 HOUR THEN n.ts END AS ts,
+       CASE WHEN n.ts > a.asof - INTERVAL 24 HOUR THEN n.event_type END AS event_type,
+       CASE WHEN n.ts > a.asof - INTERVAL 24 HOUR THEN round(n.value, 6) END AS value
+FROM n, a""")
+def q_t4(spark, sf):
+    ev = P.table(spark, sf, "events").select(F.col("user_id").cast("string").alias("user_id"), "ts", "event_type", "value")
+    asof = ev.agg(F.max("ts")).first()[0]  # one scalar to the driver
+    out = L.latest_value(ev, ["user_id"], "ts", ["event_type", "value"], F.lit(asof))
+    return out.select("user_id", "status", "ts", "event_type", r6(F.col("value")).alias("value"))
+
+
+@register("t5_sessions_batch", """
+WITH e AS (SELECT user_id, ts, CASE WHEN lag(ts) OVER (PARTITION BY user_id ORDER BY ts) IS NULL
+                                    OR ts >= lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 30 MINUTE
+                               THEN 1 ELSE 0 END AS new_s FROM events),
+s AS (SELECT *, sum(new_s) OVER (PARTITION BY user_id ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS sid
+      FROM e)
+SELECT user_id, min(ts) AS session_start, max(ts) + INTERVAL 30 MINUTE AS session_end, CAST(count(*) AS BIGINT) AS n_events
+FROM s GROUP BY user_id, sid""")
+def q_t5(spark, sf):
+    ev = P.table(spark, sf, "events").select("user_id", "ts")
+    s = L.sessions(ev, "user_id", "ts", "30 minutes")
+    return s.select("user_id", F.col("session_start").cast("timestamp_ntz"), F.col("session_end").cast("timestamp_ntz"),
+                    "n_events")
