@@ -944,7 +944,7 @@ def _tok_sql(text: str) -> str:
 def _tf_sql(name: str, src: str, ids: str, text: str) -> str:
     """Sparse hashed term counts (ids..., bucket, tf) of a text column."""
     return f"""{name} AS (
-  SELECT {ids}, CAST(('0x' || substr(md5(tok), 1, 8))::BIGINT % 64 AS BIGINT) AS bucket, CAST(count(*) AS BIGINT) AS tf
+  SELECT {ids}, CAST(('0x' || substr(md5(tok), 1, 4))::BIGINT % 64 AS BIGINT) AS bucket, CAST(count(*) AS BIGINT) AS tf
   FROM (SELECT {ids}, unnest({_tok_sql(text)}) AS tok FROM {src}) GROUP BY ALL)"""
 
 
