@@ -1251,3 +1251,67 @@ def q_t5(spark, sf):
     s = L.sessions(ev, "user_id", "ts", "30 minutes")
     return s.select("user_id", F.col("session_start").cast("timestamp_ntz"), F.col("session_end").cast("timestamp_ntz"),
                     "n_events")
+
+
+# =====================================================================================
+# K3 / K4 / K5 / X2 : listings, previews, change messages
+# =====================================================================================
+
+from codeloom.operators import listing as LS  # noqa: E402
+
+
+@register("k3_functions_by_complexity", _PY_ROWS + """
+SELECT repository_id, path, name, kind, CAST(line_start AS INTEGER) AS line_number, CAST(complexity AS INTEGER) AS complexity,
+       CAST(row_number() OVER (PARTITION BY repository_id, path
+                               ORDER BY coalesce(complexity, 0) DESC, line_start, name, kind) AS INTEGER) AS position
+FROM sym WHERE kind IN ('function', 'method')""")
+def q_k3(spark, sf):
+    fm = SY.function_metrics(_symbols(spark, sf))
+    return LS.functions_by_complexity(fm).select(REPO, "path", "name", "kind", "line_number", "complexity",
+                                                 F.col("position").cast("int"))
+
+
+@register("k4_tree_listing", W_(O.files_cte()) + """,
+parts AS (SELECT repository_id, path, string_split(path, '/') AS p FROM files),
+dirs AS (SELECT DISTINCT repository_id, array_to_string(list_slice(p, 1, i), '/') AS node_path, true AS is_dir
+         FROM parts, range(1, len(p)) AS r(i)),
+nodes AS (SELECT * FROM dirs UNION ALL SELECT repository_id, path, false FROM files),
+t AS (SELECT repository_id, node_path, regexp_extract(node_path, '^(.*)/[^/]*$', 1) AS parent_path,
+             string_split(node_path, '/')[-1] AS name, CAST(len(string_split(node_path, '/')) - 1 AS INTEGER) AS depth,
+             is_dir FROM nodes)
+SELECT *, CAST(row_number() OVER (PARTITION BY repository_id, parent_path ORDER BY is_dir DESC, lower(name), name)
+               AS INTEGER) AS position
+FROM t""")
+def q_k4(spark, sf):
+    t = LS.tree_listing(LS.file_tree(P.files(spark, sf)))
+    return t.select(REPO, "node_path", "parent_path", "name", F.col("depth").cast("int"), "is_dir",
+                    F.col("position").cast("int"))
+
+
+@register("k5_change_preview", W_(O.file_changes_cte()) + """,
+r AS (SELECT *, row_number() OVER (PARTITION BY repository_id, hash ORDER BY path, change_type) AS rn,
+             count(*) OVER (PARTITION BY repository_id, hash) AS n FROM file_changes)
+SELECT repository_id, hash, string_agg(path, ', ' ORDER BY rn) AS preview, CAST(greatest(max(n) - 5, 0) AS BIGINT) AS n_more
+FROM r WHERE rn <= 5 GROUP BY 1, 2""")
+def q_k5(spark, sf):
+    return LS.change_preview(P.file_changes(spark, sf), n=5)
+
+
+@register("x2_change_messages", _SNAP_SQL + """,
+d AS (SELECT repository_id, path, NULL AS old_path,
+             CASE WHEN d_old = d_new THEN 'unchanged' ELSE 'modified' END AS status FROM j
+      WHERE d_old IS NOT NULL AND d_new IS NOT NULL
+      UNION ALL SELECT repository_id, new_path, old_path, 'renamed' FROM pairs
+      UNION ALL SELECT repository_id, path, NULL, 'added' FROM came c
+        WHERE NOT EXISTS (SELECT 1 FROM pairs p WHERE p.repository_id = c.repository_id AND p.new_path = c.path)
+      UNION ALL SELECT repository_id, path, NULL, 'deleted' FROM gone g
+        WHERE NOT EXISTS (SELECT 1 FROM pairs p WHERE p.repository_id = g.repository_id AND p.old_path = g.path))
+SELECT repository_id, path, status,
+  CASE status WHEN 'added' THEN 'File was added in this commit:'
+              WHEN 'deleted' THEN 'File was deleted in this commit. Previous content:'
+              WHEN 'renamed' THEN 'File was renamed in this commit from ' || old_path
+              WHEN 'unchanged' THEN 'No changes detected in this file for this commit' END AS message
+FROM d""")
+def q_x2(spark, sf):
+    old, new = P.snapshots(spark, sf)
+    return SN.classify_change(SN.snapshot_diff(old, new)).select(REPO, "path", "status", "message")
