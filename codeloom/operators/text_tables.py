@@ -153,8 +153,11 @@ def parse_diff_lines(diffs: DataFrame, id_col: str = "diff_id", text_col: str =
     headers before the first hunk; ``compat=True`` skips them everywhere, as the
     reference viewer does.
     """
-    d = diffs.where(diff_kind(F.col(text_col)) == "unified")
-    lines = d.select(F.col(id_col).alias("diff_id"), F.posexplode(F.split(F.col(text_col), "\n")).alias("idx", "line"))
+    # kind and split in one projection (no Filter): a derived diff text is built once per row
+    # instead of being inlined into every branch of a pushed-down predicate.
+    arr = diffs.select(F.col(id_col).alias("diff_id"),
+                       F.when(diff_kind(F.col(text_col)) == "unified", F.split(F.col(text_col), "\n")).alias("_arr"))
+    lines = arr.select("diff_id", F.posexplode("_arr").alias("idx", "line"))
     w_all = Window.partitionBy("diff_id").orderBy("idx").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     is_header = F.col("line").startswith("@@")
     lines = lines.withColumn("hunk", F.sum(is_header.cast("int")).over(w_all))
@@ -194,40 +197,51 @@ def parse_diff_blocks(diffs: DataFrame, id_col: str = "diff_id", text_col: str =
     """
     src = diffs.select(F.col(id_col).alias("diff_id"), F.col(text_col).alias("diff"))
     lines = parse_diff_lines(src, "diff_id", "diff", compat)
-    changed = lines.where(F.col("kind").isin("removed", "added"))
-    hdr = lines.where(F.col("kind") == "header").select("diff_id", "hunk", F.col("text").alias("header"))
+    # one pass over the lines: a per-diff flag (same partitioning as the parser's windows)
+    # splits hunks with changes from diffs that get the fallback block; no joins back.
+    is_change = F.col("kind").isin("removed", "added")
+    lines = lines.withColumn("_has_change", F.max(is_change.cast("int")).over(Window.partitionBy("diff_id")) == 1)
     entries = F.array_sort(F.collect_list(F.struct("idx", "kind", "text", "left_no", "right_no")))
-    blocks = changed.groupBy("diff_id", "hunk").agg(entries.alias("_e"))
+    blocks = (lines.where(F.col("_has_change") & F.col("kind").isin("header", "removed", "added"))
+              .groupBy("diff_id", "hunk")
+              .agg(F.max(F.when(F.col("kind") == "header", F.col("text"))).alias("header"),
+                   F.filter(entries, lambda e: e["kind"] != "header").alias("_e"))
+              .where(F.size("_e") > 0))
     rem = F.filter("_e", lambda e: e["kind"] == "removed")
     add = F.filter("_e", lambda e: e["kind"] == "added")
-    blocks = blocks.join(hdr, ["diff_id", "hunk"], "left").select(
+    blocks = blocks.select(
         "diff_id", F.col("hunk").alias("block_no"), "header",
         F.transform(rem, lambda e: e["text"]).alias("removed"), F.transform(add, lambda e: e["text"]).alias("added"),
         F.transform(rem, lambda e: e["left_no"]).alias("removed_line_numbers"),
         F.transform(add, lambda e: e["right_no"]).alias("added_line_numbers"))
 
-    # U10 special texts and the fallback block.
+    empty_s = F.array().cast("array<string>")
+    empty_n = F.array().cast("array<bigint>")
+    first_line = F.when(F.col("idx") == 0, F.col("text"))
+    fb = (lines.where(~F.col("_has_change")).groupBy("diff_id")
+          .agg(F.array_sort(F.collect_list(F.struct("idx", "text"))).alias("_l"),
+               F.max(_starts_any(first_line, NO_FALLBACK_PREFIXES)).alias("_excluded"),
+               F.max(F.length(F.trim(F.col("text"))) > 0).alias("_nonblank"))
+          .where(~F.col("_excluded") & F.col("_nonblank")))
+    fallback = fb.select("diff_id", F.lit(0).alias("block_no"), F.lit("Changes").alias("header"),
+                         empty_s.alias("removed"), F.transform("_l", lambda e: e["text"]).alias("added"),
+                         empty_n.alias("removed_line_numbers"),
+                         F.sequence(F.lit(1).cast("long"), F.size("_l").cast("long")).alias("added_line_numbers"))
+
+    # U10 special texts.
     kind = diff_kind(F.col("diff"))
     pieces = F.split(F.col("diff"), "\n\n")
     body = F.array_join(F.slice(pieces, 2, 1 << 30), "\n\n")
     body_lines = F.split(body, "\n")
     nums = F.sequence(F.lit(1).cast("long"), F.size(body_lines).cast("long"))
     is_add = F.col("diff").startswith("File was added") | F.col("diff").startswith("Initial commit")
-    empty_s = F.array().cast("array<string>")
-    empty_n = F.array().cast("array<bigint>")
-    special = src.where(kind != "unified").select(
+    special = src.select("diff_id", "diff", kind.alias("_k")).where(F.col("_k") != "unified").select(
         "diff_id", F.lit(0).alias("block_no"),
-        F.when(kind == "content", F.element_at(pieces, 1)).otherwise(F.col("diff")).alias("header"),
-        F.when((kind == "content") & ~is_add, body_lines).otherwise(empty_s).alias("removed"),
-        F.when((kind == "content") & is_add, body_lines).otherwise(empty_s).alias("added"),
-        F.when((kind == "content") & ~is_add, nums).otherwise(empty_n).alias("removed_line_numbers"),
-        F.when((kind == "content") & is_add, nums).otherwise(empty_n).alias("added_line_numbers"))
-    all_lines = F.split(F.col("diff"), "\n")
-    fallback = (src.where(kind == "unified").join(blocks.select("diff_id").distinct(), "diff_id", "left_anti")
-                .where((F.length(F.trim(F.col("diff"))) > 0) & ~_starts_any(F.col("diff"), NO_FALLBACK_PREFIXES))
-                .select("diff_id", F.lit(0).alias("block_no"), F.lit("Changes").alias("header"),
-                        empty_s.alias("removed"), all_lines.alias("added"), empty_n.alias("removed_line_numbers"),
-                        F.sequence(F.lit(1).cast("long"), F.size(all_lines).cast("long")).alias("added_line_numbers")))
+        F.when(F.col("_k") == "content", F.element_at(pieces, 1)).otherwise(F.col("diff")).alias("header"),
+        F.when((F.col("_k") == "content") & ~is_add, body_lines).otherwise(empty_s).alias("removed"),
+        F.when((F.col("_k") == "content") & is_add, body_lines).otherwise(empty_s).alias("added"),
+        F.when((F.col("_k") == "content") & ~is_add, nums).otherwise(empty_n).alias("removed_line_numbers"),
+        F.when((F.col("_k") == "content") & is_add, nums).otherwise(empty_n).alias("added_line_numbers"))
     return blocks.unionByName(special).unionByName(fallback)
 
 
