@@ -208,9 +208,13 @@ def recent_commits(commits: DataFrame, max_commits: int = 50) -> DataFrame:
 
 
 def commit_cadence(commits: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """Gap in seconds to the previous commit of the same repository (and author, if asked)."""
+    """Gap in seconds to the previous commit of the same repository (and author, if asked).
+
+    Computed with month buckets (:mod:`codeloom.operators.ordered`), not one window per repository.
+    """
+    from codeloom.operators.ordered import month_bucket, previous_value
     by = by or [REPO]
-    w = Window.partitionBy(*by).orderBy("author_ts", "hash")
-    prev = F.lag("author_ts").over(w)
-    return commits.withColumn("prev_ts", prev).withColumn(
+    out = previous_value(commits, by, [F.col("author_ts"), F.col("hash")], month_bucket(F.col("author_ts")),
+                         "author_ts", "prev_ts")
+    return out.withColumn(
         "gap_seconds", F.col("author_ts").cast("timestamp").cast("long") - F.col("prev_ts").cast("timestamp").cast("long"))

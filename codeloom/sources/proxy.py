@@ -161,8 +161,10 @@ def commits(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("  "), F.col("o_orderpriority"), F.lit(" update for order "), key,
                  F.lit("\nstatus "), F.col("o_orderstatus"), F.lit("\n")).alias("message"),
     )
-    w = Window.partitionBy("repository_id").orderBy(F.col("author_ts").desc(), F.col("hash").desc())
-    return c.withColumn("seq", (F.row_number().over(w) - 1).cast("long"))
+    # history position without one task per repository (see codeloom.operators.ordered)
+    from codeloom.operators.ordered import month_bucket, ordered_position
+    return ordered_position(c, ["repository_id"], [F.col("author_ts").desc(), F.col("hash").desc()],
+                            month_bucket(F.col("author_ts")), descending=True, name="seq")
 
 
 def file_changes(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -122,3 +122,22 @@ def test_hybrid(spark):
     assert out == [(1, 0.5), (2, 0.5), (3, 0.0)]
     rrf = [r.doc_id for r in K.hybrid_search(bm, vec, method="rrf", k=3).orderBy("rank").collect()]
     assert rrf[0] == 2
+
+
+def test_ordered_position_matches_row_number(spark):
+    import datetime as dt
+    from pyspark.sql import Window
+    from codeloom.operators import ordered as OR
+    t0 = dt.datetime(2020, 1, 1)
+    rows = [("hot", f"h{i:04d}", t0 + dt.timedelta(days=i % 400, minutes=i)) for i in range(900)]
+    rows += [("cold", f"c{i}", t0 + dt.timedelta(days=3 * i)) for i in range(30)]
+    df = spark.createDataFrame(rows, "repo string, hash string, ts timestamp")
+    order = [F.col("ts").desc(), F.col("hash").desc()]
+    got = OR.ordered_position(df, ["repo"], order, OR.month_bucket(F.col("ts")), descending=True)
+    ref = df.withColumn("seq", F.row_number().over(Window.partitionBy("repo").orderBy(*order)) - 1)
+    assert {tuple(r) for r in got.select("repo", "hash", "seq").collect()} == \
+        {tuple(r) for r in ref.select("repo", "hash", "seq").collect()}
+    prev = OR.previous_value(df, ["repo"], [F.col("ts"), F.col("hash")], OR.month_bucket(F.col("ts")), "hash")
+    ref2 = df.withColumn("prev_hash", F.lag("hash").over(Window.partitionBy("repo").orderBy("ts", "hash")))
+    assert {tuple(r) for r in prev.select("repo", "hash", "prev_hash").collect()} == \
+        {tuple(r) for r in ref2.select("repo", "hash", "prev_hash").collect()}
