@@ -35,8 +35,13 @@ def file_tree(files: DataFrame) -> DataFrame:
 
 def tree_listing(tree: DataFrame) -> DataFrame:
     """K4: sibling order - folders first, then name case-insensitively (locale order approximated)."""
-    w = Window.partitionBy(REPO, "parent_path").orderBy(F.col("is_dir").desc(), F.lower("name"), F.col("name"))
-    return tree.withColumn("position", F.row_number().over(w))
+    from codeloom.operators.ordered import ordered_position
+    # bucket (folders first, then a lower-cased name prefix) is monotone in the listing order,
+    # so a directory with a huge number of entries is ranked by many tasks
+    bucket = F.concat(F.when(F.col("is_dir"), F.lit("0")).otherwise(F.lit("1")), F.substring(F.lower("name"), 1, 2))
+    pos = ordered_position(tree, [REPO, "parent_path"], [F.col("is_dir").desc(), F.lower("name"), F.col("name")],
+                           bucket, name="position")
+    return pos.withColumn("position", F.col("position") + 1)
 
 
 def change_preview(changes: DataFrame, n: int = 10, keys: list[str] | None = None) -> DataFrame:

@@ -15,20 +15,25 @@ def snapshot_diff(old: DataFrame, new: DataFrame) -> DataFrame:
 
     A full outer join on (repository, path) compares SHA-256 digests.  Renames
     pair deleted and added paths that carry the same digest, one to one in path
-    order (``row_number`` within (repository, digest) on each side, then an equi
-    join on the pair number).
+    order (path rank within (repository, digest) on each side, then an equi join
+    on the pair number).
     """
     o = old.select(REPO, "path", F.sha2(F.coalesce("content", F.lit("")), 256).alias("d_old"))
     n = new.select(REPO, "path", F.sha2(F.coalesce("content", F.lit("")), 256).alias("d_new"))
-    j = o.join(n, [REPO, "path"], "full_outer")
+    # five branches read the joined digests: write them once (narrow: path + two digests)
+    from codeloom.session import cut_lineage
+    j = cut_lineage(o.join(n, [REPO, "path"], "full_outer"))
     both = j.where(F.col("d_old").isNotNull() & F.col("d_new").isNotNull()).select(
         REPO, "path", F.lit(None).cast("string").alias("old_path"),
         F.when(F.col("d_old") == F.col("d_new"), "unchanged").otherwise("modified").alias("status"))
     gone = j.where(F.col("d_new").isNull()).select(REPO, "path", F.col("d_old").alias("digest"))
     came = j.where(F.col("d_old").isNull()).select(REPO, "path", F.col("d_new").alias("digest"))
-    w = Window.partitionBy(REPO, "digest").orderBy("path")
-    g = gone.withColumn("pair", F.row_number().over(w))
-    c = came.withColumn("pair", F.row_number().over(w))
+    # pair number = path rank inside (repository, digest); bucketed by a path prefix
+    # (monotone in path order) so a digest shared by very many files is not one task
+    from codeloom.operators.ordered import ordered_position
+    prefix = F.substring("path", 1, 3)
+    g = ordered_position(gone, [REPO, "digest"], [F.col("path")], prefix, name="pair")
+    c = ordered_position(came, [REPO, "digest"], [F.col("path")], prefix, name="pair")
     pairs = g.select(REPO, "digest", "pair", F.col("path").alias("old_path")).join(
         c.select(REPO, "digest", "pair", F.col("path").alias("new_path")), [REPO, "digest", "pair"])
     renamed = pairs.select(REPO, F.col("new_path").alias("path"), "old_path", F.lit("renamed").alias("status"))
