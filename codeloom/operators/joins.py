@@ -29,14 +29,19 @@ def commits_with_changes(commits: DataFrame, changes: DataFrame, max_files: int
     commit on both sides.  ``max_files`` keeps the first n paths and reports the
     cut in ``note``.
     """
-    per = changes.groupBy(REPO, "hash").agg(
-        F.array_sort(F.collect_list(F.struct("path", "change_type", "insertions", "deletions"))).alias("file_changes"),
-        F.count("*").alias("n_changes"))
-    if max_files is not None:
-        per = per.select(REPO, "hash", F.slice("file_changes", 1, max_files).alias("file_changes"),
-                         F.least("n_changes", F.lit(max_files)).alias("n_changes"),
-                         F.when(F.col("n_changes") > max_files,
-                                F.lit(f"Display limited to {max_files} files")).alias("note"))
+    entry = F.struct("path", "change_type", "insertions", "deletions")
+    if max_files is None:
+        per = changes.groupBy(REPO, "hash").agg(F.array_sort(F.collect_list(entry)).alias("file_changes"),
+                                                F.count("*").alias("n_changes"))
+    else:
+        # cut before collecting (WindowGroupLimit), so a huge commit never gathers all its rows
+        w = Window.partitionBy(REPO, "hash").orderBy("path", "change_type", "insertions", "deletions")
+        kept = changes.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= max_files)
+        lists = kept.groupBy(REPO, "hash").agg(F.array_sort(F.collect_list(entry)).alias("file_changes"))
+        totals = changes.groupBy(REPO, "hash").agg(F.count("*").alias("_total"))
+        per = lists.join(totals, [REPO, "hash"]).select(
+            REPO, "hash", "file_changes", F.least("_total", F.lit(max_files)).alias("n_changes"),
+            F.when(F.col("_total") > max_files, F.lit(f"Display limited to {max_files} files")).alias("note"))
     out = commits.join(per, [REPO, "hash"], "left")
     return out.withColumn("file_changes", F.coalesce("file_changes", F.array().cast(per.schema["file_changes"].dataType))) \
               .withColumn("n_changes", F.coalesce("n_changes", F.lit(0)).cast("long"))
