@@ -124,7 +124,7 @@ SELECT repository_id, hash, substr(hash, 1, 7) AS short_hash,
        strftime(author_ts, '%Y-%m-%dT%H:%M:%S') AS date
 FROM commits""")
 def q_p_commit_fields(spark, sf):
-    c = P.commits(spark, sf)
+    c = P.commits(spark, sf, with_seq=False)
     disp = X.author_display(F.col("author_name"), F.col("author_email"))
     return c.select(REPO, "hash", X.short_hash(F.col("hash")).alias("short_hash"), disp.alias("author"),
                     X.author_name_of(disp).alias("author_short"), X.commit_subject(F.col("message")).alias("subject"),
@@ -201,7 +201,7 @@ SELECT repository_id, hash, stat,
   CASE WHEN ok AND regexp_extract(stat, '(\d+) deletion', 1) <> '' THEN CAST(regexp_extract(stat, '(\d+) deletion', 1) AS BIGINT) ELSE 0 END AS deletions
 FROM g""")
 def q_p12(spark, sf):
-    s = A.commit_stats(P.commits(spark, sf), P.file_changes(spark, sf))
+    s = A.commit_stats(P.commits(spark, sf, with_seq=False), P.file_changes(spark, sf))
     t = s.select(REPO, "hash", X.format_shortstat(F.col("files_changed"), F.col("insertions"),
                                                   F.col("deletions")).alias("stat"))
     return t.select(REPO, "hash", "stat", X.parse_shortstat(F.col("stat")).alias("p")).select(
@@ -335,7 +335,7 @@ SELECT coalesce(f.repository_id, c.repository_id) AS repository_id, total_files,
        round(commit_frequency, 6) AS commit_frequency
 FROM f FULL OUTER JOIN c ON f.repository_id = c.repository_id""")
 def q_a6(spark, sf):
-    m = A.repository_metrics(P.files(spark, sf), P.commits(spark, sf))
+    m = A.repository_metrics(P.files(spark, sf), P.commits(spark, sf, with_seq=False))
     return m.select(REPO, "total_files", "total_lines", "contributor_count", r6(F.col("commit_frequency")).alias("commit_frequency"))
 
 
@@ -405,7 +405,7 @@ t AS (SELECT c.repository_id, c.author_email, CAST(count(DISTINCT f.path) AS BIG
 SELECT c.repository_id, c.author_email, n_commits, first_ts, last_ts, CAST(coalesce(files_touched, 0) AS BIGINT) AS files_touched
 FROM c LEFT JOIN t ON c.repository_id = t.repository_id AND c.author_email = t.author_email""")
 def q_a11(spark, sf):
-    return A.author_activity(P.commits(spark, sf), P.file_changes(spark, sf))
+    return A.author_activity(P.commits(spark, sf, with_seq=False), P.file_changes(spark, sf))
 
 
 @register("a12_file_churn", W_(O.file_changes_cte()) + """
@@ -435,7 +435,7 @@ SELECT c.repository_id, c.hash, CAST(count(f.path) AS BIGINT) AS n_changes,
 FROM commits c LEFT JOIN file_changes f ON c.repository_id = f.repository_id AND c.hash = f.hash
 GROUP BY 1, 2""")
 def q_j1(spark, sf):
-    j = J.commits_with_changes(P.commits(spark, sf), P.file_changes(spark, sf))
+    j = J.commits_with_changes(P.commits(spark, sf, with_seq=False), P.file_changes(spark, sf))
     return j.select(REPO, "hash", "n_changes",
                     F.array_join(F.transform("file_changes", lambda s: s["path"]), ",").alias("paths"))
 
@@ -533,7 +533,7 @@ WHERE lower(ref) NOT IN (SELECT lower(hash) FROM commits)
 def q_j5(spark, sf):
     d = P.table(spark, sf, "documents").select("doc_id", "text")
     mentions = TT.extract_hash_refs(d, "text", ["doc_id"], mode="all").select("doc_id", "ref").distinct()
-    return J.unknown_hashes(mentions, P.commits(spark, sf))
+    return J.unknown_hashes(mentions, P.commits(spark, sf, with_seq=False))
 
 
 @register("u11_hash_refs_first", r"""
@@ -556,7 +556,7 @@ def q_u11_all(spark, sf):
 @register("j8_commit_upsert", _STATS_SQL + """
 SELECT repository_id, hash, message, files_changed, insertions, deletions FROM stats""")
 def q_j8(spark, sf):
-    c = P.commits(spark, sf)
+    c = P.commits(spark, sf, with_seq=False)
     basic = c.select(REPO, "hash", "message", F.lit(0).cast("long").alias("files_changed"),
                      F.lit(0).cast("long").alias("insertions"), F.lit(0).cast("long").alias("deletions"))
     ch = P.file_changes(spark, sf)
@@ -592,7 +592,7 @@ SELECT repository_id, hash, author_ts,
          AS gap_seconds
 FROM commits""")
 def q_w6(spark, sf):
-    return J.commit_cadence(P.commits(spark, sf)).select(REPO, "hash", "author_ts", "prev_ts", "gap_seconds")
+    return J.commit_cadence(P.commits(spark, sf, with_seq=False)).select(REPO, "hash", "author_ts", "prev_ts", "gap_seconds")
 
 
 @register("w7_file_sample", W_(O.files_cte()) + """
@@ -982,7 +982,7 @@ def q_k2(spark, sf):
     q = _bench_questions(spark, sf)
     qv = K.hashed_embedding(q, ["query_id", REPO], "text")
     c = P.commits(spark, sf)
-    cv = K.hashed_embedding(c, [REPO, "hash"], "message").join(c.select(REPO, "hash", "seq"), [REPO, "hash"])
+    cv = K.hashed_embedding(c, [REPO, "hash", "seq"], "message")
     out = K.search_commits(qv, cv, k=5, on=[REPO])
     return out.select("query_id", REPO, F.col("position").cast("int"), "hash", "seq", F.col("rank").cast("int"),
                       r6(F.col("score")).alias("score"))
@@ -1058,7 +1058,7 @@ SELECT repository_id, hash, CAST(insertions + deletions AS BIGINT) AS churn, CAS
   SELECT *, row_number() OVER (PARTITION BY repository_id ORDER BY insertions + deletions DESC, hash) AS rank FROM stats)
 WHERE rank <= 10""")
 def q_h1(spark, sf):
-    s = A.commit_stats(P.commits(spark, sf), P.file_changes(spark, sf))
+    s = A.commit_stats(P.commits(spark, sf, with_seq=False), P.file_changes(spark, sf))
     return D.high_impact_commits(s, 10).select(REPO, "hash", F.col("churn").cast("long"), F.col("rank").cast("int"))
 
 
@@ -1114,7 +1114,7 @@ def q_h3n(spark, sf):
 SELECT repository_id, date_trunc('day', author_ts) AS day, CAST(count(*) AS BIGINT) AS n_commits
 FROM commits GROUP BY 1, 2""")
 def q_t3(spark, sf):
-    c = P.commits(spark, sf)
+    c = P.commits(spark, sf, with_seq=False)
     g = c.groupBy(REPO, F.window(F.col("author_ts").cast("timestamp"), "1 day").alias("w")).agg(
         F.count("*").alias("n_commits"))
     return g.select(REPO, F.col("w.start").cast("timestamp_ntz").alias("day"), "n_commits")

@@ -148,7 +148,9 @@ def unified_diffs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select(F.col("doc_id").alias("diff_id"), diff.alias("diff"))
 
 
-def commits(spark: SparkSession, sf_dir: str) -> DataFrame:
+def commits(spark: SparkSession, sf_dir: str, with_seq: bool = True) -> DataFrame:
+    """One commit per order; ``seq`` (0 = newest per repository) only when asked for, since its
+    distributed computation cannot be pruned away by the optimizer."""
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority",
                                               "o_orderstatus")
     key = F.col("o_orderkey").cast("string")
@@ -161,6 +163,8 @@ def commits(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("  "), F.col("o_orderpriority"), F.lit(" update for order "), key,
                  F.lit("\nstatus "), F.col("o_orderstatus"), F.lit("\n")).alias("message"),
     )
+    if not with_seq:
+        return c
     # history position without one task per repository (see codeloom.operators.ordered)
     from codeloom.operators.ordered import month_bucket, ordered_position
     return ordered_position(c, ["repository_id"], [F.col("author_ts").desc(), F.col("hash").desc()],
