@@ -88,7 +88,7 @@ def read_commits(spark: SparkSession, path: str, fmt: str = "json"):
     """
     df = spark.read.schema(S.COMMIT_LOG).format(fmt).load(path)
     commits = df.select(*[c for c in df.columns if c != "file_changes"],
-                        F.trim(F.col("message")).alias("_m")).drop("message").withColumnRenamed("_m", "message")
+                        X.py_strip(F.col("message")).alias("_m")).drop("message").withColumnRenamed("_m", "message")
     changes = df.select("repository_id", "hash", F.explode("file_changes").alias("fc")).select(
         "repository_id", "hash", "fc.*")
     return commits, changes

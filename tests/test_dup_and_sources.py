@@ -113,3 +113,35 @@ def test_entry_contract(spark):
     assert df.count() > 0
     qs, orc = E.queries(), E.oracle_sql()
     assert set(orc) <= set(qs) and len(qs) >= 50
+
+
+def test_binary_bytes_and_name_status(spark):
+    from codeloom.functions import exprs as X
+    df = spark.createDataFrame([(bytearray(b"abc\x00def"),), (bytearray(b"plain text"),)], "b binary")
+    assert [r[0] for r in df.select(X.is_binary_bytes(F.col("b"), 1024)).collect()] == [True, False]
+    assert [r[0] for r in df.select(X.is_binary_bytes(F.col("b"), 3)).collect()] == [False, False]
+    lines = spark.createDataFrame([("M\tsrc/a.py",), ("R100\told\tnew",), ("no tab",)], "l string")
+    out = [r[0] for r in lines.select(X.parse_name_status(F.col("l"))).collect()]
+    assert (out[0].status, out[0].path) == ("M", "src/a.py")
+    assert (out[1].status, out[1].path) == ("R100", "old\tnew")
+    assert out[2] is None
+
+
+def test_read_commits_log(spark, scratch):
+    import json
+    rows = [{"repository_id": "r", "hash": "abc", "parents": [], "author_name": "n", "author_email": "e",
+             "author_ts": "2024-01-01T00:00:00", "committer_ts": "2024-01-01T00:00:00", "message": " msg \n",
+             "seq": 0, "file_changes": [{"path": "a.py", "change_type": "added", "insertions": 3, "deletions": 0,
+                                         "parent_no": 0}]}]
+    p = os.path.join(scratch, "log.jsonl")
+    with open(p, "w") as fh:
+        fh.write("\n".join(json.dumps(r) for r in rows))
+    commits, changes = CO.read_commits(spark, p)
+    assert commits.first().message == "msg"
+    ch = changes.first()
+    assert (ch.hash, ch.path, ch.insertions) == ("abc", "a.py", 3)
+
+
+def test_to_context_json(spark):
+    df = spark.createDataFrame([(1, "a", 2)], "query_id int, x string, y int")
+    assert CO.to_context_json(df).first().context == '{"x":"a","y":2}'

@@ -68,3 +68,36 @@ def test_sessions_stream_equals_batch(spark, scratch):
 
 def test_dedupe_schema_helper(spark):
     assert "hash" in S.COMMITS.fieldNames()
+
+
+def test_latest_value_stream_expires(spark, scratch):
+    t0 = dt.datetime(2024, 1, 1)
+    rows = [("a", t0, "x"), ("b", t0 + dt.timedelta(hours=1), "y"), ("a", t0 + dt.timedelta(hours=30), "z"),
+            ("c", t0 + dt.timedelta(hours=60), "w")]
+    df = spark.createDataFrame(rows, "k string, ts timestamp, v string")
+    src = os.path.join(scratch, "kv")
+    df.write.parquet(src)
+    stream = spark.readStream.schema(df.schema).parquet(src)
+    out = L.latest_value_stream(stream, ["k"], "ts", "v", ttl_hours=24)
+    q = out.writeStream.outputMode("update").format("memory").queryName("latest_t4").start()
+    q.processAllAvailable()
+    q.stop()
+    got = {(r.k, r.status, r.v) for r in spark.sql("select * from latest_t4").collect()}
+    assert ("a", "ready", "z") in got and ("c", "ready", "w") in got
+
+
+def test_issue_retrieval_stream(spark, scratch):
+    from codeloom.sources import proxy as P
+    from conftest import SF_SMALL
+    ev = spark.createDataFrame([(1, "src1", "Question", "how does the order status change"),
+                                (2, "src2", "Bug", "the parser fails on commit messages")],
+                               "event_id long, repository_id string, title string, body string")
+    src = os.path.join(scratch, "issues")
+    ev.write.parquet(src)
+    stream = spark.readStream.schema(ev.schema).parquet(src)
+    sink, ck = os.path.join(scratch, "ctx"), os.path.join(scratch, "ck")
+    q = L.issue_retrieval(stream, P.files(spark, SF_SMALL), P.commits(spark, SF_SMALL),
+                          P.file_changes(spark, SF_SMALL), sink, ck)
+    q.awaitTermination(300)
+    out = spark.read.parquet(sink)
+    assert out.count() == 2 and "relevant_files" in out.first().context_json
