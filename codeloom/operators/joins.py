@@ -221,5 +221,5 @@ def commit_cadence(commits: DataFrame, by: list[str] | None = None) -> DataFrame
     by = by or [REPO]
     out = previous_value(commits, by, [F.col("author_ts"), F.col("hash")], month_bucket(F.col("author_ts")),
                          "author_ts", "prev_ts")
-    return out.withColumn(
-        "gap_seconds", F.col("author_ts").cast("timestamp").cast("long") - F.col("prev_ts").cast("timestamp").cast("long"))
+    # timestamp_diff works on wall-clock (NTZ) values: no session time zone involved
+    return out.withColumn("gap_seconds", F.timestamp_diff("SECOND", F.col("prev_ts"), F.col("author_ts")))

@@ -52,5 +52,6 @@ def previous_value(df: DataFrame, key: list[str], order: list[Column], bucket: C
 
 
 def month_bucket(ts: Column) -> Column:
-    """Monotone coarsening of a timestamp used to split a key's history."""
-    return F.date_trunc("month", ts.cast("timestamp"))
+    """Monotone coarsening of a timestamp used to split a key's history ('yyyy-MM' sorts in time order;
+    no session time zone is involved for wall-clock timestamps)."""
+    return F.date_format(ts, "yyyy-MM")

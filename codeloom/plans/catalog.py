@@ -1115,9 +1115,8 @@ SELECT repository_id, date_trunc('day', author_ts) AS day, CAST(count(*) AS BIGI
 FROM commits GROUP BY 1, 2""")
 def q_t3(spark, sf):
     c = P.commits(spark, sf, with_seq=False)
-    g = c.groupBy(REPO, F.window(F.col("author_ts").cast("timestamp"), "1 day").alias("w")).agg(
-        F.count("*").alias("n_commits"))
-    return g.select(REPO, F.col("w.start").cast("timestamp_ntz").alias("day"), "n_commits")
+    f = L.commit_frequency(c, "author_ts", "1 day")
+    return f.select(REPO, F.col("window_start").alias("day"), "n_commits")
 
 
 @register("a5_file_metrics", "WITH " + py_docs_cte() + f""",
@@ -1233,8 +1232,8 @@ SELECT user_id, CASE WHEN n.ts > a.asof - INTERVAL 24 HOUR THEN 'ready' ELSE 'no
 FROM n, a""")
 def q_t4(spark, sf):
     ev = P.table(spark, sf, "events").select(F.col("user_id").cast("string").alias("user_id"), "ts", "event_type", "value")
-    asof = ev.agg(F.max("ts")).first()[0]  # one scalar to the driver
-    out = L.latest_value(ev, ["user_id"], "ts", ["event_type", "value"], F.lit(asof))
+    asof = ev.agg(F.max("ts").cast("string")).first()[0]  # one scalar to the driver, as wall-clock text
+    out = L.latest_value(ev, ["user_id"], "ts", ["event_type", "value"], F.lit(asof).cast(ev.schema["ts"].dataType))
     return out.select("user_id", "status", "ts", "event_type", r6(F.col("value")).alias("value"))
 
 
@@ -1249,8 +1248,7 @@ FROM s GROUP BY user_id, sid""")
 def q_t5(spark, sf):
     ev = P.table(spark, sf, "events").select("user_id", "ts")
     s = L.sessions(ev, "user_id", "ts", "30 minutes")
-    return s.select("user_id", F.col("session_start").cast("timestamp_ntz"), F.col("session_end").cast("timestamp_ntz"),
-                    "n_events")
+    return s.select("user_id", "session_start", "session_end", "n_events")
 
 
 # =====================================================================================

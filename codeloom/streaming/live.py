@@ -76,8 +76,8 @@ def issue_retrieval(stream: DataFrame, files: DataFrame, commits: DataFrame, cha
 def commit_frequency(df: DataFrame, ts_col: str = "author_ts", window: str = "1 day", slide: str | None = None,
                      watermark: str = "2 days") -> DataFrame:
     """Tumbling (or sliding) daily commit counts; late rows beyond the watermark are dropped."""
-    ts = F.col(ts_col).cast("timestamp")
-    d = df.withColumn("_ts", ts)
+    # windows work on TIMESTAMP_NTZ directly, so day boundaries do not depend on the session zone
+    d = df.withColumn("_ts", F.col(ts_col))
     if d.isStreaming:
         d = d.withWatermark("_ts", watermark)
     win = F.window("_ts", window, slide) if slide else F.window("_ts", window)
@@ -133,7 +133,7 @@ def latest_value_stream(stream: DataFrame, keys: list[str], ts_col: str, value_c
 
 def sessions(df: DataFrame, key: str, ts_col: str, gap: str = "30 minutes", watermark: str = "1 hour") -> DataFrame:
     """T5: gap-based session windows per key: start, end (= last event + gap), events and last event."""
-    d = df.withColumn("_ts", F.col(ts_col).cast("timestamp"))
+    d = df.withColumn("_ts", F.col(ts_col))
     if d.isStreaming:
         d = d.withWatermark("_ts", watermark)
     g = d.groupBy(key, F.session_window("_ts", gap).alias("s")).agg(F.count("*").alias("n_events"))
