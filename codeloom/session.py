@@ -23,7 +23,6 @@ LOCAL_CONF = {
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
     "spark.driver.memory": "16g",
-    "spark.sql.ansi.enabled": "false",
 }
 
 
