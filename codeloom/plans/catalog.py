@@ -1174,7 +1174,38 @@ def q_c3(spark, sf):
     return C.build_prompt(j)
 
 
-@register("c5_chat_result")
+C5_SQL = W_(O.files_cte(), O.messages_cte(), O.commits_cte()) + """,
+q AS (SELECT session_id AS query_id, 'src' || CAST(session_id % 20 AS VARCHAR) AS repository_id,
+             arg_max(content, turn) AS text
+      FROM messages GROUP BY session_id HAVING arg_max(role, turn) = 'user'),
+""" + _tf_sql("qtf", "q", "query_id", "text") + ",\n" + _tf_sql(
+    "ftf", "(SELECT repository_id, path, substr(content, 1, 5000) AS c FROM files WHERE NOT files.binary AND content IS NOT NULL)",
+    "repository_id, path", "c") + ",\n" + _tf_sql("ctf", "commits", "hash", "message") + """,
+qn AS (SELECT query_id, sqrt(sum(tf * tf)) AS n FROM qtf GROUP BY 1),
+fn AS (SELECT repository_id, path, sqrt(sum(tf * tf)) AS n FROM ftf GROUP BY 1, 2),
+cn AS (SELECT hash, sqrt(sum(tf * tf)) AS n FROM ctf GROUP BY 1),
+fdots AS (SELECT qtf.query_id, ftf.repository_id, ftf.path, sum(qtf.tf * ftf.tf) AS dp
+          FROM qtf JOIN ftf USING (bucket) GROUP BY 1, 2, 3),
+fcand AS (SELECT q.query_id, fn.path, CAST(coalesce(d.dp, 0) AS DOUBLE) / (qn.n * fn.n) AS score
+          FROM q JOIN qn ON q.query_id = qn.query_id JOIN fn ON fn.repository_id = q.repository_id
+          LEFT JOIN fdots d ON d.query_id = q.query_id AND d.repository_id = fn.repository_id AND d.path = fn.path
+          WHERE qn.n > 0 AND fn.n > 0),
+ftop AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, path) AS rank
+                        FROM fcand) WHERE rank <= 10),
+cdots AS (SELECT qtf.query_id, ctf.hash, sum(qtf.tf * ctf.tf) AS dp FROM qtf JOIN ctf USING (bucket) GROUP BY 1, 2),
+ccand AS (SELECT q.query_id, c.hash, c.seq, CAST(coalesce(d.dp, 0) AS DOUBLE) / (qn.n * cn.n) AS score
+          FROM q JOIN qn ON q.query_id = qn.query_id JOIN commits c ON c.repository_id = q.repository_id
+          JOIN cn ON cn.hash = c.hash LEFT JOIN cdots d ON d.query_id = q.query_id AND d.hash = c.hash
+          WHERE qn.n > 0 AND cn.n > 0),
+ctop AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, hash) AS rank
+                        FROM ccand) WHERE rank <= 5),
+rf AS (SELECT query_id, string_agg(path, ',' ORDER BY rank) AS relevant_files FROM ftop GROUP BY 1),
+rc AS (SELECT query_id, string_agg(hash, ',' ORDER BY seq, hash) AS relevant_commits FROM ctop GROUP BY 1)
+SELECT q.query_id, coalesce(rf.relevant_files, '') AS relevant_files, coalesce(rc.relevant_commits, '') AS relevant_commits
+FROM q LEFT JOIN rf ON q.query_id = rf.query_id LEFT JOIN rc ON q.query_id = rc.query_id"""
+
+
+@register("c5_chat_result", C5_SQL)
 def q_c5(spark, sf):
     ctx = C.build_context(_chat_questions(spark, sf), P.files(spark, sf), P.commits(spark, sf),
                           P.file_changes(spark, sf), P.messages(spark, sf))
