@@ -62,8 +62,9 @@ def directory_rollup(files: DataFrame) -> DataFrame:
     parts = F.split(F.col("path"), "/")
     anc = F.transform(F.sequence(F.lit(0), F.size(parts) - 1),
                       lambda i: F.array_join(F.slice(parts, 1, i), "/"))
-    rows = files.select(REPO, F.explode(anc).alias("directory"), F.col("size"),
-                        line_count(F.col("content")).alias("lines"))
+    # count lines once per file, then fan out to the ancestors (content is not carried along)
+    per_file = files.select(REPO, "path", "size", line_count(F.col("content")).alias("lines"))
+    rows = per_file.select(REPO, F.explode(anc).alias("directory"), "size", "lines")
     return rows.groupBy(REPO, "directory").agg(
         F.count("*").alias("n_files"), F.sum("size").cast("long").alias("bytes"),
         F.sum("lines").cast("long").alias("lines"))
