@@ -19,8 +19,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from codeloom.operators.aggregates import line_count  # noqa: F401  (re-export for callers)
-
 REPO = "repository_id"
 
 SYMBOL_ROW = T.StructType([

@@ -54,8 +54,7 @@ def read_raw_tree(spark: SparkSession, root: str, repository_id: str) -> DataFra
     """
     df = (spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root))
     prefix = root.rstrip("/") + "/"
-    rel = F.regexp_replace(F.col("path"), "^file:", "")
-    rel = F.expr(f"substring(regexp_replace(path, '^file:', ''), {len(prefix) + 1})")
+    rel = F.substring(F.regexp_replace(F.col("path"), "^file:", ""), len(prefix) + 1, 1 << 30)
     return df.select(F.lit(repository_id).alias("repository_id"), rel.alias("path"), F.col("content").alias("bytes"))
 
 

@@ -145,3 +145,17 @@ def test_read_commits_log(spark, scratch):
 def test_to_context_json(spark):
     df = spark.createDataFrame([(1, "a", 2)], "query_id int, x string, y int")
     assert CO.to_context_json(df).first().context == '{"x":"a","y":2}'
+
+
+def test_binary_file_reader_and_duplication_score(spark, scratch):
+    root = os.path.join(scratch, "tree")
+    os.makedirs(os.path.join(root, "src"))
+    for rel, data in [("src/a.py", b"x = 1\n"), ("src/b.py", b"x = 1\n"), ("c.txt", b"one\ntwo\n")]:
+        with open(os.path.join(root, rel), "wb") as fh:
+            fh.write(data)
+    raw = CO.read_raw_tree(spark, root, "r")
+    files = CO.scan_files(raw, bytes_col="bytes")
+    got = {r.path: r.content for r in files.collect()}
+    assert got == {"src/a.py": "x = 1\n", "src/b.py": "x = 1\n", "c.txt": "one\ntwo\n"}
+    score = D.duplication_score(files).first().code_duplication
+    assert abs(score - 50.0) < 1e-9  # 2 of 4 lines sit in files that have an exact copy
