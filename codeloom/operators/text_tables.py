@@ -235,7 +235,11 @@ def parse_diff_blocks(diffs: DataFrame, id_col: str = "diff_id", text_col: str =
     body_lines = F.split(body, "\n")
     nums = F.sequence(F.lit(1).cast("long"), F.size(body_lines).cast("long"))
     is_add = F.col("diff").startswith("File was added") | F.col("diff").startswith("Initial commit")
-    special = src.select("diff_id", "diff", kind.alias("_k")).where(F.col("_k") != "unified").select(
+    # a one-element array for special texts, exploded (no Filter: a derived diff text would be
+    # inlined into every branch of a pushed-down predicate)
+    one = F.when(kind != "unified", F.array(F.struct(kind.alias("_k"), F.col("diff").alias("diff"))))
+    sp = src.select("diff_id", F.explode(one).alias("_s")).select("diff_id", "_s._k", "_s.diff")
+    special = sp.select(
         "diff_id", F.lit(0).alias("block_no"),
         F.when(F.col("_k") == "content", F.element_at(pieces, 1)).otherwise(F.col("diff")).alias("header"),
         F.when((F.col("_k") == "content") & ~is_add, body_lines).otherwise(empty_s).alias("removed"),
