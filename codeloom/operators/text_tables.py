@@ -26,6 +26,7 @@ def explode_lines(files: DataFrame, content_col: str = "content", keys: list[str
 
 # --- U3 / W4 --------------------------------------------------------------------------------
 
+# Fixed values (the reference's declaration shapes and context sizes).
 # Generic declaration shapes; the name is matched afterwards by an equi-join.
 DECL_FUNCTION = [r"\bfunction\s+(\w+)\b", r"\b(\w+)\s*[:=]\s*function\b", r"\bdef\s+(\w+)\b"]
 DECL_CLASS = [r"\bclass\s+(\w+)\b"]
@@ -77,6 +78,7 @@ def regex_symbols(files: DataFrame, names: DataFrame | None = None, first_per_fi
 
 # --- U8 ------------------------------------------------------------------------------------------
 
+# Fixed values (README candidates in priority order, section keywords).
 README_NAMES = ["README.md", "README.rst", "Readme.md", "readme.md"]
 README_KEYWORDS = ["about", "introduction", "overview", "description", "features", "usage"]
 
@@ -119,6 +121,7 @@ def readme_summary(files: DataFrame, repos: DataFrame | None = None) -> DataFram
 
 # --- U9 / U10 / W3 -----------------------------------------------------------------------------------
 
+# Fixed values (the diff viewer's special texts and hunk header).
 SPECIAL_CONTENT_PREFIXES = ["File was added in this commit:", "File was deleted in this commit. Previous content:",
                             "Initial commit, file added:"]
 SPECIAL_MESSAGES = ["Binary file (no text diff available)", "File was added in this commit (binary content)",
