@@ -24,6 +24,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@register("op1_suffix_dedup")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from codeloom.llm import suffix_dedup as S
+    r = S.remove_repeats(table(spark, sf_dir, "documents"))
+    return r.select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans",
+                    F.sha2("kept", 256).alias("kept_sha256"))
+
+
 @register("op2_simhash_golay")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     from codeloom.llm import simhash as S
