@@ -38,3 +38,9 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     near = S.near_duplicates(table(spark, sf_dir, "documents"))
     return near.select(F.col("id").alias("doc_id"), S.hex64(F.col("fp")).alias("fingerprint"),
                        F.col("component").alias("component_id"), "n_links")
+
+
+@register("op8_line_minhash")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from codeloom.llm import line_dedup as L
+    return L.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
