@@ -44,3 +44,17 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     from codeloom.llm import line_dedup as L
     return L.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def _remainder(mod: int):
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % mod
+
+
+@register("op9_quality_crf")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from codeloom.llm import quality as Q
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    field = Q.fit(docs, table(spark, sf_dir, "labels").where(_remainder(5) != 0))
+    out = docs.select("doc_id", F.coalesce(_remainder(5) == 0, F.lit(False)).alias("held_out"),
+                      Q.score(F.col("text"), field).alias("score"))
+    return out.withColumn("predicted", (F.col("score") >= Q.THRESHOLD).cast("int"))
