@@ -40,6 +40,17 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.col("component").alias("component_id"), "n_links")
 
 
+def _vocabulary(name: str) -> str:
+    import public_tokenizers
+    return public_tokenizers.path(name)
+
+
+@register("op4_harmonic_packing")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from codeloom.llm import packing as P
+    return P.pack(table(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"))
+
+
 @register("op8_line_minhash")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     from codeloom.llm import line_dedup as L
