@@ -40,7 +40,29 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.col("component").alias("component_id"), "n_links")
 
 
-def _vocabulary(name: str) -> str:
+@register("op3_voronoi_topk", """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id,
+         CAST(coalesce(list_sum(list_transform(list_zip(q.e, c.e), lambda z: z[1] * z[2])), 0) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.e) = len(c.e)
+  WHERE q.vec_id % 100 = 0),
+r AS (
+  SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank,
+         vec_id, score
+  FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
+""")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from codeloom.llm import topk as T
+    return T.top_k(table(spark, sf_dir, "embeddings"))
+
+
+def vocabulary(name: str) -> str:
     import public_tokenizers
     return public_tokenizers.path(name)
 
@@ -48,7 +70,7 @@ def _vocabulary(name: str) -> str:
 @register("op4_harmonic_packing")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     from codeloom.llm import packing as P
-    return P.pack(table(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"))
+    return P.pack(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
 @register("op8_line_minhash")
@@ -69,3 +91,11 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = docs.select("doc_id", F.coalesce(_remainder(5) == 0, F.lit(False)).alias("held_out"),
                       Q.score(F.col("text"), field).alias("score"))
     return out.withColumn("predicted", (F.col("score") >= Q.THRESHOLD).cast("int"))
+
+
+@register("op10_sentencepiece")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from codeloom.llm import pieces as P
+    r = P.encode_table(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
+    return r.select(F.col("id").alias("doc_id"), "n_ids", F.sha2("ids", 256).alias("ids_sha256"),
+                    F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"), "parity")
