@@ -73,6 +73,25 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.pack(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
+_EXTRA_TURNS = "VALUES (-1L, 0L, 'user', '</s>[INST] ok [/INST]'), (-1L, 1L, 'assistant', '</s>[INST] ok [/INST]')"
+
+
+@register("op5_prefix_targets")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from codeloom.llm import chat as C
+    more = spark.sql(f"SELECT * FROM {_EXTRA_TURNS} AS t(conv_id, turn, role, text)")
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(more)
+    return C.digest(C.examples(turns))
+
+
+@register("op7_closed_syncmers")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from codeloom.llm import syncmers as S
+    r = S.edit_fingerprints(table(spark, sf_dir, "documents"))
+    return r.select(F.col("id").alias("doc_id"), "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
+                    "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+
+
 @register("op8_line_minhash")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     from codeloom.llm import line_dedup as L
