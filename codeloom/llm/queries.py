@@ -62,6 +62,10 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.top_k(table(spark, sf_dir, "embeddings"))
 
 
+def _remainder(mod: int):
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % mod
+
+
 def vocabulary(name: str) -> str:
     import public_tokenizers
     return public_tokenizers.path(name)
@@ -84,6 +88,16 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.digest(C.examples(turns))
 
 
+@register("op6_weak_toxicity")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from codeloom.llm import toxicity as X
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = X.fit(docs, table(spark, sf_dir, "labels").where(_remainder(4) != 2))
+    out = docs.select("doc_id", F.coalesce(_remainder(4) == 2, F.lit(False)).alias("held_out"),
+                      X.score(F.col("text"), model).alias("score"))
+    return out.withColumn("predicted", (F.col("score") >= X.THRESHOLD).cast("int"))
+
+
 @register("op7_closed_syncmers")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     from codeloom.llm import syncmers as S
@@ -98,10 +112,6 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-def _remainder(mod: int):
-    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % mod
-
-
 @register("op9_quality_crf")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     from codeloom.llm import quality as Q
