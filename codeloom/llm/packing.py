@@ -28,11 +28,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from codeloom.llm.wordcache import PartCache
 from codeloom.session import cut_lineage
 
 CAPACITY = 4096
 EOS = 2
-CACHE_WORDS = 500_000
 _SPECIAL = b"<|"                       # every special token of the vocabulary starts with this
 _ENCODERS: dict[str, "Encoder"] = {}
 
@@ -42,27 +42,30 @@ class Encoder:
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
-        self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[bytes, bytes] = {}
+        self.cache = PartCache(Tokenizer.from_file(path).encode_batch_fast)
+
+    def _learn(self, words: list[bytes]) -> None:
+        """A word followed by a full stop or comma is two strings to the tokenizer, so only the word is encoded."""
+        cache, known, plain, ends = self.cache, self.cache.known, {}, []
+        for x in words:
+            t = x.decode()
+            if t[-1] in ".," and t[:-1].isalpha():
+                ends.append((x, x[:-1], x[-1:]))
+                t = t[:-1]
+            key = t.encode()
+            if key not in known:
+                plain[key] = t
+        for x in (b".", b","):
+            if x not in known:
+                plain[x] = x.decode()
+        known.update(zip(plain, cache.learn(list(plain.values()))))
+        for x, word, end in ends:
+            known[x] = known[word] + known[end]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        if len(self.known) > CACHE_WORDS:
-            self.known.clear()
-        known, split, new = self.known, [], {}
-        for t in texts:
-            b = (t or "").encode("utf-8", "replace")
-            w = (b if _SPECIAL in b else b.lower()).split()     # the tokenizer lower-cases all but special tokens
-            split.append(w)
-            for x in w:
-                if x not in known:
-                    new[x] = None
-        if new:
-            words = list(new)
-            for at in range(0, len(words), 4096):
-                part = words[at:at + 4096]
-                for x, e in zip(part, self.tokenizer.encode_batch([x.decode() for x in part], add_special_tokens=False)):
-                    known[x] = np.array(e.ids, "<u4").tobytes()
-        return [b"".join(map(known.__getitem__, w)) for w in split]
+        raw = [(t or "").encode("utf-8", "replace") for t in texts]
+        # the tokenizer lower-cases all but special tokens
+        return self.cache.join([(b if _SPECIAL in b else b.lower()).split() for b in raw], self._learn)
 
 
 def encoder(path: str) -> Encoder:

@@ -21,8 +21,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from codeloom.llm.wordcache import PartCache
+
 MARK = "▁"
-CACHE_STRINGS = 500_000
 UNIGRAM, BPE = 1, 2
 _NORMAL, _UNKNOWN, _CONTROL, _USER, _BYTE = 1, 2, 3, 4, 6
 _LOADED: dict[str, "Backend"] = {}
@@ -138,8 +139,7 @@ class Backend:
         self.tokenizer = build(m)
         plain = not m.charsmap and not m.squeeze and m.escape and m.dummy_prefix
         self.by_string = plain and not any(MARK in p.lstrip(MARK) for p, _, _ in m.pieces)
-        self.chunks = build(m, chunk=True) if self.by_string else None
-        self.known: dict[str, bytes] = {}
+        self.cache = PartCache(build(m, chunk=True).encode_batch_fast) if self.by_string else None
         control = {i for i, (_, _, kind) in enumerate(m.pieces) if kind == _CONTROL}
         self.bytes_of = [b"" if i in control else b" \xe2\x81\x87 " if kind == _UNKNOWN else bytes([int(p[3:5], 16)]) if kind == _BYTE
                          else p.replace(MARK, " ").encode() for i, (p, _, kind) in enumerate(m.pieces)]
@@ -148,21 +148,11 @@ class Backend:
         """Ids (uint32) of each text, without begin or end markers."""
         if not self.by_string:
             return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
-        if len(self.known) > CACHE_STRINGS:
-            self.known.clear()
-        known, split, new = self.known, [], {}
-        for t in texts:
-            parts = _SPACED.findall(" " + t.replace(MARK, " ")) if t else []
-            split.append(parts)
-            for x in parts:
-                if x not in known:
-                    new[x] = None
-        words = list(new)
-        for at in range(0, len(words), 8192):
-            part = words[at:at + 8192]
-            for x, e in zip(part, self.chunks.encode_batch(part, add_special_tokens=False)):
-                known[x] = np.array(e.ids, "<u4").tobytes()
-        return [np.frombuffer(b"".join(map(known.__getitem__, p)), "<u4") for p in split]
+        split = [_SPACED.findall(" " + t.replace(MARK, " ")) if t else [] for t in texts]
+        return [np.frombuffer(b, "<u4") for b in self.cache.join(split, self._learn)]
+
+    def _learn(self, strings: list[str]) -> None:
+        self.cache.known.update(zip(strings, self.cache.learn(strings)))
 
     def decode(self, ids: np.ndarray) -> str:
         """Text of the ids; byte pieces are joined before they are read as UTF-8."""
