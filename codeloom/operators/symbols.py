@@ -43,64 +43,39 @@ SYMBOL_ROW = T.StructType([
 
 # --- per-file helpers (run inside the Python worker) ------------------------------------
 
-class _Complexity(ast.NodeVisitor):
-    """Cyclomatic complexity of one function body (nested defs are their own rows).
-
-    1 + if/elif/ternary + for/while (+1 with else) + each except (+1 try-else)
-    + extra boolean operands + comprehensions and their ifs + match cases but ``_``.
-    """
-
-    def __init__(self):
-        self.n = 1
-
-    def visit_FunctionDef(self, node):  # nested function: counted separately
-        return
-
-    visit_AsyncFunctionDef = visit_FunctionDef
-
-    def visit_ClassDef(self, node):
-        return
-
-    def visit_If(self, node):
-        self.n += 1
-        self.generic_visit(node)
-
-    def visit_IfExp(self, node):
-        self.n += 1
-        self.generic_visit(node)
-
-    def _loop(self, node):
-        self.n += 1 + (1 if node.orelse else 0)
-        self.generic_visit(node)
-
-    visit_For = visit_AsyncFor = visit_While = _loop
-
-    def visit_Try(self, node):
-        self.n += len(node.handlers) + (1 if node.orelse else 0)
-        self.generic_visit(node)
-
-    visit_TryStar = visit_Try
-
-    def visit_BoolOp(self, node):
-        self.n += len(node.values) - 1
-        self.generic_visit(node)
-
-    def visit_comprehension(self, node):
-        self.n += 1 + len(node.ifs)
-        self.generic_visit(node)
-
-    def visit_match_case(self, node):
-        pat = node.pattern
-        if not (isinstance(pat, ast.MatchAs) and pat.pattern is None and pat.name is None):
-            self.n += 1
-        self.generic_visit(node)
+FLUSH_CHARS = 1 << 20
+_SCOPES = (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)
+
+
+def _branches(node) -> int:
+    """What one node adds to the complexity of its function."""
+    if isinstance(node, (ast.If, ast.IfExp)):
+        return 1
+    if isinstance(node, (ast.For, ast.AsyncFor, ast.While)):
+        return 2 if node.orelse else 1
+    if isinstance(node, (ast.Try, ast.TryStar)):
+        return len(node.handlers) + bool(node.orelse)
+    if isinstance(node, ast.BoolOp):
+        return len(node.values) - 1
+    if isinstance(node, ast.comprehension):
+        return 1 + len(node.ifs)
+    if isinstance(node, ast.match_case):
+        return 0 if isinstance(node.pattern, ast.MatchAs) and node.pattern.pattern is None and node.pattern.name is None else 1
+    return 0
 
 
 def function_complexity(node) -> int:
-    v = _Complexity()
-    for child in node.body:
-        v.visit(child)
-    return v.n
+    """Cyclomatic complexity of one function body; nested functions and classes are rows of their own.
+
+    A work list instead of recursion, so nesting depth does not matter.
+    """
+    total, todo = 1, list(node.body)
+    while todo:
+        n = todo.pop()
+        if not isinstance(n, _SCOPES):
+            total += _branches(n)
+            todo.extend(ast.iter_child_nodes(n))
+    return total
 
 
 def halstead_volume(tree) -> float:
@@ -142,7 +117,15 @@ def _segment(lines, start, end):
 
 
 def parse_python(repo, path, content, include_async=False, top_level_only=False):
-    """Rows for one file, as dicts of SYMBOL_ROW; a file that does not parse yields one error row."""
+    """Rows for one file, as dicts of SYMBOL_ROW; a file that cannot be analysed yields one error row."""
+    try:
+        return _parse(repo, path, content, include_async, top_level_only)
+    except (SyntaxError, ValueError, RecursionError, MemoryError) as e:
+        empty = dict.fromkeys(f.name for f in SYMBOL_ROW.fields)
+        return [empty | {"repository_id": repo, "path": path, "kind": "module", "error": f"{type(e).__name__}: {e}"}]
+
+
+def _parse(repo, path, content, include_async, top_level_only):
     rows = []
 
     def row(kind, name, **kw):
@@ -153,11 +136,7 @@ def parse_python(repo, path, content, include_async=False, top_level_only=False)
         r.update(kw)
         rows.append(r)
 
-    try:
-        tree = ast.parse(content)
-    except (SyntaxError, ValueError, RecursionError, MemoryError) as e:
-        row("module", None, error=f"{type(e).__name__}: {e}")
-        return rows
+    tree = ast.parse(content)
     lines = content.splitlines()
     func_types = (ast.FunctionDef, ast.AsyncFunctionDef) if include_async else (ast.FunctionDef,)
     nodes = ast.iter_child_nodes(tree) if top_level_only else ast.walk(tree)
@@ -194,7 +173,7 @@ def parse_python(repo, path, content, include_async=False, top_level_only=False)
         elif isinstance(node, ast.ImportFrom):
             for a in node.names:
                 name = f"{node.module}.{a.name}" if node.module else a.name
-                row("import", name, alias=a.asname, line_start=node.lineno, line_end=node.lineno)
+                row("import", name, parent="." * node.level or None, alias=a.asname, line_start=node.lineno, line_end=node.lineno)
     row("module", None, complexity=total_cc, halstead_volume=halstead_volume(tree))
     return rows
 
@@ -212,10 +191,15 @@ def python_symbols(files: DataFrame, include_async: bool = False, top_level_only
 
     def run(batches):
         for pdf in batches:
-            out = []
+            out, size = [], 0
             for repo, path, content in zip(pdf[REPO], pdf["path"], pdf["content"]):
                 out.extend(parse_python(repo, path, content, include_async, top_level_only))
-            yield pd.DataFrame(out, columns=names) if out else pd.DataFrame({n: [] for n in names})
+                size += len(content)
+                if size > FLUSH_CHARS:      # a batch of large files is not held at once
+                    yield pd.DataFrame(out, columns=names)
+                    out, size = [], 0
+            if out:
+                yield pd.DataFrame(out, columns=names)
 
     return src.mapInPandas(run, SYMBOL_ROW)
 

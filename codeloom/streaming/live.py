@@ -2,7 +2,7 @@
 
 Each function takes a streaming DataFrame (or a path to read as a stream) and
 returns either a streaming DataFrame or a started query.  Every stateful step
-has a watermark so state is bounded; sinks written from ``foreachBatch`` are
+has a watermark so state is bounded (T1 keeps no state); sinks written from ``foreachBatch`` are
 idempotent per batch id, so a replay after an executor or driver loss rewrites
 the same output instead of duplicating it.  The same logic applied to a static
 DataFrame gives the batch result the tests compare against.
@@ -13,40 +13,49 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.errors import AnalysisException
 
 REPO = "repository_id"
 
 
 # --- T1: commit ingest, each hash stored once --------------------------------------------
 
-def dedupe_commits(stream: DataFrame, ts_col: str = "author_ts", watermark: str = "7 days") -> DataFrame:
-    """Drop repeated (repository, hash) rows; state is kept for ``watermark`` of event time."""
-    return stream.withWatermark(ts_col, watermark).dropDuplicatesWithinWatermark([REPO, "hash"])
+def _earlier_batches(spark: SparkSession, sink: str, batch_id: int) -> DataFrame | None:
+    """Keys the batches before ``batch_id`` stored, or None before the first one."""
+    keys = T.StructType([T.StructField(REPO, T.StringType()), T.StructField("hash", T.StringType()),
+                         T.StructField("_batch", T.LongType())])
+    try:
+        stored = spark.read.schema(keys).parquet(sink)
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise
+    return stored.where(F.col("_batch") < batch_id).select(REPO, "hash")   # a partition filter: own folder is not read
+
+
+def store_batch(batch: DataFrame, batch_id: int, sink: str) -> None:
+    """Write a batch's commits that no earlier batch stored, each once, as the folder ``_batch=batch_id``.
+
+    The result depends on the batch and on earlier batches only, and replaces what an interrupted attempt
+    left, so a replay gives the same table.
+    """
+    new = batch.dropDuplicates([REPO, "hash"])
+    earlier = _earlier_batches(batch.sparkSession, sink, batch_id)
+    if earlier is not None:
+        new = new.join(earlier, [REPO, "hash"], "left_anti")
+    new.write.mode("overwrite").parquet(f"{sink.rstrip('/')}/_batch={batch_id}")
 
 
 def ingest_commits(spark: SparkSession, source: str, schema: T.StructType, sink: str, checkpoint: str,
-                   fmt: str = "parquet", ts_col: str = "author_ts", watermark: str = "7 days",
-                   available_now: bool = True):
-    """File stream of commit exports -> deduplicated commit table (Parquet, one folder per batch).
+                   fmt: str = "parquet", available_now: bool = True):
+    """File stream of commit exports -> commit table, each (repository, hash) once, one folder per batch.
 
-    Inside each batch, rows whose hash already exists in the sink are dropped
-    (anti join), so hashes older than the watermark are not stored twice either.
-    The batch folder is overwritten on replay.
+    There is no watermark: commit dates are not ordered, and a commit of any age is stored the first time it
+    arrives.  Uniqueness comes from the sink.
     """
     src = spark.readStream.schema(schema).format(fmt).load(source)
-    deduped = dedupe_commits(src, ts_col, watermark)
-
-    def write(batch: DataFrame, batch_id: int):
-        s = batch.sparkSession
-        try:
-            existing = s.read.parquet(sink).select(REPO, "hash")
-            existing = existing.where(F.col("_batch") != batch_id) if "_batch" in existing.columns else existing
-            batch = batch.join(existing, [REPO, "hash"], "left_anti")
-        except Exception:  # noqa: BLE001 - the sink does not exist before the first batch
-            pass
-        batch.write.mode("overwrite").parquet(f"{sink.rstrip('/')}/_batch={batch_id}")
-
-    w = deduped.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    w = (src.writeStream.foreachBatch(lambda batch, batch_id: store_batch(batch, batch_id, sink))
+         .option("checkpointLocation", checkpoint))
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="30 seconds")
     return w.start()
 

@@ -42,6 +42,23 @@ def test_ingest_commits_stores_each_hash_once(spark, scratch):
     assert out.count() == 5 and out.select("hash").distinct().count() == 5
 
 
+def test_ingest_keeps_late_commits_and_replays(spark, scratch):
+    src, sink, ck = (os.path.join(scratch, n) for n in ("src", "sink", "ck"))
+    new, old = dt.datetime(2024, 3, 1), dt.datetime(2024, 3, 1) - dt.timedelta(days=400)
+    first = _commits(spark, [("r1", "h1", new, "m"), ("r1", "h2", new, "m")])
+    first.write.mode("append").parquet(src)
+    L.ingest_commits(spark, src, first.schema, sink, ck).awaitTermination(120)
+    second = _commits(spark, [("r1", "h2", new, "m"), ("r1", "h3", old, "m")])
+    second.write.mode("append").parquet(src)
+    L.ingest_commits(spark, src, first.schema, sink, ck).awaitTermination(120)
+    stored = lambda: sorted((r["hash"], r["_batch"]) for r in spark.read.parquet(sink).collect())
+    assert stored() == [("h1", 0), ("h2", 0), ("h3", 1)]
+    L.store_batch(second, 1, sink)              # the last batch again, as after a crash before its commit
+    assert stored() == [("h1", 0), ("h2", 0), ("h3", 1)]
+    L.store_batch(first, 0, sink)
+    assert stored() == [("h1", 0), ("h2", 0), ("h3", 1)]
+
+
 def test_latest_value_batch_ttl(spark):
     asof = dt.datetime(2024, 1, 2, 12)
     df = spark.createDataFrame([("a", asof - dt.timedelta(hours=25), "x"), ("b", asof - dt.timedelta(hours=23), "y")],

@@ -96,3 +96,16 @@ def test_technical_debt_mini_repo(spark):
 
 def test_empty_repo_debt():
     assert A.empty_repo_debt()["score"] == 60.0
+
+
+def test_deep_files_do_not_fail_the_job(spark):
+    deep = {"plus.py": "def f():\n    return " + " + ".join(["1"] * 3000),
+            "elif.py": "def g(x):\n    if x == 0:\n        pass\n" + "".join(f"    elif x == {i}:\n        pass\n" for i in range(1500)),
+            "chain.py": "x = a" + ".b()" * 1500, "ok.py": "def h():\n    pass\n"}
+    files = spark.createDataFrame([("r", p, False, c) for p, c in deep.items()], "repository_id string, path string, binary boolean, content string")
+    rows = SY.python_symbols(files).select("path", "kind", "name", "complexity", "error").collect()
+    assert {r.path for r in rows} == set(deep)
+    for path in deep:
+        own = [r for r in rows if r.path == path]
+        assert any(r.error for r in own) or any(r.kind == "module" for r in own)
+    assert any(r.name == "h" for r in rows)
