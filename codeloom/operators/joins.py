@@ -61,20 +61,22 @@ def cap_changes(changes: DataFrame, max_files: int = 200) -> DataFrame:
 
 # --- J2 -----------------------------------------------------------------------------
 
-def resolve_hashes(refs: DataFrame, commits: DataFrame, ref_col: str = "ref") -> DataFrame:
+def resolve_hashes(refs: DataFrame, commits: DataFrame, ref_col: str = "ref", min_len: int = 4) -> DataFrame:
     """Each reference -> the newest commit (lowest ``seq``) whose hash starts with it.
 
     ``refs(ref_id, [repository_id], ref)``; refs are normalised (P15) and
-    lower-cased, refs shorter than 7 characters do not resolve.  Distinct refs
-    are matched once (a hot ref costs one join row per candidate commit) and the
+    lower-cased; refs of ``min_len`` characters or more resolve, those below 7
+    through the commits' prefixes of that length.  Distinct refs are matched once (a hot ref costs one join row per candidate commit) and the
     answer is joined back to every request.  Returns ``hash``, ``seq`` and the
     number of matching commits (``match_count`` > 1 = ambiguous).
     """
     on = [REPO] if REPO in refs.columns else []
-    r = refs.withColumn("_norm", F.lower(X.normalize_hash(F.col(ref_col), min_len=7)))
+    r = refs.withColumn("_norm", F.lower(X.normalize_hash(F.col(ref_col), min_len=min_len)))
     uniq = r.select(*on, "_norm").where(F.col("_norm").isNotNull()).distinct() \
         .withColumn("_k", F.substring("_norm", 1, 7))
-    c = commits.select(*on, F.lower("hash").alias("_h"), "hash", "seq").withColumn("_k", F.substring("_h", 1, 7))
+    lengths = F.sequence(F.lit(max(1, min_len)), F.lit(7)) if min_len < 7 else F.array(F.lit(7))
+    c = commits.select(*on, F.lower("hash").alias("_h"), "hash", "seq", F.explode(lengths).alias("_n"))
+    c = c.withColumn("_k", F.expr("substring(_h, 1, _n)")).where(F.length("_k") == F.col("_n")).drop("_n")
     m = uniq.join(c, [*on, "_k"]).where(F.col("_h").startswith(F.col("_norm")))
     best = m.groupBy(*on, "_norm").agg(
         F.min_by("hash", F.struct("seq", "hash")).alias("hash"), F.min("seq").alias("seq"),
@@ -191,11 +193,26 @@ def module_key(path) -> "F.Column":
 
 
 def import_edges(symbols: DataFrame, files: DataFrame) -> DataFrame:
-    """Import rows -> the repository file that provides the module (null when external)."""
-    imports = symbols.where(F.col("kind") == "import").select(REPO, F.col("path"), F.col("name").alias("module"))
+    """Import rows -> the repository file that provides the module (null when external).
+
+    ``from a.b import c`` is the name a.b.c: the module a.b.c if the repository has it, else a.b.  The dots of
+    a relative import, in ``parent``, count packages upwards from the importing file.
+    """
+    imports = symbols.where(F.col("kind") == "import").select(REPO, F.col("path"), F.col("name").alias("module"),
+                                                              F.coalesce("parent", F.lit("")).alias("_dots"))
+    dots = F.length("_dots")
+    parts = F.split(F.regexp_replace("path", r"(^|/)[^/]*$", ""), "/")
+    up = F.array_join(F.slice(parts, F.lit(1), F.greatest(F.size(parts) - dots + 1, F.lit(0))), ".")
+    full = F.when((dots == 0) | (up == ""), F.col("module")).otherwise(F.concat(up, F.lit("."), "module"))
+    imports = imports.withColumn("_full", full).withColumn("_id", F.xxhash64(REPO, "path", "module", "_dots")).drop("_dots")
+    tries = imports.select(REPO, "_id", F.explode(F.array(
+        F.struct(F.lit(0).alias("order"), F.col("_full").alias("key")),
+        F.struct(F.lit(1).alias("order"), F.regexp_replace("_full", r"\.[^.]*$", "").alias("key")))).alias("t"))
     provides = (files.where(F.col("path").endswith(".py"))
-                .select(REPO, F.col("path").alias("target_path"), module_key(F.col("path")).alias("module")))
-    return imports.join(provides, [REPO, "module"], "left")
+                .select(REPO, F.col("path").alias("target_path"), module_key(F.col("path")).alias("key")))
+    found = (tries.select(REPO, "_id", "t.order", "t.key").distinct().join(provides, [REPO, "key"])
+             .groupBy(REPO, "_id").agg(F.min(F.struct("order", "target_path"))["target_path"].alias("target_path")))
+    return imports.join(found, [REPO, "_id"], "left").drop("_id", "_full")
 
 
 def hot_spots(churn: DataFrame, file_scores: DataFrame) -> DataFrame:

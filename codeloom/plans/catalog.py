@@ -441,9 +441,9 @@ def q_j1(spark, sf):
 
 
 def _refs(spark, sf):
-    """Hash references as users type them: 7..13-char prefixes of order hashes, mixed case, some with '#'."""
+    """Hash references as users type them: 4..10-char prefixes of order hashes, mixed case, some with '#'."""
     li = P.table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber")
-    pref = F.substring(F.md5(F.col("l_orderkey").cast("string")), 1, F.col("l_linenumber") + 6)
+    pref = F.substring(F.md5(F.col("l_orderkey").cast("string")), 1, F.col("l_linenumber") + 3)
     ref = (F.when(F.col("l_linenumber") % 2 == 0, F.upper(pref))
            .when(F.col("l_linenumber") % 3 == 0, F.concat(F.lit("#"), pref)).otherwise(pref))
     return li.select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("ref_id"), ref.alias("ref"))
@@ -452,20 +452,20 @@ def _refs(spark, sf):
 _REFS_SQL = """
 refs AS (
   SELECT l_orderkey * 8 + l_linenumber AS ref_id,
-         CASE WHEN l_linenumber % 2 = 0 THEN upper(substr(md5(CAST(l_orderkey AS VARCHAR)), 1, l_linenumber + 6))
-              WHEN l_linenumber % 3 = 0 THEN '#' || substr(md5(CAST(l_orderkey AS VARCHAR)), 1, l_linenumber + 6)
-              ELSE substr(md5(CAST(l_orderkey AS VARCHAR)), 1, l_linenumber + 6) END AS ref
+         CASE WHEN l_linenumber % 2 = 0 THEN upper(substr(md5(CAST(l_orderkey AS VARCHAR)), 1, l_linenumber + 3))
+              WHEN l_linenumber % 3 = 0 THEN '#' || substr(md5(CAST(l_orderkey AS VARCHAR)), 1, l_linenumber + 3)
+              ELSE substr(md5(CAST(l_orderkey AS VARCHAR)), 1, l_linenumber + 3) END AS ref
   FROM lineitem)"""
 
 
 @register("j2_resolve_hashes", W_(O.commits_cte(), _REFS_SQL) + r""",
-n AS (SELECT ref_id, ref, CASE WHEN length(regexp_replace(trim(ref), '[^0-9a-fA-F]', '', 'g')) >= 7
+n AS (SELECT ref_id, ref, CASE WHEN length(regexp_replace(trim(ref), '[^0-9a-fA-F]', '', 'g')) >= 4
                               THEN lower(regexp_replace(trim(ref), '[^0-9a-fA-F]', '', 'g')) END AS normalized FROM refs),
 m AS (SELECT u.normalized, c.hash, c.seq,
              row_number() OVER (PARTITION BY u.normalized ORDER BY c.seq, c.hash) AS rn,
              count(*) OVER (PARTITION BY u.normalized) AS cnt
       FROM (SELECT DISTINCT normalized FROM n WHERE normalized IS NOT NULL) u
-      JOIN commits c ON substr(lower(c.hash), 1, 7) = substr(u.normalized, 1, 7)
+      JOIN commits c ON substr(lower(c.hash), 1, 4) = substr(u.normalized, 1, 4)
                     AND starts_with(lower(c.hash), u.normalized))
 SELECT n.ref_id, n.ref, n.normalized, m.hash, m.seq, CAST(coalesce(m.cnt, 0) AS BIGINT) AS match_count
 FROM n LEFT JOIN (SELECT * FROM m WHERE rn = 1) m ON n.normalized = m.normalized""")
@@ -597,10 +597,13 @@ def q_w6(spark, sf):
 
 @register("w7_file_sample", W_(O.files_cte()) + """
 SELECT repository_id, path FROM (
-  SELECT *, row_number() OVER (PARTITION BY repository_id ORDER BY md5(path || '0'), path) AS rn FROM files)
+  SELECT *, row_number() OVER (PARTITION BY repository_id ORDER BY md5(path || '0'), path) AS rn FROM files
+  WHERE content IS NOT NULL AND length(content) > 0 AND (""" + " OR ".join(
+    f"ends_with(path, '{e}')" for e in X.ANALYZABLE_EXTENSIONS) + """))
 WHERE rn <= 20""")
 def q_w7(spark, sf):
-    return A.sample_files(P.files(spark, sf), cap=20).select(REPO, "path")
+    files = P.files(spark, sf)
+    return A.sample_files(files.where(X.is_analyzable(F.col("path"), F.col("content"))), cap=20).select(REPO, "path")
 
 
 _SNAP_SQL = W_(O.files_cte(), O.snapshots_cte()) + """,
@@ -1104,7 +1107,22 @@ def q_h3(spark, sf):
                                                          F.col("n_repositories").cast("long"))
 
 
-@register("h3_near_duplicates")
+_H3_SQL = f"""
+WITH d AS (SELECT min(doc_id) AS doc, text FROM documents WHERE text IS NOT NULL GROUP BY text),
+w AS (SELECT doc, list_filter({_tok_sql("text")}, lambda x: length(x) > 0) AS w FROM d),
+s AS (SELECT DISTINCT doc, unnest(CASE WHEN len(w) >= 3
+        THEN list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])
+        WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS sh FROM w),
+n AS (SELECT doc, count(*) AS n FROM s GROUP BY doc),
+i AS (SELECT a.doc AS doc_a, b.doc AS doc_b, count(*) AS c FROM s a JOIN s b ON a.sh = b.sh AND a.doc < b.doc GROUP BY 1, 2)
+SELECT doc_a, doc_b, round(c / (na.n + nb.n - c), 6) AS jaccard
+FROM i JOIN n na ON na.doc = doc_a JOIN n nb ON nb.doc = doc_b
+WHERE CAST(c AS DOUBLE) / (na.n + nb.n - c) >= 0.7
+UNION ALL
+SELECT d.doc, x.doc_id, 1.0 FROM documents x JOIN d ON x.text = d.text WHERE x.doc_id <> d.doc"""
+
+
+@register("h3_near_duplicates", _H3_SQL)
 def q_h3n(spark, sf):
     docs = P.table(spark, sf, "documents").select("doc_id", "text")
     return D.near_duplicates(docs).select("doc_a", "doc_b", r6(F.col("jaccard")).alias("jaccard"))
@@ -1179,7 +1197,7 @@ q AS (SELECT session_id AS query_id, 'src' || CAST(session_id % 20 AS VARCHAR) A
              arg_max(content, turn) AS text
       FROM messages GROUP BY session_id HAVING arg_max(role, turn) = 'user'),
 """ + _tf_sql("qtf", "q", "query_id", "text") + ",\n" + _tf_sql(
-    "ftf", "(SELECT repository_id, path, substr(content, 1, 5000) AS c FROM files WHERE NOT files.binary AND content IS NOT NULL)",
+    "ftf", "(SELECT repository_id, path, content AS c FROM files WHERE NOT files.binary AND content IS NOT NULL)",
     "repository_id, path", "c") + ",\n" + _tf_sql("ctf", "commits", "hash", "message") + """,
 qn AS (SELECT query_id, sqrt(sum(tf * tf)) AS n FROM qtf GROUP BY 1),
 fn AS (SELECT repository_id, path, sqrt(sum(tf * tf)) AS n FROM ftf GROUP BY 1, 2),
@@ -1226,7 +1244,7 @@ q AS (SELECT session_id AS query_id, 'src' || CAST(session_id % 20 AS VARCHAR) A
              arg_max(content, turn) AS text
       FROM messages GROUP BY session_id HAVING arg_max(role, turn) = 'user'),
 """ + _tf_sql("qtf", "q", "query_id", "text") + ",\n"
-          + _tf_sql("ftf", "(SELECT repository_id, path, substr(content, 1, 5000) AS c FROM files WHERE NOT files.binary AND content IS NOT NULL)",
+          + _tf_sql("ftf", "(SELECT repository_id, path, content AS c FROM files WHERE NOT files.binary AND content IS NOT NULL)",
                     "repository_id, path", "c") + """,
 qn AS (SELECT query_id, sqrt(sum(tf * tf)) AS n FROM qtf GROUP BY 1),
 fn AS (SELECT repository_id, path, sqrt(sum(tf * tf)) AS n FROM ftf GROUP BY 1, 2),

@@ -141,3 +141,24 @@ def test_ordered_position_matches_row_number(spark):
     ref2 = df.withColumn("prev_hash", F.lag("hash").over(Window.partitionBy("repo").orderBy("ts", "hash")))
     assert {tuple(r) for r in prev.select("repo", "hash", "prev_hash").collect()} == \
         {tuple(r) for r in ref2.select("repo", "hash", "prev_hash").collect()}
+
+
+def test_short_references_resolve(spark):
+    commits = spark.createDataFrame([("abcdef0123", 1), ("abcxyz".replace("x", "1").replace("y", "2").replace("z", "3"), 0)], "hash string, seq long")
+    refs = spark.createDataFrame([(1, "abcde"), (2, "abc"), (3, "abcdef0"), (4, "ffff"), (5, "zz")], "ref_id long, ref string")
+    out = {r.ref_id: (r["hash"], r.match_count) for r in J.resolve_hashes(refs, commits).collect()}
+    every = {r.ref_id: r.match_count for r in J.resolve_hashes(refs, commits, min_len=1).collect()}
+    assert every[2] == 2
+    assert out == {1: ("abcdef0123", 1), 2: (None, 0), 3: ("abcdef0123", 1), 4: (None, 0), 5: (None, 0)}
+
+
+def test_from_imports_and_relative_imports(spark):
+    files = spark.createDataFrame([("r", p) for p in ("pkg/__init__.py", "pkg/a.py", "pkg/b.py", "pkg/sub/c.py", "top.py")],
+                                  "repository_id string, path string")
+    imports = [("pkg/a.py", None, "pkg.b.name", "pkg/b.py"), ("pkg/a.py", ".", "b", "pkg/b.py"), ("pkg/sub/c.py", "..", "a.x", "pkg/a.py"),
+               ("pkg/a.py", None, "os.path", None), ("top.py", None, "pkg.b", "pkg/b.py"), ("top.py", ".", "pkg.a", "pkg/a.py"),
+               ("top.py", None, "pkg", "pkg/__init__.py")]
+    symbols = spark.createDataFrame([("r", p, "import", d, n) for p, d, n, _ in imports],
+                                    "repository_id string, path string, kind string, parent string, name string")
+    got = {(r.path, r.module): r.target_path for r in J.import_edges(symbols, files).collect()}
+    assert got == {(p, n): t for p, _, n, t in imports}
