@@ -141,7 +141,7 @@ def technical_debt(files: DataFrame, file_scores: DataFrame, sample_cap: int | N
     analysed = sample_files(base.where(X.is_analyzable(F.col("path"), F.col("content"))), sample_cap)
     scored = analysed.select(REPO, "path").join(file_scores, [REPO, "path"], "left").select(
         REPO, "path", F.coalesce("complexity", F.lit(0.0)).alias("complexity"),
-        F.coalesce("maintainability", F.lit(0.0)).alias("maintainability"))
+        "maintainability")      # unknown stays null, 0 would be the worst score
     cx = scored.groupBy(REPO).agg(F.avg("complexity").alias("avg_complexity"),
                                   F.count("*").alias("n_analysed"))
     j = counts.join(cx, REPO, "left")

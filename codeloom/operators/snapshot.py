@@ -10,16 +10,29 @@ from codeloom.functions import text as T
 REPO = "repository_id"
 
 
+NO_CONTENT = "none:"
+
+
+def _digest(files: DataFrame):
+    """What two versions of a file are compared by."""
+    own = F.col("digest") if "digest" in files.columns else F.lit(None).cast("string")
+    size = F.col("size").cast("string") if "size" in files.columns else F.lit("")
+    return F.coalesce(own, F.sha2("content", 256), F.concat(F.lit(NO_CONTENT), F.coalesce(size, F.lit(""))))
+
+
 def snapshot_diff(old: DataFrame, new: DataFrame) -> DataFrame:
     """Added / deleted / modified / renamed / unchanged per path.
 
     A full outer join on (repository, path) compares SHA-256 digests.  Renames
     pair deleted and added paths that carry the same digest, one to one in path
     order (path rank within (repository, digest) on each side, then an equi join
-    on the pair number).
+    on the pair number).  A file without content (binary) is compared by the
+    column ``digest`` if there is one, else by ``size``, and is never paired by
+    size alone.  With a column ``binary`` on both sides the result has it too.
     """
-    o = old.select(REPO, "path", F.sha2(F.coalesce("content", F.lit("")), 256).alias("d_old"))
-    n = new.select(REPO, "path", F.sha2(F.coalesce("content", F.lit("")), 256).alias("d_new"))
+    flag = "binary" in old.columns and "binary" in new.columns
+    o = old.select(REPO, "path", _digest(old).alias("d_old"), *([F.col("binary").alias("b_old")] if flag else []))
+    n = new.select(REPO, "path", _digest(new).alias("d_new"), *([F.col("binary").alias("b_new")] if flag else []))
     # five branches read the joined digests: write them once (narrow: path + two digests)
     from codeloom.session import cut_lineage
     j = cut_lineage(o.join(n, [REPO, "path"], "full_outer"))
@@ -34,14 +47,17 @@ def snapshot_diff(old: DataFrame, new: DataFrame) -> DataFrame:
     prefix = F.substring("path", 1, 3)
     g = ordered_position(gone, [REPO, "digest"], [F.col("path")], prefix, name="pair")
     c = ordered_position(came, [REPO, "digest"], [F.col("path")], prefix, name="pair")
-    pairs = g.select(REPO, "digest", "pair", F.col("path").alias("old_path")).join(
+    pairs = g.where(~F.col("digest").startswith(NO_CONTENT)).select(REPO, "digest", "pair", F.col("path").alias("old_path")).join(
         c.select(REPO, "digest", "pair", F.col("path").alias("new_path")), [REPO, "digest", "pair"])
     renamed = pairs.select(REPO, F.col("new_path").alias("path"), "old_path", F.lit("renamed").alias("status"))
     added = c.join(pairs.select(REPO, F.col("new_path").alias("path")), [REPO, "path"], "left_anti").select(
         REPO, "path", F.lit(None).cast("string").alias("old_path"), F.lit("added").alias("status"))
     deleted = g.join(pairs.select(REPO, F.col("old_path").alias("path")), [REPO, "path"], "left_anti").select(
         REPO, "path", F.lit(None).cast("string").alias("old_path"), F.lit("deleted").alias("status"))
-    return both.unionByName(renamed).unionByName(added).unionByName(deleted)
+    out = both.unionByName(renamed).unionByName(added).unionByName(deleted)
+    if not flag:
+        return out
+    return out.join(j.select(REPO, "path", F.coalesce("b_new", "b_old").alias("binary")), [REPO, "path"])
 
 
 def line_delta(old: DataFrame, new: DataFrame) -> DataFrame:

@@ -215,9 +215,10 @@ def raw_metrics(files: DataFrame) -> DataFrame:
 
     Lines are exploded and counted with ``count_if`` (JVM only).
     """
+    from codeloom.functions import exprs as X
     from codeloom.functions import text as TX
     lines = files.select(REPO, "path", F.explode(TX.splitlines(F.col("content"))).alias("line"))
-    s = F.trim(F.col("line"))
+    s = X.py_strip(F.col("line"))
     is_comment = s.startswith("#") | s.startswith("//") | s.startswith("/*") | s.startswith("*")
     per = lines.groupBy(REPO, "path").agg(
         F.count_if((s != "") & ~is_comment).alias("sloc"), F.count_if(is_comment).alias("comments"),

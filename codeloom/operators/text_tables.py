@@ -44,7 +44,7 @@ def regex_symbols(files: DataFrame, names: DataFrame | None = None, first_per_fi
     ``[i-1, i+50)`` for classes (0-based i), joined on generated line numbers so
     each match touches only its window.
     """
-    flags = "(?i)" if case_insensitive else ""
+    flags = "(?iU)" if case_insensitive else "(?U)"       # names in any script
     src = files.where(~F.col("path").endswith(".py") & ~F.col("binary") & F.col("content").isNotNull())
     lines = explode_lines(src)
     fn_names = F.array_distinct(F.concat(*[F.regexp_extract_all("line", F.lit(flags + p), 1) for p in DECL_FUNCTION]))

@@ -607,8 +607,8 @@ def q_w7(spark, sf):
 
 
 _SNAP_SQL = W_(O.files_cte(), O.snapshots_cte()) + """,
-o AS (SELECT repository_id, path, sha256(coalesce(content, '')) AS d FROM old_snap),
-n AS (SELECT repository_id, path, sha256(coalesce(content, '')) AS d FROM new_snap),
+o AS (SELECT repository_id, path, coalesce(sha256(content), 'none:') AS d FROM old_snap),
+n AS (SELECT repository_id, path, coalesce(sha256(content), 'none:') AS d FROM new_snap),
 j AS (SELECT coalesce(o.repository_id, n.repository_id) AS repository_id, coalesce(o.path, n.path) AS path,
              o.d AS d_old, n.d AS d_new
       FROM o FULL OUTER JOIN n ON o.repository_id = n.repository_id AND o.path = n.path),
@@ -617,7 +617,8 @@ gone AS (SELECT repository_id, path, d_old AS digest,
 came AS (SELECT repository_id, path, d_new AS digest,
                 row_number() OVER (PARTITION BY repository_id, d_new ORDER BY path) AS pair FROM j WHERE d_old IS NULL),
 pairs AS (SELECT g.repository_id, g.path AS old_path, c.path AS new_path
-          FROM gone g JOIN came c ON g.repository_id = c.repository_id AND g.digest = c.digest AND g.pair = c.pair)
+          FROM gone g JOIN came c ON g.repository_id = c.repository_id AND g.digest = c.digest AND g.pair = c.pair
+          WHERE g.digest <> 'none:')
 """
 
 
@@ -670,7 +671,7 @@ def q_u1(spark, sf):
 
 
 @register("u6_raw_metrics", W_(O.files_cte()) + f""",
-l AS (SELECT repository_id, path, trim(line) AS s FROM {_sql_lines("(SELECT * FROM files WHERE content IS NOT NULL)")}),
+l AS (SELECT repository_id, path, regexp_replace(line, '^[\\s\\pZ]+|[\\s\\pZ]+$', '', 'g') AS s FROM {_sql_lines("(SELECT * FROM files WHERE content IS NOT NULL)")}),
 c AS (SELECT repository_id, path, s, starts_with(s, '#') OR starts_with(s, '//') OR starts_with(s, '/*')
              OR starts_with(s, '*') AS is_comment FROM l),
 per AS (SELECT repository_id, path, count(*) FILTER (WHERE s <> '' AND NOT is_comment) AS sloc,

@@ -47,6 +47,19 @@ def test_snapshot_diff(spark):
     assert delta["b"] == (1, 1) and delta["a"] == (0, 0)
 
 
+def test_snapshot_diff_of_binaries(spark):
+    cols = "repository_id string, path string, content string, binary boolean, size long"
+    old = spark.createDataFrame([("r", "a.png", None, True, 10), ("r", "b.png", None, True, 5), ("r", "gone.png", None, True, 7),
+                                 ("r", "t", "x", False, 1)], cols)
+    new = spark.createDataFrame([("r", "a.png", None, True, 99), ("r", "b.png", None, True, 5), ("r", "came.zip", None, True, 7),
+                                 ("r", "t2", "x", False, 1)], cols)
+    d = SN.classify_change(SN.snapshot_diff(old, new))
+    got = {r.path: (r.status, r.old_path, r.binary, r.message) for r in d.collect()}
+    assert got["a.png"] == ("modified", None, True, "Binary file (no text diff available)")
+    assert got["b.png"][0] == "unchanged" and got["t2"][:3] == ("renamed", "t", False)
+    assert got["gone.png"][0] == "deleted" and got["came.zip"] == ("added", None, True, "File was added in this commit (binary content)")
+
+
 def test_merge_parent_policy(spark):
     ch = spark.createDataFrame([("m", "x", 0), ("m", "x", 1)], "hash string, path string, parent_no int")
     assert SN.merge_parent_changes(ch, "all_parents").count() == 2
