@@ -1226,9 +1226,7 @@ FROM q LEFT JOIN rf ON q.query_id = rf.query_id LEFT JOIN rc ON q.query_id = rc.
 
 @register("c5_chat_result", C5_SQL)
 def q_c5(spark, sf):
-    ctx = C.build_context(_chat_questions(spark, sf), P.files(spark, sf), P.commits(spark, sf),
-                          P.file_changes(spark, sf), P.messages(spark, sf))
-    r = C.chat_result(ctx)
+    r = C.chat_hits(_chat_questions(spark, sf), P.files(spark, sf), P.commits(spark, sf))
     return r.select("query_id", F.array_join("relevant_files", ",").alias("relevant_files"),
                     F.array_join("relevant_commits", ",").alias("relevant_commits"))
 

@@ -8,6 +8,7 @@ cluster names) and is only filled in when it is unset, as in local tests.
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -61,3 +62,10 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint into the shared checkpoint folder (never localCheckpoint)."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors, for clusters where it is not installed (Python stages need it)."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    out = os.path.join(tempfile.mkdtemp(prefix="codeloom-zip-"), "codeloom")
+    spark.sparkContext.addPyFile(shutil.make_archive(out, "zip", root, "codeloom"))

@@ -29,7 +29,7 @@ def scan_files(raw: DataFrame, path_col: str = "path", text_col: str = "text",
     if bytes_col is not None:
         b = F.col(bytes_col)
         decoded = F.try_validate_utf8(b.cast("string")) if hasattr(F, "try_validate_utf8") else b.cast("string")
-        valid = F.is_valid_utf8(b.cast("string"))
+        valid = F.coalesce(F.is_valid_utf8(b.cast("string")), F.lit(False))     # a file that could not be read has no text
         text = F.when(valid, decoded)
         size = F.length(b)
     else:

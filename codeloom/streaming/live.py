@@ -63,7 +63,8 @@ def ingest_commits(spark: SparkSession, source: str, schema: T.StructType, sink:
 # --- T2: issue events -> retrieval context --------------------------------------------------
 
 def issue_retrieval(stream: DataFrame, files: DataFrame, commits: DataFrame, changes: DataFrame,
-                    sink: str, checkpoint: str, available_now: bool = True):
+                    sink: str, checkpoint: str, available_now: bool = True,
+                    file_vectors: DataFrame | None = None, commit_vectors: DataFrame | None = None):
     """Each micro-batch of issue events becomes C4 context rows (stream-static joins).
 
     Top-k per question needs the whole candidate set, so it runs per batch in
@@ -72,7 +73,7 @@ def issue_retrieval(stream: DataFrame, files: DataFrame, commits: DataFrame, cha
     from codeloom.operators.context import issue_context
 
     def write(batch: DataFrame, batch_id: int):
-        ctx = issue_context(batch, files, commits, changes)
+        ctx = issue_context(batch, files, commits, changes, file_vectors, commit_vectors)
         ctx.write.mode("overwrite").parquet(f"{sink.rstrip('/')}/_batch={batch_id}")
 
     w = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
