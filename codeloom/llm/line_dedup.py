@@ -2,15 +2,16 @@
 
 DataFrame functions only.
 
-* Signature: hashes of character shingles, sorted; the smallest ``SKETCH`` distinct ones (a bottom-k
-  MinHash).  Lines of up to ``SHORT * 1.25`` characters take a shingle at every character, lines of
-  ``SHORT`` or more one at every word start; two lines at 0.8 always have one of the two in common.
-* Bands: every pair of sketch values is a bucket key.  Two lines at Jaccard 0.8 miss all six keys
-  about once in a hundred; the misses are mostly linked through a third line.
+* Signature: hashes of long character shingles, sorted; the smallest ``SKETCH`` distinct ones (a bottom-k
+  MinHash).  Lines of ``LONG`` characters or more take a 16-character shingle at every word start (at every
+  character where words are rare), lines of 12 to ``LONG * 1.25`` a 12-character one and lines of up to 14
+  a 5-character one at every character.  The ranges overlap, so two lines at 0.8 have one in common.
+* Bands: every sketch value is a bucket key of its own.  Long shingles keep the buckets small.
 * Candidates: all pairs inside a bucket of up to ``SMALL`` different lines; in a larger one each line
   meets three centres (the most frequent line, the smallest and the largest id), so a bucket with a
   third of all lines gives three candidates a line, never all pairs.
-* Verification: exact Jaccard of the sets of ``SHINGLE``-character shingles, on the texts.
+* Verification: exact Jaccard of the sets of ``SHINGLE``-character shingles, on the texts.  Pairs that are
+  far apart by cheaper counts (numbers of different windows, different words) are dropped before it.
 * Components of the verified links; of each component's occurrences in the corpus the first one,
   by (id, position), stays.
 
@@ -19,20 +20,20 @@ Exact copies of a line are one node from the start.  A line is known by its 64-b
 
 from __future__ import annotations
 
-from itertools import combinations
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codeloom.llm.components import connected_components
-from codeloom.session import cut_lineage
+from codeloom.llm.tables import bit_filter, stored, with_hit
 
 SHINGLE = 5
 MIN_SIMILARITY = 0.8
 SKETCH = 4
-SHORT = 80
+LONG = 80
 SMALL = 8
 NO_ID = (1 << 63) - 1
+EVERY5, EVERY12, EVERY16 = (f"(?s)(?=(.{{{n}}}))" for n in (SHINGLE, 12, 16))
+WORDS16 = r"(?s)(?=(\S.{15}))\S+\s*"
 
 
 def _lines(text: Column) -> Column:
@@ -45,23 +46,12 @@ def _shingles(line: Column) -> Column:
         F.array_distinct(F.regexp_extract_all(line, F.lit(f"(?s)(?=(.{{{SHINGLE}}}))"), F.lit(1))))
 
 
-def _keys(line: Column) -> Column:
-    """Bucket keys of a line under both schemes (null-free array of longs)."""
-    def sketch(pattern: str) -> Column:
-        hashed = F.transform(F.regexp_extract_all(line, F.lit(pattern), F.lit(1)), lambda s: F.xxhash64(s))
-        return F.slice(F.sort_array(F.array_distinct(hashed)), 1, SKETCH)
-    n = F.length(line)
-    none = F.array().cast("array<bigint>")
-    every = F.when((n >= SHINGLE) & (n <= SHORT * 5 // 4), sketch(f"(?s)(?=(.{{{SHINGLE}}}))")).otherwise(none)
-    words = F.when(n >= SHORT, sketch(r"(?s)(?<!\S)(?=(\S.{7}))")).otherwise(none)
-    return F.struct(every.alias("e"), words.alias("w"))
+def _windows(line: Column, pattern: str) -> Column:
+    return F.regexp_extract_all(line, F.lit(pattern), F.lit(1))
 
 
-def _banded(sketch: Column, scheme: int) -> Column:
-    pairs = [F.when(F.get(sketch, F.lit(j)).isNotNull(), F.xxhash64(F.get(sketch, F.lit(i)), F.get(sketch, F.lit(j)), F.lit(scheme)))
-             for i, j in combinations(range(SKETCH), 2)]
-    alone = F.when(F.size(sketch) == 1, F.xxhash64(F.get(sketch, F.lit(0)), F.lit(scheme)))
-    return F.array_compact(F.array(*pairs, alone))
+def _hashes(windows: Column, scheme: int) -> Column:
+    return F.sort_array(F.array_distinct(F.transform(windows, lambda w: F.xxhash64(w, F.lit(scheme)))))
 
 
 def _base(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -69,29 +59,55 @@ def _base(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                        F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t"))
 
 
-def candidate_pairs(lines: DataFrame) -> DataFrame:
-    """(a, b): distinct candidate pairs of line ids, from the columns line and lid."""
-    keyed = (lines.select("lid", _keys(F.col("line")).alias("s"))
-             .select("lid", F.explode(F.concat(_banded(F.col("s.e"), 0), _banded(F.col("s.w"), 1))).alias("key")))
-    shared = keyed.groupBy("key").agg(F.min("lid").alias("lo"), F.max("lid").alias("hi")).where("lo < hi")
-    member = keyed.join(shared.select("key"), "key", "left_semi").groupBy("key", "lid").agg(F.count("*").alias("c"))
-    member = cut_lineage(member)
-    bucket = member.groupBy("key").agg(F.count("*").alias("n"), F.min("lid").alias("lo"), F.max("lid").alias("hi"),
-                                       F.max(F.struct("c", "lid")).getField("lid").alias("mid"))
-    large = (member.join(bucket.where(F.col("n") > SMALL), "key")
+def _known(lines: DataFrame) -> DataFrame:
+    """One row per different line: lid, n occurrences, one place (k, pos), m different long windows (null for
+    lines below ``LONG``) and the bucket keys s0, s1, ..."""
+    n, line = F.length("line"), F.col("line")
+    none = F.array().cast("array<bigint>")
+    rows = lines.select("k", "pos", "lid", "line", F.when(n >= LONG, _windows(line, WORDS16)).alias("w"))
+    rows = rows.select("k", "pos", "lid", _hashes(F.when(F.size("w") * 40 < n, _windows(line, EVERY16)).otherwise(F.col("w")), 2).alias("l"), F.concat(
+        F.when((n >= SHINGLE) & (n <= 14), F.slice(_hashes(_windows(line, EVERY5), 0), 1, SKETCH)).otherwise(none),
+        F.when((n >= 12) & (n <= LONG * 5 // 4), F.slice(_hashes(_windows(line, EVERY12), 1), 1, SKETCH)).otherwise(none),
+    ).alias("s"))
+    low = F.concat(F.coalesce(F.slice("l", 1, SKETCH), none), F.col("s"))
+    rows = rows.select("k", "pos", "lid", F.when(F.col("l").isNotNull(), F.size("l")).alias("m"), low.alias("s"))
+    slots = [f"s{i}" for i in range(2 * SKETCH)]
+    rows = rows.select("k", "pos", "lid", "m", *[F.get("s", F.lit(i)).alias(c) for i, c in enumerate(slots)])
+    return rows.groupBy("lid").agg(F.count("*").alias("n"), *[F.first(c).alias(c) for c in ("k", "pos", "m", *slots)])
+
+
+def candidate_pairs(known: DataFrame) -> DataFrame:
+    """(a, b): distinct candidate pairs of line ids."""
+    slots = F.array_compact(F.array(*[c for c in known.columns if c[0] == "s"]))
+    keyed = known.select("lid", "n", F.explode(slots).alias("key"))
+    bucket = (keyed.groupBy("key").agg(F.count("*").alias("size"), F.min("lid").alias("lo"), F.max("lid").alias("hi"))
+              .where("size > 1"))
+    two = bucket.where("size = 2").select(F.col("lo").alias("lid"), F.col("hi").alias("other"))
+    member = stored(keyed.join(bucket.where("size > 2"), "key"))
+    common = member.where(F.col("size") > SMALL).groupBy("key").agg(F.max(F.struct("n", "lid")).getField("lid").alias("mid"))
+    large = (member.where(F.col("size") > SMALL).join(common, "key")
              .select("lid", F.explode(F.array("lo", "hi", "mid")).alias("other")))
-    small = member.join(bucket.where(F.col("n") <= SMALL).select("key"), "key", "left_semi").select("key", "lid")
+    small = member.where(F.col("size") <= SMALL).select("key", "lid")
     small = small.join(small.select("key", F.col("lid").alias("other")), "key").where("lid < other")
-    return (large.unionByName(small.select("lid", "other")).where("lid != other")
-            .select(F.least("lid", "other").alias("a"), F.greatest("lid", "other").alias("b")).distinct())
+    pairs = (large.unionByName(small.select("lid", "other")).unionByName(two).where("lid != other")
+             .select(F.least("lid", "other").alias("a"), F.greatest("lid", "other").alias("b")).distinct())
+    windows = known.select(F.col("lid").alias("a"), F.col("m").alias("ma"))
+    pairs = pairs.join(windows, "a").join(windows.toDF("b", "mb"), "b")
+    return pairs.where("ma is null or mb is null or least(ma, mb) >= 0.6 * greatest(ma, mb)").select("a", "b")
 
 
 def verified(pairs: DataFrame, text: DataFrame, similarity: float) -> DataFrame:
-    """(u, v, jaccard) of the candidate pairs at ``similarity`` or more; ``text`` has lid and line."""
+    """(u, v, jaccard) of the candidate pairs at ``similarity`` or more; ``text`` has lid and line.
+
+    Lines of ten or more words that share less than 40 % of their words cannot reach 0.8 unless nearly
+    every word differs by a letter; they skip the exact count.
+    """
     size = F.size
     j = (pairs.join(text.select(F.col("lid").alias("a"), F.col("line").alias("la")), "a")
          .join(text.select(F.col("lid").alias("b"), F.col("line").alias("lb")), "b")
-         .where(F.least(F.length("la"), F.length("lb")) >= F.greatest(F.length("la"), F.length("lb")) * (similarity / 2))
+         .withColumn("wa", F.array_distinct(F.split("la", " "))).withColumn("wb", F.array_distinct(F.split("lb", " ")))
+         .withColumn("w", size(F.array_intersect("wa", "wb")))
+         .where((F.least(size("wa"), size("wb")) < 10) | (F.col("w") >= 0.4 * (size("wa") + size("wb") - F.col("w"))))
          .select("a", "b", _shingles(F.col("la")).alias("sa"), _shingles(F.col("lb")).alias("sb"))
          .select("a", "b", size("sa").alias("na"), size("sb").alias("nb"), size(F.array_intersect("sa", "sb")).alias("i")))
     return (j.select(F.col("a").alias("u"), F.col("b").alias("v"),
@@ -109,22 +125,21 @@ def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     base = _base(docs, id_col, text_col)
     lines = (base.select("k", F.posexplode(_lines(F.col("t"))).alias("pos", "line"))
              .where(F.col("line").rlike(r"\S")).withColumn("lid", F.xxhash64("line")))
-    pairs = cut_lineage(candidate_pairs(lines))
-    seen = lines.groupBy("lid").agg(F.min(F.struct("k", "pos")).alias("first"), F.count("*").alias("n"))
+    known = stored(_known(lines))
+    pairs = stored(candidate_pairs(known))
     wanted = pairs.select(F.col("a").alias("lid")).unionByName(pairs.select(F.col("b").alias("lid"))).distinct()
-    spots = (seen.join(wanted, "lid", "left_semi").select(F.col("first.k").alias("k"), F.struct("first.pos", "lid").alias("s"))
-             .groupBy("k").agg(F.collect_list("s").alias("spots")))
-    text = (base.join(spots, "k").select(F.explode("spots").alias("s"), _lines(F.col("t")).alias("ls"))
-            .select("s.lid", F.get("ls", F.col("s.pos")).alias("line"))
-            .where(F.xxhash64("line") == F.col("lid")).dropDuplicates(["lid"]))
-    links = cut_lineage(verified(pairs, text, similarity).select("u", "v"))
+    # one place of each wanted line; a filter of fixed size keeps the other lines out of the shuffle
+    places = stored(known.join(wanted, "lid", "left_semi").select("lid", "k", "pos"))
+    place = F.xxhash64("lid", "k", "pos")
+    text = with_hit(lines, place, bit_filter(places.select(place.alias("h")), "h")).where("__hit")
+    text = text.join(places, ["lid", "k", "pos"]).select("lid", "line").dropDuplicates(["lid"])
+    links = stored(verified(pairs, text, similarity).select("u", "v"))
     comp = connected_components(links)
-    group = seen.join(comp, seen["lid"] == comp["node"], "left").select(
-        "lid", "first", "n", F.coalesce("component", "lid").alias("c"), F.col("component").isNotNull().alias("linked"))
-    group = group.where((F.col("n") > 1) | F.col("linked"))
-    stays = group.groupBy("c").agg(F.min("first").alias("stays"))
-    group = group.join(stays, "c").select("lid", "stays")
-    return (lines.select("k", "pos", "lid").join(group, "lid").where(F.struct("k", "pos") != F.col("stays"))
+    group = (known.join(comp, known["lid"] == comp["node"], "left").where((F.col("n") > 1) | F.col("component").isNotNull())
+             .select("lid", F.coalesce("component", "lid").alias("c")))
+    seen = lines.select("k", "pos", "lid").join(group, "lid")
+    stays = seen.groupBy("c").agg(F.min(F.struct("k", "pos")).alias("stays"))
+    return (seen.join(stays, "c").where(F.struct("k", "pos") != F.col("stays"))
             .groupBy("k").agg(F.collect_set("pos").alias("gone")))
 
 
@@ -135,9 +150,12 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Columns of ``docs`` keep their names and values, except that a null text becomes empty.  A document
     whose lines all go stays as a row with empty text.  Empty tables give no rows.
     """
-    gone = duplicate_lines(docs, id_col, text_col, similarity).withColumnRenamed("k", "__k").withColumnRenamed("gone", "__gone")
+    gone = stored(duplicate_lines(docs, id_col, text_col, similarity).select(F.col("k").alias("__k"), F.col("gone").alias("__gone")))
     key = F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID))
-    out = docs.join(gone, key == F.col("__k"), "left")
+    # documents that lose nothing stay where they are; the filter has a fixed size
+    marked = with_hit(docs, F.xxhash64(key), bit_filter(gone.select(F.xxhash64("__k").alias("h")), "h"))
+    out = marked.where("__hit").join(gone, key == F.col("__k"), "left").drop("__k").unionByName(
+        marked.where("not __hit").withColumn("__gone", F.lit(None).cast("array<int>")))
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     ls = _lines(text)
     stay = F.array_except(F.sequence(F.lit(0), F.size(ls) - 1), F.col("__gone"))
