@@ -1361,3 +1361,65 @@ FROM d""")
 def q_x2(spark, sf):
     old, new = P.snapshots(spark, sf)
     return SN.classify_change(SN.snapshot_diff(old, new)).select(REPO, "path", "status", "message")
+
+
+# =====================================================================================
+# Known answers on inputs that reach every branch: hosted URLs, capped commits, asked names, fenced paths
+# =====================================================================================
+
+@register("p13_hosted_url", """
+SELECT c_custkey, 'owner-' || CAST(c_custkey % 100 AS VARCHAR) AS owner,
+       'repo' || CAST(c_custkey AS VARCHAR) || CASE WHEN c_custkey % 3 = 0 THEN '.git' ELSE '' END AS repo,
+       'repo' || CAST(c_custkey AS VARCHAR) AS repo_name
+FROM customer""")
+def q_p13_hosted(spark, sf):
+    k = F.col("c_custkey")
+    url = F.concat(F.lit("https://github.com/owner-"), (k % 100).cast("string"), F.lit("/repo"), k.cast("string"),
+                   F.when(k % 3 == 0, ".git").otherwise(""), F.when(k % 5 == 0, "/").otherwise(""))
+    parts = X.repo_url_parts(url)
+    return P.table(spark, sf, "customer").select("c_custkey", *[parts[c].alias(c) for c in ("owner", "repo", "repo_name")])
+
+
+@register("p17_complexity_band", """
+SELECT l_returnflag, CASE WHEN l_quantity > 10 THEN 'High' WHEN l_quantity > 5 THEN 'Medium' ELSE 'Low' END AS band,
+       CAST(count(*) AS BIGINT) AS n
+FROM lineitem GROUP BY 1, 2""")
+def q_p17(spark, sf):
+    li = P.table(spark, sf, "lineitem").select("l_returnflag", X.complexity_band(F.col("l_quantity")).alias("band"))
+    return li.groupBy("l_returnflag", "band").agg(F.count("*").alias("n"))
+
+
+@register("w2_cap_five", W_(O.file_changes_cte()) + """,
+r AS (SELECT *, row_number() OVER (PARTITION BY repository_id, hash ORDER BY path, change_type, insertions, deletions)
+             AS file_no, count(*) OVER (PARTITION BY repository_id, hash) AS total_files FROM file_changes)
+SELECT repository_id, hash, path, CAST(file_no AS INTEGER) AS file_no, CAST(least(total_files, 5) AS BIGINT) AS files_changed,
+       CASE WHEN total_files > 5 THEN 'Display limited to 5 files' END AS note
+FROM r WHERE file_no <= 5""")
+def q_w2_five(spark, sf):
+    return J.cap_changes(P.file_changes(spark, sf), 5).select(
+        REPO, "hash", "path", F.col("file_no").cast("int"), F.col("files_changed").cast("long"), "note")
+
+
+def _asked(spark, sf):
+    """A question per part: two names asked about, and a path behind a code fence."""
+    k = F.col("p_partkey").cast("string")
+    even = F.concat(F.lit("Show me cls_"), k, F.lit(", and how does fn_"), k, F.lit(" work?"))
+    odd = F.concat(F.lit("where is var_"), k, F.lit(" defined; the function go_"), k)
+    fence = F.concat(F.lit("\n```py:src/f"), k, F.lit(".py\nx = 1\n```"))
+    text = F.concat(F.when(F.col("p_partkey") % 2 == 0, even).otherwise(odd), fence)
+    return P.table(spark, sf, "part").select("p_partkey", text.alias("content"))
+
+
+@register("u12_asked_names", """
+SELECT p_partkey, i AS element_no,
+       CASE WHEN p_partkey % 2 = 0 THEN CASE i WHEN 0 THEN 'fn_' ELSE 'cls_' END
+            ELSE CASE i WHEN 0 THEN 'go_' ELSE 'var_' END END || CAST(p_partkey AS VARCHAR) AS name
+FROM part, (VALUES (0), (1)) AS t(i)""")
+def q_u12_asked(spark, sf):
+    return TT.extract_code_elements(_asked(spark, sf), "content", ["p_partkey"]).select(
+        "p_partkey", F.col("element_no").cast("int"), "name")
+
+
+@register("u13_fenced_paths", "SELECT p_partkey, 'src/f' || CAST(p_partkey AS VARCHAR) || '.py' AS path FROM part")
+def q_u13_fenced(spark, sf):
+    return TT.extract_code_paths(_asked(spark, sf), "content", ["p_partkey"])
