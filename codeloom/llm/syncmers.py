@@ -84,14 +84,15 @@ def successors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     if not n:
         return none
     width = max(1, (high - low + 1) * GROUP // n)
-    grouped = src.where("id is not null").withColumn("g", F.floor((F.col("id") - F.lit(low)) / F.lit(width)))
+    placed = src.where("id is not null").withColumn("g", F.floor((F.col("id").cast("double") - float(low)) / width)).where("g is not null")
+    grouped = placed.repartition("g")           # the one shuffle of the texts; anchors are computed behind it
     w = Window.partitionBy("g").orderBy("id", "text")
     inner = with_anchors(grouped, "text", "a")
     inner = (inner.withColumn("next", F.lead("text").over(w)).withColumn("b", F.lead("a").over(w)).where("next is not null")
              .select("id", "text", "a", "next", "b"))
     heads = grouped.withColumn("x", F.lag("id").over(w)).where("x is null").select("g", F.col("text").alias("next"))
     tails = grouped.withColumn("x", F.lead("id").over(w)).where("x is null").select("g", "id", "text")
-    have = grouped.select("g").distinct().withColumn("s", F.floor(F.col("g") / 4096))
+    have = placed.select("g").distinct().withColumn("s", F.floor(F.col("g") / 4096))
     tops = have.groupBy("s").agg(F.min("g").alias("top"))
     tops = tops.withColumn("then", F.coalesce(F.lead("top").over(Window.orderBy("s")), F.min("top").over(Window.partitionBy())))
     after = have.withColumn("near", F.lead("g").over(Window.partitionBy("s").orderBy("g"))).join(tops, "s")
