@@ -93,7 +93,7 @@ def candidate_pairs(known: DataFrame) -> DataFrame:
              .select(F.least("lid", "other").alias("a"), F.greatest("lid", "other").alias("b")).distinct())
     windows = known.select(F.col("lid").alias("a"), F.col("m").alias("ma"))
     pairs = pairs.join(windows, "a").join(windows.toDF("b", "mb"), "b")
-    return pairs.where("ma is null or mb is null or least(ma, mb) >= 0.6 * greatest(ma, mb)").select("a", "b")
+    return pairs.where("ma is null or mb is null or least(ma, mb) + 2 >= 0.7 * greatest(ma, mb)").select("a", "b")
 
 
 def verified(pairs: DataFrame, text: DataFrame, similarity: float) -> DataFrame:
@@ -103,18 +103,26 @@ def verified(pairs: DataFrame, text: DataFrame, similarity: float) -> DataFrame:
     every word differs by a letter; they skip the exact count.
     """
     size = F.size
-    j = (pairs.join(text.select(F.col("lid").alias("a"), F.col("line").alias("la")), "a")
-         .join(text.select(F.col("lid").alias("b"), F.col("line").alias("lb")), "b")
-         .withColumn("wa", F.array_distinct(F.split("la", " "))).withColumn("wb", F.array_distinct(F.split("lb", " ")))
-         .withColumn("w", size(F.array_intersect("wa", "wb")))
-         .where((F.least(size("wa"), size("wb")) < 10) | (F.col("w") >= 0.4 * (size("wa") + size("wb") - F.col("w"))))
-         .select("a", "b", _shingles(F.col("la")).alias("sa"), _shingles(F.col("lb")).alias("sb"))
-         .select("a", "b", size("sa").alias("na"), size("sb").alias("nb"), size(F.array_intersect("sa", "sb")).alias("i")))
-    return (j.select(F.col("a").alias("u"), F.col("b").alias("v"),
-                     (F.col("i") / (F.col("na") + F.col("nb") - F.col("i"))).alias("jaccard"))
+    lines = (pairs.join(text.select(F.col("lid").alias("a"), F.col("line").alias("la")), "a")
+             .join(text.select(F.col("lid").alias("b"), F.col("line").alias("lb")), "b"))
+    words = _once(lines, ["a", "b", "la", "lb"], wa=F.array_distinct(F.split("la", " ")), wb=F.array_distinct(F.split("lb", " ")))
+    near = words.where((F.least(size("wa"), size("wb")) < 10)
+                       | (1.4 * size(F.array_intersect("wa", "wb")) >= 0.4 * (size("wa") + size("wb"))))
+    sets = _once(near, ["a", "b"], sa=_shingles(F.col("la")), sb=_shingles(F.col("lb")))
+    both = _once(sets, ["a", "b"], i=size(F.array_intersect("sa", "sb")), n=size("sa") + size("sb"))
+    return (both.select(F.col("a").alias("u"), F.col("b").alias("v"), (F.col("i") / (F.col("n") - F.col("i"))).alias("jaccard"))
             .where(F.col("jaccard") >= similarity))
 
 
+def _once(df: DataFrame, keep: list[str], **cols: Column) -> DataFrame:
+    """``df`` with costly columns that a later filter reads instead of computing them anew.
+
+    A filter moves below a projection and repeats its expressions there; it stays above an explode.
+    """
+    made = F.struct(*[c.alias(name) for name, c in cols.items()])
+    return df.select(*keep, F.explode(F.array(made)).alias("__x")).select(*keep, *[F.col(f"__x.{c}").alias(c) for c in cols])
+
+
 def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     similarity: float = MIN_SIMILARITY) -> DataFrame:
     """(k, gone): per document the positions (from 0) of lines that repeat an earlier one.
@@ -158,11 +166,10 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         marked.where("not __hit").withColumn("__gone", F.lit(None).cast("array<int>")))
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     ls = _lines(text)
-    stay = F.array_except(F.sequence(F.lit(0), F.size(ls) - 1), F.col("__gone"))
+    stay = F.array_except(F.sequence(F.lit(0), F.size("__ls") - 1), F.col("__gone"))
     new = F.when(F.col("__gone").isNull(), text).otherwise(
         F.array_join(F.transform(stay, lambda i: F.get(F.col("__ls"), i)), "\n"))
     out = out.withColumn("__ls", F.when(F.col("__gone").isNotNull(), ls))
     return out.select(*[(new.alias(c) if c == text_col else F.col(c)) for c in docs.columns],
-                      F.size(ls).cast("long").alias("n_lines"),
-                      F.coalesce(F.size(F.array_intersect(F.col("__gone"), F.sequence(F.lit(0), F.size(ls) - 1))),
-                                 F.lit(0)).cast("long").alias("n_removed"))
+                      (F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1).cast("long").alias("n_lines"),
+                      F.coalesce(F.size(F.col("__gone")), F.lit(0)).cast("long").alias("n_removed"))
