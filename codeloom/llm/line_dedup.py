@@ -8,8 +8,11 @@ DataFrame functions only.
   a 5-character one at every character.  The ranges overlap, so two lines at 0.8 have one in common.
 * Bands: every sketch value is a bucket key of its own.  Long shingles keep the buckets small.
 * Candidates: all pairs inside a bucket of up to ``SMALL`` different lines; in a larger one each line
-  meets three centres (the most frequent line, the smallest and the largest id), so a bucket with a
-  third of all lines gives three candidates a line, never all pairs.
+  meets three centres (the most frequent line, the smallest and the largest id).
+* Lines of larger buckets also go through an exact prefix-filter join on their ``SHINGLE``-character
+  shingles: lines at 0.8 share one of the rarest fifth (and one more) of either's shingles.  Centres of large
+  groups are compared first and their links contracted, so a family of near copies costs a few pairs a
+  line; then every pair left that shares a prefix shingle and lies in different components is verified.
 * Verification: exact Jaccard of the sets of ``SHINGLE``-character shingles, on the texts.  Pairs that are
   far apart by cheaper counts (numbers of different windows, different words) are dropped before it.
 * Components of the verified links; of each component's occurrences in the corpus the first one,
@@ -31,6 +34,8 @@ MIN_SIMILARITY = 0.8
 SKETCH = 4
 LONG = 80
 SMALL = 8
+ORDER_LINES = 20_000       # lines that give the order of the prefix shingles; it changes the cost only
+ORDER_SLOTS = 1 << 16
 NO_ID = (1 << 63) - 1
 EVERY5, EVERY12, EVERY16 = (f"(?s)(?=(.{{{n}}}))" for n in (SHINGLE, 12, 16))
 WORDS16 = r"(?s)(?=(\S.{15}))\S+\s*"
@@ -76,8 +81,8 @@ def _known(lines: DataFrame) -> DataFrame:
     return rows.groupBy("lid").agg(F.count("*").alias("n"), *[F.first(c).alias(c) for c in ("k", "pos", "m", *slots)])
 
 
-def candidate_pairs(known: DataFrame) -> DataFrame:
-    """(a, b): distinct candidate pairs of line ids."""
+def candidate_pairs(known: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(a, b): distinct candidate pairs of line ids; (lid): the lines of buckets too large for all pairs."""
     slots = F.array_compact(F.array(*[c for c in known.columns if c[0] == "s"]))
     keyed = known.select("lid", "n", F.explode(slots).alias("key"))
     bucket = (keyed.groupBy("key").agg(F.count("*").alias("size"), F.min("lid").alias("lo"), F.max("lid").alias("hi"))
@@ -89,11 +94,61 @@ def candidate_pairs(known: DataFrame) -> DataFrame:
              .select("lid", F.explode(F.array("lo", "hi", "mid")).alias("other")))
     small = member.where(F.col("size") <= SMALL).select("key", "lid")
     small = small.join(small.select("key", F.col("lid").alias("other")), "key").where("lid < other")
-    pairs = (large.unionByName(small.select("lid", "other")).unionByName(two).where("lid != other")
-             .select(F.least("lid", "other").alias("a"), F.greatest("lid", "other").alias("b")).distinct())
+    pairs = _pairs(large.unionByName(small.select("lid", "other")).unionByName(two))
     windows = known.select(F.col("lid").alias("a"), F.col("m").alias("ma"))
     pairs = pairs.join(windows, "a").join(windows.toDF("b", "mb"), "b")
-    return pairs.where("ma is null or mb is null or least(ma, mb) + 2 >= 0.7 * greatest(ma, mb)").select("a", "b")
+    pairs = pairs.where("ma is null or mb is null or least(ma, mb) + 2 >= 0.7 * greatest(ma, mb)").select("a", "b")
+    return pairs, member.where(F.col("size") > SMALL).select("lid").distinct()
+
+
+def _pairs(df: DataFrame) -> DataFrame:
+    return df.where("lid != other").select(F.least("lid", "other").alias("a"), F.greatest("lid", "other").alias("b")).distinct()
+
+
+def prefixes(text: DataFrame, similarity: float) -> DataFrame:
+    """(tok, lid, n, at): the rarest shingles of each line, enough that two lines at ``similarity`` share one.
+
+    Any one order of the shingles gives all pairs; counts from a sample of the lines put rare ones first.
+    """
+    sets = text.select("lid", F.transform(_shingles(F.col("line")), lambda x: F.xxhash64(x)).alias("h"))
+    every = max(1, text.count() // ORDER_LINES)
+    seen = (sets.where(F.expr(f"pmod(xxhash64(lid), {every}) = 0")).select(F.explode("h").alias("h"))
+            .groupBy(F.col("h").bitwiseAND(F.lit(ORDER_SLOTS - 1)).alias("slot")).count().collect())
+    count = [0] * ORDER_SLOTS
+    for r in seen:
+        count[r["slot"]] = min(r["count"], 32767)
+    counts = F.split(F.lit(",".join(map(str, count))), ",").cast("array<bigint>")
+    ranked = F.sort_array(F.transform("h", lambda h: F.shiftleft(F.get(counts, h.bitwiseAND(F.lit(ORDER_SLOTS - 1)).cast("int")), 48)
+                                      .bitwiseOR(h.bitwiseAND(F.lit((1 << 48) - 1)))))
+    n = F.size("h")
+    length = (n - F.ceil(n * F.lit(similarity) - F.lit(1e-9)) + 1).cast("int")
+    return sets.select("lid", n.alias("n"), F.posexplode(F.slice(ranked, F.lit(1), length)).alias("at", "tok"))
+
+
+def centre_pairs(prefix: DataFrame) -> DataFrame:
+    """(a, b): in groups of one prefix shingle above ``SMALL``, each line with the smallest and the largest id."""
+    group = prefix.groupBy("tok").agg(F.count("*").alias("size"), F.min("lid").alias("lo"), F.max("lid").alias("hi"))
+    rows = prefix.select("tok", "lid").join(group.where(F.col("size") > SMALL), "tok")
+    return _pairs(rows.select("lid", F.explode(F.array("lo", "hi")).alias("other")))
+
+
+def pairs_between(prefix: DataFrame, comp: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): pairs that share a prefix shingle, can reach ``similarity`` and lie in different components.
+
+    Only lines outside a group's largest component look for others, so a large family is not paired with itself.
+    """
+    rows = prefix.join(comp.select(F.col("node").alias("lid"), "component"), "lid", "left")
+    rows = stored(rows.select("tok", "lid", "n", "at", F.coalesce("component", "lid").alias("c")))
+    top = rows.groupBy("tok", "c").agg(F.count("*").alias("m")).groupBy("tok").agg(
+        F.max(F.struct("m", "c")).getField("c").alias("top"), F.count("*").alias("parts")).where("parts > 1")
+    rows = rows.join(top.select("tok", "top"), "tok")
+    other = rows.select("tok", F.col("lid").alias("other"), F.col("n").alias("n2"), F.col("at").alias("at2"), F.col("c").alias("c2"))
+    both = rows.where("c != top").join(other, "tok").where("c != c2 and (c2 = top or lid < other)")
+    # bounds that follow from the similarity: the sizes, and what can follow the first shingle in common
+    fits = ((F.least("n", "n2") >= F.greatest("n", "n2") * similarity - 1e-9)
+            & (1 + F.least(F.col("n") - F.col("at"), F.col("n2") - F.col("at2")) - 1
+               >= (F.col("n") + F.col("n2")) * (similarity / (1 + similarity)) - 1e-9))
+    return _pairs(both.where(fits))
 
 
 def verified(pairs: DataFrame, text: DataFrame, similarity: float) -> DataFrame:
@@ -134,15 +189,21 @@ def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     lines = (base.select("k", F.posexplode(_lines(F.col("t"))).alias("pos", "line"))
              .where(F.col("line").rlike(r"\S")).withColumn("lid", F.xxhash64("line")))
     known = stored(_known(lines))
-    pairs = stored(candidate_pairs(known))
-    wanted = pairs.select(F.col("a").alias("lid")).unionByName(pairs.select(F.col("b").alias("lid"))).distinct()
+    pairs, crowded = (stored(t) for t in candidate_pairs(known))
+    wanted = (pairs.select(F.col("a").alias("lid")).unionByName(pairs.select(F.col("b").alias("lid"))).unionByName(crowded)
+              .distinct())
     # one place of each wanted line; a filter of fixed size keeps the other lines out of the shuffle
     places = stored(known.join(wanted, "lid", "left_semi").select("lid", "k", "pos"))
     place = F.xxhash64("lid", "k", "pos")
     text = with_hit(lines, place, bit_filter(places.select(place.alias("h")), "h")).where("__hit")
-    text = text.join(places, ["lid", "k", "pos"]).select("lid", "line").dropDuplicates(["lid"])
-    links = stored(verified(pairs, text, similarity).select("u", "v"))
+    text = stored(text.join(places, ["lid", "k", "pos"]).select("lid", "line").dropDuplicates(["lid"]))
+    prefix = stored(prefixes(text.join(crowded, "lid", "left_semi"), similarity))
+    first = stored(pairs.unionByName(centre_pairs(prefix)).distinct())
+    links = stored(verified(first, text, similarity).select("u", "v"))
     comp = connected_components(links)
+    rest = pairs_between(prefix, comp, similarity).join(first, ["a", "b"], "left_anti")
+    more = stored(verified(rest, text, similarity).select("u", "v"))
+    comp = connected_components(comp.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(more))
     group = (known.join(comp, known["lid"] == comp["node"], "left").where((F.col("n") > 1) | F.col("component").isNotNull())
              .select("lid", F.coalesce("component", "lid").alias("c")))
     seen = lines.select("k", "pos", "lid").join(group, "lid")

@@ -87,3 +87,19 @@ def test_no_python_in_the_plan(spark):
     df = spark.createDataFrame([(1, "x y z")], "doc_id long, text string")
     plan = L.dedup_lines(df)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
+
+
+def test_families_in_one_bucket(spark):
+    rnd = random.Random(3)
+    word = lambda: "".join(rnd.choice("abcdefghijklmnop") for _ in range(7))
+    shared = [word() for _ in range(60)]
+    rows = []
+    for f in range(40):
+        own = [word() for _ in range(30)]
+        for v in range(3):
+            w = shared + own
+            w[rnd.randrange(len(w))] = word()
+            rows.append((f * 10 + v, " ".join(w)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r.doc_id, r.text, r.n_lines, r.n_removed) for r in L.dedup_lines(df).collect())
+    assert got == sorted(brute(rows))
