@@ -3,9 +3,10 @@
 DataFrame functions only.
 
 * Signature: hashes of long character shingles, sorted; the smallest ``SKETCH`` distinct ones (a bottom-k
-  MinHash).  Lines of ``LONG`` characters or more take a 16-character shingle at every word start (at every
-  character where words are rare), lines of 12 to ``LONG * 1.25`` a 12-character one and lines of up to 14
-  a 5-character one at every character.  The ranges overlap, so two lines at 0.8 have one in common.
+  MinHash).  Lines of ``LONG`` characters or more take a 16-character shingle at every word start and, inside
+  a word, at every character after its first 16, so what is a shingle depends on the text around it and not on
+  the line; lines of 12 to ``LONG * 1.25`` take a 12-character one and lines of up to 14 a 5-character one at
+  every character.  The ranges overlap, so two lines without much repetition in them at 0.8 have one in common.
 * Bands: every sketch value is a bucket key of its own.  Long shingles keep the buckets small.
 * Candidates: all pairs inside a bucket of up to ``SMALL`` different lines; in a larger one each line
   meets three centres (the most frequent line, the smallest and the largest id).
@@ -13,8 +14,8 @@ DataFrame functions only.
   shingles: lines at 0.8 share one of the rarest fifth (and one more) of either's shingles.  Centres of large
   groups are compared first and their links contracted, so a family of near copies costs a few pairs a
   line; then every pair left that shares a prefix shingle and lies in different components is verified.
-* Verification: exact Jaccard of the sets of ``SHINGLE``-character shingles, on the texts.  Pairs that are
-  far apart by cheaper counts (numbers of different windows, different words) are dropped before it.
+* Verification: exact Jaccard of the sets of ``SHINGLE``-character shingles, on the texts.  Pairs whose
+  numbers of different shingles are too far apart to reach it are dropped before their texts are joined.
 * Components of the verified links; of each component's occurrences in the corpus the first one,
   by (id, position), stays.
 
@@ -37,8 +38,8 @@ SMALL = 8
 ORDER_LINES = 20_000       # lines that give the order of the prefix shingles; it changes the cost only
 ORDER_SLOTS = 1 << 16
 NO_ID = (1 << 63) - 1
-EVERY5, EVERY12, EVERY16 = (f"(?s)(?=(.{{{n}}}))" for n in (SHINGLE, 12, 16))
-WORDS16 = r"(?s)(?=(\S.{15}))\S+\s*"
+EVERY5, EVERY12 = (f"(?s)(?=(.{{{n}}}))" for n in (SHINGLE, 12))
+WORDS16 = r"(?s)(?=(\S.{15}))(?:(?<!\S)\S{1,16}+|\S)\s*+"
 
 
 def _lines(text: Column) -> Column:
@@ -65,20 +66,18 @@ def _base(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _known(lines: DataFrame) -> DataFrame:
-    """One row per different line: lid, n occurrences, one place (k, pos), m different long windows (null for
-    lines below ``LONG``) and the bucket keys s0, s1, ..."""
+    """One row per different line: lid, n occurrences, one place (k, pos) and the bucket keys s0, s1, ..."""
     n, line = F.length("line"), F.col("line")
     none = F.array().cast("array<bigint>")
-    rows = lines.select("k", "pos", "lid", "line", F.when(n >= LONG, _windows(line, WORDS16)).alias("w"))
-    rows = rows.select("k", "pos", "lid", _hashes(F.when(F.size("w") * 40 < n, _windows(line, EVERY16)).otherwise(F.col("w")), 2).alias("l"), F.concat(
-        F.when((n >= SHINGLE) & (n <= 14), F.slice(_hashes(_windows(line, EVERY5), 0), 1, SKETCH)).otherwise(none),
-        F.when((n >= 12) & (n <= LONG * 5 // 4), F.slice(_hashes(_windows(line, EVERY12), 1), 1, SKETCH)).otherwise(none),
-    ).alias("s"))
-    low = F.concat(F.coalesce(F.slice("l", 1, SKETCH), none), F.col("s"))
-    rows = rows.select("k", "pos", "lid", F.when(F.col("l").isNotNull(), F.size("l")).alias("m"), low.alias("s"))
+
+    def low(take: Column, pattern: str, scheme: int) -> Column:
+        return F.when(take, F.slice(_hashes(_windows(line, pattern), scheme), 1, SKETCH)).otherwise(none)
+    keys = F.concat(low(n >= LONG, WORDS16, 2), low((n >= SHINGLE) & (n <= 14), EVERY5, 0),
+                    low((n >= 12) & (n <= LONG * 5 // 4), EVERY12, 1))
     slots = [f"s{i}" for i in range(2 * SKETCH)]
-    rows = rows.select("k", "pos", "lid", "m", *[F.get("s", F.lit(i)).alias(c) for i, c in enumerate(slots)])
-    return rows.groupBy("lid").agg(F.count("*").alias("n"), *[F.first(c).alias(c) for c in ("k", "pos", "m", *slots)])
+    rows = lines.select("k", "pos", "lid", keys.alias("s"))
+    rows = rows.select("k", "pos", "lid", *[F.get("s", F.lit(i)).alias(c) for i, c in enumerate(slots)])
+    return rows.groupBy("lid").agg(F.count("*").alias("n"), *[F.first(c).alias(c) for c in ("k", "pos", *slots)])
 
 
 def candidate_pairs(known: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -95,9 +94,6 @@ def candidate_pairs(known: DataFrame) -> tuple[DataFrame, DataFrame]:
     small = member.where(F.col("size") <= SMALL).select("key", "lid")
     small = small.join(small.select("key", F.col("lid").alias("other")), "key").where("lid < other")
     pairs = _pairs(large.unionByName(small.select("lid", "other")).unionByName(two))
-    windows = known.select(F.col("lid").alias("a"), F.col("m").alias("ma"))
-    pairs = pairs.join(windows, "a").join(windows.toDF("b", "mb"), "b")
-    pairs = pairs.where("ma is null or mb is null or least(ma, mb) + 2 >= 0.7 * greatest(ma, mb)").select("a", "b")
     return pairs, member.where(F.col("size") > SMALL).select("lid").distinct()
 
 
@@ -152,21 +148,17 @@ def pairs_between(prefix: DataFrame, comp: DataFrame, similarity: float) -> Data
 
 
 def verified(pairs: DataFrame, text: DataFrame, similarity: float) -> DataFrame:
-    """(u, v, jaccard) of the candidate pairs at ``similarity`` or more; ``text`` has lid and line.
-
-    Lines of ten or more words that share less than 40 % of their words cannot reach 0.8 unless nearly
-    every word differs by a letter; they skip the exact count.
+    """(u, v, jaccard) of the candidate pairs at ``similarity`` or more; ``text`` has lid, line and n5, the number
+    of its different shingles.  The smaller number over the larger one bounds the coefficient from above.
     """
-    size = F.size
-    lines = (pairs.join(text.select(F.col("lid").alias("a"), F.col("line").alias("la")), "a")
+    count = text.select(F.col("lid").alias("a"), F.col("n5").alias("na"))
+    near = pairs.join(count, "a").join(count.toDF("b", "nb"), "b")
+    near = near.where(F.least("na", "nb") >= F.greatest("na", "nb") * similarity - 1e-9)
+    lines = (near.join(text.select(F.col("lid").alias("a"), F.col("line").alias("la")), "a")
              .join(text.select(F.col("lid").alias("b"), F.col("line").alias("lb")), "b"))
-    words = _once(lines, ["a", "b", "la", "lb"], wa=F.array_distinct(F.split("la", " ")), wb=F.array_distinct(F.split("lb", " ")))
-    near = words.where((F.least(size("wa"), size("wb")) < 10)
-                       | (1.4 * size(F.array_intersect("wa", "wb")) >= 0.4 * (size("wa") + size("wb"))))
-    sets = _once(near, ["a", "b"], sa=_shingles(F.col("la")), sb=_shingles(F.col("lb")))
-    both = _once(sets, ["a", "b"], i=size(F.array_intersect("sa", "sb")), n=size("sa") + size("sb"))
-    return (both.select(F.col("a").alias("u"), F.col("b").alias("v"), (F.col("i") / (F.col("n") - F.col("i"))).alias("jaccard"))
-            .where(F.col("jaccard") >= similarity))
+    both = _once(lines, ["a", "b", "na", "nb"], i=F.size(F.array_intersect(_shingles(F.col("la")), _shingles(F.col("lb")))))
+    jaccard = F.col("i") / (F.col("na") + F.col("nb") - F.col("i"))
+    return both.select(F.col("a").alias("u"), F.col("b").alias("v"), jaccard.alias("jaccard")).where(F.col("jaccard") >= similarity)
 
 
 def _once(df: DataFrame, keep: list[str], **cols: Column) -> DataFrame:
@@ -196,7 +188,8 @@ def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     places = stored(known.join(wanted, "lid", "left_semi").select("lid", "k", "pos"))
     place = F.xxhash64("lid", "k", "pos")
     text = with_hit(lines, place, bit_filter(places.select(place.alias("h")), "h")).where("__hit")
-    text = stored(text.join(places, ["lid", "k", "pos"]).select("lid", "line").dropDuplicates(["lid"]))
+    text = stored(text.join(places, ["lid", "k", "pos"]).select("lid", "line").dropDuplicates(["lid"])
+                  .withColumn("n5", F.size(_shingles(F.col("line")))))
     prefix = stored(prefixes(text.join(crowded, "lid", "left_semi"), similarity))
     first = stored(pairs.unionByName(centre_pairs(prefix)).distinct())
     links = stored(verified(first, text, similarity).select("u", "v"))

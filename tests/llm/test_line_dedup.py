@@ -103,3 +103,24 @@ def test_families_in_one_bucket(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = sorted((r.doc_id, r.text, r.n_lines, r.n_removed) for r in L.dedup_lines(df).collect())
     assert got == sorted(brute(rows))
+
+
+def test_prunes_keep_every_near_pair(spark):
+    rnd = random.Random(11)
+    part = lambda n: "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz0123456789") for _ in range(n))
+    rows = []
+    for i in range(12):
+        # one edit in a repeated phrase makes many new windows of 16 characters and few of 5
+        phrase = " ".join(part(2) for _ in range(30))
+        rows += [(i * 10, " ".join([phrase] * 5)), (i * 10 + 1, " ".join([phrase] * 4 + [phrase[:40] + "#" + phrase[41:]]))]
+        # few words: the second line has one more space, so it lies on the other side of one word in 40 characters
+        blob = part(400)
+        rows += [(i * 10 + 2, " ".join([blob[:300], *[blob[300 + j * 10:310 + j * 10] for j in range(9)], blob[390:]])),
+                 (i * 10 + 3, " ".join([blob[:300], *[blob[300 + j * 10:310 + j * 10] for j in range(8)], blob[380:]]))]
+        # long words, each with one letter changed
+        words = [part(70) for _ in range(12)]
+        rows += [(i * 10 + 4, " ".join(words)), (i * 10 + 5, " ".join(w[:35] + "#" + w[36:] for w in words))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r.doc_id, r.text, r.n_lines, r.n_removed) for r in L.dedup_lines(df).collect())
+    assert got == sorted(brute(rows))
+    assert sum(r[3] for r in got) == 36
