@@ -27,10 +27,13 @@ from pyspark.sql import functions as F
 # fixed marks of the template; every one starts with < or [
 MARKS = ["<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>", "<|role|>", "<|end|>"]
 _TO_ESCAPE = r"\\|<(?=/?s>|</?SYS>>|\|(?:role|end)\|>)|\[(?=/?INST\])"
-_TEXT = r"((?:[^\\]|\\.)*?)"
-# one alternative a role form; a mark that is escaped does not match, as its first character follows a backslash
-_TURN = (r"(?s)\G(?:<s>\[INST\] " + _TEXT + r" \[/INST\]|<s><<SYS>> " + _TEXT + r" <</SYS>>| " + _TEXT + r"</s>|<\|role\|>"
-         + _TEXT + r"\n" + _TEXT + r"<\|end\|>)")
+# escaped text up to the next mark: possessive runs, which Java matches by a loop and not by a call a character
+_STEPS = r"\\.|<(?!/?s>|</?SYS>>|\|(?:role|end)\|>)|\[(?!/?INST\])"
+_TEXT = r"((?:[^\\<\[]++|" + _STEPS + r")*+)"
+_ROLE = r"((?:[^\\<\[\n]++|" + _STEPS + r")*+)"
+# one alternative a role form; a user's or system's text is read with the space before its closing mark
+_TURN = (r"(?s)\G(?:<s>\[INST\] " + _TEXT + r"(?<= )\[/INST\]|<s><<SYS>> " + _TEXT + r"(?<= )<</SYS>>| " + _TEXT + r"</s>|<\|role\|>"
+         + _ROLE + r"\n" + _TEXT + r"<\|end\|>)")
 
 
 def escape(text: Column) -> Column:
@@ -97,9 +100,10 @@ def read_back(formatted: Column) -> Column:
         return F.regexp_extract_all(formatted, F.lit(_TURN), F.lit(i))
     whole = F.arrays_zip(group(0).alias("w"), group(1).alias("u"), group(2).alias("s"), group(3).alias("a"), group(4).alias("r"),
                          group(5).alias("t"))
+    body = lambda t: F.substring(t, F.lit(1), F.length(t) - 1)
     w = lambda x, mark: F.startswith(x["w"], F.lit(mark))
-    return F.transform(whole, lambda x: F.when(w(x, "<s>[INST]"), F.struct(F.lit("user").alias("role"), unescape(x["u"]).alias("text")))
-                       .when(w(x, "<s><<SYS>>"), F.struct(F.lit("system").alias("role"), unescape(x["s"]).alias("text")))
+    return F.transform(whole, lambda x: F.when(w(x, "<s>[INST]"), F.struct(F.lit("user").alias("role"), unescape(body(x["u"])).alias("text")))
+                       .when(w(x, "<s><<SYS>>"), F.struct(F.lit("system").alias("role"), unescape(body(x["s"])).alias("text")))
                        .when(w(x, " "), F.struct(F.lit("assistant").alias("role"), unescape(x["a"]).alias("text")))
                        .otherwise(F.struct(unescape(x["r"]).alias("role"), unescape(x["t"]).alias("text"))))
 

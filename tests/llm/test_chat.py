@@ -70,3 +70,13 @@ def test_query_and_empty(spark):
     rows += [(-1, 0, "user", NASTY[0]), (-1, 1, "assistant", NASTY[0])]
     assert {r.conv_id: (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) for r in got.collect()} == brute(rows)
     assert C.examples(frame(spark, rows_of()).limit(0)).count() == 0
+
+
+def test_long_turns(spark):
+    rows = [(n * 10 + k, t, role, x * (n // len(x))) for n in (5000, 10**5, 10**6) for k, x in enumerate(["q", "a </s>\\ [INST] <<SYS>> é"])
+            for t, role in enumerate(["system", "user", "assistant", "tool"])]
+    got = {r.conv_id: (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) for r in C.digest(C.examples(frame(spark, rows))).collect()}
+    assert got == brute(rows)
+    role = [(1, 0, "r\n\\<|end|>" * 10**4, "x"), (1, 1, "assistant", "y")]
+    got = {r.conv_id: (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) for r in C.digest(C.examples(frame(spark, role))).collect()}
+    assert got == brute(role)
