@@ -211,18 +211,18 @@ def function_metrics(symbols: DataFrame) -> DataFrame:
 
 
 def raw_metrics(files: DataFrame) -> DataFrame:
-    """Source lines (non-blank, non-comment), comment lines and their ratio per analysable file.
+    """Source lines (non-blank, non-comment), comment lines and their ratio per file.
 
-    Lines are exploded and counted with ``count_if`` (JVM only).
+    Lines are exploded and counted with ``count_if`` (JVM only).  An empty or missing content counts zero lines.
     """
     from codeloom.functions import exprs as X
     from codeloom.functions import text as TX
-    lines = files.select(REPO, "path", F.explode(TX.splitlines(F.col("content"))).alias("line"))
+    lines = files.select(REPO, "path", F.explode_outer(TX.splitlines(F.col("content"))).alias("line"))
     s = X.py_strip(F.col("line"))
     is_comment = s.startswith("#") | s.startswith("//") | s.startswith("/*") | s.startswith("*")
     per = lines.groupBy(REPO, "path").agg(
         F.count_if((s != "") & ~is_comment).alias("sloc"), F.count_if(is_comment).alias("comments"),
-        F.count_if(s == "").alias("blank"), F.count("*").alias("loc"))
+        F.count_if(s == "").alias("blank"), F.count("line").alias("loc"))
     return per.select(REPO, "path", F.col("loc").cast("long"), F.col("sloc").cast("long"),
                       F.col("comments").cast("long"), F.col("blank").cast("long"),
                       F.when(F.col("sloc") > 0, F.col("comments") / F.col("sloc")).otherwise(F.lit(0.0))
@@ -243,19 +243,20 @@ def maintainability(volume, complexity, sloc, comments):
 
 
 def file_metrics(files: DataFrame, symbols: DataFrame) -> DataFrame:
-    """A5: lines_of_code, average cyclomatic complexity, maintainability and comment ratio per file.
+    """A5: lines_of_code, average cyclomatic complexity, maintainability and comment ratio per analysable file.
 
-    Non-Python and unparsable files get a null complexity (``count_missing_as_zero``
-    in :func:`codeloom.operators.aggregates.technical_debt` reproduces the reference's zeros).
+    Files without a Python module row (other languages) and unparsable files get a null complexity and
+    maintainability.  Empty files are rows too; binary and unreadable ones are not.
     """
+    from codeloom.functions import exprs as X
     # each def once: methods are also listed as functions by the walk
     fm = (function_metrics(symbols).where(F.col("kind") == "function")
           .groupBy(REPO, "path").agg(F.avg("complexity").alias("cyclomatic_complexity")))
     mod = symbols.where(F.col("kind") == "module").select(REPO, "path", F.col("complexity").alias("total_complexity"),
                                                           "halstead_volume", "error")
-    raw = raw_metrics(files.where(F.col("path").endswith(".py") & ~F.col("binary")))
-    j = raw.join(mod, [REPO, "path"], "inner").join(fm, [REPO, "path"], "left")
-    parsed = F.col("error").isNull()
+    analysable = X._any_suffix(F.col("path"), X.ANALYZABLE_EXTENSIONS) & ~F.col("binary") & F.col("content").isNotNull()
+    j = raw_metrics(files.where(analysable)).join(mod, [REPO, "path"], "left").join(fm, [REPO, "path"], "left")
+    parsed = F.col("total_complexity").isNotNull() & F.col("error").isNull()
     return j.select(
         REPO, "path", F.col("sloc").alias("lines_of_code"),
         F.when(parsed, F.coalesce("cyclomatic_complexity", F.lit(0.0))).alias("cyclomatic_complexity"),

@@ -1150,12 +1150,45 @@ SELECT repository_id, path, CAST(sloc AS BIGINT) AS lines_of_code,
        round(comments / sloc, 6) AS comment_ratio
 FROM m""")
 def q_a5(spark, sf):
-    m = SY.file_metrics(P.files(spark, sf), _symbols(spark, sf))
+    return _file_metrics(P.files(spark, sf).where(F.col("path").endswith(".py")), _symbols(spark, sf))
+
+
+def _file_metrics(files, symbols):
+    m = SY.file_metrics(files, symbols)
     return m.select(REPO, "path", "lines_of_code", r6(F.col("cyclomatic_complexity")).alias("cyclomatic_complexity"),
                     r6(F.col("maintainability_index")).alias("maintainability_index"),
                     r6(F.col("comment_ratio")).alias("comment_ratio"))
 
 
+_ANALYSABLE_SQL = " OR ".join(f"ends_with(path, {O.sql_str(e)})" for e in X.ANALYZABLE_EXTENSIONS)
+
+
+@register("a5_file_metrics_all", "WITH " + py_docs_cte() + f""",
+pyk AS (SELECT repository_id, path, doc_id, {PY_L} AS L, {PY_K} AS k, {PY_D} AS d FROM pyd),
+m AS (SELECT repository_id, path, k, L AS comments, 9 + d + 2 * k AS sloc, k + 2 AS g,
+             CASE WHEN k > 0 THEN 6 * k * log2(6) ELSE 0.0 END AS v FROM pyk),
+rest AS (SELECT repository_id, path, content FROM files
+         WHERE content IS NOT NULL AND NOT ends_with(path, '.py') AND ({_ANALYSABLE_SQL})),
+l AS (SELECT repository_id, path, regexp_replace(line, '^[\\s\\pZ]+|[\\s\\pZ]+$', '', 'g') AS s FROM {_sql_lines("(SELECT * FROM rest)")}),
+c AS (SELECT repository_id, path, s, starts_with(s, '#') OR starts_with(s, '//') OR starts_with(s, '/*')
+             OR starts_with(s, '*') AS is_comment FROM l),
+per AS (SELECT repository_id, path, count(*) FILTER (WHERE s <> '' AND NOT is_comment) AS sloc,
+               count(*) FILTER (WHERE is_comment) AS comments FROM c GROUP BY 1, 2)
+SELECT repository_id, path, CAST(sloc AS BIGINT) AS lines_of_code,
+       round(1.0 + k / 2.0, 6) AS cyclomatic_complexity,
+       round(CASE WHEN v <= 0 OR sloc <= 0 THEN 100.0 ELSE greatest(0.0, least(100.0,
+             (171 - 5.2 * ln(v) - 0.23 * g - 16.2 * ln(sloc) + 50 * sin(sqrt(2.4 * radians(comments * 100.0 / sloc))))
+             * 100 / 171)) END, 6) AS maintainability_index,
+       round(comments / sloc, 6) AS comment_ratio
+FROM m
+UNION ALL
+SELECT repository_id, path, CAST(coalesce(sloc, 0) AS BIGINT), NULL, NULL,
+       round(CASE WHEN sloc > 0 THEN comments / sloc ELSE 0.0 END, 6)
+FROM rest LEFT JOIN per USING (repository_id, path)""")
+def q_a5_all(spark, sf):
+    return _file_metrics(P.files(spark, sf), _symbols(spark, sf))
+
+
 # =====================================================================================
 # C : context assembly (nested output; checked by row count and by tests)
 # =====================================================================================

@@ -109,3 +109,13 @@ def test_deep_files_do_not_fail_the_job(spark):
         own = [r for r in rows if r.path == path]
         assert any(r.error for r in own) or any(r.kind == "module" for r in own)
     assert any(r.name == "h" for r in rows)
+
+
+def test_metrics_of_every_analysable_file(spark):
+    files = files_df(spark, [("r", "a.py", "def f():\n    return 1\n"), ("r", "bad.py", "def (:\n"), ("r", "b.js", "// c\nx = 1\n"),
+                             ("r", "C.java", ""), ("r", "empty.py", ""), ("r", "n.md", "text"), ("r", "gone.c", None)])
+    got = {r.path: (r.lines_of_code, r.cyclomatic_complexity, r.comment_ratio)
+           for r in SY.file_metrics(files, SY.python_symbols(files)).collect()}
+    assert got == {"a.py": (2, 1.0, 0.0), "bad.py": (1, None, 0.0), "b.js": (1, None, 1.0), "C.java": (0, None, 0.0), "empty.py": (0, 0.0, 0.0)}
+    raw = {r.path: (r.loc, r.sloc) for r in SY.raw_metrics(files.where(F.col("content").isNotNull())).collect()}
+    assert raw["C.java"] == (0, 0) and raw["n.md"] == (1, 1) and len(raw) == 6
