@@ -38,6 +38,12 @@ SYMBOL_ROW = T.StructType([
     T.StructField("complexity", T.IntegerType()),
     T.StructField("halstead_volume", T.DoubleType()),
     T.StructField("error", T.StringType()),
+    T.StructField("methods", T.ArrayType(T.StructType([
+        T.StructField("name", T.StringType()),
+        T.StructField("line_start", T.IntegerType()),
+        T.StructField("line_end", T.IntegerType()),
+        T.StructField("signature", T.StringType()),
+    ]))),
 ])
 
 
@@ -132,7 +138,7 @@ def _parse(repo, path, content, include_async, top_level_only):
         r = {"repository_id": repo, "path": path, "kind": kind, "name": name, "parent": None,
              "line_start": None, "line_end": None, "args": None, "bases": None, "alias": None,
              "docstring": None, "code_id": None, "source": None, "complexity": None,
-             "halstead_volume": None, "error": None}
+             "halstead_volume": None, "error": None, "methods": None}
         r.update(kw)
         rows.append(r)
 
@@ -153,7 +159,10 @@ def _parse(repo, path, content, include_async, top_level_only):
             s, e = node.lineno, node.end_lineno
             row("class", node.name, line_start=s, line_end=e,
                 bases=[b.id for b in node.bases if isinstance(b, ast.Name)],
-                docstring=ast.get_docstring(node), code_id=f"class_{node.name}_{s}", source=_segment(lines, s, e))
+                docstring=ast.get_docstring(node), code_id=f"class_{node.name}_{s}", source=_segment(lines, s, e),
+                methods=[{"name": m.name, "line_start": m.lineno, "line_end": m.end_lineno,
+                          "signature": f"def {m.name}({', '.join(a.arg for a in m.args.args)})"}
+                         for m in node.body if isinstance(m, func_types)])
             for item in node.body:
                 if isinstance(item, func_types):
                     ms, me = item.lineno, item.end_lineno
@@ -265,13 +274,19 @@ def file_metrics(files: DataFrame, symbols: DataFrame) -> DataFrame:
         "comment_ratio", "error")
 
 
-def search_symbols(names: DataFrame, symbols: DataFrame, kind: str = "any") -> DataFrame:
-    """U4: requested names x (Python symbols U2 union regex symbols U3)."""
+def search_symbols(names: DataFrame, symbols: DataFrame, kind: str = "any", files: DataFrame | None = None) -> DataFrame:
+    """U4: requested names x (Python symbols U2 union regex symbols U3 of the other ``files``).
+
+    Class rows of Python files carry their methods.  The signature of a regex symbol is its line.
+    """
+    from codeloom.operators import text_tables as TT
     s = symbols.where(F.col("kind").isin("function", "class", "method"))
-    if kind != "any":
-        s = s.where(F.col("kind") == kind)
     sig = F.when(F.col("kind").isin("function", "method"),
                  F.concat(F.lit("def "), F.col("name"), F.lit("("), F.array_join(F.coalesce("args", F.array()), ", "),
                           F.lit(")")))
-    return names.join(s, "name").withColumn("signature", F.coalesce(sig, F.col("signature")) if "signature" in s.columns
-                                            else sig)
+    s = s.withColumn("signature", F.coalesce(sig, F.col("signature")) if "signature" in s.columns else sig)
+    if files is not None:
+        s = s.unionByName(TT.regex_symbols(files, names), allowMissingColumns=True)
+    if kind != "any":
+        s = s.where(F.col("kind") == kind)
+    return names.join(s, "name")

@@ -755,6 +755,39 @@ def q_j9(spark, sf):
     return hits.select("name", REPO, "path", "kind", "line_start", "signature")
 
 
+_ASKED_PREFIXES = ("f_", "C_", "g_", "h_", "K_")
+
+
+def _decl_list(pats):
+    return ", ".join("regexp_extract_all(line, " + O.sql_str(p) + ", 1)" for p in pats)
+
+
+@register("j9_symbol_search_all", _PY_ROWS + f""",
+names AS ({" UNION ALL ".join(f"SELECT '{p}' || CAST(doc_id AS VARCHAR) AS name FROM labels" for p in _ASKED_PREFIXES)}),
+lines AS (SELECT repository_id, path, CAST(pos AS INTEGER) AS line_no, line
+          FROM {_sql_lines("(SELECT * FROM files WHERE content IS NOT NULL AND NOT ends_with(path, '.py'))")}),
+decl AS (SELECT DISTINCT repository_id, path, line_no, line,
+                unnest(flatten([{_decl_list(TT.DECL_FUNCTION)}])) AS name, 'function' AS kind FROM lines
+         UNION
+         SELECT DISTINCT repository_id, path, line_no, line,
+                unnest(regexp_extract_all(line, {O.sql_str(TT.DECL_CLASS[0])}, 1)), 'class' FROM lines),
+hits AS (SELECT repository_id, path, line_no, line, name, max(kind) AS kind FROM decl GROUP BY 1, 2, 3, 4, 5)
+SELECT s.name, s.repository_id, s.path, s.kind, CAST(s.line_start AS INTEGER) AS line_start,
+       CASE WHEN s.kind IN ('function', 'method') THEN 'def ' || s.name || '(' || replace(s.args, ',', ', ') || ')' END
+         AS signature,
+       CASE WHEN s.kind = 'class' THEN 'def run(self, n)' END AS methods
+FROM names n JOIN sym s ON n.name = s.name WHERE s.kind IN ('function', 'class', 'method')
+UNION ALL
+SELECT h.name, h.repository_id, h.path, h.kind, h.line_no, regexp_replace(h.line, '^\\s+|\\s+$', '', 'g'), NULL
+FROM names n JOIN hits h ON n.name = h.name""")
+def q_j9_all(spark, sf):
+    lab = P.table(spark, sf, "labels").select("doc_id")
+    names = lab.select(F.explode(F.array(*[F.concat(F.lit(p), F.col("doc_id").cast("string")) for p in _ASKED_PREFIXES])).alias("name"))
+    hits = SY.search_symbols(names, _symbols(spark, sf), files=P.files(spark, sf))
+    return hits.select("name", REPO, "path", "kind", "line_start", "signature",
+                       F.array_join(F.col("methods")["signature"], "; ").alias("methods"))
+
+
 @register("j10_inheritance", _PY_ROWS + """
 SELECT s.repository_id, s.path, s.name AS class_name, s.bases AS base_name, t.path AS base_path
 FROM sym s LEFT JOIN sym t ON t.kind = 'class' AND t.repository_id = s.repository_id AND t.name = s.bases

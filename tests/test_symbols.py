@@ -119,3 +119,14 @@ def test_metrics_of_every_analysable_file(spark):
     assert got == {"a.py": (2, 1.0, 0.0), "bad.py": (1, None, 0.0), "b.js": (1, None, 1.0), "C.java": (0, None, 0.0), "empty.py": (0, 0.0, 0.0)}
     raw = {r.path: (r.loc, r.sloc) for r in SY.raw_metrics(files.where(F.col("content").isNotNull())).collect()}
     assert raw["C.java"] == (0, 0) and raw["n.md"] == (1, 1) and len(raw) == 6
+
+
+def test_search_finds_every_language_and_class_methods(spark):
+    files = files_df(spark, [("r", "m.py", SRC), ("r", "a.js", "function top(x) {\n}\nclass Child {\n}\n")])
+    names = spark.createDataFrame([("top",), ("Child",), ("run",)], "name string")
+    rows = SY.search_symbols(names, SY.python_symbols(files), files=files).collect()
+    assert sorted((r.path, r.kind, r.name, r.signature) for r in rows if r.name != "Child") == [
+        ("a.js", "function", "top", "function top(x) {"), ("m.py", "function", "run", "def run(self, n)"),
+        ("m.py", "function", "top", "def top(a, b)"), ("m.py", "method", "run", "def run(self, n)")]
+    child = {r.path: r.methods for r in rows if r.name == "Child"}
+    assert child["a.js"] is None and [(m.name, m.line_start, m.signature) for m in child["m.py"]] == [("run", 12, "def run(self, n)")]
