@@ -1,7 +1,9 @@
 """Document fingerprints from closed syncmers.
 
-A text is a sequence of tokens: its white-space separated words and, for texts below ``SHORT`` code points,
-its characters as well.  Each ``K`` neighbouring tokens contain ``K - S + 1`` runs of ``S`` tokens; the
+A text is a sequence of tokens: its white-space separated words, where a word of more than ``WORD`` code points
+(scripts without spaces, encoded or minified text) is cut into pieces of about five.  A cut depends on the six
+code points around it alone.  Texts below ``SHORT`` code points have anchors over their characters as well; they
+count in a likeness only where both texts have them.  Each ``K`` neighbouring tokens contain ``K - S + 1`` runs of ``S`` tokens; the
 ``K`` tokens are a closed syncmer, an anchor, when the smallest hash among those runs is that of the first or
 the last run.  Whether ``K`` tokens are an anchor depends on them alone, so an insertion or a cut elsewhere
 moves no anchor, and equal passages have equal anchors wherever they stand.  About 2 in ``K - S + 1`` are.
@@ -18,6 +20,7 @@ from pyspark.sql import functions as F
 K = 6
 S = 2
 SHORT = 256
+WORD = 16
 GROUP = 256       # documents that look up their successor together
 
 
@@ -44,18 +47,44 @@ def _anchors(df: DataFrame, tokens: str, out: str) -> DataFrame:
     return df.withColumn(out, found).drop(runs)
 
 
+def _bind(value: Column, body) -> Column:
+    """``body`` of ``value``, which is computed once however often the body reads it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _pieces(word: Column) -> Column:
+    """Hashes of a long word's pieces, cut where the hash of two neighbouring code points is below the two on each side."""
+    def cut_up(c: Column, h: Column) -> Column:
+        def low(i: Column) -> Column:
+            return F.get(h, i) < F.least(*[F.get(h, i + d) for d in (-2, -1, 1, 2)])
+
+        def named(cut: Column) -> Column:
+            ends = F.concat(cut, F.array(F.size(c)))
+            starts = F.concat(F.array(F.lit(0)), cut)
+            return F.zip_with(starts, ends, lambda s, e: F.xxhash64(F.array_join(F.slice(c, s + 1, e - s), "")))
+        return _bind(F.filter(F.sequence(F.lit(2), F.size(h) - 3), low), named)
+    return _bind(F.regexp_extract_all(word, F.lit("(?s)."), F.lit(0)), lambda c: _bind(
+        F.zip_with(F.slice(c, F.lit(1), F.size(c) - 1), F.slice(c, F.lit(2), F.size(c)), lambda x, y: F.xxhash64(x, y)),
+        lambda h: cut_up(c, h)))
+
+
 def with_anchors(df: DataFrame, text_col: str, out: str) -> DataFrame:
-    """``df`` with the column ``out``: array<struct<pos, hash>>, the anchors of a text that is not null.
+    """``df`` with the column ``out``: array<struct<pos, hash, char>>, the anchors of a text that is not null.
 
     ``pos`` is the first token's number, among words first, then among characters for texts below ``SHORT``.
     """
     words, chars = f"__{out}_w", f"__{out}_c"
     split = F.filter(F.split(F.col(text_col), r"\s+"), lambda w: w != "")
-    df = df.withColumn(words, F.transform(split, lambda w: F.xxhash64(w)))
+    tokens = F.flatten(F.transform(split, lambda w: F.when(F.length(w) > WORD, _pieces(w)).otherwise(F.array(F.xxhash64(w)))))
+    df = df.withColumn(words, F.when(F.col(text_col).rlike(rf"\S{{{WORD + 1}}}"), tokens)
+                       .otherwise(F.transform(split, lambda w: F.xxhash64(w))))
     df = df.withColumn(chars, F.when(F.length(text_col) < SHORT,
                                      F.transform(F.split(F.col(text_col), ""), lambda c: F.xxhash64(c, F.lit(1)))))
     df = _anchors(_anchors(df, words, f"{words}a"), chars, f"{chars}a")
-    return df.withColumn(out, F.concat(f"{words}a", f"{chars}a")).drop(words, chars, f"{words}a", f"{chars}a")
+    def marked(found: str, char: bool) -> Column:
+        return F.transform(found, lambda x: F.struct(x["pos"].alias("pos"), x["hash"].alias("hash"), F.lit(char).alias("char")))
+    both = marked(f"{words}a", False), marked(f"{chars}a", True)
+    return df.withColumn(out, F.concat(*both)).drop(words, chars, f"{words}a", f"{chars}a")
 
 
 def fingerprint(anchors: Column) -> Column:
@@ -65,8 +94,13 @@ def fingerprint(anchors: Column) -> Column:
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Jaccard coefficient of two anchor sets, 0 to 1."""
-    return F.size(F.array_intersect(a["hash"], b["hash"])) / F.size(F.array_union(a["hash"], b["hash"]))
+    """Jaccard coefficient of two anchor sets, 0 to 1; without the characters' anchors where one text has none."""
+    def has(x: Column) -> Column:
+        return F.exists(x, lambda y: y["char"])
+
+    def hashes(x: Column) -> Column:
+        return F.when(has(a) == has(b), x["hash"]).otherwise(F.filter(x, lambda y: ~y["char"])["hash"])
+    return F.size(F.array_intersect(hashes(a), hashes(b))) / F.size(F.array_union(hashes(a), hashes(b)))
 
 
 def successors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

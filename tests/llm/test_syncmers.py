@@ -102,3 +102,17 @@ def test_empty_and_native(spark):
     assert len(r) == 1 and r[0].near_next == 1.0
     plan = one._jdf.queryExecution().toString()
     assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
+
+
+def test_texts_without_spaces_and_around_the_short_length(spark):
+    rnd = random.Random(2)
+    han = lambda n: "".join(chr(rnd.randrange(0x4E00, 0x9000)) for _ in range(n))
+    code = lambda n: "".join(rnd.choice("abcdefABCDEF0123456789+/🎉") for _ in range(n))
+    rows = [(i, (han if i % 2 else code)(4000)) for i in range(8)]
+    out = {r.id: r for r in S.edit_fingerprints(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(0.45 < out[i].near_edited < 0.75 and out[i].near_next < 0.05 for i in range(8))
+    words = " ".join(code(5) for _ in range(42))[:250]
+    for x in (words, han(250), code(250)):
+        pair = spark.createDataFrame([(x + "abcd", x + "abcdefgh")], "s string, t string")
+        pair = S.with_anchors(S.with_anchors(pair, "s", "a"), "t", "b")
+        assert pair.select(S.likeness(F.col("a"), F.col("b"))).first()[0] > 0.7
