@@ -128,3 +128,13 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = P.encode_table(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
     return r.select(F.col("id").alias("doc_id"), "n_ids", F.sha2("ids", 256).alias("ids_sha256"),
                     F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"), "parity")
+
+
+@register("op11_infill")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from codeloom.llm import infill as I
+    r = I.infill(table(spark, sf_dir, "documents"))
+    back = I.restored(F.col("output"), F.col("form"))
+    return r.select(F.col("id").alias("doc_id"), "n", "form", "prefix_chars", "middle_chars",
+                    F.sha2(F.col("output").cast("binary"), 256).alias("output_sha256"),
+                    F.sha2(back.cast("binary"), 256).alias("restored_sha256"))
