@@ -138,3 +138,23 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.select(F.col("id").alias("doc_id"), "n", "form", "prefix_chars", "middle_chars",
                     F.sha2(F.col("output").cast("binary"), 256).alias("output_sha256"),
                     F.sha2(back.cast("binary"), 256).alias("restored_sha256"))
+
+
+# base32 of a digest of 40 hex digits: five digits are four characters
+_BASE32 = " || ".join(
+    f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((('0x' || substr(h, {5 * k + 1}, 5))::BIGINT >> {s}) & 31)::INT, 1)"
+    for k in range(8) for s in (15, 10, 5, 0))
+
+
+@register("op12_warc", f"""
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b, sha1(encode(coalesce(html, ''))) AS h FROM pages),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY b) AS first_id FROM p)
+SELECT page_id, CAST(octet_length(b) AS BIGINT) AS payload_bytes, {_BASE32} AS payload_digest,
+       CASE WHEN page_id = first_id OR first_id IS NULL THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> first_id THEN first_id END AS refers_to
+FROM f
+""")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from codeloom.llm import warc as W
+    r = W.round_trip(table(spark, sf_dir, "pages"))
+    return r.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
