@@ -29,9 +29,9 @@ from codeloom.llm.topk import _scores, quantised
 
 ARITY = 8
 FIT_ROWS = 4096            # vectors the split points are chosen from
-LEAF_ROWS = 1024           # rows of a leaf that is not split again, as far as the sample tells
+LEAF_ROWS = 2048           # rows of a leaf that is not split again, as far as the sample tells
 CHUNK = 4096               # rows of a leaf scored at once
-BLOCK = 2048               # queries of a leaf that travel together
+BLOCK = 2048               # queries of neighbouring leaves that travel together
 PIECE = 64                 # chunks of a leaf under one join key
 LOWEST, HIGHEST = -(1 << 63), (1 << 63) - 1
 _NOTHING = LOWEST
@@ -201,37 +201,51 @@ def _chunks(placed: DataFrame, sizes: dict[int, int]) -> DataFrame:
     return stored(done.withColumn("piece", F.floor(F.col("chunk") / PIECE).cast("int")))
 
 
+def _deal(counts: dict[int, int]) -> list[tuple[int, int, int]]:
+    """(leaf, block, pieces): neighbouring leaves of one length share a block of about ``BLOCK`` queries, a larger leaf has several."""
+    out, block, held, last = [], 0, 0, None
+    for leaf in sorted(counts):
+        if held and (held + counts[leaf] > BLOCK or leaf >> 16 != last):
+            block, held = block + 1, 0
+        pieces = -(-counts[leaf] // BLOCK)
+        out.append((leaf, block, pieces))
+        block, held, last = (block + pieces, 0, None) if pieces > 1 else (block, held + counts[leaf], leaf >> 16)
+    return out
+
+
 def _blocks(queries: DataFrame, windows: DataFrame, sizes: dict[int, int], trees: dict[int, Tree], home: bool) -> DataFrame:
     """(block, leaf, piece, ...): for each leaf that a block's queries visit, those queries and their windows.
 
     With ``home`` each query visits its own leaf only, else the others that its windows reach.
     """
     spark = queries.sparkSession
-    n = queries.groupBy("leaf").count().withColumn("pieces", F.ceil(F.col("count") / BLOCK)).select("leaf", "pieces")    # a row a leaf
+    counts = {r.leaf: r["count"] for r in queries.groupBy("leaf").count().collect()}                                # a row a leaf
+    n = spark.createDataFrame(_deal(counts), "leaf long, block long, pieces int")
     w = windows.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("w", "low", "high"))).alias("windows"))      # k rows at most
     q = (queries.join(w, "id").join(F.broadcast(n), "leaf")
-         .withColumn("block", F.pmod(F.xxhash64("id"), F.col("pieces"))))
+         .withColumn("block", F.col("block") + F.pmod(F.xxhash64("id"), F.col("pieces"))))
     columns = ["block", "leaf", "n", "qids", "qlabels", "qvectors", "slots", "qlow", "qhigh"]
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
-        own, block = int(g["leaf"].iloc[0]), int(g["block"].iloc[0])
-        dim = own >> 16
+        dim, own = int(g["dim"].iloc[0]), g["leaf"].to_numpy() & 0xFFFF
         x, ids, labels = _matrix(g["v"].tolist()), g["id"].to_numpy(), g["label"].to_numpy()
         width = max(map(len, g["windows"]))
         slot, low, high = (np.full((len(g), width), v, np.int64) for v in (-1, 1, 0))        # 1 > 0: no window
         for i, ws in enumerate(g["windows"]):
             for k, one in enumerate(ws):
                 slot[i, k], low[i, k], high[i, k] = one["w"], one["low"], one["high"]
-        if home or dim not in trees:
-            visits = [(own & 0xFFFF, np.arange(len(g)))] if home else []
+        if home:
+            visits = [(leaf, np.flatnonzero(own == leaf)) for leaf in np.unique(own)]
+        elif dim in trees:
+            reached = trees[dim].reach(x.astype(np.float64), low.astype(np.float64), high.astype(np.float64))
+            visits = [(leaf, rows[own[rows] != leaf]) for leaf, rows in reached]
         else:
-            visits = trees[dim].reach(x.astype(np.float64), low.astype(np.float64), high.astype(np.float64))
-            visits = [(leaf, rows) for leaf, rows in visits if leaf != own & 0xFFFF]
-        out = [(own << 32 | block, dim << 16 | leaf, len(r), pack(ids[r]), pack(labels[r]), pack(x[r]), pack(slot[r]), pack(low[r]), pack(high[r]))
-               for leaf, r in visits]
+            visits = []
+        out = [(g["block"].iloc[0], dim << 16 | int(leaf), len(r), pack(ids[r]), pack(labels[r]), pack(x[r]), pack(slot[r]), pack(low[r]), pack(high[r]))
+               for leaf, r in visits if len(r)]
         return pd.DataFrame(out, columns=columns)
     schema = "block long, leaf long, n int, qids binary, qlabels binary, qvectors binary, slots binary, qlow binary, qhigh binary"
-    done = q.groupBy("leaf", "block").applyInPandas(run, schema)
+    done = q.groupBy("block").applyInPandas(run, schema)
     pieces = spark.createDataFrame([(k, -(-(-(-v // CHUNK)) // PIECE)) for k, v in sizes.items()], "leaf long, pieces int")
     return (done.join(F.broadcast(pieces), "leaf")                              # a row a leaf
             .select(*columns, F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("piece")))
