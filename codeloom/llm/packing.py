@@ -42,14 +42,24 @@ class Encoder:
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
-        self.cache = PartCache(Tokenizer.from_file(path).encode_batch_fast)
+        self.tokenizer = Tokenizer.from_file(path)
+        self.cache = PartCache(self.tokenizer.encode_batch_fast)
+        self.ends: dict[str, bool] = {}
+
+    def _ends_word(self, letter: str) -> bool:
+        """Whether a full stop or comma after this letter is a string of its own: a mark that the letter normalises to would join it."""
+        if letter not in self.ends:
+            norm, cut = self.tokenizer.normalizer, self.tokenizer.pre_tokenizer.pre_tokenize_str
+            cuts = [cut(x if norm is None else norm.normalize_str(x)) for x in (f"a{letter}.", f"a{letter},")]
+            self.ends[letter] = [c[-1][0] for c in cuts] == [".", ","]
+        return self.ends[letter]
 
     def _learn(self, words: list[bytes]) -> None:
         """A word followed by a full stop or comma is two strings to the tokenizer, so only the word is encoded."""
         cache, known, plain, ends = self.cache, self.cache.known, {}, []
         for x in words:
             t = x.decode()
-            if t[-1] in ".," and t[:-1].isalpha():
+            if t[-1] in ".," and t[:-1].isalpha() and ("a" <= t[-2] <= "z" or self._ends_word(t[-2])):
                 ends.append((x, x[:-1], x[-1:]))
                 t = t[:-1]
             key = t.encode()

@@ -82,3 +82,25 @@ def test_repeated_rows_small_capacity_and_sequences(spark, plain):
 
 def test_empty(spark):
     assert P.pack(spark.createDataFrame([], "doc_id long, text string"), PATH).count() == 0
+
+
+def same_ids(texts, plain):
+    enc = P.Encoder(PATH)
+    for at in range(0, len(texts), 5000):
+        part = texts[at:at + 5000]
+        want = [np.array(e.ids, "<u4").tobytes() for e in plain.encode_batch_fast(part, add_special_tokens=False)]
+        wrong = [t for t, a, b in zip(part, enc.encode(part), want) if a != b]
+        assert not wrong, wrong[:5]
+
+
+def test_every_letter_before_a_full_stop_or_comma(plain):
+    letters = [chr(c) for c in range(0x110000) if chr(c).isalpha()]
+    same_ids([f"{x}. b{x}, c" for x in letters], plain)
+    same_ids(["DENİZİ. son", "İ.", "İ,", "i̇. x", "ŉ. ǰ, ẖ."], plain)
+
+
+def test_random_odd_texts(plain):
+    rng = np.random.default_rng(11)
+    odd = list("abzASÉéßſİıŉǰΣς'.,;-_0179²½ \t\n\x0b\x1c\x85 ​́̇ͅạ 日本각가\U0001f389ﬁΩ")
+    texts = ["".join(odd[k] for k in rng.integers(0, len(odd), n)) for n in rng.integers(1, 14, 100_000)]
+    same_ids(texts, plain)
