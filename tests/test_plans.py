@@ -4,8 +4,6 @@ import pytest
 
 from conftest import SF_SMALL
 
-NESTED_LOOP_OK = {"k1_search_files", "b2_hybrid"}  # bounded, size-checked question-batch broadcast
-
 
 @pytest.fixture(scope="module")
 def plans(spark):
@@ -20,8 +18,8 @@ def test_no_cartesian_products(plans):
     assert [n for n, p in plans.items() if "CartesianProduct" in p] == []
 
 
-def test_nested_loops_only_for_bounded_broadcasts(plans):
-    assert {n for n, p in plans.items() if "BroadcastNestedLoopJoin" in p} <= NESTED_LOOP_OK
+def test_no_nested_loops(plans):
+    assert [n for n, p in plans.items() if "BroadcastNestedLoopJoin" in p] == []
 
 
 def test_no_row_at_a_time_python(plans):

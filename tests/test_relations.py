@@ -97,20 +97,6 @@ def test_cosine_top_k_fixture(spark):
     assert [r.key for r in K.cosine_top_k(q, corpus, k=1).collect()] == ["file2.py"]
 
 
-def test_cosine_blocks_equal_single_broadcast(spark):
-    import random
-    rnd = random.Random(7)
-    corpus = spark.createDataFrame([(i, [rnd.random() for _ in range(8)]) for i in range(200)],
-                                   "key int, embedding array<double>")
-    q = spark.createDataFrame([(i, [rnd.random() for _ in range(8)]) for i in range(30)],
-                              "query_id int, embedding array<double>")
-    a = {(r.query_id, r.rank, r.key) for r in K.cosine_top_k(q, corpus, k=3).collect()}
-    b = {(r.query_id, r.rank, r.key) for r in K.cosine_top_k(q, corpus, k=3, max_broadcast_queries=7).collect()}
-    assert a == b and len(a) == 90
-    plan = K.cosine_top_k(q, corpus, k=3)._jdf.queryExecution().executedPlan().toString()
-    assert "WindowGroupLimit" in plan
-
-
 def test_search_commits_history_order(spark):
     commits = spark.createDataFrame(
         [(f"h{i}", i, [1.0, float(i)]) for i in range(6)], "hash string, seq long, embedding array<double>")
