@@ -5,9 +5,8 @@ rewrites Catalyst does not do by itself are written here:
 
 * prefix match (J2) gets an equality key on the first 7 characters, so it is a
   hash/sort-merge join and never a Cartesian product;
-* the as-of lookup (J4) is a union of requests and versions sorted by
-  ordinal inside (path, bucket) groups, so no request is paired with every
-  version of a hot path.
+* the as-of lookup (J4, in ``asof``) is a sorted merge of requests and versions
+  over sampled ranges, so no request is paired with every version of a hot path.
 """
 
 from __future__ import annotations
@@ -16,6 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from codeloom.functions import exprs as X
+from codeloom.operators.asof import content_at  # noqa: F401
 
 REPO = "repository_id"
 
@@ -98,47 +98,7 @@ def lookup_files(requests: DataFrame, files: DataFrame) -> DataFrame:
                     F.when(F.col("binary") == False, F.col("content")).alias("content"))  # noqa: E712
 
 
-# --- J4 / W5 -----------------------------------------------------------------------------
-
-def content_at(requests: DataFrame, versions: DataFrame, bucket_width: int = 1 << 16) -> DataFrame:
-    """The version of each (repository, path) current at the request's ordinal.
-
-    ``versions(repository_id, path, ordinal, deleted, content)``,
-    ``requests(request_id, repository_id, path, ordinal)``.  A version with
-    ``ordinal <= request.ordinal`` applies; the newest such one wins and a
-    deleted or absent one gives ``not found``.
-
-    Both sides are bucketed by ``ordinal div bucket_width``: inside a
-    (path, bucket) group a running ``last`` over the union finds the answer;
-    requests whose bucket holds no earlier version take the newest version of
-    the previous buckets from a per-bucket summary (one row per bucket).  A hot
-    path is therefore spread over its buckets instead of one task.
-    """
-    keys = [REPO, "path"]
-    v = versions.select(*keys, "ordinal", "deleted", "content").withColumn("_b", F.floor(F.col("ordinal") / bucket_width))
-    r = requests.select("request_id", *keys, "ordinal").withColumn("_b", F.floor(F.col("ordinal") / bucket_width))
-    ver = F.struct(F.col("ordinal").alias("v_ordinal"), F.col("deleted"), F.col("content"))
-    u = (v.select(*keys, "_b", "ordinal", F.lit(0).alias("_kind"), ver.alias("_v"), F.lit(None).cast("long").alias("request_id"))
-         .unionByName(r.select(*keys, "_b", "ordinal", F.lit(1).alias("_kind"),
-                               F.lit(None).cast(v.select(ver).schema[0].dataType).alias("_v"), "request_id")))
-    w = (Window.partitionBy(*keys, "_b").orderBy("ordinal", "_kind")
-         .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    local = (u.withColumn("_local", F.last("_v", ignorenulls=True).over(w))
-             .where(F.col("_kind") == 1).select("request_id", *keys, "_b", "ordinal", "_local"))
-    per_bucket = v.groupBy(*keys, "_b").agg(F.max_by(ver, "ordinal").alias("_bv"))
-    wb = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    # Buckets that hold requests but no version need the newest earlier bucket too.
-    req_buckets = r.select(*keys, "_b").distinct()
-    all_b = req_buckets.join(per_bucket.select(*keys, "_b", "_bv"), [*keys, "_b"], "full_outer")
-    carry = (all_b.withColumn("_prev", F.last("_bv", ignorenulls=True).over(wb)).select(*keys, "_b", "_prev"))
-    j = local.join(carry, [*keys, "_b"], "left")
-    best = F.coalesce("_local", "_prev")
-    found = best.isNotNull() & ~best["deleted"]
-    return j.select("request_id", *keys, "ordinal",
-                    F.when(found, best["v_ordinal"]).alias("version_ordinal"),
-                    F.when(found, best["content"]).alias("content"),
-                    F.when(found, F.lit("ok")).otherwise(F.lit("not found in commit")).alias("status"))
-
+# --- J4 / W5: codeloom/operators/asof.py -------------------------------------------------
 
 # --- J5 ------------------------------------------------------------------------------------
 

@@ -514,7 +514,7 @@ def q_j4(spark, sf):
                              F.col("l_linenumber").cast("string")).alias("content"))
     req = li.select(ordinal.alias("request_id"), F.lit("r").alias(REPO), P.doc_path(F.col("l_suppkey")).alias("path"),
                     ordinal.alias("ordinal"))
-    out = J.content_at(req, ver, bucket_width=8192)
+    out = J.content_at(req, ver)
     return out.select("request_id", "path", "ordinal", "version_ordinal", "content", "status")
 
 
