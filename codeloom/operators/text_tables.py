@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from codeloom.functions import exprs as X
 from codeloom.functions import text as T
+from codeloom.session import stored
 
 REPO = "repository_id"
 
@@ -33,47 +34,72 @@ DECL_CLASS = [r"\bclass\s+(\w+)\b"]
 CONTEXT_AFTER = {"function": 20, "class": 50}
 
 
+SPAN_LINES = 1000
+
+
+def line_spans(files: DataFrame, content: Column, before: int, after: int, span: int = SPAN_LINES) -> DataFrame:
+    """(repository_id, path, first, skip, lines): each file's lines in spans of ``span`` lines.
+
+    ``lines`` starts up to ``before`` lines above line ``first`` (``skip`` of them) and goes on ``after`` lines
+    beyond the span, so a window around any of the span's own lines is cut inside the row.
+    """
+    # exploding a one-element array keeps the split from being written into every use of it
+    whole = files.select(REPO, "path", F.explode(F.array(content)).alias("lines")).where(F.size("lines") > 0)
+    firsts = F.sequence(F.lit(1), F.size("lines"), F.lit(span))
+
+    def cut(first: Column) -> Column:
+        begin = F.greatest(first - before, F.lit(1))
+        return F.struct(first.alias("first"), (first - begin).alias("skip"),
+                        F.slice("lines", begin, F.lit(span + after) + first - begin).alias("lines"))
+    return whole.select(REPO, "path", F.explode(F.transform(firsts, cut)).alias("s")).select(REPO, "path", "s.*")
+
+
 def regex_symbols(files: DataFrame, names: DataFrame | None = None, first_per_file: bool = False,
-                  case_insensitive: bool = False) -> DataFrame:
+                  case_insensitive: bool = False, span: int | None = None) -> DataFrame:
     """U3 + W4: declarations in non-Python files with their context lines.
 
     Candidate names are pulled from each line once with ``regexp_extract_all``
     (no regex per requested name), then equi-joined with ``names(name)`` when
     given.  A line that declares a function is not also tried as a class
     (reference order).  Context is lines ``[i-1, i+20)`` for functions and
-    ``[i-1, i+50)`` for classes (0-based i), joined on generated line numbers so
-    each match touches only its window.
+    ``[i-1, i+50)`` for classes (0-based i), cut from the span of lines a
+    declaration lies in: lines are never joined, and files without a keyword are not split.
     """
+    span = span or SPAN_LINES
     flags = "(?iU)" if case_insensitive else "(?U)"       # names in any script
+    word = ("(?iu)" if case_insensitive else "") + "function|def|class"
     src = files.where(~F.col("path").endswith(".py") & ~F.col("binary") & F.col("content").isNotNull())
-    lines = explode_lines(src)
-    fn_names = F.array_distinct(F.concat(*[F.regexp_extract_all("line", F.lit(flags + p), 1) for p in DECL_FUNCTION]))
-    cl_names = F.array_distinct(F.regexp_extract_all("line", F.lit(flags + DECL_CLASS[0]), 1))
-    cand = lines.select(REPO, "path", "line_no", "line", fn_names.alias("_f"), cl_names.alias("_c")) \
-        .where((F.size("_f") > 0) | (F.size("_c") > 0))
-    hits = (cand.select(REPO, "path", "line_no", "line", F.explode("_f").alias("name"), F.lit("function").alias("kind"))
-            .unionByName(cand.select(REPO, "path", "line_no", "line", F.explode("_c").alias("name"),
-                                     F.lit("class").alias("kind"))))
+    none = F.array().cast("array<string>")
+    lines = line_spans(src, F.when(F.col("content").rlike(word), T.splitlines(F.col("content"))).otherwise(none),
+                       1, max(CONTEXT_AFTER.values()), span)
+    hit = "array<struct<at:int,name:string,kind:string>>"
+
+    def declared(line: Column, i: Column) -> Column:
+        fn = F.array_distinct(F.concat(*[F.regexp_extract_all(line, F.lit(flags + p), 1) for p in DECL_FUNCTION]))
+        # function beats class on the same line for the same name
+        cl = F.array_except(F.array_distinct(F.regexp_extract_all(line, F.lit(flags + DECL_CLASS[0]), 1)), fn)
+
+        def of_kind(names: Column, kind: str) -> Column:
+            return F.transform(names, lambda n: F.struct(i.alias("at"), n.alias("name"), F.lit(kind).alias("kind")))
+        found = F.concat(of_kind(fn, "function"), of_kind(cl, "class"))
+        return F.when(line.rlike(word), found).otherwise(F.array().cast(hit))
+
+    def with_source(h: Column) -> Column:
+        here = F.col("skip") + h["at"] + 1                                  # 1-based in the row
+        begin = F.greatest(here - 1, F.lit(1))
+        after = F.when(h["kind"] == "class", CONTEXT_AFTER["class"]).otherwise(CONTEXT_AFTER["function"])
+        return F.struct(h["name"].alias("name"), h["kind"].alias("kind"), (F.col("first") + h["at"]).alias("line_start"),
+                        F.element_at("lines", here).alias("line"),
+                        F.array_join(F.slice("lines", begin, here + after - begin), "\n").alias("source"))
+    own = F.slice("lines", F.col("skip") + 1, F.lit(span))
+    hits = (lines.select(REPO, "path", F.explode(F.transform(F.flatten(F.transform(own, declared)), with_source)).alias("h"))
+            .select(REPO, "path", "h.*"))
     if names is not None:
         hits = hits.join(names.select("name").distinct(), "name")
-    # function beats class on the same line for the same name
-    w = Window.partitionBy(REPO, "path", "line_no", "name").orderBy(F.col("kind").desc())
-    hits = hits.withColumn("_r", F.row_number().over(w)).where(F.col("_r") == 1).drop("_r")
     if first_per_file:
-        wf = Window.partitionBy(REPO, "path", "name").orderBy("line_no")
-        hits = hits.withColumn("_r", F.row_number().over(wf)).where(F.col("_r") == 1).drop("_r")
-    after = F.when(F.col("kind") == "class", CONTEXT_AFTER["class"]).otherwise(CONTEXT_AFTER["function"])
-    hits = hits.withColumn("ctx_start", F.greatest(F.lit(1), F.col("line_no") - 1)) \
-               .withColumn("ctx_end", F.col("line_no") + after - 1)
-    win = hits.select(REPO, "path", "name", "kind", F.col("line_no").alias("match_line"),
-                      F.explode(F.sequence("ctx_start", "ctx_end")).alias("line_no"))
-    ctx = (win.join(lines, [REPO, "path", "line_no"])
-           .groupBy(REPO, "path", "name", "kind", "match_line")
-           .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))),
-                                         lambda s: s["line"]), "\n").alias("source")))
-    return hits.join(ctx.withColumnRenamed("match_line", "line_no"), [REPO, "path", "name", "kind", "line_no"]) \
-        .select(REPO, "path", "name", "kind", F.col("line_no").alias("line_start"),
-                X.py_strip(F.col("line")).alias("signature"), "source")
+        wf = Window.partitionBy(REPO, "path", "name").orderBy("line_start")
+        hits = hits.withColumn("_r", F.row_number().over(wf)).where(F.col("_r") == 1)
+    return hits.select(REPO, "path", "name", "kind", "line_start", X.py_strip(F.col("line")).alias("signature"), "source")
 
 
 # --- U8 ------------------------------------------------------------------------------------------
@@ -146,8 +172,11 @@ def diff_kind(text: Column) -> Column:
             .otherwise(F.lit("unified")))
 
 
+BLOCK_LINES = 4096
+
+
 def parse_diff_lines(diffs: DataFrame, id_col: str = "diff_id", text_col: str = "diff",
-                     compat: bool = False) -> DataFrame:
+                     compat: bool = False, block_lines: int | None = None) -> DataFrame:
     """U9 + W3: every line of a unified diff with its hunk, kind and left/right line numbers.
 
     ``kind``: header, removed, added, context, skip.  A header matching
@@ -155,39 +184,84 @@ def parse_diff_lines(diffs: DataFrame, id_col: str = "diff_id", text_col: str =
     left counter, added the right, context both.  ``---``/``+++`` lines are file
     headers before the first hunk; ``compat=True`` skips them everywhere, as the
     reference viewer does.
+
+    The counters are a segmented prefix scan: a diff is cut into blocks of ``block_lines`` lines,
+    numbered locally, each block's totals are summed over the blocks before it (one row a block),
+    and the sums are added to the local numbers.  So a diff of any length is many tasks.
+    """
+    local = stored(_local_counters(diffs, id_col, text_col, compat, block_lines or BLOCK_LINES))
+    lines = local.join(_block_starts(local), ["diff_id", "block"])
+    in_hunk = F.col("hunk0") > 0
+    kind = (F.when(~F.col("unsure"), F.col("kind")).when(~in_hunk, "skip")
+            .when(F.col("line").startswith("-"), "removed").otherwise("added"))
+
+    def number(side: str) -> Column:
+        unsure = F.when(in_hunk, F.col(f"{side}_unsure")).otherwise(0)
+        return F.when(F.col("resets") > 0, F.col(f"{side}_reset") + F.col(side)).otherwise(F.col(f"{side}0") + F.col(side) + unsure)
+    lines = lines.select("diff_id", "idx", (F.col("hunk0") + F.col("headers")).alias("hunk"), kind.alias("kind"), "line",
+                         number("left").alias("left_no"), number("right").alias("right_no"))
+    return lines.select(
+        "diff_id", F.col("idx").cast("int"), F.col("hunk").cast("int"), "kind",
+        F.when(F.col("kind").isin("removed", "added"), F.substring("line", 2, 1 << 30)).otherwise(F.col("line")).alias("text"),
+        F.when(F.col("kind") == "removed", F.col("left_no")).cast("long").alias("left_no"),
+        F.when(F.col("kind") == "added", F.col("right_no")).cast("long").alias("right_no"))
+
+
+def _local_counters(diffs: DataFrame, id_col: str, text_col: str, compat: bool, block_lines: int) -> DataFrame:
+    """Lines with counters that start at their block: headers and resets so far, the last reset, lines passed since.
+
+    A ``---`` or ``+++`` line before the block's first header is ``unsure``: whether it is a file header or a
+    changed line depends on the blocks before, so such lines are counted apart.
     """
     # kind and split in one projection (no Filter): a derived diff text is built once per row
     # instead of being inlined into every branch of a pushed-down predicate.
     arr = diffs.select(F.col(id_col).alias("diff_id"),
                        F.when(diff_kind(F.col(text_col)) == "unified", F.split(F.col(text_col), "\n")).alias("_arr"))
-    lines = arr.select("diff_id", F.posexplode("_arr").alias("idx", "line"))
-    w_all = Window.partitionBy("diff_id").orderBy("idx").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    lines = (arr.select("diff_id", F.posexplode("_arr").alias("idx", "line"))
+             .withColumn("block", F.floor(F.col("idx") / block_lines).cast("int"))
+             .repartition("diff_id", "block"))                 # also where the diffs are one partition
+    so_far = Window.partitionBy("diff_id", "block").orderBy("idx").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     is_header = F.col("line").startswith("@@")
-    lines = lines.withColumn("hunk", F.sum(is_header.cast("int")).over(w_all))
-    file_header = F.col("line").startswith("---") | F.col("line").startswith("+++")
-    skip = file_header if compat else (file_header & (F.col("hunk") == 0))
-    kind = (F.when(is_header, "header").when(skip, "skip").when(F.col("line").startswith("-"), "removed")
-            .when(F.col("line").startswith("+"), "added").otherwise("context"))
-    l0 = F.regexp_extract("line", HUNK_HEADER, 1)
-    r0 = F.regexp_extract("line", HUNK_HEADER, 2)
+    l0, r0 = (F.regexp_extract("line", HUNK_HEADER, n) for n in (1, 2))
     resets = is_header & (l0 != "")
-    lines = (lines.withColumn("kind", kind)
-             .withColumn("_reset", resets.cast("int"))
-             .withColumn("_l0", F.when(resets, l0.cast("long")))
-             .withColumn("_r0", F.when(resets, r0.cast("long"))))
-    lines = (lines.withColumn("seg", F.sum("_reset").over(w_all))
-             .withColumn("_bl", F.coalesce(F.last("_l0", ignorenulls=True).over(w_all), F.lit(0)))
-             .withColumn("_br", F.coalesce(F.last("_r0", ignorenulls=True).over(w_all), F.lit(0))))
-    adv_l = F.col("kind").isin("removed", "context").cast("long")
-    adv_r = F.col("kind").isin("added", "context").cast("long")
-    w_seg = Window.partitionBy("diff_id", "seg").orderBy("idx").rowsBetween(Window.unboundedPreceding, -1)
-    lines = (lines.withColumn("left_no", F.col("_bl") + F.coalesce(F.sum(adv_l).over(w_seg), F.lit(0)))
-             .withColumn("right_no", F.col("_br") + F.coalesce(F.sum(adv_r).over(w_seg), F.lit(0))))
-    return lines.select(
-        "diff_id", F.col("idx").cast("int"), F.col("hunk").cast("int"), "kind",
-        F.when(F.col("kind").isin("removed", "added"), F.substring("line", 2, 1 << 30)).otherwise(F.col("line")).alias("text"),
-        F.when(F.col("kind") == "removed", F.col("left_no")).cast("long").alias("left_no"),
-        F.when(F.col("kind") == "added", F.col("right_no")).cast("long").alias("right_no"))
+    lines = (lines.withColumn("headers", F.sum(is_header.cast("int")).over(so_far))
+             .withColumn("resets", F.sum(resets.cast("int")).over(so_far))
+             .withColumn("left_reset", F.last(F.when(resets, l0.cast("long")), ignorenulls=True).over(so_far))
+             .withColumn("right_reset", F.last(F.when(resets, r0.cast("long")), ignorenulls=True).over(so_far)))
+    file_header = F.col("line").startswith("---") | F.col("line").startswith("+++")
+    unsure = F.lit(False) if compat else file_header & (F.col("headers") == 0)
+    kind = (F.when(is_header, "header").when(file_header if compat else F.lit(False), "skip")
+            .when(F.col("line").startswith("-"), "removed").when(F.col("line").startswith("+"), "added").otherwise("context"))
+    lines = lines.withColumn("kind", kind).withColumn("unsure", unsure)
+    before = Window.partitionBy("diff_id", "block", "resets").orderBy("idx").rowsBetween(Window.unboundedPreceding, -1)
+    passes = {"left": F.col("kind").isin("removed", "context"), "right": F.col("kind").isin("added", "context")}
+    for side, moves in passes.items():
+        for name, when in ((side, moves & ~F.col("unsure")), (f"{side}_unsure", moves & F.col("unsure"))):
+            lines = (lines.withColumn(f"{name}_own", when.cast("long"))
+                     .withColumn(name, F.coalesce(F.sum(f"{name}_own").over(before), F.lit(0))))
+    return lines
+
+
+def _block_starts(local: DataFrame) -> DataFrame:
+    """(diff_id, block, hunk0, left0, right0): what the counters stand at where each block begins; one row a block."""
+    def at_end(c: Column) -> Column:
+        return F.max_by(c, "idx")
+    sides = ("left", "right")
+    ends = local.groupBy("diff_id", "block").agg(
+        F.max("headers").alias("headers"), F.max("resets").alias("resets"),
+        *[at_end(F.col(f"{s}_reset")).alias(f"{s}_reset") for s in sides],
+        *[at_end(F.col(n) + F.col(f"{n}_own")).alias(n) for s in sides for n in (s, f"{s}_unsure")])
+    order = Window.partitionBy("diff_id").orderBy("block")
+    past = order.rowsBetween(Window.unboundedPreceding, -1)
+    upto = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ends = (ends.withColumn("hunk0", F.coalesce(F.sum("headers").over(past), F.lit(0)))
+            .withColumn("part", F.sum((F.col("resets") > 0).cast("int")).over(upto)))
+    within = Window.partitionBy("diff_id", "part").orderBy("block").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    for s in sides:
+        moved = F.col(s) + F.when((F.col("resets") == 0) & (F.col("hunk0") > 0), F.col(f"{s}_unsure")).otherwise(0)
+        end = F.coalesce(F.last(f"{s}_reset", ignorenulls=True).over(upto), F.lit(0)) + F.sum(moved).over(within)
+        ends = ends.withColumn(f"{s}_end", end)
+    return ends.select("diff_id", "block", "hunk0", *[F.coalesce(F.lag(f"{s}_end").over(order), F.lit(0)).alias(f"{s}0") for s in sides])
 
 
 def parse_diff_blocks(diffs: DataFrame, id_col: str = "diff_id", text_col: str = "diff",
@@ -200,10 +274,10 @@ def parse_diff_blocks(diffs: DataFrame, id_col: str = "diff_id", text_col: str =
     """
     src = diffs.select(F.col(id_col).alias("diff_id"), F.col(text_col).alias("diff"))
     lines = parse_diff_lines(src, "diff_id", "diff", compat)
-    # one pass over the lines: a per-diff flag (same partitioning as the parser's windows)
-    # splits hunks with changes from diffs that get the fallback block; no joins back.
+    # a flag per diff splits hunks with changes from diffs that get the fallback block
     is_change = F.col("kind").isin("removed", "added")
-    lines = lines.withColumn("_has_change", F.max(is_change.cast("int")).over(Window.partitionBy("diff_id")) == 1)
+    flags = lines.groupBy("diff_id").agg((F.max(is_change.cast("int")) == 1).alias("_has_change"))
+    lines = lines.join(flags, "diff_id")
     entries = F.array_sort(F.collect_list(F.struct("idx", "kind", "text", "left_no", "right_no")))
     blocks = (lines.where(F.col("_has_change") & F.col("kind").isin("header", "removed", "added"))
               .groupBy("diff_id", "hunk")
