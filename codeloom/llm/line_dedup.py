@@ -14,8 +14,9 @@ DataFrame functions only.
   shingles: lines at 0.8 share one of the rarest fifth (and one more) of either's shingles.  Centres of large
   groups are compared first and their links contracted, so a family of near copies costs a few pairs a
   line; then every pair left that shares a prefix shingle and lies in different components is verified.
-* Verification: exact Jaccard of the sets of ``SHINGLE``-character shingles, on the texts.  Pairs whose
-  numbers of different shingles are too far apart to reach it are dropped before their texts are joined.
+* Verification: exact Jaccard of the sets of ``SHINGLE``-character shingles, cut and hashed once a line.  Before
+  the sets are joined two bounds drop pairs that cannot reach it: the numbers of different shingles, and a bit map
+  of them, in which every bit that differs stands for at least one shingle that one line has alone.
 * Components of the verified links; of each component's occurrences in the corpus the first one,
   by (id, position), stays.
 
@@ -38,6 +39,7 @@ SMALL = 8
 ORDER_LINES = 20_000       # lines that give the order of the prefix shingles; it changes the cost only
 ORDER_SLOTS = 1 << 16
 NO_ID = (1 << 63) - 1
+BITS = [f"b{i}" for i in range(8)]          # longs of a line's bit map
 EVERY5, EVERY12 = (f"(?s)(?=(.{{{n}}}))" for n in (SHINGLE, 12))
 WORDS16 = r"(?s)(?=(\S.{15}))(?:(?<!\S)\S{1,16}+|\S)\s*+"
 
@@ -101,12 +103,30 @@ def _pairs(df: DataFrame) -> DataFrame:
     return df.where("lid != other").select(F.least("lid", "other").alias("a"), F.greatest("lid", "other").alias("b")).distinct()
 
 
+def with_sets(text: DataFrame) -> DataFrame:
+    """``text`` (lid, line) as (lid, h, n5, b0, ...): hashes of its different shingles, their number, their bit map."""
+    sets = _once(text, ["lid"], h=F.sort_array(F.transform(_shingles(F.col("line")), lambda x: F.xxhash64(x))))
+
+    def word(i: int) -> Column:
+        return F.aggregate("h", F.lit(0).cast("bigint"), lambda acc, x: F.when(
+            x.bitwiseAND(F.lit(7)) == i, acc.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.shiftright(x, 3).bitwiseAND(F.lit(63)).cast("int"))))
+            .otherwise(acc))
+    return sets.select("lid", "h", F.size("h").alias("n5"), *[word(i).alias(b) for i, b in enumerate(BITS)])
+
+
+def _can_reach(na: Column, nb: Column, a: list[str], b: list[str], similarity: float) -> Column:
+    """Whether sets of these sizes and bit maps can be at ``similarity``: both bounds follow from it."""
+    differ = sum((F.bit_count(F.col(x).bitwiseXOR(F.col(y))) for x, y in zip(a, b)), F.lit(0))
+    return ((F.least(na, nb) >= F.greatest(na, nb) * similarity - 1e-9)
+            & (differ <= (na + nb) * ((1 - similarity) / (1 + similarity)) + 1e-9))
+
+
 def prefixes(text: DataFrame, similarity: float) -> DataFrame:
     """(tok, lid, n, at): the rarest shingles of each line, enough that two lines at ``similarity`` share one.
 
     Any one order of the shingles gives all pairs; counts from a sample of the lines put rare ones first.
     """
-    sets = text.select("lid", F.transform(_shingles(F.col("line")), lambda x: F.xxhash64(x)).alias("h"))
+    sets = text.select("lid", "h")
     every = max(1, text.count() // ORDER_LINES)
     seen = (sets.where(F.expr(f"pmod(xxhash64(lid), {every}) = 0")).select(F.explode("h").alias("h"))
             .groupBy(F.col("h").bitwiseAND(F.lit(ORDER_SLOTS - 1)).alias("slot")).count().collect())
@@ -128,35 +148,35 @@ def centre_pairs(prefix: DataFrame) -> DataFrame:
     return _pairs(rows.select("lid", F.explode(F.array("lo", "hi")).alias("other")))
 
 
-def pairs_between(prefix: DataFrame, comp: DataFrame, similarity: float) -> DataFrame:
+def pairs_between(prefix: DataFrame, comp: DataFrame, text: DataFrame, similarity: float) -> DataFrame:
     """(a, b): pairs that share a prefix shingle, can reach ``similarity`` and lie in different components.
 
     Only lines outside a group's largest component look for others, so a large family is not paired with itself.
     """
     rows = prefix.join(comp.select(F.col("node").alias("lid"), "component"), "lid", "left")
-    rows = stored(rows.select("tok", "lid", "n", "at", F.coalesce("component", "lid").alias("c")))
+    rows = rows.join(text.select("lid", *BITS), "lid")
+    rows = stored(rows.select("tok", "lid", "n", "at", F.coalesce("component", "lid").alias("c"), *BITS))
     top = rows.groupBy("tok", "c").agg(F.count("*").alias("m")).groupBy("tok").agg(
         F.max(F.struct("m", "c")).getField("c").alias("top"), F.count("*").alias("parts")).where("parts > 1")
     rows = rows.join(top.select("tok", "top"), "tok")
-    other = rows.select("tok", F.col("lid").alias("other"), F.col("n").alias("n2"), F.col("at").alias("at2"), F.col("c").alias("c2"))
+    other = rows.select("tok", F.col("lid").alias("other"), F.col("n").alias("n2"), F.col("at").alias("at2"), F.col("c").alias("c2"), *[F.col(b).alias(f"{b}x") for b in BITS])
     both = rows.where("c != top").join(other, "tok").where("c != c2 and (c2 = top or lid < other)")
     # bounds that follow from the similarity: the sizes, and what can follow the first shingle in common
-    fits = ((F.least("n", "n2") >= F.greatest("n", "n2") * similarity - 1e-9)
+    fits = (_can_reach(F.col("n"), F.col("n2"), BITS, [f"{b}x" for b in BITS], similarity)
             & (1 + F.least(F.col("n") - F.col("at"), F.col("n2") - F.col("at2")) - 1
                >= (F.col("n") + F.col("n2")) * (similarity / (1 + similarity)) - 1e-9))
     return _pairs(both.where(fits))
 
 
 def verified(pairs: DataFrame, text: DataFrame, similarity: float) -> DataFrame:
-    """(u, v, jaccard) of the candidate pairs at ``similarity`` or more; ``text`` has lid, line and n5, the number
-    of its different shingles.  The smaller number over the larger one bounds the coefficient from above.
-    """
-    count = text.select(F.col("lid").alias("a"), F.col("n5").alias("na"))
-    near = pairs.join(count, "a").join(count.toDF("b", "nb"), "b")
-    near = near.where(F.least("na", "nb") >= F.greatest("na", "nb") * similarity - 1e-9)
-    lines = (near.join(text.select(F.col("lid").alias("a"), F.col("line").alias("la")), "a")
-             .join(text.select(F.col("lid").alias("b"), F.col("line").alias("lb")), "b"))
-    both = _once(lines, ["a", "b", "na", "nb"], i=F.size(F.array_intersect(_shingles(F.col("la")), _shingles(F.col("lb")))))
+    """(u, v, jaccard) of the candidate pairs at ``similarity`` or more; ``text`` is made by ``with_sets``."""
+    bounds = text.select("lid", "n5", *BITS)
+    near = (pairs.join(bounds.toDF("a", "na", *BITS), "a")
+            .join(bounds.toDF("b", "nb", *[f"{b}x" for b in BITS]), "b")
+            .where(_can_reach(F.col("na"), F.col("nb"), BITS, [f"{b}x" for b in BITS], similarity)).select("a", "b", "na", "nb"))
+    sets = (near.join(text.select(F.col("lid").alias("a"), F.col("h").alias("ha")), "a")
+            .join(text.select(F.col("lid").alias("b"), F.col("h").alias("hb")), "b"))
+    both = _once(sets, ["a", "b", "na", "nb"], i=F.size(F.array_intersect("ha", "hb")))
     jaccard = F.col("i") / (F.col("na") + F.col("nb") - F.col("i"))
     return both.select(F.col("a").alias("u"), F.col("b").alias("v"), jaccard.alias("jaccard")).where(F.col("jaccard") >= similarity)
 
@@ -188,13 +208,12 @@ def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     places = stored(known.join(wanted, "lid", "left_semi").select("lid", "k", "pos"))
     place = F.xxhash64("lid", "k", "pos")
     text = with_hit(lines, place, bit_filter(places.select(place.alias("h")), "h")).where("__hit")
-    text = stored(text.join(places, ["lid", "k", "pos"]).select("lid", "line").dropDuplicates(["lid"])
-                  .withColumn("n5", F.size(_shingles(F.col("line")))))
+    text = stored(with_sets(text.join(places, ["lid", "k", "pos"]).select("lid", "line").dropDuplicates(["lid"])))
     prefix = stored(prefixes(text.join(crowded, "lid", "left_semi"), similarity))
     first = stored(pairs.unionByName(centre_pairs(prefix)).distinct())
     links = stored(verified(first, text, similarity).select("u", "v"))
     comp = connected_components(links)
-    rest = pairs_between(prefix, comp, similarity).join(first, ["a", "b"], "left_anti")
+    rest = pairs_between(prefix, comp, text, similarity).join(first, ["a", "b"], "left_anti")
     more = stored(verified(rest, text, similarity).select("u", "v"))
     comp = connected_components(comp.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(more))
     group = (known.join(comp, known["lid"] == comp["node"], "left").where((F.col("n") > 1) | F.col("component").isNotNull())
