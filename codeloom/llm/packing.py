@@ -34,6 +34,7 @@ from codeloom.session import cut_lineage
 CAPACITY = 4096
 EOS = 2
 _SPECIAL = b"<|"                       # every special token of the vocabulary starts with this
+TOGETHER = 64
 _ENCODERS: dict[str, "Encoder"] = {}
 
 
@@ -45,6 +46,8 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.cache = PartCache(self.tokenizer.encode_batch_fast)
         self.ends: dict[str, bool] = {}
+        special = sorted((i, t.content) for i, t in self.tokenizer.get_added_tokens_decoder().items() if t.special)
+        self.between = next(((i, c) for i, c in special if c.encode().startswith(_SPECIAL)), None)
 
     def _ends_word(self, letter: str) -> bool:
         """Whether a full stop or comma after this letter is a string of its own: a mark that the letter normalises to would join it."""
@@ -54,9 +57,26 @@ class Encoder:
             self.ends[letter] = [c[-1][0] for c in cuts] == [".", ","]
         return self.ends[letter]
 
+    def _ids(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text.  Many go through the tokenizer as one string: it cuts at a special token before all else."""
+        if self.between is None:
+            return self.cache.learn(texts)
+        number, mark = self.between
+        own = [i for i, t in enumerate(texts) if _SPECIAL.decode() in t]
+        out: list[bytes] = [b""] * len(texts)
+        for i, ids in zip(own, self.cache.learn([texts[i] for i in own])):
+            out[i] = ids
+        rest = sorted(set(range(len(texts))).difference(own)) if own else range(len(texts))
+        groups = [rest[at:at + TOGETHER] for at in range(0, len(rest), TOGETHER)]
+        for group, ids in zip(groups, self.cache.learn([mark.join([texts[i] for i in g]) for g in groups])):
+            cut = 4 * np.flatnonzero(np.frombuffer(ids, "<u4") == number)
+            for i, a, b in zip(group, [0, *(cut + 4).tolist()], [*cut.tolist(), len(ids)]):
+                out[i] = ids[a:b]
+        return out
+
     def _learn(self, words: list[bytes]) -> None:
         """A word followed by a full stop or comma is two strings to the tokenizer, so only the word is encoded."""
-        cache, known, plain, ends = self.cache, self.cache.known, {}, []
+        known, plain, ends = self.cache.known, {}, []
         for x in words:
             t = x.decode()
             if t[-1] in ".," and t[:-1].isalpha() and ("a" <= t[-2] <= "z" or self._ends_word(t[-2])):
@@ -68,7 +88,7 @@ class Encoder:
         for x in (b".", b","):
             if x not in known:
                 plain[x] = x.decode()
-        known.update(zip(plain, cache.learn(list(plain.values()))))
+        known.update(zip(plain, self._ids(list(plain.values()))))
         for x, word, end in ends:
             known[x] = known[word] + known[end]
 
