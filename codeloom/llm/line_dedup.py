@@ -104,14 +104,17 @@ def _pairs(df: DataFrame) -> DataFrame:
 
 
 def with_sets(text: DataFrame) -> DataFrame:
-    """``text`` (lid, line) as (lid, h, n5, b0, ...): hashes of its different shingles, their number, their bit map."""
+    """(lid, h, n5) of ``text`` (lid, line): hashes of its different shingles, and their number."""
     sets = _once(text, ["lid"], h=F.sort_array(F.transform(_shingles(F.col("line")), lambda x: F.xxhash64(x))))
+    return sets.select("lid", "h", F.size("h").alias("n5"))
 
-    def word(i: int) -> Column:
-        return F.aggregate("h", F.lit(0).cast("bigint"), lambda acc, x: F.when(
-            x.bitwiseAND(F.lit(7)) == i, acc.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.shiftright(x, 3).bitwiseAND(F.lit(63)).cast("int"))))
-            .otherwise(acc))
-    return sets.select("lid", "h", F.size("h").alias("n5"), *[word(i).alias(b) for i, b in enumerate(BITS)])
+
+def bit_maps(sets: DataFrame) -> DataFrame:
+    """(lid, n5, b0, ...): each hash of a line sets one bit of ``BITS``.  Lines are one row again before the exchange."""
+    h = sets.select("lid", "n5", F.explode("h").alias("x"))
+    bit = F.expr("shiftleft(1L, cast(shiftright(x, 3) & 63 as int))")
+    word = F.col("x").bitwiseAND(F.lit(7))
+    return h.groupBy("lid", "n5").agg(*[F.bit_or(F.when(word == i, bit).otherwise(F.lit(0).cast("bigint"))).alias(b) for i, b in enumerate(BITS)])
 
 
 def _can_reach(na: Column, nb: Column, a: list[str], b: list[str], similarity: float) -> Column:
@@ -148,29 +151,27 @@ def centre_pairs(prefix: DataFrame) -> DataFrame:
     return _pairs(rows.select("lid", F.explode(F.array("lo", "hi")).alias("other")))
 
 
-def pairs_between(prefix: DataFrame, comp: DataFrame, text: DataFrame, similarity: float) -> DataFrame:
+def pairs_between(prefix: DataFrame, comp: DataFrame, similarity: float) -> DataFrame:
     """(a, b): pairs that share a prefix shingle, can reach ``similarity`` and lie in different components.
 
     Only lines outside a group's largest component look for others, so a large family is not paired with itself.
     """
     rows = prefix.join(comp.select(F.col("node").alias("lid"), "component"), "lid", "left")
-    rows = rows.join(text.select("lid", *BITS), "lid")
-    rows = stored(rows.select("tok", "lid", "n", "at", F.coalesce("component", "lid").alias("c"), *BITS))
+    rows = stored(rows.select("tok", "lid", "n", "at", F.coalesce("component", "lid").alias("c")))
     top = rows.groupBy("tok", "c").agg(F.count("*").alias("m")).groupBy("tok").agg(
         F.max(F.struct("m", "c")).getField("c").alias("top"), F.count("*").alias("parts")).where("parts > 1")
     rows = rows.join(top.select("tok", "top"), "tok")
-    other = rows.select("tok", F.col("lid").alias("other"), F.col("n").alias("n2"), F.col("at").alias("at2"), F.col("c").alias("c2"), *[F.col(b).alias(f"{b}x") for b in BITS])
+    other = rows.select("tok", F.col("lid").alias("other"), F.col("n").alias("n2"), F.col("at").alias("at2"), F.col("c").alias("c2"))
     both = rows.where("c != top").join(other, "tok").where("c != c2 and (c2 = top or lid < other)")
     # bounds that follow from the similarity: the sizes, and what can follow the first shingle in common
-    fits = (_can_reach(F.col("n"), F.col("n2"), BITS, [f"{b}x" for b in BITS], similarity)
+    fits = ((F.least("n", "n2") >= F.greatest("n", "n2") * similarity - 1e-9)
             & (1 + F.least(F.col("n") - F.col("at"), F.col("n2") - F.col("at2")) - 1
                >= (F.col("n") + F.col("n2")) * (similarity / (1 + similarity)) - 1e-9))
     return _pairs(both.where(fits))
 
 
-def verified(pairs: DataFrame, text: DataFrame, similarity: float) -> DataFrame:
-    """(u, v, jaccard) of the candidate pairs at ``similarity`` or more; ``text`` is made by ``with_sets``."""
-    bounds = text.select("lid", "n5", *BITS)
+def verified(pairs: DataFrame, text: DataFrame, bounds: DataFrame, similarity: float) -> DataFrame:
+    """(u, v, jaccard) of the candidate pairs at ``similarity`` or more; see ``with_sets`` and ``bit_maps``."""
     near = (pairs.join(bounds.toDF("a", "na", *BITS), "a")
             .join(bounds.toDF("b", "nb", *[f"{b}x" for b in BITS]), "b")
             .where(_can_reach(F.col("na"), F.col("nb"), BITS, [f"{b}x" for b in BITS], similarity)).select("a", "b", "na", "nb"))
@@ -209,12 +210,13 @@ def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     place = F.xxhash64("lid", "k", "pos")
     text = with_hit(lines, place, bit_filter(places.select(place.alias("h")), "h")).where("__hit")
     text = stored(with_sets(text.join(places, ["lid", "k", "pos"]).select("lid", "line").dropDuplicates(["lid"])))
+    bounds = stored(bit_maps(text))
     prefix = stored(prefixes(text.join(crowded, "lid", "left_semi"), similarity))
     first = stored(pairs.unionByName(centre_pairs(prefix)).distinct())
-    links = stored(verified(first, text, similarity).select("u", "v"))
+    links = stored(verified(first, text, bounds, similarity).select("u", "v"))
     comp = connected_components(links)
-    rest = pairs_between(prefix, comp, text, similarity).join(first, ["a", "b"], "left_anti")
-    more = stored(verified(rest, text, similarity).select("u", "v"))
+    rest = pairs_between(prefix, comp, similarity).join(first, ["a", "b"], "left_anti")
+    more = stored(verified(rest, text, bounds, similarity).select("u", "v"))
     comp = connected_components(comp.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(more))
     group = (known.join(comp, known["lid"] == comp["node"], "left").where((F.col("n") > 1) | F.col("component").isNotNull())
              .select("lid", F.coalesce("component", "lid").alias("c")))
