@@ -61,26 +61,33 @@ def cap_changes(changes: DataFrame, max_files: int = 200) -> DataFrame:
 
 # --- J2 -----------------------------------------------------------------------------
 
-def resolve_hashes(refs: DataFrame, commits: DataFrame, ref_col: str = "ref", min_len: int = 4) -> DataFrame:
+PREFIX = 7
+
+
+def resolve_hashes(refs: DataFrame, commits: DataFrame, ref_col: str = "ref", min_len: int = 1) -> DataFrame:
     """Each reference -> the newest commit (lowest ``seq``) whose hash starts with it.
 
     ``refs(ref_id, [repository_id], ref)``; refs are normalised (P15) and
-    lower-cased; refs of ``min_len`` characters or more resolve, those below 7
-    through the commits' prefixes of that length.  Distinct refs are matched once (a hot ref costs one join row per candidate commit) and the
-    answer is joined back to every request.  Returns ``hash``, ``seq`` and the
-    number of matching commits (``match_count`` > 1 = ambiguous).
+    lower-cased; refs of ``min_len`` characters or more resolve.  Distinct refs are matched once
+    (a hot ref costs one row) and the answer is joined back to every request.  A ref of ``PREFIX``
+    characters or more meets the commits with its first characters; a shorter one is itself the
+    prefix of all its commits, so those are aggregated first, for the lengths that are asked only.
+    Returns ``hash``, ``seq`` and the number of matching commits (``match_count`` > 1 = ambiguous).
     """
     on = [REPO] if REPO in refs.columns else []
     r = refs.withColumn("_norm", F.lower(X.normalize_hash(F.col(ref_col), min_len=min_len)))
-    uniq = r.select(*on, "_norm").where(F.col("_norm").isNotNull()).distinct() \
-        .withColumn("_k", F.substring("_norm", 1, 7))
-    lengths = F.sequence(F.lit(max(1, min_len)), F.lit(7)) if min_len < 7 else F.array(F.lit(7))
-    c = commits.select(*on, F.lower("hash").alias("_h"), "hash", "seq", F.explode(lengths).alias("_n"))
-    c = c.withColumn("_k", F.expr("substring(_h, 1, _n)")).where(F.length("_k") == F.col("_n")).drop("_n")
-    m = uniq.join(c, [*on, "_k"]).where(F.col("_h").startswith(F.col("_norm")))
-    best = m.groupBy(*on, "_norm").agg(
-        F.min_by("hash", F.struct("seq", "hash")).alias("hash"), F.min("seq").alias("seq"),
-        F.count("*").alias("match_count"))
+    uniq = r.select(*on, "_norm").where(F.length("_norm") > 0).distinct()
+    c = commits.select(*on, F.lower("hash").alias("_h"), "hash", "seq")
+    answer = [F.min_by("hash", F.struct("seq", "hash")).alias("hash"), F.min("seq").alias("seq"), F.count("*").alias("match_count")]
+    long_refs = uniq.where(F.length("_norm") >= PREFIX).withColumn("_k", F.substring("_norm", 1, PREFIX))
+    best = (long_refs.join(c.withColumn("_k", F.substring("_h", 1, PREFIX)), [*on, "_k"])
+            .where(F.col("_h").startswith(F.col("_norm"))).groupBy(*on, "_norm").agg(*answer))
+    short = uniq.where(F.length("_norm") < PREFIX)
+    asked = sorted(x[0] for x in short.select(F.length("_norm")).distinct().collect())          # PREFIX - 1 numbers at most
+    if asked:
+        cut = F.explode(F.transform(F.array(*[F.lit(n) for n in asked]), lambda n: F.col("_h").substr(F.lit(1), n)))
+        groups = c.select(*on, "hash", "seq", cut.alias("_norm")).groupBy(*on, "_norm").agg(*answer)
+        best = best.unionByName(groups.join(short, [*on, "_norm"], "left_semi"))
     out = r.join(best, [*on, "_norm"], "left")
     return out.select(*[c for c in refs.columns], F.col("_norm").alias("normalized"), "hash", "seq",
                       F.coalesce("match_count", F.lit(0)).cast("long").alias("match_count"))

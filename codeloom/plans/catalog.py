@@ -459,13 +459,13 @@ refs AS (
 
 
 @register("j2_resolve_hashes", W_(O.commits_cte(), _REFS_SQL) + r""",
-n AS (SELECT ref_id, ref, CASE WHEN length(regexp_replace(trim(ref), '[^0-9a-fA-F]', '', 'g')) >= 4
+n AS (SELECT ref_id, ref, CASE WHEN length(regexp_replace(trim(ref), '[^0-9a-fA-F]', '', 'g')) >= 1
                               THEN lower(regexp_replace(trim(ref), '[^0-9a-fA-F]', '', 'g')) END AS normalized FROM refs),
 m AS (SELECT u.normalized, c.hash, c.seq,
              row_number() OVER (PARTITION BY u.normalized ORDER BY c.seq, c.hash) AS rn,
              count(*) OVER (PARTITION BY u.normalized) AS cnt
       FROM (SELECT DISTINCT normalized FROM n WHERE normalized IS NOT NULL) u
-      JOIN commits c ON substr(lower(c.hash), 1, 4) = substr(u.normalized, 1, 4)
+      JOIN commits c ON substr(lower(c.hash), 1, 1) = substr(u.normalized, 1, 1)
                     AND starts_with(lower(c.hash), u.normalized))
 SELECT n.ref_id, n.ref, n.normalized, m.hash, m.seq, CAST(coalesce(m.cnt, 0) AS BIGINT) AS match_count
 FROM n LEFT JOIN (SELECT * FROM m WHERE rn = 1) m ON n.normalized = m.normalized""")
@@ -1365,6 +1365,21 @@ def q_t5(spark, sf):
     return s.select("user_id", "session_start", "session_end", "n_events")
 
 
+@register("t5_session_state", """
+WITH e AS (SELECT *, CASE WHEN lag(ts) OVER (PARTITION BY user_id ORDER BY ts) IS NULL
+                            OR ts >= lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 30 MINUTE
+                       THEN 1 ELSE 0 END AS new_s FROM events),
+s AS (SELECT *, sum(new_s) OVER (PARTITION BY user_id ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS sid
+      FROM e),
+r AS (SELECT *, row_number() OVER (PARTITION BY user_id, sid ORDER BY ts DESC, event_type DESC, value DESC) AS n,
+             min(ts) OVER (PARTITION BY user_id, sid) AS session_start FROM s)
+SELECT user_id, session_start, ts AS last_ts, event_type AS last_event_type, round(value, 6) AS last_value FROM r WHERE n = 1""")
+def q_t5_state(spark, sf):
+    ev = P.table(spark, sf, "events").select("user_id", "ts", "event_type", "value")
+    s = L.sessions(ev, "user_id", "ts", "30 minutes", payload=["event_type", "value"])
+    return s.select("user_id", "session_start", "last_ts", "last_event_type", r6(F.col("last_value")).alias("last_value"))
+
+
 # =====================================================================================
 # K3 / K4 / K5 / X2 : listings, previews, change messages
 # =====================================================================================

@@ -2,7 +2,7 @@
 
 Each function takes a streaming DataFrame (or a path to read as a stream) and
 returns either a streaming DataFrame or a started query.  Every stateful step
-has a watermark so state is bounded (T1 keeps no state); sinks written from ``foreachBatch`` are
+has a watermark so state is bounded (T1's keys stay, on RocksDB); sinks written from ``foreachBatch`` are
 idempotent per batch id, so a replay after an executor or driver loss rewrites
 the same output instead of duplicating it.  The same logic applied to a static
 DataFrame gives the batch result the tests compare against.
@@ -10,6 +10,8 @@ DataFrame gives the batch result the tests compare against.
 
 from __future__ import annotations
 
+import contextlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -46,18 +48,38 @@ def store_batch(batch: DataFrame, batch_id: int, sink: str) -> None:
     new.write.mode("overwrite").parquet(f"{sink.rstrip('/')}/_batch={batch_id}")
 
 
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+@contextlib.contextmanager
+def _conf(spark: SparkSession, key: str, value: str):
+    """A setting for the queries started inside; the session's own value is put back."""
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 def ingest_commits(spark: SparkSession, source: str, schema: T.StructType, sink: str, checkpoint: str,
                    fmt: str = "parquet", available_now: bool = True):
     """File stream of commit exports -> commit table, each (repository, hash) once, one folder per batch.
 
-    There is no watermark: commit dates are not ordered, and a commit of any age is stored the first time it
-    arrives.  Uniqueness comes from the sink.
+    The keys seen so far are state on RocksDB, so a batch looks up its own keys and never reads the sink: its cost
+    does not grow with the table.  There is no watermark: commit dates are not ordered, and a commit of any age is
+    stored the first time it arrives.  A batch that is run again after a crash finds the state as it was before it
+    and overwrites its own folder, so the table is the same.  ``store_batch`` does the same for single batches
+    outside a stream, at the cost of reading the sink's keys.
     """
     src = spark.readStream.schema(schema).format(fmt).load(source)
-    w = (src.writeStream.foreachBatch(lambda batch, batch_id: store_batch(batch, batch_id, sink))
-         .option("checkpointLocation", checkpoint))
+
+    def write(batch: DataFrame, batch_id: int):
+        batch.write.mode("overwrite").parquet(f"{sink.rstrip('/')}/_batch={batch_id}")
+    w = src.dropDuplicates([REPO, "hash"]).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="30 seconds")
-    return w.start()
+    with _conf(spark, "spark.sql.streaming.stateStore.providerClass", ROCKSDB):
+        return w.start()
 
 
 # --- T2: issue events -> retrieval context --------------------------------------------------
@@ -98,9 +120,12 @@ def commit_frequency(df: DataFrame, ts_col: str = "author_ts", window: str = "1
 # --- T4: newest value per key, expiring -----------------------------------------------------
 
 def latest_value(df: DataFrame, keys: list[str], ts_col: str, value_cols: list[str], asof, ttl_hours: int = 24):
-    """T4 (batch): newest row per key written within ``ttl_hours`` before ``asof``; else status not_ready."""
+    """T4 (batch): newest row per key written within ``ttl_hours`` before ``asof``; else status not_ready.
+
+    Of rows with one time the greatest values win, column by column.
+    """
     d = df.withColumn("_asof", asof)
-    newest = d.groupBy(*keys).agg(F.max_by(F.struct(ts_col, *value_cols), ts_col).alias("_v"),
+    newest = d.groupBy(*keys).agg(F.max(F.struct(ts_col, *value_cols)).alias("_v"),
                                   F.first("_asof").alias("_asof"))
     ok = F.col(f"_v.{ts_col}") > (F.col("_asof") - F.make_interval(hours=F.lit(ttl_hours)))
     return newest.select(*keys, F.when(ok, F.lit("ready")).otherwise(F.lit("not_ready")).alias("status"),
@@ -126,9 +151,10 @@ def latest_value_stream(stream: DataFrame, keys: list[str], ts_col: str, value_c
             return
         best = state.get if state.exists else None
         for pdf in pdfs:
-            row = pdf.sort_values(ts_col).iloc[-1]
-            if best is None or row[ts_col] > best[0]:
-                best = (row[ts_col], row[value_col])
+            row = pdf.sort_values([ts_col, value_col], na_position="first").iloc[-1]
+            new = (row[ts_col], row[value_col])
+            if best is None or (new[0], new[1] is not None, new[1] or "") > (best[0], best[1] is not None, best[1] or ""):
+                best = new
         state.update(best)
         state.setTimeoutTimestamp(int(pd.Timestamp(best[0]).value // 1_000_000) + ttl_ms)
         yield pd.DataFrame([list(key) + ["ready", best[0], best[1]]], columns=[*keys, "status", ts_col, value_col])
@@ -141,10 +167,18 @@ def latest_value_stream(stream: DataFrame, keys: list[str], ts_col: str, value_c
 
 # --- T5: sessions ---------------------------------------------------------------------------------
 
-def sessions(df: DataFrame, key: str, ts_col: str, gap: str = "30 minutes", watermark: str = "1 hour") -> DataFrame:
-    """T5: gap-based session windows per key: start, end (= last event + gap), events and last event."""
+def sessions(df: DataFrame, key: str, ts_col: str, gap: str = "30 minutes", watermark: str = "1 hour",
+             payload: list[str] | None = None) -> DataFrame:
+    """T5: gap-based session windows per key: start, end (= last event + gap), number of events, time of the last
+    event and, with ``payload``, its columns ``last_<column>``.
+
+    The last event is aggregate state of the window: where a late event joins two sessions, the states are merged.
+    Of events with one time the greatest payload is the last.
+    """
+    payload = payload or []
     d = df.withColumn("_ts", F.col(ts_col))
     if d.isStreaming:
         d = d.withWatermark("_ts", watermark)
-    g = d.groupBy(key, F.session_window("_ts", gap).alias("s")).agg(F.count("*").alias("n_events"))
-    return g.select(key, F.col("s.start").alias("session_start"), F.col("s.end").alias("session_end"), "n_events")
+    last = F.max(F.struct(F.col(ts_col).alias("last_ts"), *[F.col(c).alias(f"last_{c}") for c in payload])).alias("l")
+    g = d.groupBy(key, F.session_window("_ts", gap).alias("s")).agg(F.count("*").alias("n_events"), last)
+    return g.select(key, F.col("s.start").alias("session_start"), F.col("s.end").alias("session_end"), "n_events", "l.*")

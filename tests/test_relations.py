@@ -15,7 +15,9 @@ def test_resolve_hashes_prefix_and_ambiguity(spark):
     out = {r.ref_id: r for r in J.resolve_hashes(refs, commits).collect()}
     assert out[1].seq == 0 and out[1].match_count == 2
     assert out[2].seq == 1 and out[2].match_count == 1
-    assert out[3].hash is None and out[4].hash is None
+    assert out[3].seq == 0 and out[3].match_count == 2 and out[4].hash is None      # references of any length resolve
+    kept = {r.ref_id: r.hash for r in J.resolve_hashes(refs, commits, min_len=4).collect()}
+    assert kept[3] is None and kept[1] is not None
 
 
 def test_resolve_hashes_plan_is_equi_join(spark):
@@ -148,7 +150,7 @@ def test_short_references_resolve(spark):
     out = {r.ref_id: (r["hash"], r.match_count) for r in J.resolve_hashes(refs, commits).collect()}
     every = {r.ref_id: r.match_count for r in J.resolve_hashes(refs, commits, min_len=1).collect()}
     assert every[2] == 2
-    assert out == {1: ("abcdef0123", 1), 2: (None, 0), 3: ("abcdef0123", 1), 4: (None, 0), 5: (None, 0)}
+    assert out == {1: ("abcdef0123", 1), 2: ("abc123", 2), 3: ("abcdef0123", 1), 4: (None, 0), 5: (None, 0)}
 
 
 def test_from_imports_and_relative_imports(spark):

@@ -118,3 +118,69 @@ def test_issue_retrieval_stream(spark, scratch):
     q.awaitTermination(300)
     out = spark.read.parquet(sink)
     assert out.count() == 2 and "relevant_files" in out.first().context_json
+
+
+def test_ingest_batch_run_again_after_a_crash(spark, scratch):
+    src, sink, ck = (os.path.join(scratch, n) for n in ("src", "sink", "ck"))
+    t = dt.datetime(2024, 3, 1)
+    first = _commits(spark, [("r1", "h1", t, "m"), ("r2", "h1", t, "m"), (None, "h9", t, "m"), (None, "h9", t, "m")])
+    first.write.mode("append").parquet(src)
+    L.ingest_commits(spark, src, first.schema, sink, ck).awaitTermination(120)
+    _commits(spark, [("r1", "h1", t, "again"), ("r1", "h2", t, "m"), (None, "h9", t, "m")]).write.mode("append").parquet(src)
+    L.ingest_commits(spark, src, first.schema, sink, ck).awaitTermination(120)
+    stored = lambda: sorted((str(r["repository_id"]), r["hash"], r["_batch"]) for r in spark.read.parquet(sink).collect())
+    want = [("None", "h9", 0), ("r1", "h1", 0), ("r1", "h2", 1), ("r2", "h1", 0)]
+    assert stored() == want
+    for name in ("1", ".1.crc"):                                 # a crash after the write and before the commit
+        os.remove(os.path.join(ck, "commits", name))
+    q = L.ingest_commits(spark, src, first.schema, sink, ck)
+    q.awaitTermination(120)
+    assert stored() == want
+    assert not spark.conf.get("spark.sql.streaming.stateStore.providerClass", "").endswith("RocksDBStateStoreProvider")
+
+
+def test_a_batch_does_not_read_the_sink(spark, scratch, monkeypatch):
+    src, sink, ck = (os.path.join(scratch, n) for n in ("src", "sink", "ck"))
+    df = _commits(spark, [("r1", f"h{i}", dt.datetime(2024, 3, 1), "m") for i in range(10)])
+    df.write.parquet(src)
+    monkeypatch.setattr(L, "_earlier_batches", lambda *a: 1 / 0)
+    q = L.ingest_commits(spark, src, df.schema, sink, ck)
+    q.awaitTermination(120)
+    assert q.exception() is None and spark.read.parquet(sink).count() == 10
+
+
+def test_sessions_keep_their_last_event(spark, scratch):
+    t0 = dt.datetime(2024, 1, 1)
+    at = lambda m: t0 + dt.timedelta(minutes=m)
+    files = [[(1, at(0), "a", 1.0), (1, at(50), "z", 2.0), (2, at(5), "b", 3.0)],
+             [(1, at(25), "m", 4.0), (1, at(50), "zz", None), (1, at(10), "late", 9.0)],     # joins the two sessions of user 1
+             [(3, at(100_000), "end", 0.0)]]
+    cols = "user_id long, ts timestamp, kind string, value double"
+    src = os.path.join(scratch, "ev")
+    for i, rows in enumerate(files):
+        spark.createDataFrame(rows, cols).coalesce(1).write.parquet(os.path.join(src, f"{i}"))
+    every = spark.createDataFrame([r for f in files for r in f], cols)
+    names = ["user_id", "session_start", "session_end", "n_events", "last_ts", "last_kind", "last_value"]
+    batch = {tuple(r) for r in L.sessions(every, "user_id", "ts", payload=["kind", "value"]).select(*names).collect()}
+    assert (1, at(0), at(80), 5, at(50), "zz", None) in batch and len(batch) == 3
+    stream = spark.readStream.schema(cols).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(src)
+    q = (L.sessions(stream, "user_id", "ts", watermark="2 hours", payload=["kind", "value"]).select(*names)
+         .writeStream.outputMode("append").format("memory").queryName("sess_state").start())
+    q.processAllAvailable()
+    q.stop()
+    got = {tuple(r) for r in spark.sql("select * from sess_state").collect()}
+    assert got == {r for r in batch if r[0] != 3}                # the last session is still open
+
+
+def test_latest_value_settles_ties(spark, scratch):
+    t0 = dt.datetime(2024, 1, 1)
+    df = spark.createDataFrame([("a", t0, v) for v in ("m", None, "z", "b")], "k string, ts timestamp, v string")
+    out = L.latest_value(df, ["k"], "ts", ["v"], F.lit(t0))
+    assert [r.v for r in out.collect()] == ["z"]
+    src = os.path.join(scratch, "kv")
+    df.repartition(3).write.parquet(src)
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(src)
+    q = L.latest_value_stream(stream, ["k"], "ts", "v").writeStream.outputMode("update").format("memory").queryName("ties_t4").start()
+    q.processAllAvailable()
+    q.stop()
+    assert spark.sql("select * from ties_t4").collect()[-1].v == "z"
