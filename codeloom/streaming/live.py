@@ -86,16 +86,18 @@ def ingest_commits(spark: SparkSession, source: str, schema: T.StructType, sink:
 
 def issue_retrieval(stream: DataFrame, files: DataFrame, commits: DataFrame, changes: DataFrame,
                     sink: str, checkpoint: str, available_now: bool = True,
-                    file_vectors: DataFrame | None = None, commit_vectors: DataFrame | None = None):
+                    file_vectors=None, commit_vectors=None, embedder=None):
     """Each micro-batch of issue events becomes C4 context rows (stream-static joins).
 
     Top-k per question needs the whole candidate set, so it runs per batch in
-    ``foreachBatch``; output is keyed by event id and overwritten per batch id.
+    ``foreachBatch``; output is keyed by event id and overwritten per batch id.  With ``file_vectors`` and
+    ``commit_vectors`` (tables kept by ``search.refresh_vectors``, or indexes of them) a batch embeds its own
+    issues only.
     """
     from codeloom.operators.context import issue_context
 
     def write(batch: DataFrame, batch_id: int):
-        ctx = issue_context(batch, files, commits, changes, file_vectors, commit_vectors)
+        ctx = issue_context(batch, files, commits, changes, file_vectors, commit_vectors, embedder)
         ctx.write.mode("overwrite").parquet(f"{sink.rstrip('/')}/_batch={batch_id}")
 
     w = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
