@@ -117,13 +117,6 @@ def bit_maps(sets: DataFrame) -> DataFrame:
     return h.groupBy("lid", "n5").agg(*[F.bit_or(F.when(word == i, bit).otherwise(F.lit(0).cast("bigint"))).alias(b) for i, b in enumerate(BITS)])
 
 
-def _can_reach(na: Column, nb: Column, a: list[str], b: list[str], similarity: float) -> Column:
-    """Whether sets of these sizes and bit maps can be at ``similarity``: both bounds follow from it."""
-    differ = sum((F.bit_count(F.col(x).bitwiseXOR(F.col(y))) for x, y in zip(a, b)), F.lit(0))
-    return ((F.least(na, nb) >= F.greatest(na, nb) * similarity - 1e-9)
-            & (differ <= (na + nb) * ((1 - similarity) / (1 + similarity)) + 1e-9))
-
-
 def prefixes(text: DataFrame, similarity: float) -> DataFrame:
     """(tok, lid, n, at): the rarest shingles of each line, enough that two lines at ``similarity`` share one.
 
@@ -144,11 +137,20 @@ def prefixes(text: DataFrame, similarity: float) -> DataFrame:
     return sets.select("lid", n.alias("n"), F.posexplode(F.slice(ranked, F.lit(1), length)).alias("at", "tok"))
 
 
-def centre_pairs(prefix: DataFrame) -> DataFrame:
-    """(a, b): in groups of one prefix shingle above ``SMALL``, each line with the smallest and the largest id."""
-    group = prefix.groupBy("tok").agg(F.count("*").alias("size"), F.min("lid").alias("lo"), F.max("lid").alias("hi"))
-    rows = prefix.select("tok", "lid").join(group.where(F.col("size") > SMALL), "tok")
-    return _pairs(rows.select("lid", F.explode(F.array("lo", "hi")).alias("other")))
+def _fits(n: Column, at: Column, n2: Column, at2: Column, similarity: float) -> Column:
+    """Bounds that follow from the similarity: the sizes, and what can follow a shingle in common at these places."""
+    return ((F.least(n, n2) >= F.greatest(n, n2) * similarity - 1e-9)
+            & (1 + F.least(n - at, n2 - at2) - 1 >= (n + n2) * (similarity / (1 + similarity)) - 1e-9))
+
+
+def centre_pairs(prefix: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): in groups of one prefix shingle above ``SMALL``, each line with the smallest and the largest id,
+    where the two can reach ``similarity``."""
+    line = F.struct("lid", "n", "at")
+    group = prefix.groupBy("tok").agg(F.count("*").alias("size"), F.min(line).alias("lo"), F.max(line).alias("hi"))
+    rows = prefix.join(group.where(F.col("size") > SMALL), "tok").select("lid", "n", "at", F.explode(F.array("lo", "hi")).alias("o"))
+    rows = rows.where(_fits(F.col("n"), F.col("at"), F.col("o.n"), F.col("o.at"), similarity))
+    return _pairs(rows.select("lid", F.col("o.lid").alias("other")))
 
 
 def pairs_between(prefix: DataFrame, comp: DataFrame, similarity: float) -> DataFrame:
@@ -163,18 +165,20 @@ def pairs_between(prefix: DataFrame, comp: DataFrame, similarity: float) -> Data
     rows = rows.join(top.select("tok", "top"), "tok")
     other = rows.select("tok", F.col("lid").alias("other"), F.col("n").alias("n2"), F.col("at").alias("at2"), F.col("c").alias("c2"))
     both = rows.where("c != top").join(other, "tok").where("c != c2 and (c2 = top or lid < other)")
-    # bounds that follow from the similarity: the sizes, and what can follow the first shingle in common
-    fits = ((F.least("n", "n2") >= F.greatest("n", "n2") * similarity - 1e-9)
-            & (1 + F.least(F.col("n") - F.col("at"), F.col("n2") - F.col("at2")) - 1
-               >= (F.col("n") + F.col("n2")) * (similarity / (1 + similarity)) - 1e-9))
-    return _pairs(both.where(fits))
+    return _pairs(both.where(_fits(F.col("n"), F.col("at"), F.col("n2"), F.col("at2"), similarity)))
 
 
 def verified(pairs: DataFrame, text: DataFrame, bounds: DataFrame, similarity: float) -> DataFrame:
     """(u, v, jaccard) of the candidate pairs at ``similarity`` or more; see ``with_sets`` and ``bit_maps``."""
-    near = (pairs.join(bounds.toDF("a", "na", *BITS), "a")
-            .join(bounds.toDF("b", "nb", *[f"{b}x" for b in BITS]), "b")
-            .where(_can_reach(F.col("na"), F.col("nb"), BITS, [f"{b}x" for b in BITS], similarity)).select("a", "b", "na", "nb"))
+    size = bounds.select("lid", "n5")
+    near = (pairs.join(size.toDF("a", "na"), "a").join(size.toDF("b", "nb"), "b")
+            .where(F.least("na", "nb") >= F.greatest("na", "nb") * similarity - 1e-9))
+    other = [f"{b}x" for b in BITS]
+    near = (near.join(bounds.select(F.col("lid").alias("a"), *BITS), "a")
+            .join(bounds.select("lid", *BITS).toDF("b", *other), "b"))
+    differ = sum((F.bit_count(F.col(x).bitwiseXOR(F.col(y))) for x, y in zip(BITS, other)), F.lit(0))
+    near = (near.where(differ <= (F.col("na") + F.col("nb")) * ((1 - similarity) / (1 + similarity)) + 1e-9)
+            .select("a", "b", "na", "nb"))
     sets = (near.join(text.select(F.col("lid").alias("a"), F.col("h").alias("ha")), "a")
             .join(text.select(F.col("lid").alias("b"), F.col("h").alias("hb")), "b"))
     both = _once(sets, ["a", "b", "na", "nb"], i=F.size(F.array_intersect("ha", "hb")))
@@ -212,7 +216,7 @@ def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     text = stored(with_sets(text.join(places, ["lid", "k", "pos"]).select("lid", "line").dropDuplicates(["lid"])))
     bounds = stored(bit_maps(text))
     prefix = stored(prefixes(text.join(crowded, "lid", "left_semi"), similarity))
-    first = stored(pairs.unionByName(centre_pairs(prefix)).distinct())
+    first = stored(pairs.unionByName(centre_pairs(prefix, similarity)).distinct())
     links = stored(verified(first, text, bounds, similarity).select("u", "v"))
     comp = connected_components(links)
     rest = pairs_between(prefix, comp, similarity).join(first, ["a", "b"], "left_anti")
