@@ -168,7 +168,10 @@ def empty_repo_debt() -> dict:
 
 def repository_metrics(files: DataFrame, commits: DataFrame, file_scores: DataFrame | None = None,
                        debt: DataFrame | None = None) -> DataFrame:
-    """One row per repository; every input reduced to one row per repository first."""
+    """One row per repository; every input reduced to one row per repository first.
+
+    ``debt`` is the first table of :func:`technical_debt`; it gives ``avg_complexity`` too unless ``file_scores`` does.
+    """
     f = files.groupBy(REPO).agg(F.count("*").cast("long").alias("total_files"),
                                 F.sum(line_count(F.col("content"))).cast("long").alias("total_lines"))
     c = commits.groupBy(REPO).agg(
@@ -181,10 +184,32 @@ def repository_metrics(files: DataFrame, commits: DataFrame, file_scores: DataFr
     if file_scores is not None:
         out = out.join(file_scores.groupBy(REPO).agg(F.avg("complexity").alias("avg_complexity")), REPO, "left")
     if debt is not None:
-        out = out.join(debt.select(REPO, F.col("score").alias("technical_debt_score")), REPO, "left")
+        own = [] if file_scores is not None else ["avg_complexity"]
+        out = out.join(debt.select(REPO, *own, F.col("score").alias("technical_debt_score")), REPO, "left")
     return out
 
 
+HLL_LG_K = 12             # registers as a power of two: the standard error is about 1.04 / 2 ** (lg_k / 2), 1.6 %
+
+
+def activity_sketches(commits: DataFrame, lg_k: int = HLL_LG_K) -> DataFrame:
+    """(repository_id, day, n_commits, authors): daily counts with a mergeable sketch of the authors.
+
+    Days of any period add up without the commits: see :func:`activity_between`.  New commits of a day are a
+    sketch of their own that is merged the same way.  Commits without an author or a time are not in a sketch.
+    """
+    return (commits.where("author_ts is not null").groupBy(REPO, F.to_date("author_ts").alias("day"))
+            .agg(F.count("*").alias("n_commits"), F.hll_sketch_agg("author_email", lg_k).alias("authors")))
+
+
+def activity_between(sketches: DataFrame, period: str | None = None) -> DataFrame:
+    """(repository_id, [period,] n_commits, contributors): daily sketches merged per repository and ``period``
+    (``week``, ``month``, ...; the whole time if null).  ``contributors`` is an estimate within the sketch's error."""
+    by = [F.date_trunc(period, "day").cast("date").alias("period")] if period else []
+    return sketches.groupBy(REPO, *by).agg(F.sum("n_commits").alias("n_commits"),
+                                           F.hll_sketch_estimate(F.hll_union_agg("authors")).alias("contributors"))
+
+
 # --- A9 / A10 / F8 ------------------------------------------------------------------------------
 
 def last_message(messages: DataFrame) -> DataFrame:

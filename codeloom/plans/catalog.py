@@ -382,6 +382,37 @@ def q_a8(spark, sf):
     return top.select(REPO, F.col("rank").cast("int"), "path", r6(F.col("complexity")).alias("complexity"))
 
 
+_A6_PARTS = """
+f6 AS (SELECT repository_id, CAST(count(*) AS BIGINT) AS total_files FROM files GROUP BY 1),
+c6 AS (SELECT repository_id, CAST(count(DISTINCT author_email) AS BIGINT) AS contributor_count FROM commits GROUP BY 1)"""
+
+
+@register("a6_metrics_with_debt", _DEBT_SQL + ",\n" + O.commits_cte() + "," + _A6_PARTS + """
+SELECT coalesce(f6.repository_id, c6.repository_id) AS repository_id, total_files, contributor_count,
+       round(avg_complexity, 6) AS avg_complexity,
+       round(code_complexity * 0.4 + documentation * 0.3 + test_coverage * 0.3, 6) AS technical_debt_score
+FROM f6 FULL OUTER JOIN c6 ON f6.repository_id = c6.repository_id
+LEFT JOIN debt ON debt.repository_id = coalesce(f6.repository_id, c6.repository_id)""")
+def q_a6_debt(spark, sf):
+    files = P.files(spark, sf)
+    debt, _top = A.technical_debt(files, _file_scores(spark, sf))
+    m = A.repository_metrics(files, P.commits(spark, sf, with_seq=False), debt=debt)
+    return m.select(REPO, "total_files", "contributor_count", *[r6(F.col(c)).alias(c) for c in ("avg_complexity", "technical_debt_score")])
+
+
+@register("a11_contributor_sketches", W_(O.commits_cte()) + """
+SELECT repository_id, CAST(date_trunc('month', author_ts) AS DATE) AS period, CAST(count(*) AS BIGINT) AS n_commits,
+       CAST(count(DISTINCT author_email) AS BIGINT) AS contributors, TRUE AS sketch_close
+FROM commits GROUP BY 1, 2""")
+def q_a11_sketches(spark, sf):
+    c = P.commits(spark, sf, with_seq=False)
+    exact = c.groupBy(REPO, F.date_trunc("month", "author_ts").cast("date").alias("period")).agg(
+        F.count("*").alias("n_commits"), F.countDistinct("author_email").alias("contributors"))
+    merged = A.activity_between(A.activity_sketches(c), "month").select(REPO, "period", F.col("contributors").alias("est"))
+    close = F.abs(F.col("est") - F.col("contributors")) <= 1 + 0.08 * F.col("contributors")       # five standard errors
+    return exact.join(merged, [REPO, "period"]).select(REPO, "period", "n_commits", "contributors", close.alias("sketch_close"))
+
+
 @register("a9_conversation_history", W_(O.messages_cte()) + """
 SELECT m.session_id, m.turn, m.role, m.content FROM messages m
 JOIN (SELECT session_id, max(turn) AS last FROM messages GROUP BY 1) l ON m.session_id = l.session_id
