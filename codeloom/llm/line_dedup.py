@@ -1,22 +1,16 @@
-"""Fuzzy line de-duplication: MinHash over character shingles, banding, exact Jaccard, union-find.
-
-DataFrame functions only.
-
-* Signature: hashes of long character shingles, sorted; the smallest ``SKETCH`` distinct ones (a bottom-k
-  MinHash).  Lines of ``LONG`` characters or more take a 16-character shingle at every word start and, inside
-  a word, at every character after its first 16, so what is a shingle depends on the text around it and not on
-  the line; lines of 12 to ``LONG * 1.25`` take a 12-character one and lines of up to 14 a 5-character one at
-  every character.  The ranges overlap, so two lines without much repetition in them at 0.8 have one in common.
-* Bands: every sketch value is a bucket key of its own.  Long shingles keep the buckets small.
-* Candidates: all pairs inside a bucket of up to ``SMALL`` different lines; in a larger one each line
-  meets three centres (the most frequent line, the smallest and the largest id).
-* Lines of larger buckets also go through an exact prefix-filter join on their ``SHINGLE``-character
-  shingles: lines at 0.8 share one of the rarest fifth (and one more) of either's shingles.  Centres of large
-  groups are compared first and their links contracted, so a family of near copies costs a few pairs a
-  line; then every pair left that shares a prefix shingle and lies in different components is verified.
-* Verification: exact Jaccard of the sets of ``SHINGLE``-character shingles, cut and hashed once a line.  Before
-  the sets are joined two bounds drop pairs that cannot reach it: the numbers of different shingles, and a bit map
-  of them, in which every bit that differs stands for at least one shingle that one line has alone.
+"""Fuzzy line de-duplication: MinHash of character shingles, high-recall banding, exact Jaccard, union-find.
+
+Signatures and verification are numpy and sets inside Arrow batches; every join, count and shuffle is Spark's.
+
+* Signature: ``BANDS`` x ``ROWS`` minima of hashed ``SHINGLE``-character shingles, every line alike.  A line shorter
+  than one shingle is its own only shingle; a long line is read in slabs of ``SLAB`` characters.
+* Banding: each band of ``ROWS`` minima is one bucket key.  Two lines at similarity s share one with probability
+  1 - (1 - s^ROWS)^BANDS: 0.9958 at 0.8, 0.9998 at 0.85; unrelated lines practically never do.
+* Centres: the line of a bucket that shares most keys with other lines is compared with every line of the bucket,
+  so a family of near copies costs one pair a line and mostly the same ones in every band.
+* The rest: pairs in one bucket that those links leave in different components are compared as well, so every pair
+  that shares a key is verified or already of one component.
+* Verification: exact Jaccard of the sets of shingles of both whole lines.
 * Components of the verified links; of each component's occurrences in the corpus the first one,
   by (id, position), stays.
 
@@ -25,6 +19,10 @@ Exact copies of a line are one node from the start.  A line is known by its 64-b
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,166 +31,188 @@ from codeloom.llm.tables import bit_filter, stored, with_hit
 
 SHINGLE = 5
 MIN_SIMILARITY = 0.8
-SKETCH = 4
-LONG = 80
-SMALL = 8
-ORDER_LINES = 20_000       # lines that give the order of the prefix shingles; it changes the cost only
-ORDER_SLOTS = 1 << 16
+BANDS = 18
+ROWS = 6
+SLAB = 1 << 16             # characters hashed at once; memory only
 NO_ID = (1 << 63) - 1
-BITS = [f"b{i}" for i in range(8)]          # longs of a line's bit map
-EVERY5, EVERY12 = (f"(?s)(?=(.{{{n}}}))" for n in (SHINGLE, 12))
-WORDS16 = r"(?s)(?=(\S.{15}))(?:(?<!\S)\S{1,16}+|\S)\s*+"
 
 
 def _lines(text: Column) -> Column:
     return F.split(text, "\n")
 
 
-def _shingles(line: Column) -> Column:
-    """Distinct character shingles; a line shorter than one shingle is its own only shingle."""
-    return F.when(F.length(line) < SHINGLE, F.array(line)).otherwise(
-        F.array_distinct(F.regexp_extract_all(line, F.lit(f"(?s)(?=(.{{{SHINGLE}}}))"), F.lit(1))))
-
-
-def _windows(line: Column, pattern: str) -> Column:
-    return F.regexp_extract_all(line, F.lit(pattern), F.lit(1))
-
-
-def _hashes(windows: Column, scheme: int) -> Column:
-    return F.sort_array(F.array_distinct(F.transform(windows, lambda w: F.xxhash64(w, F.lit(scheme)))))
-
-
 def _base(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("k"),
                        F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t"))
 
 
-def _known(lines: DataFrame) -> DataFrame:
-    """One row per different line: lid, n occurrences, one place (k, pos) and the bucket keys s0, s1, ..."""
-    n, line = F.length("line"), F.col("line")
-    none = F.array().cast("array<bigint>")
-
-    def low(take: Column, pattern: str, scheme: int) -> Column:
-        return F.when(take, F.slice(_hashes(_windows(line, pattern), scheme), 1, SKETCH)).otherwise(none)
-    keys = F.concat(low(n >= LONG, WORDS16, 2), low((n >= SHINGLE) & (n <= 14), EVERY5, 0),
-                    low((n >= 12) & (n <= LONG * 5 // 4), EVERY12, 1))
-    slots = [f"s{i}" for i in range(2 * SKETCH)]
-    rows = lines.select("k", "pos", "lid", keys.alias("s"))
-    rows = rows.select("k", "pos", "lid", *[F.get("s", F.lit(i)).alias(c) for i, c in enumerate(slots)])
-    return rows.groupBy("lid").agg(F.count("*").alias("n"), *[F.first(c).alias(c) for c in ("k", "pos", *slots)])
-
-
-def candidate_pairs(known: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(a, b): distinct candidate pairs of line ids; (lid): the lines of buckets too large for all pairs."""
-    slots = F.array_compact(F.array(*[c for c in known.columns if c[0] == "s"]))
-    keyed = known.select("lid", "n", F.explode(slots).alias("key"))
-    bucket = (keyed.groupBy("key").agg(F.count("*").alias("size"), F.min("lid").alias("lo"), F.max("lid").alias("hi"))
-              .where("size > 1"))
-    two = bucket.where("size = 2").select(F.col("lo").alias("lid"), F.col("hi").alias("other"))
-    member = stored(keyed.join(bucket.where("size > 2"), "key"))
-    common = member.where(F.col("size") > SMALL).groupBy("key").agg(F.max(F.struct("n", "lid")).getField("lid").alias("mid"))
-    large = (member.where(F.col("size") > SMALL).join(common, "key")
-             .select("lid", F.explode(F.array("lo", "hi", "mid")).alias("other")))
-    small = member.where(F.col("size") <= SMALL).select("key", "lid")
-    small = small.join(small.select("key", F.col("lid").alias("other")), "key").where("lid < other")
-    pairs = _pairs(large.unionByName(small.select("lid", "other")).unionByName(two))
-    return pairs, member.where(F.col("size") > SMALL).select("lid").distinct()
+def _shingle_hashes(text: str, kind: type = np.uint32) -> np.ndarray:
+    """A mixed hash (uint32 or uint64) of the shingle at every place of ``text`` where one begins."""
+    c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(kind, copy=False)
+    bits = 8 * np.dtype(kind).itemsize
+    factor, last = (kind(x >> (64 - bits) | 1) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9))
+    shift = kind(bits // 2 - 1)
+    h = c[:len(c) - SHINGLE + 1].copy()
+    t = np.empty_like(h)
+    for i in range(1, SHINGLE + 1):
+        h *= factor
+        np.right_shift(h, shift, out=t)
+        h ^= t
+        if i < SHINGLE:
+            h += c[i:len(c) - SHINGLE + 1 + i]
+    h *= last
+    np.right_shift(h, shift, out=t)
+    h ^= t
+    return h
+
+
+def _factors() -> np.ndarray:
+    """The odd factors of the ``BANDS * ROWS`` hash functions of a hashed shingle; the same in every task."""
+    return np.random.Generator(np.random.PCG64(5)).integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32) | np.uint32(1)
+
+
+def _slabs(lines: list[str]) -> Iterator[tuple[list[int], list[str]]]:
+    """Pieces of lines, with the number of their line, in groups of about ``SLAB`` characters."""
+    at, pieces, size = [], [], 0
+    for i, line in enumerate(lines):
+        line = line.ljust(SHINGLE, "\0")
+        for lo in range(0, len(line) - SHINGLE + 1, SLAB):
+            piece = line[lo:lo + SLAB + SHINGLE - 1]
+            at.append(i)
+            pieces.append(piece)
+            size += len(piece)
+            if size >= SLAB:
+                yield at, pieces
+                at, pieces, size = [], [], 0
+    if at:
+        yield at, pieces
+
+
+def signatures(lines: list[str]) -> np.ndarray:
+    """One row of ``BANDS * ROWS`` minima (uint32) a line."""
+    factors = _factors()
+    out = np.full((len(lines), BANDS * ROWS), np.iinfo(np.uint32).max, dtype=np.uint32)
+    for at, pieces in _slabs(lines):
+        h = _shingle_hashes("".join(pieces))
+        n = np.array([len(p) for p in pieces])
+        ends = np.cumsum(n)
+        inside = np.ones(ends[-1], dtype=bool)
+        for back in range(1, SHINGLE):
+            inside[ends - back] = False         # shingles that would run into the next piece
+        h = h[inside[:len(h)]]
+        starts = np.concatenate([[0], np.cumsum(n - SHINGLE + 1)[:-1]])
+        low = np.empty((BANDS * ROWS, len(pieces)), dtype=np.uint32)
+        v = np.empty_like(h)
+        for j in range(BANDS * ROWS):
+            np.multiply(h, factors[j], out=v)
+            np.minimum.reduceat(v, starts, out=low[j])
+        first = np.flatnonzero(np.diff(at, prepend=-1))     # a line may have several pieces
+        rows = np.array(at)[first]
+        out[rows] = np.minimum(out[rows], np.minimum.reduceat(low, first, axis=1).T)
+    return out
+
+
+def band_keys(signature: np.ndarray) -> np.ndarray:
+    """One row of ``BANDS`` bucket keys (long) a line."""
+    parts = signature.reshape(len(signature), BANDS, ROWS).astype(np.uint64)
+    key = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64), parts.shape[:2]).copy()
+    for i in range(ROWS):
+        key = (key ^ parts[:, :, i]) * np.uint64(0x9E3779B97F4A7C15)
+        key ^= key >> np.uint64(32)
+    return key.view(np.int64)
+
+
+def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(lid, line) -> (key, lid), one row a band; a line that a batch repeats is read once."""
+    for batch in batches:
+        lines = dict(zip(batch.column("lid").to_pylist(), batch.column("line").to_pylist()))
+        if lines:
+            keys = band_keys(signatures(list(lines.values())))
+            lids = np.repeat(np.fromiter(lines, dtype=np.int64, count=len(lines)), BANDS)
+            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(lids)], names=["key", "lid"])
 
 
 def _pairs(df: DataFrame) -> DataFrame:
     return df.where("lid != other").select(F.least("lid", "other").alias("a"), F.greatest("lid", "other").alias("b")).distinct()
 
 
-def with_sets(text: DataFrame) -> DataFrame:
-    """(lid, h, n5) of ``text`` (lid, line): hashes of its different shingles, and their number."""
-    sets = _once(text, ["lid"], h=F.sort_array(F.transform(_shingles(F.col("line")), lambda x: F.xxhash64(x))))
-    return sets.select("lid", "h", F.size("h").alias("n5"))
+def bucket_rows(lines: DataFrame) -> DataFrame:
+    """(key, lid) of ``lines`` (lid, line): the lines of all buckets that hold two different lines or more.
 
+    Keys are counted first; those of one line only, nearly all, do not enter a second shuffle.
+    """
+    keyed = lines.select("lid", "line").mapInArrow(_keyed, "key long, lid long")
+    shared = stored(keyed.groupBy("key").agg(F.min("lid").alias("lo"), F.max("lid").alias("hi")).where("lo != hi").select("key"))
+    near = with_hit(keyed, F.col("key"), bit_filter(shared, "key")).where("__hit").select("key", "lid").distinct()
+    return stored(near.join(shared, "key"))
 
-def bit_maps(sets: DataFrame) -> DataFrame:
-    """(lid, n5, b0, ...): each hash of a line sets one bit of ``BITS``.  Lines are one row again before the exchange."""
-    h = sets.select("lid", "n5", F.explode("h").alias("x"))
-    bit = F.expr("shiftleft(1L, cast(shiftright(x, 3) & 63 as int))")
-    word = F.col("x").bitwiseAND(F.lit(7))
-    return h.groupBy("lid", "n5").agg(*[F.bit_or(F.when(word == i, bit).otherwise(F.lit(0).cast("bigint"))).alias(b) for i, b in enumerate(BITS)])
 
+def centre_pairs(rows: DataFrame) -> DataFrame:
+    """(a, b): in every bucket each line with the one that shares most keys with other lines."""
+    size = rows.groupBy("key").agg(F.count("*").alias("m"))
+    score = rows.join(size, "key").groupBy("lid").agg(F.sum("m").alias("score"))
+    centre = rows.join(score, "lid").groupBy("key").agg(F.max(F.struct("score", "lid")).getField("lid").alias("other"))
+    return _pairs(rows.join(centre, "key").select("lid", "other"))
 
-def prefixes(text: DataFrame, similarity: float) -> DataFrame:
-    """(tok, lid, n, at): the rarest shingles of each line, enough that two lines at ``similarity`` share one.
 
-    Any one order of the shingles gives all pairs; counts from a sample of the lines put rare ones first.
-    """
-    sets = text.select("lid", "h")
-    every = max(1, text.count() // ORDER_LINES)
-    seen = (sets.where(F.expr(f"pmod(xxhash64(lid), {every}) = 0")).select(F.explode("h").alias("h"))
-            .groupBy(F.col("h").bitwiseAND(F.lit(ORDER_SLOTS - 1)).alias("slot")).count().collect())
-    count = [0] * ORDER_SLOTS
-    for r in seen:
-        count[r["slot"]] = min(r["count"], 32767)
-    counts = F.split(F.lit(",".join(map(str, count))), ",").cast("array<bigint>")
-    ranked = F.sort_array(F.transform("h", lambda h: F.shiftleft(F.get(counts, h.bitwiseAND(F.lit(ORDER_SLOTS - 1)).cast("int")), 48)
-                                      .bitwiseOR(h.bitwiseAND(F.lit((1 << 48) - 1)))))
-    n = F.size("h")
-    length = (n - F.ceil(n * F.lit(similarity) - F.lit(1e-9)) + 1).cast("int")
-    return sets.select("lid", n.alias("n"), F.posexplode(F.slice(ranked, F.lit(1), length)).alias("at", "tok"))
-
-
-def _fits(n: Column, at: Column, n2: Column, at2: Column, similarity: float) -> Column:
-    """Bounds that follow from the similarity: the sizes, and what can follow a shingle in common at these places."""
-    return ((F.least(n, n2) >= F.greatest(n, n2) * similarity - 1e-9)
-            & (1 + F.least(n - at, n2 - at2) - 1 >= (n + n2) * (similarity / (1 + similarity)) - 1e-9))
-
-
-def centre_pairs(prefix: DataFrame, similarity: float) -> DataFrame:
-    """(a, b): in groups of one prefix shingle above ``SMALL``, each line with the smallest and the largest id,
-    where the two can reach ``similarity``."""
-    line = F.struct("lid", "n", "at")
-    group = prefix.groupBy("tok").agg(F.count("*").alias("size"), F.min(line).alias("lo"), F.max(line).alias("hi"))
-    rows = prefix.join(group.where(F.col("size") > SMALL), "tok").select("lid", "n", "at", F.explode(F.array("lo", "hi")).alias("o"))
-    rows = rows.where(_fits(F.col("n"), F.col("at"), F.col("o.n"), F.col("o.at"), similarity))
-    return _pairs(rows.select("lid", F.col("o.lid").alias("other")))
-
-
-def pairs_between(prefix: DataFrame, comp: DataFrame, similarity: float) -> DataFrame:
-    """(a, b): pairs that share a prefix shingle, can reach ``similarity`` and lie in different components.
-
-    Only lines outside a group's largest component look for others, so a large family is not paired with itself.
+def pairs_between(rows: DataFrame, comp: DataFrame) -> DataFrame:
+    """(a, b): pairs in one bucket that lie in different components.
+
+    Only lines outside a bucket's largest component look for others, so a large family is not paired with itself.
     """
-    rows = prefix.join(comp.select(F.col("node").alias("lid"), "component"), "lid", "left")
-    rows = stored(rows.select("tok", "lid", "n", "at", F.coalesce("component", "lid").alias("c")))
-    top = rows.groupBy("tok", "c").agg(F.count("*").alias("m")).groupBy("tok").agg(
+    rows = rows.join(comp.select(F.col("node").alias("lid"), "component"), "lid", "left")
+    rows = stored(rows.select("key", "lid", F.coalesce("component", "lid").alias("c")))
+    top = rows.groupBy("key", "c").agg(F.count("*").alias("m")).groupBy("key").agg(
         F.max(F.struct("m", "c")).getField("c").alias("top"), F.count("*").alias("parts")).where("parts > 1")
-    rows = rows.join(top.select("tok", "top"), "tok")
-    other = rows.select("tok", F.col("lid").alias("other"), F.col("n").alias("n2"), F.col("at").alias("at2"), F.col("c").alias("c2"))
-    both = rows.where("c != top").join(other, "tok").where("c != c2 and (c2 = top or lid < other)")
-    return _pairs(both.where(_fits(F.col("n"), F.col("at"), F.col("n2"), F.col("at2"), similarity)))
-
-
-def verified(pairs: DataFrame, text: DataFrame, bounds: DataFrame, similarity: float) -> DataFrame:
-    """(u, v, jaccard) of the candidate pairs at ``similarity`` or more; see ``with_sets`` and ``bit_maps``."""
-    size = bounds.select("lid", "n5")
-    near = (pairs.join(size.toDF("a", "na"), "a").join(size.toDF("b", "nb"), "b")
-            .where(F.least("na", "nb") >= F.greatest("na", "nb") * similarity - 1e-9))
-    other = [f"{b}x" for b in BITS]
-    near = (near.join(bounds.select(F.col("lid").alias("a"), *BITS), "a")
-            .join(bounds.select("lid", *BITS).toDF("b", *other), "b"))
-    differ = sum((F.bit_count(F.col(x).bitwiseXOR(F.col(y))) for x, y in zip(BITS, other)), F.lit(0))
-    near = (near.where(differ <= (F.col("na") + F.col("nb")) * ((1 - similarity) / (1 + similarity)) + 1e-9)
-            .select("a", "b", "na", "nb"))
-    sets = (near.join(text.select(F.col("lid").alias("a"), F.col("h").alias("ha")), "a")
-            .join(text.select(F.col("lid").alias("b"), F.col("h").alias("hb")), "b"))
-    both = _once(sets, ["a", "b", "na", "nb"], i=F.size(F.array_intersect("ha", "hb")))
-    jaccard = F.col("i") / (F.col("na") + F.col("nb") - F.col("i"))
-    return both.select(F.col("a").alias("u"), F.col("b").alias("v"), jaccard.alias("jaccard")).where(F.col("jaccard") >= similarity)
-
-
-def _once(df: DataFrame, keep: list[str], **cols: Column) -> DataFrame:
-    """``df`` with costly columns that a later filter reads instead of computing them anew.
-
-    A filter moves below a projection and repeats its expressions there; it stays above an explode.
-    """
-    made = F.struct(*[c.alias(name) for name, c in cols.items()])
-    return df.select(*keep, F.explode(F.array(made)).alias("__x")).select(*keep, *[F.col(f"__x.{c}").alias(c) for c in cols])
+    rows = rows.join(top.select("key", "top"), "key")
+    other = rows.select("key", F.col("lid").alias("other"), F.col("c").alias("c2"))
+    return _pairs(rows.where("c != top").join(other, "key").where("c != c2 and (c2 = top or lid < other)").select("lid", "other"))
+
+
+def _shingle_set(line: str):
+    """Different shingles of a line: a set of strings, or of a very long line sorted hashes, which take less memory."""
+    if len(line) < SHINGLE:
+        return {line}
+    if len(line) > SLAB:
+        return np.unique(_shingle_hashes(line, np.uint64))
+    return {line[i:i + SHINGLE] for i in range(len(line) - SHINGLE + 1)}
+
+
+def jaccard(a: str, b: str, a_set=None) -> float:
+    """Exact Jaccard of the shingles of two lines; ``a_set`` are those of ``a`` where they are known."""
+    x = _shingle_set(a) if a_set is None else a_set
+    y = _shingle_set(b)
+    if isinstance(x, set) and isinstance(y, set):
+        both = len(x & y)
+    else:
+        hashed = [np.unique(_shingle_hashes(t, np.uint64)) if isinstance(s, set) and len(t) >= SHINGLE else s for t, s in ((a, x), (b, y))]
+        if isinstance(hashed[0], set) or isinstance(hashed[1], set):
+            return 0.0                          # a line shorter than one shingle equals none of a long line
+        both = len(np.intersect1d(*hashed, assume_unique=True))
+    return both / (len(x) + len(y) - both)
+
+
+def _verify(similarity: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, last_set = None, None
+        for batch in batches:
+            u, v = batch.column("a").to_pylist(), batch.column("b").to_pylist()
+            keep = []
+            for i, (x, y) in enumerate(zip(batch.column("ta").to_pylist(), batch.column("tb").to_pylist())):
+                if u[i] != last:
+                    last, last_set = u[i], _shingle_set(x)
+                if jaccard(x, y, last_set) >= similarity:
+                    keep.append(i)
+            yield pa.RecordBatch.from_arrays([pa.array([u[i] for i in keep], pa.int64()), pa.array([v[i] for i in keep], pa.int64())],
+                                             names=["u", "v"])
+    return run
+
+
+def verified(pairs: DataFrame, text: DataFrame, similarity: float) -> DataFrame:
+    """(u, v) of the candidate pairs (a, b) at ``similarity`` or more, by the lines in ``text`` (lid, line)."""
+    both = (pairs.join(text.select(F.col("lid").alias("b"), F.col("line").alias("tb")), "b")
+            .join(text.select(F.col("lid").alias("a"), F.col("line").alias("ta")), "a"))
+    return both.select("a", "b", "ta", "tb").mapInArrow(_verify(similarity), "u long, v long")
 
 
 def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -205,23 +225,18 @@ def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     base = _base(docs, id_col, text_col)
     lines = (base.select("k", F.posexplode(_lines(F.col("t"))).alias("pos", "line"))
              .where(F.col("line").rlike(r"\S")).withColumn("lid", F.xxhash64("line")))
-    known = stored(_known(lines))
-    pairs, crowded = (stored(t) for t in candidate_pairs(known))
-    wanted = (pairs.select(F.col("a").alias("lid")).unionByName(pairs.select(F.col("b").alias("lid"))).unionByName(crowded)
-              .distinct())
-    # one place of each wanted line; a filter of fixed size keeps the other lines out of the shuffle
-    places = stored(known.join(wanted, "lid", "left_semi").select("lid", "k", "pos"))
-    place = F.xxhash64("lid", "k", "pos")
-    text = with_hit(lines, place, bit_filter(places.select(place.alias("h")), "h")).where("__hit")
-    text = stored(with_sets(text.join(places, ["lid", "k", "pos"]).select("lid", "line").dropDuplicates(["lid"])))
-    bounds = stored(bit_maps(text))
-    prefix = stored(prefixes(text.join(crowded, "lid", "left_semi"), similarity))
-    first = stored(pairs.unionByName(centre_pairs(prefix, similarity)).distinct())
-    links = stored(verified(first, text, bounds, similarity).select("u", "v"))
+    rows = bucket_rows(lines)
+    first = stored(centre_pairs(rows))
+    wanted = stored(rows.select("lid").distinct())
+    # a filter of fixed size keeps most other lines out of the shuffle
+    text = with_hit(lines.select("lid", "line"), F.col("lid"), bit_filter(wanted, "lid")).where("__hit").select("lid", "line")
+    text = stored(text.dropDuplicates(["lid"]).join(wanted, "lid", "left_semi"))
+    links = stored(verified(first, text, similarity))
     comp = connected_components(links)
-    rest = pairs_between(prefix, comp, similarity).join(first, ["a", "b"], "left_anti")
-    more = stored(verified(rest, text, bounds, similarity).select("u", "v"))
+    rest = stored(pairs_between(rows, comp).join(first, ["a", "b"], "left_anti"))
+    more = stored(verified(rest, text, similarity))
     comp = connected_components(comp.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(more))
+    known = lines.groupBy("lid").agg(F.count("*").alias("n"))
     group = (known.join(comp, known["lid"] == comp["node"], "left").where((F.col("n") > 1) | F.col("component").isNotNull())
              .select("lid", F.coalesce("component", "lid").alias("c")))
     seen = lines.select("k", "pos", "lid").join(group, "lid")

@@ -83,10 +83,42 @@ def test_repeated_rows_are_one_document(spark):
         (1, "a long enough line\nb"), (1, "a long enough line\nb"), (2, "")]
 
 
-def test_no_python_in_the_plan(spark):
-    df = spark.createDataFrame([(1, "x y z")], "doc_id long, text string")
-    plan = L.dedup_lines(df)._jdf.queryExecution().toString()
-    assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
+def test_long_repetitive_and_short_lines(spark):
+    rnd = random.Random(5)
+    long = "".join(rnd.choice("abcdefgh ") for _ in range(3 * L.SLAB + 17))
+    rows = [(1, long), (2, long[:100] + "#" + long[100:]), (3, "-----\nab\nabcdefgh"), (4, "-" * 40 + "\nab\nabcdefghi"),
+            (5, "abc\nabcd"), (6, "日本語の行です。とても長い行ですよ"), (7, "日本語の行です。とても長い行ですよ!")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r.doc_id, r.text, r.n_lines, r.n_removed) for r in L.dedup_lines(df).collect())
+    assert got == sorted(brute(rows))
+    assert [r[1] for r in got] == [long, "", "-----\nab\nabcdefgh", "", "abc\nabcd", rows[5][1], ""]
+
+
+def test_signatures_follow_the_similarity():
+    rnd = random.Random(6)
+    near, agree = [], []
+    for _ in range(1500):
+        a = "".join(rnd.choice("abcdefghijklmnop ") for _ in range(rnd.randint(30, 400)))
+        b = list(a)
+        for _ in range(max(1, len(a) // 50 + rnd.randint(-1, 1))):
+            b[rnd.randrange(len(b))] = "#"
+        b = "".join(b)
+        j = L.jaccard(a, b)
+        s = L.signatures([a, b])
+        agree.append((s[0] == s[1]).mean() - j)
+        if j >= 0.8:
+            keys = L.band_keys(s)
+            near.append((keys[0] == keys[1]).any())
+    assert abs(sum(agree) / len(agree)) < 0.01
+    assert len(near) > 300 and sum(near) >= 0.99 * len(near)
+
+
+def test_slabs_do_not_change_a_signature(monkeypatch):
+    rnd = random.Random(7)
+    lines = ["", "a", "a" * 9] + ["".join(rnd.choice("abcdé日 ") for _ in range(n)) for n in (4, 5, 6, 70, 1000, 5000)]
+    whole = L.signatures(lines)
+    monkeypatch.setattr(L, "SLAB", 64)
+    assert (L.signatures(lines) == whole).all()
 
 
 def test_families_in_one_bucket(spark):
