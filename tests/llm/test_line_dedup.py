@@ -103,7 +103,9 @@ def test_signatures_follow_the_similarity():
         for _ in range(max(1, len(a) // 50 + rnd.randint(-1, 1))):
             b[rnd.randrange(len(b))] = "#"
         b = "".join(b)
-        j = L.jaccard(a, b)
+        j, = L.jaccards([a, b], [(0, 1)])
+        x, y = ({t[i:i + 5] for i in range(len(t) - 4)} for t in (a, b))
+        assert j == len(x & y) / len(x | y)
         s = L.signatures([a, b])
         agree.append((s[0] == s[1]).mean() - j)
         if j >= 0.8:
