@@ -34,6 +34,7 @@ MIN_SIMILARITY = 0.8
 BANDS = 16
 ROWS = 6
 SLAB = 1 << 16             # characters hashed at once; memory only
+RECENT = 1 << 17           # ids of lines a task remembers so as not to read a repeated line again; memory only
 NO_ID = (1 << 63) - 1
 
 
@@ -123,13 +124,20 @@ def band_keys(signature: np.ndarray) -> np.ndarray:
 
 
 def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(lid, line) -> (key, lid), one row a band; a line that a batch repeats is read once."""
+    """(lid, line) -> (key, lid), one row a band; a line that a task repeats among its last ``RECENT`` is read once."""
+    met: set[int] = set()
     for batch in batches:
-        lines = dict(zip(batch.column("lid").to_pylist(), batch.column("line").to_pylist()))
-        if lines:
-            keys = band_keys(signatures(list(lines.values())))
-            lids = np.repeat(np.fromiter(lines, dtype=np.int64, count=len(lines)), BANDS)
-            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(lids)], names=["key", "lid"])
+        ids = batch.column("lid").to_pylist()
+        first = {lid: i for i, lid in enumerate(ids) if lid not in met}
+        if not first:
+            continue
+        if len(met) > RECENT:
+            met.clear()
+        met.update(first)
+        lines = batch.column("line").take(pa.array(first.values(), pa.int32())).to_pylist()
+        keys = band_keys(signatures(lines))
+        lids = np.repeat(np.fromiter(first, dtype=np.int64, count=len(first)), BANDS)
+        yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(lids)], names=["key", "lid"])
 
 
 def _pairs(df: DataFrame) -> DataFrame:
@@ -139,12 +147,12 @@ def _pairs(df: DataFrame) -> DataFrame:
 def bucket_rows(lines: DataFrame) -> DataFrame:
     """(key, lid) of ``lines`` (lid, line): the lines of all buckets that hold two different lines or more.
 
-    Keys are counted first; those of one line only, nearly all, do not enter a second shuffle.
+    Signatures are computed and dealt by key once: the count of a bucket and the choice of its rows read the same
+    exchange.  A line in a third of all rows is a row a task and band in it, not a row an occurrence.
     """
-    keyed = lines.select("lid", "line").mapInArrow(_keyed, "key long, lid long")
-    shared = stored(keyed.groupBy("key").agg(F.min("lid").alias("lo"), F.max("lid").alias("hi")).where("lo != hi").select("key"))
-    near = with_hit(keyed, F.col("key"), bit_filter(shared, "key")).where("__hit").select("key", "lid").distinct()
-    return stored(near.join(shared, "key"))
+    keyed = lines.select("lid", "line").mapInArrow(_keyed, "key long, lid long").repartition("key")
+    shared = keyed.groupBy("key").agg(F.min("lid").alias("lo"), F.max("lid").alias("hi")).where("lo != hi").select("key")
+    return stored(keyed.join(shared.hint("shuffle_hash"), "key").distinct())
 
 
 def centre_pairs(rows: DataFrame) -> DataFrame:
