@@ -7,6 +7,7 @@ both sides so the value hashes compare.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,6 +15,8 @@ from pyspark.sql import functions as F
 
 from codeloom.operators import search as K
 from codeloom.plans import oracle as O
+from codeloom.session import checkpoint_dir
+from codeloom.sources import clustered as CL
 from codeloom.sources import proxy as P
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -471,6 +474,31 @@ def q_j1(spark, sf):
                     F.array_join(F.transform("file_changes", lambda s: s["path"]), ",").alias("paths"))
 
 
+# The same answers from bucketed tables, written from the whole proxy tables into the shared folder
+
+def _clustered(spark, tables):
+    folder = f"{checkpoint_dir(spark)}/corpus-{uuid.uuid4().hex}"
+    return CL.write_clustered(tables, folder, f"corpus_{uuid.uuid4().hex}", int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+@register("s5_clustered_stats", ORACLES["a4_commit_stats"])
+def q_s5_stats(spark, sf):
+    t = _clustered(spark, {"commits": P.commits(spark, sf), "changes": P.file_changes(spark, sf)})
+    return A.commit_stats(t["commits"], t["changes"]).select(REPO, "hash", "seq", "files_changed", "insertions", "deletions")
+
+
+@register("s5_clustered_changes", ORACLES["j1_commit_changes"])
+def q_s5_changes(spark, sf):
+    t = _clustered(spark, {"commits": P.commits(spark, sf, with_seq=False), "changes": P.file_changes(spark, sf)})
+    return J.commits_with_changes(t["commits"], t["changes"]).select(
+        REPO, "hash", "n_changes", F.array_join(F.transform("file_changes", lambda s: s["path"]), ",").alias("paths"))
+
+
+@register("s5_clustered_churn", ORACLES["a12_file_churn"])
+def q_s5_churn(spark, sf):
+    return A.file_churn(_clustered(spark, {"changes": P.file_changes(spark, sf)})["changes_by_path"])
+
+
 def _refs(spark, sf):
     """Hash references as users type them: 4..10-char prefixes of order hashes, mixed case, some with '#'."""
     li = P.table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber")
