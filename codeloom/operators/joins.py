@@ -22,14 +22,20 @@ REPO = "repository_id"
 
 # --- J1 -----------------------------------------------------------------------------
 
-def commits_with_changes(commits: DataFrame, changes: DataFrame, max_files: int | None = None) -> DataFrame:
+def commits_with_changes(commits: DataFrame, changes: DataFrame, max_files: int | None = None,
+                         diff_cut: int | None = None) -> DataFrame:
     """J1 (+W2 when ``max_files`` is set): each commit with its ordered change list.
 
     Changes are grouped per commit before the join, so the join is one row per
     commit on both sides.  ``max_files`` keeps the first n paths and reports the
-    cut in ``note``.
+    cut in ``note``.  With ``diff_cut`` an entry also holds ``diff``, the first characters of the change's ``patch``
+    (null where there is none), cut before it is shuffled.
     """
-    entry = F.struct("path", "change_type", "insertions", "deletions")
+    fields = ["path", "change_type", "insertions", "deletions"]
+    if diff_cut is not None and "patch" in changes.columns:
+        changes = changes.withColumn("diff", F.substring("patch", 1, diff_cut)).drop("patch")
+        fields.append("diff")
+    entry = F.struct(*fields)
     if max_files is None:
         per = changes.groupBy(REPO, "hash").agg(F.array_sort(F.collect_list(entry)).alias("file_changes"),
                                                 F.count("*").alias("n_changes"))

@@ -344,8 +344,12 @@ def extract_code_elements(df: DataFrame, text_col: str, keys: list[str]) -> Data
 
 
 def extract_code_paths(df: DataFrame, text_col: str, keys: list[str], files: DataFrame | None = None) -> DataFrame:
-    """Paths written after code fences; a semi join with ``files`` drops false hits."""
+    """Paths written after code fences; a semi join with ``files`` drops false hits.
+
+    Where ``keys`` name the repository, a path must be a file of that repository, not of any.
+    """
     out = df.select(*keys, F.explode(F.array_distinct(T.code_paths(F.col(text_col)))).alias("path"))
     if files is not None:
-        out = out.join(files.select("path").distinct(), "path", "left_semi")
+        on = ["repository_id", "path"] if "repository_id" in keys else ["path"]
+        out = out.join(files.select(*on).distinct(), on, "left_semi").select(*keys, "path")
     return out

@@ -1310,6 +1310,30 @@ def q_c2(spark, sf):
                                 P.file_changes(spark, sf))
 
 
+@register("c2_named_commit", W_(O.messages_cte(), O.commits_cte(), O.file_changes_cte()) + """,
+q AS (SELECT session_id AS query_id, 'src' || CAST(session_id % 20 AS VARCHAR) AS repository_id
+      FROM messages GROUP BY session_id HAVING arg_max(role, turn) = 'user'),
+named AS (SELECT q.query_id, c.* FROM q JOIN commits c ON c.repository_id = q.repository_id AND c.seq = q.query_id % 7),
+listed AS (SELECT n.query_id, f.path, f.change_type,
+                  '@@ -1,' || CAST(f.deletions AS VARCHAR) || ' +1,' || CAST(f.insertions AS VARCHAR) || ' @@' || chr(10)
+                    || repeat('+' || f.path || chr(10), f.insertions) AS patch,
+                  row_number() OVER (PARTITION BY n.query_id ORDER BY f.path, f.change_type, f.insertions, f.deletions) AS rn
+           FROM named n JOIN file_changes f ON f.repository_id = n.repository_id AND f.hash = n.hash),
+txt AS (SELECT query_id, string_agg('  ' || change_type || ' ' || path, chr(10) ORDER BY rn) FILTER (rn <= 10) AS file_lines,
+               max(CASE WHEN rn = 1 THEN chr(10) || chr(10) || 'Sample diff for ' || path || ':' || chr(10) || '```diff' || chr(10)
+                                         || substr(patch, 1, 1000) || chr(10) || '```' END) AS sample
+        FROM listed GROUP BY 1)
+SELECT n.query_id, 'Commit ' || hash || chr(10) || 'Author: ' || author_name || ' <' || author_email || '>' || chr(10)
+       || 'Date: ' || strftime(author_ts, '%Y-%m-%dT%H:%M:%S') || chr(10)
+       || 'Message: ' || regexp_replace(message, '^\\s+|\\s+$', '', 'g') || chr(10) || 'Files:' || chr(10)
+       || coalesce(file_lines, '') || coalesce(sample, '') AS specific_txt
+FROM named n LEFT JOIN txt ON txt.query_id = n.query_id""")
+def q_c2_named(spark, sf):
+    commits = P.commits(spark, sf)
+    q = _chat_questions(spark, sf).select("query_id", REPO, (F.col("query_id") % 7).alias("seq"))
+    return C.specific_commits(q.join(commits, [REPO, "seq"]), commits, P.with_patch(P.file_changes(spark, sf)))
+
+
 @register("c3_build_prompt")
 def q_c3(spark, sf):
     q = _chat_questions(spark, sf)

@@ -188,6 +188,12 @@ def file_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def with_patch(changes: DataFrame) -> DataFrame:
+    """``changes`` with a ``patch``: as many added lines as the change has insertions."""
+    head = F.concat(F.lit("@@ -1,"), F.col("deletions").cast("string"), F.lit(" +1,"), F.col("insertions").cast("string"), F.lit(" @@\n"))
+    return changes.withColumn("patch", F.concat(head, F.repeat(F.concat(F.lit("+"), F.col("path"), F.lit("\n")), F.col("insertions").cast("int"))))
+
+
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").select(
         F.col("conv_id").alias("session_id"), F.col("turn"), F.col("role"), F.col("text").alias("content"))

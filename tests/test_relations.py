@@ -163,3 +163,15 @@ def test_from_imports_and_relative_imports(spark):
                                     "repository_id string, path string, kind string, parent string, name string")
     got = {(r.path, r.module): r.target_path for r in J.import_edges(symbols, files).collect()}
     assert got == {(p, n): t for p, _, n, t in imports}
+
+
+def test_code_paths_are_files_of_their_own_repository(spark):
+    from codeloom.operators import text_tables as TT
+    asked = spark.createDataFrame([(1, "r", "```python:src/a.py\nx\n```"), (2, "s", "```python:src/a.py\nx\n```")],
+                                  "query_id long, repository_id string, content string")
+    files = spark.createDataFrame([("r", "src/a.py")], "repository_id string, path string")
+    every = TT.extract_code_paths(asked, "content", ["query_id", "repository_id"])
+    kept = TT.extract_code_paths(asked, "content", ["query_id", "repository_id"], files)
+    assert [r.query_id for r in every.where("path = 'src/a.py'").orderBy("query_id").collect()] == [1, 2]
+    assert [(r.query_id, r.path) for r in kept.collect()] == [(1, "src/a.py")]
+    assert TT.extract_code_paths(asked, "content", ["query_id"], files).count() == 2
