@@ -41,6 +41,21 @@ def test_near_duplicates_equal_brute_force(spark):
     assert (3, 4) in got and (1, 2) in got
 
 
+def test_texts_of_one_id_are_one_set_of_shingles(spark):
+    one, two = " ".join(f"a{i}" for i in range(10)), " ".join(f"b{i}" for i in range(10))
+    df = spark.createDataFrame([(1, one), (1, two), (1, two), (2, f"{one} {two}"), (3, None), (4, "!")], "doc_id long, text string")
+    got = [(r.doc_a, r.doc_b, round(r.jaccard, 9)) for r in D.near_duplicates(df, threshold=0.7).collect() if r.jaccard < 1]
+    assert got == [(1, 2, round(16 / 18, 9))]
+
+
+def test_near_duplicates_cut_each_text_once(spark):
+    df = spark.createDataFrame(DOCS, "doc_id long, text string")
+    plan = D.near_duplicates(df)._jdf.queryExecution().optimizedPlan().toString()
+    assert "split(" not in plan         # words are read from the stored sets, not cut again by each join
+    sets = D.shingles(df, "doc_id", "text")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in sets and "Join" not in sets
+
+
 def test_exact_duplicates(spark):
     files = spark.createDataFrame([("r", "a", False, "x"), ("s", "b", False, "x"), ("r", "c", False, "y")],
                                   "repository_id string, path string, binary boolean, content string")
