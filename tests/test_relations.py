@@ -27,6 +27,19 @@ def test_resolve_hashes_plan_is_equi_join(spark):
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan
 
 
+def test_resolve_hashes_reads_each_ref_once(spark):
+    commits = spark.createDataFrame([("abcdef12" + "0" * 32, 0), ("abcdef13" + "0" * 32, 1)], "hash string, seq long")
+    reads = spark.sparkContext.accumulator(0)
+
+    def typed(i):
+        reads.add(1)
+        return [" #ABC\u2003", "abcdef1", "abcdef13", "a", None, "zz", "abcdef130000x"][i % 7]
+    refs = spark.range(70).select(F.col("id").alias("ref_id"), F.udf(typed, "string")("id").alias("ref"))
+    got = {(r.normalized, r.seq, r.match_count) for r in J.resolve_hashes(refs, commits).collect()}
+    assert got == {("abc", 0, 2), ("abcdef1", 0, 2), ("abcdef13", 1, 1), ("a", 0, 2), (None, None, 0), ("abcdef130000", 1, 1)}
+    assert reads.value == 70
+
+
 def test_content_at_asof(spark):
     ver = spark.createDataFrame([("r", "p", 3, False, "v3"), ("r", "p", 5, False, "v5"), ("r", "p", 8, True, None)],
                                 "repository_id string, path string, ordinal long, deleted boolean, content string")
