@@ -9,7 +9,9 @@ Signatures and verification are numpy and sets inside Arrow batches; every join,
 * Centres: the line of a bucket that shares most keys with other lines is compared with every line of the bucket,
   so a family of near copies costs one pair a line and mostly the same ones in every band.
 * The rest: pairs in one bucket that those links leave in different components are compared as well, so every pair
-  that shares a key is verified or already of one component.
+  that shares a key is verified, ruled out by a bound or already of one component.  The bound: two sets of A and B
+  shingles at similarity s differ in (A + B)(1 - s)/(1 + s) shingles at most, and a shingle in one set only
+  flips one of the ``SKETCH`` bits of that set's parity sketch, so sketches differ in no more bits than the sets do.
 * Verification: exact Jaccard of the sets of shingles of both whole lines, a shingle known by a 64-bit hash.
 * Components of the verified links; of each component's occurrences in the corpus the first one,
   by (id, position), stays.
@@ -34,7 +36,10 @@ MIN_SIMILARITY = 0.8
 BANDS = 16
 ROWS = 6
 SLAB = 1 << 16             # characters hashed at once; memory only
+SLICE = 1 << 10             # rows of a batch worked on at once; memory only
+SKETCH = 1024              # bits of a line's parity sketch
 RECENT = 1 << 17           # ids of lines a task remembers so as not to read a repeated line again; memory only
+WORDS = [f"s{i}" for i in range(SKETCH // 64)]
 NO_ID = (1 << 63) - 1
 
 
@@ -123,10 +128,16 @@ def band_keys(signature: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
+def _small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for lo in range(0, batch.num_rows, SLICE):
+            yield batch.slice(lo, SLICE)
+
+
 def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(lid, line) -> (key, lid), one row a band; a line that a task repeats among its last ``RECENT`` is read once."""
     met: set[int] = set()
-    for batch in batches:
+    for batch in _small(batches):
         ids = batch.column("lid").to_pylist()
         first = {lid: i for i, lid in enumerate(ids) if lid not in met}
         if not first:
@@ -163,8 +174,39 @@ def centre_pairs(rows: DataFrame) -> DataFrame:
     return _pairs(rows.join(centre, "key").select("lid", "other"))
 
 
-def pairs_between(rows: DataFrame, comp: DataFrame) -> DataFrame:
-    """(a, b): pairs in one bucket that lie in different components.
+def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(lid, line) -> (lid, n, s0, s1, ...): the number of different shingles and the parity sketch in longs."""
+    for batch in _small(batches):
+        lids, lines = (batch.column(c).to_pylist() for c in ("lid", "line"))
+        lo = 0
+        while lo < len(lids):                   # as many lines at once as bring about SLAB characters
+            hi, size = lo, 0
+            while hi < len(lids) and (hi == lo or size < SLAB):
+                size += max(len(lines[hi]), SKETCH)
+                hi += 1
+            n, words = sketches(lines[lo:hi])
+            yield pa.RecordBatch.from_arrays([pa.array(lids[lo:hi], pa.int64()), pa.array(n), *(pa.array(w) for w in words.T)],
+                                             names=["lid", "n", *WORDS])
+            lo = hi
+
+
+def sketched(text: DataFrame) -> DataFrame:
+    """Sizes and parity sketches of the lines in ``text`` (lid, line)."""
+    return text.select("lid", "line").mapInArrow(_sketched, "lid long, n long, " + ", ".join(f"{w} long" for w in WORDS))
+
+
+def may_reach(similarity: float) -> Column:
+    """False where the sketches (n, s0, ...) and (n2, s0_2, ...) prove two lines less alike than ``similarity``.
+
+    The slack of half a shingle keeps rounding from ruling out a pair at the threshold.
+    """
+    differ = " + ".join(f"bit_count({w} ^ {w}_2)" for w in WORDS)
+    most = (1 - similarity) / (1 + similarity)
+    return F.expr(f"abs(n - n2) <= (n + n2) * {most!r}D + 0.5D and {differ} <= (n + n2) * {most!r}D + 0.5D")
+
+
+def pairs_between(rows: DataFrame, comp: DataFrame, sketch: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): pairs in one bucket that lie in different components and may reach ``similarity`` by their sketches.
 
     Only lines outside a bucket's largest component look for others, so a large family is not paired with itself.
     """
@@ -172,9 +214,11 @@ def pairs_between(rows: DataFrame, comp: DataFrame) -> DataFrame:
     rows = stored(rows.select("key", "lid", F.coalesce("component", "lid").alias("c")))
     top = rows.groupBy("key", "c").agg(F.count("*").alias("m")).groupBy("key").agg(
         F.max(F.struct("m", "c")).getField("c").alias("top"), F.count("*").alias("parts")).where("parts > 1")
-    rows = rows.join(top.select("key", "top"), "key")
-    other = rows.select("key", F.col("lid").alias("other"), F.col("c").alias("c2"))
-    return _pairs(rows.where("c != top").join(other, "key").where("c != c2 and (c2 = top or lid < other)").select("lid", "other"))
+    rows = stored(rows.join(top.select("key", "top"), "key").join(sketch, "lid"))
+    other = rows.select("key", F.col("lid").alias("other"), F.col("c").alias("c2"), F.col("n").alias("n2"),
+                        *[F.col(w).alias(f"{w}_2") for w in WORDS])
+    met = rows.where("c != top").join(other, "key").where("c != c2 and (c2 = top or lid < other)").where(may_reach(similarity))
+    return _pairs(met.select("lid", "other"))
 
 
 def _sets(lines: list[str]) -> list[np.ndarray]:
@@ -189,6 +233,15 @@ def _sets(lines: list[str]) -> list[np.ndarray]:
     return out
 
 
+def sketches(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The number of different shingles of each line, and a row of ``SKETCH / 64`` longs a line, their parity sketch."""
+    sets = _sets(lines)
+    n = np.array([len(x) for x in sets], dtype=np.int64)
+    at = np.repeat(np.arange(len(sets), dtype=np.int64) * SKETCH, n) + (np.concatenate(sets) % np.uint64(SKETCH)).astype(np.int64)
+    odd = (np.bincount(at, minlength=len(sets) * SKETCH) & 1).astype(np.uint8).reshape(len(sets), SKETCH)
+    return n, np.packbits(odd, axis=1).view(np.int64)
+
+
 def jaccards(lines: list[str], pairs: list[tuple[int, int]]) -> list[float]:
     """Exact Jaccard of the shingles of pairs of ``lines``, given by their numbers; each line is cut and hashed once."""
     sets = _sets(lines)
@@ -202,7 +255,7 @@ def jaccards(lines: list[str], pairs: list[tuple[int, int]]) -> list[float]:
 
 def _verify(similarity: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _small(batches):
             a, b, ta, tb = (batch.column(c).to_pylist() for c in ("a", "b", "ta", "tb"))
             lo = 0
             while lo < len(a):                  # as many pairs at once as bring about SLAB characters
@@ -246,7 +299,7 @@ def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     text = stored(text.dropDuplicates(["lid"]).join(wanted, "lid", "left_semi"))
     links = stored(verified(first, text, similarity))
     comp = connected_components(links)
-    rest = stored(pairs_between(rows, comp).join(first, ["a", "b"], "left_anti"))
+    rest = stored(pairs_between(rows, comp, sketched(text), similarity).join(first, ["a", "b"], "left_anti"))
     more = stored(verified(rest, text, similarity))
     comp = connected_components(comp.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(more))
     known = lines.groupBy("lid").agg(F.count("*").alias("n"), F.min(F.struct("k", "pos")).alias("place"))

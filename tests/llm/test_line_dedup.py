@@ -158,3 +158,33 @@ def test_prunes_keep_every_near_pair(spark):
     got = sorted((r.doc_id, r.text, r.n_lines, r.n_removed) for r in L.dedup_lines(df).collect())
     assert got == sorted(brute(rows))
     assert sum(r[3] for r in got) == 36
+
+
+def test_sketches_never_differ_more_than_the_sets():
+    rnd = random.Random(12)
+    for n in (1, 4, 5, 30, 400, 3000):
+        a = "".join(rnd.choice("abcdef ") for _ in range(n))
+        b = "".join(rnd.choice("abcdef#") if rnd.random() < .05 else c for c in a) + rnd.choice(["", "zz"])
+        x, y = ({t[i:i + 5] for i in range(len(t) - 4)} or {t} for t in (a, b))
+        size, words = L.sketches([a, b])
+        assert list(size) == [len(x), len(y)] and words.shape == (2, L.SKETCH // 64)
+        differ = sum(int(v).bit_count() for v in (words[0] ^ words[1]).view("uint64"))
+        assert differ <= len(x ^ y) and (differ - len(x ^ y)) % 2 == 0
+
+
+def test_family_just_below_the_threshold_is_not_paired(spark, monkeypatch):
+    rnd = random.Random(13)
+    word = lambda: "".join(rnd.choice("abcdefghijklmnop") for _ in range(7))
+    shared = [word() for _ in range(60)]
+    rows = [(i, " ".join(shared + [word() for _ in range(12)])) for i in range(80)]        # two of them at 0.70 or so
+    rows += [(200 + i, t.replace(shared[5], "changed")) for i, t in rows[:10]]
+    seen, was = [], L.verified
+
+    def counted(pairs, text, similarity):
+        seen.append(pairs.count())
+        return was(pairs, text, similarity)
+    monkeypatch.setattr(L, "verified", counted)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r.doc_id, r.text, r.n_lines, r.n_removed) for r in L.dedup_lines(df).collect())
+    assert got == sorted(brute(rows)) and sum(r[3] for r in got) == 10
+    assert sum(seen) < 1000                     # all pairs: 4,005
