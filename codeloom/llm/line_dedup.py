@@ -274,6 +274,12 @@ def _verify(similarity: float):
     return run
 
 
+def named(text: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The lines of ``text`` (lid, line) that ``pairs`` (a, b) name, and a few others: the filter has a fixed size."""
+    ends = pairs.select(F.col("a").alias("lid")).unionByName(pairs.select(F.col("b").alias("lid")))
+    return with_hit(text, F.col("lid"), bit_filter(ends, "lid")).where("__hit").select("lid", "line")
+
+
 def verified(pairs: DataFrame, text: DataFrame, similarity: float) -> DataFrame:
     """(u, v) of the candidate pairs (a, b) at ``similarity`` or more, by the lines in ``text`` (lid, line)."""
     both = (pairs.join(text.select(F.col("lid").alias("b"), F.col("line").alias("tb")), "b")
@@ -300,7 +306,7 @@ def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = stored(verified(first, text, similarity))
     comp = connected_components(links)
     rest = stored(pairs_between(rows, comp, sketched(text), similarity).join(first, ["a", "b"], "left_anti"))
-    more = stored(verified(rest, text, similarity))
+    more = stored(verified(rest, named(text, rest), similarity))     # few lines are in them, so few are shuffled again
     comp = connected_components(comp.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(more))
     known = lines.groupBy("lid").agg(F.count("*").alias("n"), F.min(F.struct("k", "pos")).alias("place"))
     group = stored(known.join(comp, known["lid"] == comp["node"], "left").where((F.col("n") > 1) | F.col("component").isNotNull())
@@ -322,7 +328,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     key = F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID))
     # documents that lose nothing stay where they are; the filter has a fixed size
     marked = with_hit(docs, F.xxhash64(key), bit_filter(gone.select(F.xxhash64("__k").alias("h")), "h"))
-    out = marked.where("__hit").join(gone, key == F.col("__k"), "left").drop("__k").unionByName(
+    # a row a document that loses lines: joined by shuffle at every size, never sent whole through the driver
+    out = marked.where("__hit").join(gone.hint("merge"), key == F.col("__k"), "left").drop("__k").unionByName(
         marked.where("not __hit").withColumn("__gone", F.lit(None).cast("array<int>")))
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     ls = _lines(text)

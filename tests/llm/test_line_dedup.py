@@ -188,3 +188,30 @@ def test_family_just_below_the_threshold_is_not_paired(spark, monkeypatch):
     got = sorted((r.doc_id, r.text, r.n_lines, r.n_removed) for r in L.dedup_lines(df).collect())
     assert got == sorted(brute(rows)) and sum(r[3] for r in got) == 10
     assert sum(seen) < 1000                     # all pairs: 4,005
+
+
+def test_second_verification_reads_only_the_lines_its_pairs_name(spark, monkeypatch):
+    rnd = random.Random(14)
+    word = lambda: "".join(rnd.choice("abcdefghijklmnop") for _ in range(7))
+    shared = [word() for _ in range(60)]
+    rows = [(i, " ".join(shared + [word() for _ in range(12)])) for i in range(40)]
+    rows += [(200 + i, t.replace(shared[5], "changed")) for i, t in rows[:6]]
+    seen, was = [], L.verified
+
+    def counted(pairs, text, similarity):
+        seen.append((pairs.count(), text.count()))
+        return was(pairs, text, similarity)
+    monkeypatch.setattr(L, "verified", counted)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r.doc_id, r.text, r.n_lines, r.n_removed) for r in L.dedup_lines(df).collect())
+    assert got == sorted(brute(rows)) and sum(r[3] for r in got) == 6
+    (first, lines), (rest, few) = seen
+    assert first and lines > 2 * rest and few <= 2 * rest
+
+
+def test_documents_that_lose_lines_are_not_broadcast(spark):
+    df = spark.createDataFrame([(i, f"a line that all documents have\nline {i}") for i in range(20)], "doc_id long, text string")
+    out = L.dedup_lines(df)
+    joins = [x for x in out._jdf.queryExecution().executedPlan().toString().split("\n") if "Join" in x and "__k" in x]
+    assert joins and all("SortMergeJoin" in x for x in joins)
+    assert sum(r.n_removed for r in out.collect()) == 19
