@@ -25,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,7 +35,9 @@ from codeloom.session import cut_lineage
 CAPACITY = 4096
 EOS = 2
 _SPECIAL = b"<|"                       # every special token of the vocabulary starts with this
-TOGETHER = 64
+TOGETHER = 64                          # words joined to one string
+BATCH = 64                             # strings given to the tokenizer at once; memory only
+SLICE = 256                            # texts read from a batch at once; memory only
 _ENCODERS: dict[str, "Encoder"] = {}
 
 
@@ -44,7 +47,7 @@ class Encoder:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
-        self.cache = PartCache(self.tokenizer.encode_batch_fast)
+        self.cache = PartCache(self.tokenizer.encode_batch_fast, BATCH)
         self.ends: dict[str, bool] = {}
         special = sorted((i, t.content) for i, t in self.tokenizer.get_added_tokens_decoder().items() if t.special)
         self.between = next(((i, c) for i, c in special if c.encode().startswith(_SPECIAL)), None)
@@ -120,24 +123,25 @@ def cut(n: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
 def pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY,
            eos: int = EOS, keep_ids: bool = False) -> DataFrame:
     """(doc_id, start, length, ids_crc32, doc_tokens, cls[, ids]): the pieces of every document row."""
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, end = encoder(path), np.array([eos], "<u4").tobytes()
         for b in batches:
-            for at in range(0, len(b), 256):
-                part, rows = b.iloc[at:at + 256], []
-                for doc, ids in zip(part["id"], enc.encode(part["text"].tolist())):
+            for at in range(0, b.num_rows, SLICE):
+                part, rows = b.slice(at, SLICE), []
+                for doc, ids in zip(part.column("id").to_pylist(), enc.encode(part.column("text").to_pylist())):
                     ids += end
                     n, start = len(ids) // 4, 0
                     for length, k in cut(n, capacity):
                         own = ids[4 * start:4 * (start + length)]
                         rows.append((doc, start, length, zlib.crc32(own), n, k) + ((own,) if keep_ids else ()))
                         start += length
-                yield pd.DataFrame(rows, columns=names)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
     schema = "doc_id string, start long, length long, ids_crc32 long, doc_tokens long, cls int"
     schema += ", ids binary" if keep_ids else ""
     names = [c.split()[0] for c in schema.split(", ")]
+    types = [{"string": pa.string(), "long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}[c.split()[1]] for c in schema.split(", ")]
     src = docs.select(F.col(id_col).cast("long").cast("string").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return src.mapInPandas(run, schema).withColumn("doc_id", F.col("doc_id").cast("long"))
+    return src.mapInArrow(run, schema).withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def best_fit(lengths: list[int], capacity: int) -> list[int]:

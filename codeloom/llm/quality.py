@@ -20,12 +20,14 @@ from operator import eq
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 FIT_DOCS = 4000
 FIT_LINES = 48
 THRESHOLD = 0.3
+SLICE = 256                 # texts read from a batch at once; memory only
 
 # byte classes: 0 space, 1 lower case or non-ASCII, 2 upper case, 3 digit, 4 sentence mark, 5 bar, 6 bang, 7 other mark
 _CLASS = np.full(256, 7, np.uint8)
@@ -201,10 +203,10 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col:
 
 def score(text: Column, field: Field) -> Column:
     """Quality of a text, 0 to 1 (null and empty texts are one empty line)."""
-    @F.pandas_udf("double")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("double")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for b in batches:
-            yield pd.Series([field.score(t) for t in b], dtype="float64")
+            yield pa.array([field.score(t) for at in range(0, len(b), SLICE) for t in b.slice(at, SLICE).to_pylist()], pa.float64())
     return run(text.cast("string"))
 
 

@@ -104,3 +104,24 @@ def test_random_odd_texts(plain):
     odd = list("abzASÉéßſİıŉǰΣς'.,;-_0179²½ \t\n\x0b\x1c\x85 ​́̇ͅạ 日本각가\U0001f389ﬁΩ")
     texts = ["".join(odd[k] for k in rng.integers(0, len(odd), n)) for n in rng.integers(1, 14, 100_000)]
     same_ids(texts, plain)
+
+
+def test_the_tokenizer_gets_few_strings_at_once(monkeypatch):
+    enc, seen = P.Encoder(PATH), []
+    was = enc.cache.encode_batch
+    monkeypatch.setattr(enc.cache, "encode_batch", lambda texts, **kw: seen.append(len(texts)) or was(texts, **kw))
+    texts = [" ".join(f"w{i}x{j}" for j in range(50)) for i in range(400)]
+    got = enc.encode(texts)
+    assert sum(seen) * P.TOGETHER >= 20_000 and max(seen) <= P.BATCH
+    tok = Tokenizer.from_file(PATH)
+    assert all(np.frombuffer(got[i], "<u4").tolist() == tok.encode(texts[i], add_special_tokens=False).ids for i in (0, 7, 399))
+
+
+def test_few_texts_of_a_batch_are_read_at_once(spark):
+    texts = [None if i % 50 == 0 else f"text number {i}" for i in range(700)]
+    df = spark.createDataFrame([(None if i % 70 == 0 else i, t) for i, t in enumerate(texts)], "doc_id long, text string").coalesce(1)
+    rows = P.pieces(df, PATH, keep_ids=True).collect()
+    assert len(rows) == 700 and sum(r.doc_id is None for r in rows) == 10
+    assert sum(r.doc_tokens == 1 for r in rows) == 14
+    plan = P.pieces(df, PATH)._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "MapInPandas" not in plan

@@ -59,3 +59,13 @@ def test_odd_rows(spark):
     assert len(out) == 5 and all(0 <= r.s <= 1 for r in out) and out[4].s < 0.3
     assert Q.keep_good(docs.limit(0), lab).count() == 0
     assert Q.fit(docs.limit(0), lab).constant == 1.0
+
+
+def test_scores_of_a_batch_of_more_rows_than_are_read_at_once(spark):
+    rng = np.random.default_rng(1)
+    width = 3 * Q.N_OWN + 3
+    field = Q.Field(np.zeros(width), np.ones(width), rng.normal(size=width) / 20, rng.normal(size=(2, 2)))
+    texts = [None if i % 90 == 0 else "" if i % 91 == 0 else f"Line {i}\nand more | text {i * i}" for i in range(2 * Q.SLICE + 50)]
+    df = spark.createDataFrame(list(enumerate(texts)), "i long, text string").coalesce(1)
+    out = df.select("i", Q.score(F.col("text"), field).alias("s"))
+    assert [r.s for r in out.orderBy("i").collect()] == [field.score(t) for t in texts]
