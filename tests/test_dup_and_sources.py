@@ -56,6 +56,35 @@ def test_near_duplicates_cut_each_text_once(spark):
     assert "Window" not in sets and "Join" not in sets
 
 
+def test_shingles_are_counted_without_a_row_for_each(spark, monkeypatch):
+    import random
+    from collections import Counter
+    monkeypatch.setattr(D, "CUT_TEXTS", 3)
+    monkeypatch.setattr(D, "PART_SHINGLES", 50)
+    rnd = random.Random(5)
+    words = [f"w{i}" for i in range(40)] + ["Ärger", "ñu", "naïve"]
+    docs = [(i, " ".join(rnd.choice(words) for _ in range(rnd.choice([0, 1, 2, 3, 30, 60])))) for i in range(60)]
+    for i in range(20):                                                       # near copies: a word more, or one changed
+        w = docs[i][1].split()
+        docs.append((100 + i, " ".join([*w, "end"] if i % 2 else ["w0", *w[1:]])))
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    sets = D.shingle_sets(df, "doc_id", "text")
+    want = {i: shingle_set(t) - {""} for i, t in docs}
+    assert {r.doc: len(r.shs) for r in sets.collect()} == {i: len(s) for i, s in want.items() if s}
+    assert "Generate" not in D._shared(sets.withColumn("n", F.size("shs")))._jdf.queryExecution().optimizedPlan().toString()
+    count = Counter(x for s in want.values() for x in s)
+    got = D._shared(sets.withColumn("n", F.size("shs"))).groupBy("doc").agg(F.count("*").alias("n"), F.sum("df").alias("df")).collect()
+    assert {(r.doc, r.n, r.df) for r in got} == {(i, sum(count[x] > 1 for x in s), sum(count[x] for x in s if count[x] > 1))
+                                                 for i, s in want.items() if any(count[x] > 1 for x in s)}
+    first = {}
+    for i, t in docs:
+        first.setdefault(t, i)
+    truth = {(a, b): len(want[a] & want[b]) / len(want[a] | want[b]) for a, b in itertools.combinations(sorted(first.values()), 2) if want[a] & want[b]}
+    truth = {p: j for p, j in truth.items() if j >= 0.7} | {(first[t], i): 1.0 for i, t in docs if first[t] != i}
+    near = {(r.doc_a, r.doc_b): r.jaccard for r in D.near_duplicates(df).collect()}
+    assert len(truth) > 8 and set(near) == set(truth) and all(abs(near[p] - truth[p]) < 1e-9 for p in truth)
+
+
 def test_exact_duplicates(spark):
     files = spark.createDataFrame([("r", "a", False, "x"), ("s", "b", False, "x"), ("r", "c", False, "y")],
                                   "repository_id string, path string, binary boolean, content string")
